@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language is represented by a raw-content zstandard dictionary. A text is cut into blocks, every
-block is compressed with every dictionary, and the language with the smallest total wins. If the
+Each language is represented by a raw-content zstandard dictionary. A text, in lower case, is cut into
+blocks, every block is compressed with every dictionary, and the language with the smallest total wins. If the
 runner-up is within `margin` of the winner, the text counts as rejected (`accepted` false).
 
 Defined cases: null text, and text without a letter, give `und` with score 0; without any training
@@ -23,7 +23,7 @@ from .common import batches, fold, record, sampled, table
 
 #: Bounds of what is learned: sampled rows of a language, characters of each, bytes of a dictionary.
 SAMPLE_ROWS, EXCERPT, DICTIONARY = 400, 600, 96_000
-BLOCK = 8_192
+BLOCK = 65_536
 LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
@@ -34,7 +34,7 @@ def learn(docs: DataFrame, label: str = "lang", size: int = DICTIONARY) -> dict[
     texts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (str(r[2]), hash_key(r[1]))):
         if LETTER.search(r[1]):
-            texts.setdefault(r[2], []).append(r[1])
+            texts.setdefault(r[2], []).append(r[1].lower())
     return {k: "\n".join(dict.fromkeys(v)).encode()[:size] for k, v in sorted(texts.items())}
 
 
@@ -45,19 +45,19 @@ def hash_key(text: str) -> int:
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 1, margin: float = 0.01):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 5, margin: float = 0.01):
         import zstandard as z
 
         self.langs, self.margin, self.packers = list(dictionaries), margin, []
         for content in dictionaries.values():
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            self.packers.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
+            self.packers.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, False
-        raw = text.encode("utf-8", "replace")
+        raw = text.lower().encode("utf-8", "replace")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         sizes = [sum(len(p.compress(b)) for b in blocks) for p in self.packers]
         best = min(sizes)

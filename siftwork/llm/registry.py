@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "toxicity")
+MODULES = ("langid", "toxicity", "substrings")
 
 
 def _gather(name: str) -> dict:
