@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "toxicity", "substrings")
+MODULES = ("langid", "toxicity", "substrings", "suffixes")
 
 
 def _gather(name: str) -> dict:
