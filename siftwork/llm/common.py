@@ -27,16 +27,15 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def sampled(docs: DataFrame, label: str, per_label: int, excerpt: int | None, seed: int = 7) -> DataFrame:
-    """About `per_label` rows of each label, chosen by a hash of doc_id; `excerpt` cuts the text.
+def sampled(rows: DataFrame, label: str, per_label: int, seed: int = 7) -> DataFrame:
+    """About `per_label` rows of each label, chosen by a hash of doc_id.
 
     The expected size is per_label x labels whatever the input's size, so it may be collected."""
-    counts = {r[0]: r[1] for r in docs.groupBy(label).count().collect() if r[0] is not None}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
     if not counts:
-        return docs.limit(0)
+        return rows.limit(0)
     share = F.lit(0.0)
     for k, n in counts.items():
         share = F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_label / n))).otherwise(share)
     point = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    text = F.col("text") if excerpt is None else F.substring("text", 1, excerpt)
-    return docs.where(F.col(label).isNotNull() & (point < share)).select("doc_id", text.alias("text"), label)
+    return rows.where(F.col(label).isNotNull() & (point < share))

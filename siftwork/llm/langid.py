@@ -30,7 +30,8 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score"
 
 def learn(docs: DataFrame, label: str = "lang", size: int = DICTIONARY) -> dict[str, bytes]:
     """One raw dictionary a language, from a bounded sample of labelled rows (see SAMPLE_ROWS)."""
-    rows = sampled(docs.where(F.length("text") > 0), label, SAMPLE_ROWS, EXCERPT).collect()
+    some = sampled(docs.where(F.length("text") > 0), label, SAMPLE_ROWS)
+    rows = some.select("doc_id", F.substring("text", 1, EXCERPT), label).collect()
     texts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (str(r[2]), hash_key(r[1]))):
         if LETTER.search(r[1]):
