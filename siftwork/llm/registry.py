@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "toxicity", "substrings", "suffixes", "jaccard", "packing")
+MODULES = ("langid", "parsing", "packing", "suffixes", "jaccard", "substrings", "toxicity")
 
 
 def _gather(name: str) -> dict:
