@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "parsing", "packing", "suffixes", "jaccard", "substrings", "toxicity")
+MODULES = ("langid", "parsing", "packing", "licenses", "suffixes", "jaccard", "substrings", "mixing", "toxicity")
 
 
 def _gather(name: str) -> dict:
