@@ -1,17 +1,18 @@
 """Components of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, by signature trees.
 
-1. Filter. Of a set of n shingles in hash order, the first n - ceil(0.8 n) + n/10 are sent to their hash
+1. Copies. Equal sets are found by their 128-bit hashes; the one of the least doc_id stands for all.
+2. Filter. Of a set of n shingles in hash order, the first n - ceil(0.8 n) + n/10 are sent to their hash
    buckets and come back with the number of sets that have them. Linked sets share at least a tenth of
    the smaller one there, so a set with fewer shared shingles has no partner and leaves.
-2. Blocks. The rarest of those shingles, enough for linked sets to have one in common, connect the
+3. Blocks. The rarest of those shingles, enough for linked sets to have one in common, connect the
    remaining sets to blocks; a linked pair is never in two blocks.
-3. Trees. Each block gets a signature tree: leaves of sets in size order, nodes with OR-combined token
+4. Trees. Each block gets a signature tree: leaves of sets in size order, nodes with OR-combined token
    bitmaps and size ranges. A dual traversal drops node pairs whose greatest possible overlap is too
    small for the similarity, and the remaining pairs are compared exactly; pairs connected already
    are passed over. A block with more than BLOCK sets is dealt to several trees in size order, and each
    pair of trees that their size ranges allow is traversed in a task of its own.
 
-Equal sets of a chunk are one tree entry. Every link between different sets that is not implied by links
+Every link between different sets that is not implied by links
 already found is kept, so components are exact.
 
 Defined cases: null text and text without words have no shingles, n_shingles 0 and their own component;
@@ -56,9 +57,10 @@ class Sets:
         self.values, self.doc = h[new], doc[new]
         self.n = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.key = [xxhash.xxh3_128_digest(self.values[a:z].tobytes()) for a, z in zip(self.first[:-1], self.first[1:])]
         seen: dict[bytes, int] = {}
         #: the first document of the chunk with the same set
-        self.model = np.array([seen.setdefault(xxhash.xxh3_128_digest(self.values[a:z].tobytes()), i) for i, (a, z) in enumerate(zip(self.first[:-1], self.first[1:]))], np.int64)
+        self.model = np.array([seen.setdefault(k, i) for i, k in enumerate(self.key)], np.int64)
 
     def rank(self) -> np.ndarray:
         return np.arange(len(self.values)) - self.first[self.doc]
@@ -88,16 +90,49 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
     x = Exchange(docs)
     buckets = x.buckets
 
-    def tokens(s):
-        """Sent shingles of the chunk's models; each distinct one's hash, number of sets, and places."""
-        lead = np.flatnonzero((s.rank() < sent(s.n)[s.doc]) & (s.model[s.doc] == s.doc))
+    def owners(s, ids, reply: bytes):
+        """For each document the doc_id that stands for its set: from the reply, or the chunk's first with the set."""
+        elsewhere = {reply[i : i + 16]: int.from_bytes(reply[i + 16 : i + 24], "little", signed=True) for i in range(0, len(reply), 24)}
+        return [elsewhere.get(s.key[m], ids[m]) for m in s.model.tolist()]
+
+    def standing(s, ids, own):
+        """Whether a document stands for its set."""
+        return np.array([i is not None and o == i and m == k for k, (i, o, m) in enumerate(zip(ids, own, s.model.tolist()))], bool) & (s.n > 0)
+
+    def send_sets(chunk, ids, texts):
+        s = Sets(texts, words)
+        out: dict[int, list] = {}
+        for i in np.unique(s.model).tolist():
+            if s.n[i] and ids[i] is not None:
+                out.setdefault(int.from_bytes(s.key[i][:8], "little") * buckets >> 64, []).append(s.key[i] + ids[i].to_bytes(8, "little", signed=True))
+        for b, parts in out.items():
+            yield b, b"".join(parts)
+
+    def own_sets(key, chunks, payloads):
+        least: dict[bytes, int] = {}
+        each = [(c, p[i : i + 16], int.from_bytes(p[i + 16 : i + 24], "little", signed=True)) for c, p in zip(chunks, payloads) for i in range(0, len(p), 24)]
+        for _, k, d in each:
+            least[k] = min(d, least.get(k, d))
+        back: dict[int, list] = {}
+        for c, k, d in each:
+            if least[k] != d:
+                back.setdefault(c, []).append(k + least[k].to_bytes(8, "little", signed=True))
+        for c, parts in back.items():
+            yield c, b"".join(parts)
+
+    def tokens(s, stands):
+        """Sent shingles of the standing documents; each distinct one's hash, number of sets, and places."""
+        lead = np.flatnonzero((s.rank() < sent(s.n)[s.doc]) & stands[s.doc])
         order = lead[np.argsort(s.values[lead], kind="stable")]
         v = s.values[order]
         g = groups(v)
         return v[g], np.diff(np.append(g, len(v))), order, g
 
-    def send_tokens(chunk, ids, texts):
-        h, n, _, _ = tokens(Sets(texts, words))
+    def send_tokens(chunk, ids, texts, got):
+        s = Sets(texts, words)
+        reply = b"".join(got.values())
+        yield -1 - chunk, reply  # comes back with the counts
+        h, n, _, _ = tokens(s, standing(s, ids, owners(s, ids, reply)))
         packed = (h & U(REST)).astype(np.uint32) | np.where(n > 1, SEVERAL, 0).astype(np.uint32)
         c = cuts(h, buckets)
         for b in range(buckets):
@@ -141,9 +176,11 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         none = np.array([i is None for i in ids], bool)
         note = lambda kind: -1 - (chunk * 4 + kind)
         yield note(ALL), np.column_stack([who, s.n, none]).astype(np.int64).tobytes()
-        copy = np.flatnonzero((s.model != np.arange(len(ids))) & (s.n > 0) & ~none & ~none[s.model])
-        yield note(COPIES), np.column_stack([who[copy], who[s.model[copy]]]).tobytes()
-        h, n, order, g = tokens(s)
+        own = owners(s, ids, got.pop(-1 - chunk, b""))
+        stands = standing(s, ids, own)
+        copy = [(d, o) for d, o, n in zip(ids, own, s.n.tolist()) if n and d is not None and o is not None and d != o]
+        yield note(COPIES), np.array(copy, np.int64).tobytes()
+        h, n, order, g = tokens(s, stands)
         df = np.ones(len(h), np.int64)
         c = cuts(h, buckets)
         for b, reply in got.items():
@@ -154,7 +191,7 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         each = np.repeat(df, np.diff(np.append(g, len(order)))) if len(g) else df[:0]
         value, doc = s.values[order], s.doc[order]
         enough = np.bincount(doc, each > 1, minlength=len(ids)) >= shared(s.n)
-        stay = enough & (s.n > 0) & ~none
+        stay = enough & stands
         # the rarest come first; linked sets have one of the first sent - shared + 1 in common
         by = np.lexsort((value, each, doc))
         doc, each, value = doc[by], each[by], value[by]
@@ -168,8 +205,7 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         star = np.column_stack([who[doc], np.repeat(least, np.diff(np.append(g, len(doc)))) if len(g) else least])
         star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
         yield note(STARS), star.tobytes()
-        for i in np.unique(doc).tolist():
-            yield note(SETS), int(who[i]).to_bytes(8, "little", signed=True) + s.values[s.first[i] : s.first[i + 1]].tobytes()
+        yield note(SETS), b"".join(int(who[i]).to_bytes(8, "little", signed=True) + int(s.n[i]).to_bytes(8, "little") + s.values[s.first[i] : s.first[i + 1]].tobytes() for i in np.unique(doc).tolist())
         v = value[g] if len(g) else value
         c = cuts(v, buckets)
         for b in range(buckets):
@@ -187,7 +223,8 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
         yield chunks[0], star.tobytes()
 
-    notes = saved(meet(x.again(meet(x.first(send_tokens), count), send_blocks), connect))
+    owned = meet(x.first(send_sets), own_sets)
+    notes = saved(meet(x.again(meet(x.again(owned, send_tokens), count), send_blocks), connect))
     kind = F.when(F.col("key") >= 0, F.lit(STARS)).otherwise(F.pmod(-1 - F.col("key"), F.lit(4)))
     of = lambda k: notes.where(kind == k).select("payload")
     sets = of(SETS).mapInArrow(_sets, "doc_id long, n int, hashes binary")
@@ -212,8 +249,15 @@ def _all(it):
 
 def _sets(it):
     for b in it:
-        p = b.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in p], pa.int64()), pa.array([len(x) // 8 - 1 for x in p], pa.int32()), pa.array([x[8:] for x in p], pa.binary())], names=["doc_id", "n", "hashes"])
+        for p in b.column(0).to_pylist():
+            ids, sizes, hashes, at = [], [], [], 0
+            while at < len(p):
+                n = int.from_bytes(p[at + 8 : at + 16], "little")
+                ids.append(int.from_bytes(p[at : at + 8], "little", signed=True))
+                sizes.append(n)
+                hashes.append(p[at + 16 : at + 16 + 8 * n])
+                at += 16 + 8 * n
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], names=["doc_id", "n", "hashes"])
 
 
 def _trees(sets: DataFrame, blocks: DataFrame, words: int, block: int) -> DataFrame:
