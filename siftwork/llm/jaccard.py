@@ -224,11 +224,13 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         yield chunks[0], star.tobytes()
 
     owned = meet(x.first(send_sets), own_sets)
-    notes = saved(meet(x.again(meet(x.again(owned, send_tokens), count), send_blocks), connect))
-    kind = F.when(F.col("key") >= 0, F.lit(STARS)).otherwise(F.pmod(-1 - F.col("key"), F.lit(4)))
-    of = lambda k: notes.where(kind == k).select("payload")
+    notes = saved(x.again(meet(x.again(owned, send_tokens), count), send_blocks))
+    kind = F.pmod(-1 - F.col("key"), F.lit(4))
+    of = lambda k: notes.where((F.col("key") < 0) & (kind == k)).select("payload")
     sets = of(SETS).mapInArrow(_sets, "doc_id long, n int, hashes binary")
-    blocks = saved(components(of(STARS).mapInArrow(_pairs, "a long, b long").distinct()))
+    # only the shingles of the stars move again; the sets wait where they were written
+    stars = of(STARS).union(meet(notes.where("key >= 0"), connect).select("payload"))
+    blocks = saved(components(stars.mapInArrow(_pairs, "a long, b long").distinct()))
     links = _trees(sets, blocks, words, block).union(of(COPIES).mapInArrow(_pairs, "a long, b long"))
     return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long"), links
 
@@ -262,7 +264,8 @@ def _sets(it):
 
 def _trees(sets: DataFrame, blocks: DataFrame, words: int, block: int) -> DataFrame:
     """Links found by the trees of all blocks."""
-    placed = sets.join(blocks.select(F.col("node").alias("doc_id"), F.col("label").alias("block")), "doc_id")
+    # the labels grow with the input: never broadcast, so that the plan is the same at every size
+    placed = sets.join(blocks.select(F.col("node").alias("doc_id"), F.col("label").alias("block")).hint("merge"), "doc_id")
     # size classes: blocks over `block` sets are cut between set sizes, by counts of sizes (not of rows)
     sizes = saved(placed.groupBy("block", "n").agg(F.count("*").alias("m"), F.sum(F.length("hashes")).alias("bytes")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
