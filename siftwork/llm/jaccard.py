@@ -388,3 +388,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_jaccard_join": op7_jaccard_join}
+#: All windows by brute force; for small tables.
+ORACLE_SQL = {
+    "op7_jaccard_join": r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM d WHERE len(l) > 0),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(l[i:i + 4], ' ')) AS h FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+t(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, c FROM t JOIN e ON e.x = t.doc_id)
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id""",
+}

@@ -166,3 +166,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+#: All windows by brute force; for small tables.
+ORACLE_SQL = {
+    "op8_substring_dedup": r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS i FROM d WHERE len(l) >= 13),
+w AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 12], ' ')) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h),
+c AS (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM w JOIN m USING (h) WHERE least < doc_id),
+u AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS j FROM d),
+k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM u ANTI JOIN (SELECT DISTINCT doc_id, j FROM c) g ON g.doc_id = u.doc_id AND g.j = u.j GROUP BY u.doc_id)
+SELECT d.doc_id, len(l) AS n_words, len(l) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+}

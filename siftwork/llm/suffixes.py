@@ -337,3 +337,16 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup}
+#: All windows by brute force; for small tables.
+ORACLE_SQL = {
+    "op6_suffix_array_dedup": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+s AS (SELECT doc_id, x, unnest(range(0, octet_length(x) - 399)) AS p FROM d WHERE octet_length(x) >= 400),
+w AS (SELECT doc_id, p, hash(x[p + 1:p + 400]) AS h FROM s),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+b AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400, true) AS new FROM w SEMI JOIN m USING (h)),
+i AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY doc_id, k),
+q AS (SELECT doc_id, k, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS y FROM r),
+g AS (SELECT q.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(x[y + 1:a]), '' ORDER BY k) AS head FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN g.doc_id IS NULL THEN hex(x) ELSE head || hex(x[last + 1:]) END)) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+}
