@@ -181,3 +181,44 @@ ORACLE_SQL = {
     "declared_resources": "SELECT p_partkey % 50 AS task_id, 'azurerm_' || p_brand AS resource, min(p_partkey) AS first FROM part GROUP BY ALL",
     "machine_sizes": "WITH r AS (SELECT n_nationkey, ([" + ", ".join(f"'{k}'" for k in [*L.ROLE_SIZES, "other"]) + f"])[n_nationkey % {len(L.ROLE_SIZES) + 1} + 1] AS role FROM nation) SELECT n_nationkey, role, CASE role " + " ".join(f"WHEN '{k}' THEN {v[0]}::DOUBLE" for k, v in L.ROLE_SIZES.items()) + " ELSE 0.25::DOUBLE END AS cpu, CASE role " + " ".join(f"WHEN '{k}' THEN {v[1]}::DOUBLE" for k, v in L.ROLE_SIZES.items()) + " ELSE 0.5::DOUBLE END AS memory FROM r",
 }
+
+
+def rendered_files(spark, sf_dir):
+    from ..operators import records as C
+
+    r = C.rendered(D.strategy(decisions(spark, sf_dir)))
+    return r.groupBy("task_id").agg(F.count("*").alias("files"), F.count_if(F.col("body").isNotNull()).alias("written"), F.count_if(F.col("file").endswith(".tf")).alias("declarative"))
+
+
+def declared_by_task(spark, sf_dir):
+    """Resource types that the rendered files declare, read back from their lines."""
+    from ..operators import records as C
+
+    r = C.rendered(D.strategy(decisions(spark, sf_dir)))
+    lines = r.select("task_id", "ord", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    return V.declared(lines, ["task_id"], ["ord", "n"]).select("task_id", "resource")
+
+
+def unplanned_resources(spark, sf_dir):
+    """Expected types that the rendered files lack: none, as both follow the same constraints."""
+    s = D.strategy(decisions(spark, sf_dir))
+    expected = s.where(F.col("method") != "imperative").select("task_id", F.explode("expected_resources").alias("resource"))
+    return V.missing(expected, declared_by_task(spark, sf_dir), ["task_id"]).agg(F.count("*").alias("missing"))
+
+
+def review_requests(spark, sf_dir):
+    """With a threshold above every confidence, each triggered decision asks for review."""
+    from ..operators import records as C
+
+    d = D.decide(assessments(spark, sf_dir), review_below=0.99)
+    return C.review_requests(d, F.lit(0)).select("task_id", "recommendation", F.array_join("shown", ",").alias("flags"), "expires_at", "status")
+
+
+QUERIES |= {"rendered_files": rendered_files, "declared_by_task": declared_by_task, "unplanned_resources": unplanned_resources, "review_requests": review_requests}
+_TF = "CASE WHEN method = 'none' THEN 0 ELSE 4 + list_contains(cons, 'sandboxed_execution')::INT + list_contains(cons, 'monitoring_required')::INT + list_contains(cons, 'network_isolation')::INT + 2 * list_contains(cons, 'privilege_restriction')::INT END"
+_ALL = f"({_TF} + CASE method WHEN 'none' THEN 0 WHEN 'imperative' THEN 1 ELSE 3 END)"
+ORACLE_SQL |= {
+    "rendered_files": STRATEGY + f" SELECT task_id, {_ALL} AS files, {_ALL} AS written, {_TF} AS declarative FROM t1 WHERE method <> 'none'",
+    "unplanned_resources": "SELECT 0 AS missing",
+    "review_requests": DECIDE + " SELECT d1.task_id, CASE WHEN aggregate_risk > 0.7::DOUBLE THEN 'REJECT' ELSE 'APPROVE_WITH_CONSTRAINTS' END AS recommendation, coalesce((SELECT array_to_string(list_sort(list(DISTINCT x))[1:10], ',') FROM (SELECT unnest(fl) AS x, task_id FROM sc) u WHERE u.task_id = d1.task_id), '') AS flags, 3600 AS expires_at, 'pending' AS status FROM d1 WHERE decision <> 'REJECT' AND confidence < 0.99::DOUBLE AND len(rules) > 0",
+}

@@ -156,3 +156,23 @@ def test_stripping_twice_changes_nothing(spark, text):
     d = spark.createDataFrame([(text,)], "t string").select(S.strip_strings(F.col("t")).alias("a"))
     r = d.select("a", S.strip_strings(F.col("a")).alias("b")).first()
     assert len(r.b) <= len(r.a)
+
+
+def test_tokens_and_envelopes(spark):
+    from siftwork.operators import records
+
+    d = spark.createDataFrame([("a", "vm1", 1000)], "agent string, vm string, at long")
+    r = d.select(records.token("k", F.col("agent"), F.col("vm"), F.col("at")).alias("t"), records.envelope("X", "a", "b", F.lit("task")).alias("e"))
+    t = r.first().t.split("|")
+    assert t[:3] == ["a", "vm1", "8200"] and len(t[3]) == 16 and r.first().e.schema_version == "1.0.0"
+    ok = r.select(records.token_valid(F.col("t"), F.lit(8199)).alias("a"), records.token_valid(F.col("t"), F.lit(8200)).alias("b"), records.token_valid(F.lit("junk"), F.lit(0)).alias("c")).first()
+    assert (ok.a, ok.b, ok.c) == (True, False, False)
+
+
+def test_streamed_chain_and_upsert(spark, tmp_path):
+    from siftwork.streaming import state
+
+    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k int, v string, o int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, v string, o int").parquet(str(tmp_path / "in"))
+    state.upsert(stream, str(tmp_path / "out"), "k", "o").option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {1: "b", 2: "c"}
