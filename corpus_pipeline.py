@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages over `documents`; each works on what the one before it kept."""
+"""A corpus pipeline of five stages over `documents`; each works on what the one before it kept.
+
+Defined cases, for every stage: empty tables give empty results; columns besides those of documents are left
+behind; null lang, source and n_chars do no harm. Null and empty texts are not toxic and are nobody's copy;
+the third stage, which rewrites texts, lets texts go of which nothing is left, those that were empty before
+included. Rows with a null doc_id stay in the first two stages; rows of equal doc_id are told apart by their
+texts. Equal rows share their fate.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar, learned from the labels, does not reject."""
+    docs = docs.select(*COLUMNS)
     grammar = toxicity.learn(docs, toxicity.training(table(spark, sf_dir, "labels")))
     return docs.where(~rejected(F.col("text"), grammar)).select(*COLUMNS)
 
@@ -33,15 +41,17 @@ def rejected(text, grammar):
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least doc_id."""
+    docs = docs.select(*COLUMNS)
     found = jaccard.near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes that occur elsewhere; texts of which nothing is left go."""
-    cut = suffixes.remove_repeats(docs).select("doc_id", "n_removed", "kept")
-    changed = cut.where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("kept"))
-    kept = docs.join(changed, docs["doc_id"].eqNullSafe(changed["id"]), "left")
+    docs = docs.select(*COLUMNS)
+    cut = suffixes.remove_repeats(docs).where("n_removed > 0")
+    changed = cut.select(F.col("doc_id").alias("id"), F.col("sha256").alias("was"), "kept").dropDuplicates(["id", "was"])
+    kept = docs.join(changed, docs["doc_id"].eqNullSafe(changed["id"]) & (F.sha2("text", 256) == changed["was"]), "left")
     # a cut may end inside a character: its bytes go
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(whole(F.col("kept")))
     out = kept.withColumn("text", text).where(F.col("text").isNotNull() & (F.length("text") > 0))
@@ -58,6 +68,7 @@ def whole(kept):
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the budgets of their domain, language and source; at most two epochs of a document."""
+    docs = docs.select(*COLUMNS)
     return mixing.mix(docs, share=1.0, epochs=2).select(*COLUMNS)
 
 

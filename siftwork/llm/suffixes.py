@@ -38,7 +38,7 @@ from .hashing import BYTE, U, prefix, spans
 LENGTH, GRAM, HOT, BATCH = 400, 100, 2_000, 2_048
 SEGMENT, PLACE = 1 << 19, U((1 << 20) - 1)
 NONE, EDGE, WHOLE, HOTLY, MODEL, HOTMODEL = range(6)
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64()))])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64())), ("sha256", pa.string())])
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -182,7 +182,7 @@ class Family:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans (start, end, start, ...)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (start, end, start, ...) and the sha256 of the whole text."""
     x = Exchange(docs)
     buckets = x.buckets
 
@@ -320,11 +320,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             edge = np.flatnonzero(np.diff(gone[a:z].view(np.int8), prepend=0, append=0))
             raw = t.buf[a:z]
             body = b"".join(raw[p:q] for p, q in zip([0, *edge[1::2].tolist()], [*edge[::2].tolist(), len(raw)])) if len(edge) else raw
-            rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None))
+            rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None, hashlib.sha256(raw).hexdigest() if keep else None))
         return list(zip(*rows))
 
     edges = meet(x.again(meet(x.first(send_hashes), sort_out), send_edges), match)
-    return x.last(edges, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>", SCHEMA)
+    return x.last(edges, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>, sha256 string", SCHEMA)
 
 
 def level(batch: list) -> Level:
@@ -333,7 +333,7 @@ def level(batch: list) -> Level:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "spans")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "spans", "sha256")
 
 
 QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup}

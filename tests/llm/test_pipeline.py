@@ -50,3 +50,19 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     assert P.run(spark, folder[0]).agg(F.sum("length")).first()[0] > 0
     assert packing.CAPACITY == 2048
+
+
+def test_stages_with_odd_rows(spark, folder):
+    """Repeated and null ids, null columns, extra columns, empty tables."""
+    at, _ = folder
+    p = " ".join(f"q{i}" for i in range(200))
+    rows = [(1, p + " one", "en", "s"), (1, p + " one", "en", "s"), (1, "two " + p, None, None), (None, p, "en", "s"), (None, None, "en", "s"), (2, "", "en", "s")]
+    d = spark.createDataFrame([(*r, None, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    for docs in (d, d.limit(0)):
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, at).cache()
+            n = docs.count()
+            assert n == 0 or name == "packing" or docs.columns == list(P.COLUMNS)
+    assert P.drop_near_copies(spark, d, at).count() == 6
+    left = [r.text for r in P.drop_repeats(spark, d, at).collect()]
+    assert left == ["two "]
