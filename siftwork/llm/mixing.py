@@ -12,7 +12,7 @@ documents of that digit are looked at again.
 
 Defined cases: null domain, lang and source count as 'unknown'; null texts have no tokens and are taken
 when their place in the order comes before the budget's end; empty tables give empty results; rows of equal doc_id stand in the
-order at one place and are told apart by their text. Other columns are carried along untouched.
+order at one place and are told apart by a hash of their text. Other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .storage import saved
 
 LEVELS = ("domain", "lang", "source")
 #: More leaves than this are refused, as a row for each goes to the driver.
@@ -86,14 +87,19 @@ def budgets(leaves: dict[tuple, int], total: int, epochs: int, weights: dict[tup
     return out
 
 
-def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tuple, float] | None = None, seed: int = 17, domain: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tuple, float] | None = None, seed: int = 17, domain: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """The rows of `docs` taken, with domain, tokens and epoch (0, 1, ...) added as mix_domain, mix_tokens, mix_epoch.
 
-    The budget is `share` of all tokens; a row comes once for each epoch that takes it."""
+    The budget is `share` of all tokens; a row comes once for each epoch that takes it. Only `columns` of `docs`
+    are returned (default: all), and only they are written to the table from which the budgets are counted."""
+    columns = columns or docs.columns
     known = F.coalesce
     keyed = docs.withColumn("mix_domain", known(domain if domain is not None else domain_of(F.col("source")), F.lit("unknown"))).withColumn("mix_tokens", tokens(F.col("text")))
     keyed = keyed.withColumn("mix_lang", known("lang", F.lit("unknown"))).withColumn("mix_source", known("source", F.lit("unknown")))
     leaf = ["mix_domain", "mix_lang", "mix_source"]
+    keyed = keyed.withColumns({"mix_id": F.col("doc_id"), "mix_tie": F.xxhash64("text")})
+    # texts are counted once; what follows reads the counts only, and at the end the columns of the rows taken
+    keyed = saved(keyed.select(*columns, *leaf, "mix_tokens", "mix_id", "mix_tie"))
     found = keyed.groupBy(*leaf).agg(F.sum("mix_tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(found) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
@@ -103,7 +109,7 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tupl
     plan = F.broadcast(docs.sparkSession.createDataFrame(rows, "mix_domain string, mix_lang string, mix_source string, mix_whole long, mix_rest long"))  # at most MOST_LEAVES rows
     turned = keyed.join(plan, leaf)
     turned = turned.withColumn("mix_epoch", F.explode(F.expr("sequence(0L, mix_whole)")))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_epoch", "doc_id"), 4)  # 60 bits
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_epoch", "mix_id"), 4)  # 60 bits
     turned = turned.withColumn("mix_order", order)
     whole = turned.where("mix_epoch < mix_whole")
     part = turned.where("mix_epoch = mix_whole")
@@ -117,9 +123,9 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tupl
         part = part.join(F.broadcast(ends), leaf, "left").withColumn("mix_d", digit)
         out.append(part.where("e IS NULL OR mix_d < e.d").drop("e", "mix_d"))
         part = part.where("mix_d = e.d").withColumn("mix_rest", F.col("mix_rest") - F.col("e.before")).drop("e", "mix_d")
-    running = F.sum("mix_tokens").over(Window.partitionBy(*leaf).orderBy("mix_order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("mix_tokens").over(Window.partitionBy(*leaf).orderBy("mix_order", "mix_id", "mix_tie").rowsBetween(Window.unboundedPreceding, 0))
     out.append(part.withColumn("upto", running).where("upto <= mix_rest").drop("upto"))
-    cols = [*docs.columns, "mix_domain", "mix_tokens", "mix_epoch"]
+    cols = [*columns, "mix_domain", "mix_tokens", "mix_epoch"]
     result = out[0].select(*cols)
     for o in out[1:]:
         result = result.union(o.select(*cols))
@@ -127,7 +133,7 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tupl
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mix(table(spark, sf_dir, "documents"))
+    taken = mix(table(spark, sf_dir, "documents"), columns=["doc_id", "lang", "source"])
     return taken.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
 
 
