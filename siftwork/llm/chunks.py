@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 CHUNK, BUCKET = 4 << 20, 16 << 20
 ROW = "key long, chunk long, payload binary"
 PA_ROW = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
@@ -35,7 +37,7 @@ def _rows(items) -> pa.Table:
 
 class Exchange:
     def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET):
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = bounded(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.chunks = int(size // chunk_bytes) + 1
         self.buckets = max(8, int(size // bucket_bytes) + 1)
         place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(self.chunks))

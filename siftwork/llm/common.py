@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -16,11 +16,24 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(0)).cast("int")
 
 
+#: Rows that cross to Python together: texts can be long, so far fewer than Spark's own default.
+ROWS_TOGETHER = 500
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """`docs`, with the session's Arrow batches kept to ROWS_TOGETHER rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= ROWS_TOGETHER:
+        docs.sparkSession.conf.set(key, str(ROWS_TOGETHER))
+    return docs
+
+
 def batches(it, *names):
-    """Yields, for each Arrow batch, the named columns as Python lists."""
+    """Yields, for each Arrow batch, the named columns as Python lists; gives memory back at the end."""
     for b in it:
         if b.num_rows:
             yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
+    pa.default_memory_pool().release_unused()
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:

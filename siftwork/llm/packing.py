@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, bounded, table
 from .hashing import INVERSE, U, mix, powers  # noqa: F401  (hash arithmetic of pre-tokens)
 from .storage import saved
 
@@ -33,8 +33,8 @@ CAPACITY, END, VOCABULARY, SPECIAL = 2_048, 0, "byte_bpe_50k", "<|endoftext|>"
 RANKED = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 CHUNKED = 20_000  # pieces ranked together
-CACHED = 400_000  # pre-tokens kept by a worker
-NEAR = 1 << 20  # code points encoded together
+CACHED = 150_000  # pre-tokens kept by a worker
+NEAR = 1 << 18  # code points encoded together
 LETTER, NUMBER, BLANK, OTHER, BREAK = range(5)
 
 
@@ -70,7 +70,7 @@ class Encoder:
         self.piece = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.path, self.slow = public.path(f"{name}.json"), None
         self.known: dict[int, int] = {}
-        self.ids, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.at = np.zeros(1 << 18, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         if self.slow is None:
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY) ->
                     start = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RANKED)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RANKED)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:

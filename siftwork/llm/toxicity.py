@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fold, record, sampled, table
+from .common import batches, bounded, fold, record, sampled, table
 
 #: Bound of the labelled rows learned from, for each class.
 SAMPLE_ROWS = 6_000
@@ -96,7 +96,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     for d, y in sampled(labels.where(F.col("toxic").isin(0, 1)), "toxic", SAMPLE_ROWS).select("doc_id", "toxic").collect():
         if d is not None:
             some[d] = max(y, some.get(d, 0))
-    picked = docs.sparkSession.createDataFrame(sorted(some.items()), "doc_id long, toxic int")
+    picked = bounded(docs).sparkSession.createDataFrame(sorted(some.items()), "doc_id long, toxic int")
     # about 2 x SAMPLE_ROWS rows, so the texts need no shuffle
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             got = [g.score(t) for t in texts]
             yield record(SCHEMA, ids, [x[0] for x in got], [x[1] for x in got])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, clauses int")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, clauses int")
 
 
 def training(labels: DataFrame) -> DataFrame:
