@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, release
 
 CHUNK, BUCKET = 4 << 20, 16 << 20
 ROW = "key long, chunk long, payload binary"
@@ -48,7 +48,9 @@ class Exchange:
 
         def run(key, docs):
             c = key[0].as_py()
-            return _rows((k, c, p) for k, p in visit(c, *documents(docs)))
+            out = _rows((k, c, p) for k, p in visit(c, *documents(docs)))
+            release()
+            return out
 
         return self.docs.groupBy("chunk").applyInArrow(run, ROW)
 
@@ -57,7 +59,9 @@ class Exchange:
 
         def run(key, docs, got):
             c = key[0].as_py()
-            return _rows((k, c, p) for k, p in visit(c, *documents(docs), answers(got)))
+            out = _rows((k, c, p) for k, p in visit(c, *documents(docs), answers(got)))
+            release()
+            return out
 
         return self.docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, ROW)
 
@@ -68,6 +72,7 @@ class Exchange:
             if not docs.num_rows:
                 return pa_schema.empty_table()
             columns = visit(key[0].as_py(), *documents(docs), answers(got))
+            release()
             return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, pa_schema)], schema=pa_schema)
 
         return self.docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
@@ -82,7 +87,9 @@ def meet(sent: DataFrame, join: Callable[[int, list, list], Iterator]) -> DataFr
             return got.select(PA_ROW.names)
         order = np.argsort(got.column("chunk").to_numpy(), kind="stable")
         chunks, payloads = got.column("chunk").to_pylist(), got.column("payload").to_pylist()
-        return _rows((k, c, p) for c, p in join(k, [chunks[i] for i in order], [payloads[i] for i in order]))
+        out = _rows((k, c, p) for c, p in join(k, [chunks[i] for i in order], [payloads[i] for i in order]))
+        release()
+        return out
 
     return sent.groupBy("key").applyInArrow(run, ROW)
 

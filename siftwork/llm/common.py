@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,20 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def release() -> None:
+    """Gives memory that a worker no longer needs back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batches(it, *names):
     """Yields, for each Arrow batch, the named columns as Python lists; gives memory back at the end."""
     for b in it:
         if b.num_rows:
             yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
