@@ -8,9 +8,8 @@ copies if enough of their matches agree on one turn and one shift: at least VOTE
 corners of the image that has fewer.
 
 Equal images are one entry (class), so copies of one image are never paired with each other. Queries are
-classes that hold an image_id divisible by 50; they meet all classes in band tables. A band value with
-more entries than COMMON says nothing about an image; its entries are not dropped but meet by two bands
-together, which splits them.
+classes that hold an image_id divisible by 50; they meet all classes in band tables. All entries of a band
+value meet, however many; those of a hot value do so in blocks.
 
 Defined cases: null or ill-sized pixels, and images without a corner, are in a class by equality of
 pixels and match nothing else; null ids go along with their class; an empty table gives an empty result.
@@ -29,9 +28,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 BITS, BANDS, DISTANCE, VOTES, TURNS, STEP = 128, 8, 18, 3, 12, 4
-EVERY, COMMON, SIDE, SHARE = 50, 256, 40, 5
+EVERY, BLOCK, SIDE, SHARE = 50, 2048, 40, 5
 POINT = "class string, x int, y int, turn int, size int, bits binary"
 PA_POINT = pa.schema([("class", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("turn", pa.int32()), ("size", pa.int32()), ("bits", pa.binary())])
+MATCH = "q long, no long, q_x int, q_y int, x int, y int, turn int"
+PA_MATCH = pa.schema([("q", pa.int64()), ("no", pa.int64()), ("q_x", pa.int32()), ("q_y", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("turn", pa.int32())])
 
 
 @functools.lru_cache(maxsize=1)
@@ -109,40 +110,105 @@ def points(images: DataFrame) -> DataFrame:
     return one.mapInArrow(run, POINT)
 
 
-def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query, class, votes: pairs of classes with at least VOTES matches that agree on one turn and one shift."""
+def whole_groups(it, keys: int, at_least: int = 8192):
+    """Tables of whole groups, from batches sorted by their first `keys` columns."""
+    held, n, wanted = [], 0, at_least
+    for b in it:
+        held.append(b)
+        n += b.num_rows
+        if n < wanted:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = [t.column(i).to_numpy() for i in range(keys)]
+        last = n - int(np.logical_and.reduce([x == x[-1] for x in k]).sum())
+        if last:
+            yield t.slice(0, last)
+        held, n = t.slice(last).to_batches(), n - last
+        wanted = max(at_least, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row begins a group, in sorted columns."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def ranges(low: np.ndarray, count: np.ndarray, together: int = 1 << 20):
+    """(row, other) of every row and each of the `count` rows from `low` on, some at a time."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + together, "right")))
+        c = count[at:stop]
+        yield np.repeat(np.arange(at, stop), c), np.arange(c.sum()) + np.repeat(low[at:stop] - (np.cumsum(c) - c), c)
+        at = stop
+
+
+def near(it):
+    """MATCH rows of rows sorted by cell, i, j and side: pairs that differ in at most DISTANCE bits, each at its first common band."""
+    for t in whole_groups(it, 3):
+        c = {k: t.column(k).to_numpy() for k in t.column_names if k != "bits"}
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        halves, bands = bits.view(np.uint64), bits.reshape(len(bits), BANDS, -1).view(np.uint16)[:, :, 0]
+        new = firsts(c["cell"], c["i"], c["j"])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        left = np.add.reduceat(c["side"] == 0, start)  # rows of the first side
+        count = np.where(c["i"] == c["j"], np.arange(len(new)) - start[group], np.where(c["side"] == 1, left[group], 0))
+        band = c["cell"] >> 16
+        for a, b in ranges(start[group], count):
+            ok = c["no"][a] != c["no"][b]
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(halves[a] ^ halves[b]).sum(1, dtype=np.int32) <= DISTANCE
+            a, b = a[ok], b[ok]
+            same = bands[a] == bands[b]
+            ok = (same.argmax(1) == band[a]) & (c["size"][a] == c["size"][b])
+            a, b = a[ok], b[ok]
+            q, o = np.where(c["no"][a] < c["no"][b], a, b), np.where(c["no"][a] < c["no"][b], b, a)
+            if len(q):
+                row = [c["no"][q], c["no"][o], c["x"][q], c["y"][q], c["x"][o], c["y"][o], (c["turn"][o] - c["turn"][q]) % TURNS]
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, PA_MATCH)], schema=PA_MATCH)
+
+
+def matches(index: DataFrame) -> DataFrame:
+    """MATCH rows: all pairs of points of different classes that agree in a band and differ in at most DISTANCE bits, once each.
+
+    A band value is a cell of its band's table. Its entries are dealt to blocks of about BLOCK, and every two blocks
+    meet in a group of their own, so a hot value is spread over many groups and loses nothing."""
     width = BITS // 8 // BANDS
-    band = lambda i: F.substring("bits", 1 + i * width, width)
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), band(i).alias("value")) for i in range(BANDS)])
-    pairs = F.array(*[F.struct(F.lit(BANDS + i).alias("band"), F.concat(band(i), band((i + 1) % BANDS)).alias("value")) for i in range(BANDS)])
-    both = index.withColumn("k", F.explode(keys)).groupBy("k").agg(F.count("*").alias("n"))
-    common = both.where(F.col("n") > COMMON).select("k")
-
-    def keyed(d):
-        plain = d.withColumn("k", F.explode(keys)).join(common, "k", "left_anti")
-        split = d.withColumn("k", F.explode(keys)).join(common, "k").drop("k").distinct().withColumn("k", F.explode(pairs))
-        return plain.unionByName(split)
-
-    q = keyed(queries).select("k", *[F.col(c).alias("q_" + c) for c in queries.columns])
-    met = q.join(keyed(index), "k").where(F.col("q_class") != F.col("class"))
-
-    @F.udf("int", useArrow=True)
-    def differ(a, b):
-        return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
-
-    met = met.where(F.col("size") == F.col("q_size")).dropDuplicates(["q_class", "q_x", "q_y", "q_size", "class", "x", "y"])
-    close = met.withColumn("d", differ("q_bits", "bits")).where(F.col("d") <= DISTANCE)
-    turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
+    cells = [F.lit(i << 16) + F.conv(F.hex(F.substring("bits", 1 + i * width, width)), 16, 10).cast("long") for i in range(BANDS)]
+    entries = index.withColumn("cell", F.explode(F.array(*cells)))
+    hot = entries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    # at most BANDS * 65,536 rows; a shuffle would put all entries of a hot value in one task
+    dealt = entries.join(F.broadcast(hot), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("no", "x", "y", "size"), F.col("blocks"))
+    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "no", "x", "y", "turn", "size", "bits")
+    return sides.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side").mapInArrow(near, MATCH)
+
+
+def agreed(index: DataFrame) -> DataFrame:
+    """query, class, votes: pairs of classes with at least VOTES matches that agree on one turn and one shift."""
+    from .storage import saved
+
+    numbers = saved(index.select("class").distinct().withColumn("no", F.monotonically_increasing_id()))
+    close = matches(index.join(numbers, "class").drop("class"))
     shift = lambda a, b: F.floor((F.col(a) - F.col(b)) / STEP)
     # a shift near a cell's edge also counts for the next cell
-    votes = close.select("q_class", "class", "q_x", "q_y", turn.alias("turn"), F.explode(F.array(*[F.struct((shift("x", "q_x") + i).alias("dx"), (shift("y", "q_y") + j).alias("dy")) for i in (0, 1) for j in (0, 1)])).alias("s"))
-    agreed = votes.groupBy("q_class", "class", "turn", "s").agg(F.count_distinct("q_x", "q_y").alias("votes")).where(F.col("votes") >= VOTES)
-    best = agreed.groupBy(F.col("q_class").alias("query"), "class").agg(F.max("votes").alias("votes"))
-    sizes = index.groupBy("class").agg(F.count("*").alias("points"))
-    sized = best.join(sizes, "class").join(sizes.select(F.col("class").alias("query"), F.col("points").alias("q_points")), "query")
+    votes = close.select("q", "no", "q_x", "q_y", "turn", F.explode(F.array(*[F.struct((shift("x", "q_x") + i).alias("dx"), (shift("y", "q_y") + j).alias("dy")) for i in (0, 1) for j in (0, 1)])).alias("s"))
+    enough = votes.groupBy("q", "no", "turn", "s").agg(F.count_distinct("q_x", "q_y").alias("votes")).where(F.col("votes") >= VOTES)
+    best = enough.groupBy("q", "no").agg(F.max("votes").alias("votes"))
+    sizes = index.groupBy("class").agg(F.count("*").alias("points")).join(numbers, "class")
+    sized = best.join(sizes, "no").join(sizes.select(F.col("no").alias("q"), F.col("class").alias("query"), F.col("points").alias("q_points")), "q")
     return sized.where(F.col("votes") * SHARE >= F.least("points", "q_points")).select("query", "class", "votes")
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("class").alias("query"), F.col("query").alias("class"), "votes"))
+
+
 def find_copies(images: DataFrame, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
     """(image_id and class of every row; query class, class and votes of every pair found)."""
     from .storage import saved
@@ -150,7 +216,8 @@ def find_copies(images: DataFrame, every: int = EVERY) -> tuple[DataFrame, DataF
     named = classes(images)
     index = saved(points(named))
     asked = named.where(F.col("image_id") % every == 0).select("class").distinct()
-    return named.select("image_id", "class"), matches(index.join(asked, "class", "left_semi"), index)
+    pairs = saved(agreed(index))
+    return named.select("image_id", "class"), both_ways(pairs).join(asked.withColumnRenamed("class", "query"), "query", "left_semi")
 
 
 def picture(vectors: DataFrame, vector: str = "embedding", side: int = SIDE) -> DataFrame:

@@ -404,6 +404,29 @@ def test_media_finds_edited_copies(spark):
     assert all(a // 50 == b // 50 for a, b in pairs)
 
 
+def test_media_keeps_hot_band_values(spark, monkeypatch):
+    """All matches of an all-pairs search that share a band, though hundreds of entries share each value."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, (3, media.BITS // 8), dtype=np.uint8)
+    bits = np.repeat(base, 150, axis=0)
+    for b in bits:
+        for k in rng.choice(media.BITS, rng.integers(0, 14), replace=False):
+            b[k // 8] ^= 1 << k % 8
+    rows = [(i, i, 2 * i, 0, 1, b.tobytes()) for i, b in enumerate(bits)]
+    index = spark.createDataFrame(rows, "no long, x int, y int, turn int, size int, bits binary")
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
+    values = bits.view(np.uint16)
+    share = (values[:, None] == values[None]).any(2)
+    assert max(np.unique(values[:, k], return_counts=True)[1].max() for k in range(media.BANDS)) > 64
+    want = {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if apart[i, j] <= media.DISTANCE and share[i, j]}
+    every = sum(apart[i, j] <= media.DISTANCE for i in range(len(bits)) for j in range(i + 1, len(bits)))
+    for block in (2048, 20):
+        monkeypatch.setattr(media, "BLOCK", block)
+        got = [(r.q, r.no) for r in media.matches(index).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 0.85 * every > 10000
+
+
 # Defined cases -----------------------------------------------------------------------------------------------
 
 
