@@ -245,13 +245,24 @@ def picture(vectors: DataFrame, vector: str = "embedding", side: int = SIDE) ->
     return vectors.select(F.col("vec_id").cast("long").alias("image_id"), vector).mapInArrow(run, "image_id long, pixels binary, width int")
 
 
+def by_image(members: DataFrame, found: DataFrame) -> DataFrame:
+    """image_id, class_id, members, matches: a row for every row of `members`.
+
+    class_id is the least image_id of the class and members its number of rows, so equal images share a class_id.
+    matches are the class_id and votes of the classes found for it, on the rows of its least image_id; null on the others."""
+    groups = members.groupBy("class").agg(F.min("image_id").alias("class_id"), F.count("*").alias("members"))
+    other = groups.select("class", F.struct("class_id").alias("m"))
+    links = found.join(other, "class").groupBy(F.col("query").alias("class")).agg(F.sort_array(F.collect_list(F.struct("m.class_id", "votes"))).alias("links"))
+    # equal images may be very many: the rows of a class are not gathered, and of its links only one row has them
+    rows = members.join(groups, "class").join(links, "class", "left")
+    none = F.array().cast("array<struct<class_id:bigint,votes:bigint>>")
+    first = F.col("image_id").eqNullSafe(F.col("class_id"))
+    return rows.select("image_id", "class_id", "members", F.when(first, F.coalesce("links", none)).alias("matches"))
+
+
 def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each pair of a query class and a class found: their least ids, members and votes; a class alone has no row."""
-    members, found = find_copies(picture(table(spark, sf_dir, "embeddings")))
-    groups = members.groupBy("class").agg(F.min("image_id").alias("least"), F.count("*").alias("members"))
-    a = groups.select(F.col("class").alias("query"), F.col("least").alias("query_id"), F.col("members").alias("query_members"))
-    b = groups.select("class", F.col("least").alias("match_id"), F.col("members").alias("match_members"))
-    return found.join(a, "query").join(b, "class").select("query_id", "query_members", "match_id", "match_members", "votes")
+    """A row for every image: its class of equal images and, on the class's first image, the classes it matches."""
+    return by_image(*find_copies(picture(table(spark, sf_dir, "embeddings"))))
 
 
 QUERIES = {"op4_media_copies": op4_media_copies}

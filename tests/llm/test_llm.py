@@ -427,6 +427,18 @@ def test_media_keeps_hot_band_values(spark, monkeypatch):
     assert len(want) > 0.85 * every > 10000
 
 
+def test_media_has_a_row_for_every_image(spark):
+    """Exact copies without another near copy, and members besides the least, are in the result."""
+    rng = np.random.default_rng(13)
+    made = [media.box(np.kron(rng.random((14, 14)) * 255, np.ones((8, 8))), 2).astype(np.uint8) for _ in range(2)]
+    pixels = {0: made[0], 7: made[0], 9: made[0], 50: made[1], 51: np.ascontiguousarray(made[1][8:104, 12:108]), 53: made[1]}
+    data = [(i, p.tobytes(), p.shape[1]) for i, p in pixels.items()] + [(60, None, 4), (None, None, 4), (None, b"abc", 2)]
+    got = media.by_image(*media.find_copies(spark.createDataFrame(data, "image_id long, pixels binary, width int"))).collect()
+    assert sorted((str(r.image_id), str(r.class_id), r.members) for r in got) == sorted([("0", "0", 3), ("7", "0", 3), ("9", "0", 3), ("50", "50", 2), ("53", "50", 2), ("51", "51", 1), ("60", "60", 2), ("None", "60", 2), ("None", "None", 1)])
+    links = {r.image_id: r.matches and [m.class_id for m in r.matches] for r in got if r.image_id is not None}
+    assert links[50] == [51] and links[0] == [] and links[7] is None and links[53] is None
+
+
 # Defined cases -----------------------------------------------------------------------------------------------
 
 
