@@ -1,11 +1,12 @@
-"""Copies among images by local descriptors: cropped, shifted, brightened or otherwise edited ones too.
+"""Copies among images by local descriptors: cropped, shifted, turned, half-size, brightened or otherwise edited ones too.
 
 Images are rows (image_id, pixels, width): pixels are grey values row by row. At each of two scales, corners
 are the local maxima of the Harris response; around each, binary tests compare smoothed pixel pairs of a
 fixed pattern turned to the corner's direction (that of its intensity centroid). Two descriptors meet in a
-Hamming table if they agree in one of the bands, and match if at most DISTANCE bits differ. Two images are
-copies if enough of their matches agree on one turn and one shift: at least VOTES corners, and a fifth of the
-corners of the image that has fewer.
+Hamming table if they agree in one of the bands, and match if at most DISTANCE bits differ. A match also tells
+how far one image is turned against the other, and by the two scales which of 1/2, 1 and 2 it is resized by.
+Two images are copies if enough of their matches agree on one such turn, ratio and shift: at least VOTES
+corners, and a fifth of the corners of the image that has fewer.
 
 Equal images are one entry (class), so copies of one image are never paired with each other. Queries are
 classes that hold an image_id divisible by 50; they meet all classes in band tables. All entries of a band
@@ -29,10 +30,10 @@ from .common import table
 
 BITS, BANDS, DISTANCE, VOTES, TURNS, STEP = 128, 8, 18, 3, 12, 4
 EVERY, BLOCK, SIDE, SHARE = 50, 2048, 40, 5
-POINT = "class string, x int, y int, turn int, size int, bits binary"
-PA_POINT = pa.schema([("class", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("turn", pa.int32()), ("size", pa.int32()), ("bits", pa.binary())])
-MATCH = "q long, no long, q_x int, q_y int, x int, y int, turn int"
-PA_MATCH = pa.schema([("q", pa.int64()), ("no", pa.int64()), ("q_x", pa.int32()), ("q_y", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("turn", pa.int32())])
+POINT = "class string, x float, y float, angle float, size int, bits binary"
+PA_POINT = pa.schema([("class", pa.string()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("size", pa.int32()), ("bits", pa.binary())])
+MATCH = "q long, no long, q_x float, q_y float, x float, y float, turn float, ratio float"
+PA_MATCH = pa.schema([("q", pa.int64()), ("no", pa.int64())] + [(k, pa.float32()) for k in ("q_x", "q_y", "x", "y", "turn", "ratio")])
 
 
 @functools.lru_cache(maxsize=1)
@@ -69,10 +70,11 @@ def corners(g: np.ndarray, margin: int = 8) -> list[tuple[int, int]]:
     return [(int(x), int(y)) for y, x in np.argwhere(top)]
 
 
-def describe(pixels: np.ndarray) -> list[tuple[int, int, int, int, bytes]]:
-    """(x, y, turn, size, bits) of each corner, x and y in the full image."""
+def describe(pixels: np.ndarray) -> list[tuple[float, float, float, int, bytes]]:
+    """(x, y, angle, size, bits) of each corner, x and y in the full image and from its centre."""
     out = []
     g = pixels.astype(float)
+    middle_y, middle_x = (np.array(g.shape) - 1) / 2
     for size in (1, 2):
         smooth = box(g, 1)
         yy, xx = np.mgrid[-5:6, -5:6]
@@ -83,7 +85,7 @@ def describe(pixels: np.ndarray) -> list[tuple[int, int, int, int, bytes]]:
             turn = int(np.rint(angle / (2 * np.pi) * TURNS)) % TURNS
             p = pattern()[turn]
             a, b = smooth[y + p[:, 0, 1], x + p[:, 0, 0]], smooth[y + p[:, 1, 1], x + p[:, 1, 0]]
-            out.append((x * size, y * size, turn, size, np.packbits(a > b).tobytes()))
+            out.append((x * size - middle_x, y * size - middle_y, angle, size, np.packbits(a > b).tobytes()))
         g = smooth[::2, ::2]
     return out
 
@@ -164,11 +166,11 @@ def near(it):
             ok = np.bitwise_count(halves[a] ^ halves[b]).sum(1, dtype=np.int32) <= DISTANCE
             a, b = a[ok], b[ok]
             same = bands[a] == bands[b]
-            ok = (same.argmax(1) == band[a]) & (c["size"][a] == c["size"][b])
+            ok = same.argmax(1) == band[a]
             a, b = a[ok], b[ok]
             q, o = np.where(c["no"][a] < c["no"][b], a, b), np.where(c["no"][a] < c["no"][b], b, a)
             if len(q):
-                row = [c["no"][q], c["no"][o], c["x"][q], c["y"][q], c["x"][o], c["y"][o], (c["turn"][o] - c["turn"][q]) % TURNS]
+                row = [c["no"][q], c["no"][o], c["x"][q], c["y"][q], c["x"][o], c["y"][o], c["angle"][o] - c["angle"][q], c["size"][o] / c["size"][q]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, PA_MATCH)], schema=PA_MATCH)
 
 
@@ -185,21 +187,56 @@ def matches(index: DataFrame) -> DataFrame:
     dealt = entries.join(F.broadcast(hot), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("no", "x", "y", "size"), F.col("blocks"))
     met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "no", "x", "y", "turn", "size", "bits")
+    sides = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "no", "x", "y", "angle", "size", "bits")
     return sides.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side").mapInArrow(near, MATCH)
 
 
+def vote(it):
+    """q, no, votes of rows of MATCH sorted by q and no: pairs with at least VOTES corners that agree on a turn, a ratio and a shift.
+
+    Each match moves its query corner by its own turn and ratio; the shift is what is then left, in the other image's
+    pixels and between the centres. A turn or shift near a cell's edge also counts for the next cell."""
+    for t in whole_groups(it, 2):
+        c = {k: t.column(k).to_numpy() for k in t.column_names}
+        start = np.flatnonzero(firsts(c["q"], c["no"]))
+        size = np.diff(np.append(start, t.num_rows))
+        # groups of too few matches have too few votes; the others are taken some at a time
+        start, size = start[size >= VOTES], size[size >= VOTES]
+        ends, at = np.cumsum(size), 0
+        while at < len(start):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), "right")))
+            n = size[at:stop]
+            rows = np.arange(n.sum()) + np.repeat(start[at:stop] - (np.cumsum(n) - n), n)
+            pair = np.repeat(np.arange(stop - at), n)
+            m = {k: v[rows].astype(float) for k, v in c.items() if k not in ("q", "no")}
+            cos, sin = np.cos(m["turn"]) * m["ratio"], np.sin(m["turn"]) * m["ratio"]
+            dx, dy = m["x"] - (cos * m["q_x"] - sin * m["q_y"]), m["y"] - (sin * m["q_x"] + cos * m["q_y"])
+            turn, dx, dy = (np.floor(v).astype(np.int64) for v in (m["turn"] / (2 * np.pi) * TURNS, dx / STEP, dy / STEP))
+            ratio = np.rint(np.log2(m["ratio"])).astype(np.int64) + 1
+            point = np.unique(np.stack([m["q_x"], m["q_y"]], 1).view(complex).ravel(), return_inverse=True)[1]
+            head = np.concatenate([(pair * 3 + ratio) * TURNS + (turn + i) % TURNS for i in (0, 1) for _ in range(4)])
+            tail = np.concatenate([((dx + i) << 32) + (dy + j) for _ in range(2) for i in (0, 1) for j in (0, 1)])
+            point = np.tile(point, 8)
+            order = np.lexsort((point, tail, head))
+            head, tail, point = head[order], tail[order], point[order]
+            cell = firsts(head, tail)
+            once = firsts(head, tail, point)
+            votes = np.add.reduceat(once, np.flatnonzero(cell), dtype=np.int64)
+            best = np.zeros(stop - at, np.int64)
+            np.maximum.at(best, head[cell] // (3 * TURNS), votes)
+            ok = best >= VOTES
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[k][start[at:stop][ok]]) for k in ("q", "no")] + [pa.array(best[ok])], names=["q", "no", "votes"])
+            at = stop
+
+
 def agreed(index: DataFrame) -> DataFrame:
-    """query, class, votes: pairs of classes with at least VOTES matches that agree on one turn and one shift."""
+    """query, class, votes: pairs of classes with at least VOTES matches that agree on one turn, ratio and shift."""
     from .storage import saved
 
     numbers = saved(index.select("class").distinct().withColumn("no", F.monotonically_increasing_id()))
     close = matches(index.join(numbers, "class").drop("class"))
-    shift = lambda a, b: F.floor((F.col(a) - F.col(b)) / STEP)
-    # a shift near a cell's edge also counts for the next cell
-    votes = close.select("q", "no", "q_x", "q_y", "turn", F.explode(F.array(*[F.struct((shift("x", "q_x") + i).alias("dx"), (shift("y", "q_y") + j).alias("dy")) for i in (0, 1) for j in (0, 1)])).alias("s"))
-    enough = votes.groupBy("q", "no", "turn", "s").agg(F.count_distinct("q_x", "q_y").alias("votes")).where(F.col("votes") >= VOTES)
-    best = enough.groupBy("q", "no").agg(F.max("votes").alias("votes"))
+    best = close.repartition("q", "no").sortWithinPartitions("q", "no").mapInArrow(vote, "q long, no long, votes long")
     sizes = index.groupBy("class").agg(F.count("*").alias("points")).join(numbers, "class")
     sized = best.join(sizes, "no").join(sizes.select(F.col("no").alias("q"), F.col("class").alias("query"), F.col("points").alias("q_points")), "q")
     return sized.where(F.col("votes") * SHARE >= F.least("points", "q_points")).select("query", "class", "votes")

@@ -412,8 +412,8 @@ def test_media_keeps_hot_band_values(spark, monkeypatch):
     for b in bits:
         for k in rng.choice(media.BITS, rng.integers(0, 14), replace=False):
             b[k // 8] ^= 1 << k % 8
-    rows = [(i, i, 2 * i, 0, 1, b.tobytes()) for i, b in enumerate(bits)]
-    index = spark.createDataFrame(rows, "no long, x int, y int, turn int, size int, bits binary")
+    rows = [(i, float(i), 2.0 * i, 0.0, 1, b.tobytes()) for i, b in enumerate(bits)]
+    index = spark.createDataFrame(rows, "no long, x float, y float, angle float, size int, bits binary")
     apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
     values = bits.view(np.uint16)
     share = (values[:, None] == values[None]).any(2)
@@ -439,6 +439,32 @@ def test_media_has_a_row_for_every_image(spark):
     assert links[50] == [51] and links[0] == [] and links[7] is None and links[53] is None
 
 
+def turned(p, degrees):
+    """The middle of a picture, turned about its centre, between pixels by their four neighbours."""
+    n, m, a = len(p), len(p) // 2 - 18, np.radians(degrees)
+    v, u = np.mgrid[-m : m + 1, -m : m + 1].astype(float)
+    x, y = (n - 1) / 2 + u * np.cos(a) + v * np.sin(a), (n - 1) / 2 - u * np.sin(a) + v * np.cos(a)
+    i, j = y.astype(int), x.astype(int)
+    f, g, p = y - i, x - j, p.astype(float)
+    return (p[i, j] * (1 - f) * (1 - g) + p[i + 1, j] * f * (1 - g) + p[i, j + 1] * (1 - f) * g + p[i + 1, j + 1] * f * g).astype(np.uint8)
+
+
+def test_media_finds_turned_and_resized_copies(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(5):
+        p = media.box(np.kron(rng.random((20, 20)) * 255, np.ones((8, 8))), 2).astype(np.uint8)
+        half = p.reshape(80, 2, 80, 2).mean((1, 3)).astype(np.uint8)
+        rows += [(i * 50 + k, v) for k, v in enumerate((p, np.rot90(p), np.rot90(p, 2), np.rot90(p, 3), half, np.rot90(half), turned(p, 20), turned(p, -75)))]
+    data = [(i, np.ascontiguousarray(p).tobytes(), p.shape[1]) for i, p in rows]
+    members, found = media.find_copies(spark.createDataFrame(data, "image_id long, pixels binary, width int"))
+    name = {r["class"]: r.image_id for r in members.collect()}
+    pairs = {(name[r.query], name[r["class"]]) for r in found.collect()}
+    missed = {(i * 50, i * 50 + k) for i in range(5) for k in range(1, 8)} - pairs
+    assert not missed, missed
+    assert all(a // 50 == b // 50 for a, b in pairs)
+
+
 # Defined cases -----------------------------------------------------------------------------------------------
 
 
