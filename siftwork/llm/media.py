@@ -8,9 +8,9 @@ how far one image is turned against the other, and by the two scales which of 1/
 Two images are copies if enough of their matches agree on one such turn, ratio and shift: at least VOTES
 corners, and a fifth of the corners of the image that has fewer.
 
-Equal images are one entry (class), so copies of one image are never paired with each other. Queries are
-classes that hold an image_id divisible by 50; they meet all classes in band tables. All entries of a band
-value meet, however many; those of a hot value do so in blocks.
+Equal images are one entry (class), so copies of one image are never paired with each other. All classes meet
+all classes in band tables, and all entries of a band value meet, however many; those of a hot value do so in
+blocks.
 
 Defined cases: null or ill-sized pixels, and images without a corner, are in a class by equality of
 pixels and match nothing else; null ids go along with their class; an empty table gives an empty result.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BITS, BANDS, DISTANCE, VOTES, TURNS, STEP = 128, 8, 18, 3, 12, 4
-EVERY, BLOCK, SIDE, SHARE = 50, 2048, 40, 5
+BLOCK, SIDE, SHARE = 2048, 40, 5
 POINT = "class string, x float, y float, angle float, size int, bits binary"
 PA_POINT = pa.schema([("class", pa.string()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("size", pa.int32()), ("bits", pa.binary())])
 MATCH = "q long, no long, q_x float, q_y float, x float, y float, turn float, ratio float"
@@ -246,15 +246,12 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("class").alias("query"), F.col("query").alias("class"), "votes"))
 
 
-def find_copies(images: DataFrame, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
-    """(image_id and class of every row; query class, class and votes of every pair found)."""
+def find_copies(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image_id and class of every row; query class, class and votes of every pair found, both ways round)."""
     from .storage import saved
 
     named = classes(images)
-    index = saved(points(named))
-    asked = named.where(F.col("image_id") % every == 0).select("class").distinct()
-    pairs = saved(agreed(index))
-    return named.select("image_id", "class"), both_ways(pairs).join(asked.withColumnRenamed("class", "query"), "query", "left_semi")
+    return named.select("image_id", "class"), both_ways(saved(agreed(saved(points(named)))))
 
 
 def picture(vectors: DataFrame, vector: str = "embedding", side: int = SIDE) -> DataFrame:

@@ -465,6 +465,16 @@ def test_media_finds_turned_and_resized_copies(spark):
     assert all(a // 50 == b // 50 for a, b in pairs)
 
 
+def test_media_compares_all_with_all(spark):
+    rng = np.random.default_rng(15)
+    data = []
+    for i in range(3):
+        p = media.box(np.kron(rng.random((14, 14)) * 255, np.ones((8, 8))), 2).astype(np.uint8)
+        data += [(10 * i + 1, p.tobytes(), 112), (10 * i + 2, np.ascontiguousarray(p[8:104, 12:108]).tobytes(), 96)]
+    got = media.by_image(*media.find_copies(spark.createDataFrame(data, "image_id long, pixels binary, width int"))).collect()
+    assert {(r.image_id, m.class_id) for r in got for m in r.matches} == {(10 * i + k, 10 * i + 3 - k) for i in range(3) for k in (1, 2)}
+
+
 # Defined cases -----------------------------------------------------------------------------------------------
 
 
