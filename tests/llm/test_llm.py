@@ -359,6 +359,26 @@ def test_licenses(spark):
     assert got == [(0, "MIT"), (1, "Apache-2.0"), (5, "MIT-text")]
 
 
+def test_licenses_inside_long_lines(spark):
+    """Notices in prose, in one-line documents and in minified files."""
+    rng = random.Random(16)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    header = licenses.TEMPLATES["Apache-2.0-header"]
+    broken = header.replace("License. You", "License.\n * You")
+    texts = [
+        "The source code of this project is released under the MIT License.",
+        f"{prose(300)} Licensed under CC BY-NC 4.0. {prose(300)}",
+        f"{prose(50)} {header} {prose(50)}; Released under the MIT License. Released under the MIT License. {prose(9)}",
+        f"/*{prose(20)} {broken} {prose(20)}*/var a=1;" + "x=f(x);" * 400,
+        f"one\ntwo license three {licenses.TEMPLATES['GPL-3.0']} four\nfive",
+    ]
+    rows = licenses.scan(frame(spark, texts)).collect()
+    got = sorted((r.doc_id, r.start, r.license, r.first, r.last) for r in rows)
+    assert [(d, k, a, b) for d, _, k, a, b in got] == [(0, "MIT", 0, 0), (1, "CC-BY-NC-4.0", 0, 0), (2, "Apache-2.0-header", 0, 0), (2, "MIT", 0, 0), (2, "MIT", 0, 0), (3, "Apache-2.0-header", 0, 1), (4, "GPL-3.0", 1, 1)]
+    assert all(r.alike == 1 for r in rows)
+    assert {texts[r.doc_id][r.start : r.stop] for r in rows if r.license == "MIT"} == {"released under the MIT License", "Released under the MIT License"}
+
+
 def test_shortages_go_to_siblings_first():
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("b", "y", "3"): 1000}
     got = mixing.budgets(leaves, 600, 1)
