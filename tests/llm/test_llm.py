@@ -379,6 +379,28 @@ def test_licenses_inside_long_lines(spark):
     assert {texts[r.doc_id][r.start : r.stop] for r in rows if r.license == "MIT"} == {"released under the MIT License", "Released under the MIT License"}
 
 
+def test_licenses_are_told_apart(spark):
+    t = licenses.TEMPLATES
+    known = {
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0-header",
+        t["GPL-3.0-header"].replace("General", "Lesser General"): "LGPL-3.0-header",
+        t["GPL-3.0-header"].replace("General", "Affero General"): "AGPL-3.0-header",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0-short",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0-long",
+        "Released under the BSD License.": "BSD",
+        "Licensed under the Apache License, Version 2": "Apache-2.0",
+        "Released under the 3-Clause BSD License.": "BSD-3-Clause",
+        t["BSD-2-Clause-text"].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in"): "BSD-2-Clause-text",
+        t["BSD-3-Clause-text"].replace("the copyright holder nor", "Example Inc. nor"): "BSD-3-Clause-text",
+        t["ISC-text"]: "ISC-text",
+        t["MPL-2.0-header"]: "MPL-2.0-header",
+    }
+    unknown = ["Licensed under the Apache License, Version 1.1.", "Released under the EUPL License.", "Released under the Free License.", "Licensed under CC BY-SA 1.0.", "Licensed under the GNU General Public License, version 7."]
+    texts = [*known, *unknown, *t.values()]
+    got = sorted((r.doc_id, r.license) for r in licenses.scan(frame(spark, texts)).collect())
+    assert got == list(enumerate(known.values())) + [(i + len(known) + len(unknown), k) for i, k in enumerate(t)]
+
+
 def test_shortages_go_to_siblings_first():
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("b", "y", "3"): 1000}
     got = mixing.budgets(leaves, 600, 1)
