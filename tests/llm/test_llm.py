@@ -446,39 +446,97 @@ def test_media_finds_edited_copies(spark):
     assert all(a // 50 == b // 50 for a, b in pairs)
 
 
-def test_media_keeps_hot_band_values(spark, monkeypatch):
-    """All matches of an all-pairs search that share a band, though hundreds of entries share each value."""
+def test_media_finds_all_matches(spark, monkeypatch):
+    """All pairs within the distance, against brute force, though hundreds of entries share each band value."""
     rng = np.random.default_rng(12)
     base = rng.integers(0, 256, (3, media.BITS // 8), dtype=np.uint8)
     bits = np.repeat(base, 150, axis=0)
     for b in bits:
-        for k in rng.choice(media.BITS, rng.integers(0, 14), replace=False):
+        for k in rng.choice(media.BITS, rng.integers(0, 5), replace=False):
             b[k // 8] ^= 1 << k % 8
-    rows = [(i, float(i), 2.0 * i, 0.0, 1, b.tobytes()) for i, b in enumerate(bits)]
-    index = spark.createDataFrame(rows, "no long, x float, y float, angle float, size int, bits binary")
+    halves = bits.view(">i8")
+    rows = [(i, float(i), 2.0 * i, 0.0, 1, int(h), int(g)) for i, (h, g) in enumerate(halves)]
+    index = spark.createDataFrame(rows, "no long, x float, y float, angle float, size int, high long, low long")
     apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
-    values = bits.view(np.uint16)
-    share = (values[:, None] == values[None]).any(2)
-    assert max(np.unique(values[:, k], return_counts=True)[1].max() for k in range(media.BANDS)) > 64
-    want = {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if apart[i, j] <= media.DISTANCE and share[i, j]}
-    every = sum(apart[i, j] <= media.DISTANCE for i in range(len(bits)) for j in range(i + 1, len(bits)))
+    want = {(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if apart[i, j] <= media.DISTANCE}
+    assert len(want) > 10000
     for block in (2048, 20):
         monkeypatch.setattr(media, "BLOCK", block)
-        got = [(r.q, r.no) for r in media.matches(index).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-    assert len(want) > 0.85 * every > 10000
+        assert {(r.q, r.no) for r in media.matches(index).collect()} == want
+        some = {(r.q, r.no) for r in media.star_matches(index, None, 0).collect()}
+        assert some and some <= want
+    # entries of one group are not compared with each other
+    labels = spark.createDataFrame([(i, i // 150) for i in range(0, len(bits), 2)], "node long, label long")
+    group = lambda i: i // 150 if i % 2 == 0 else i
+    assert {(r.q, r.no) for r in media.matches(index, labels).collect()} == {(i, j) for i, j in want if group(i) != group(j)}
+
+
+def test_media_bands_cover_the_bits(spark):
+    rng = np.random.default_rng(17)
+    bits = rng.integers(0, 256, (20, media.BITS // 8), dtype=np.uint8)
+    rows = [(i, int(h), int(g)) for i, (h, g) in enumerate(bits.view(">i8"))]
+    got = spark.createDataFrame(rows, "no long, high long, low long").select("no", *(media.band(i).alias(f"b{i}") for i in range(media.BANDS))).collect()
+    for r in got:
+        text = "".join(f"{b:08b}" for b in bits[r.no])
+        assert [r[1 + i] for i in range(media.BANDS)] == [(i << media.WIDTH) + int(text[i * media.WIDTH : (i + 1) * media.WIDTH], 2) for i in range(media.BANDS)]
+
+
+def groups_of(df):
+    out: dict = {}
+    for r in df.collect():
+        out.setdefault(r.copy_id, set()).add(r.image_id)
+    return sorted(map(sorted, out.values()))
 
 
 def test_media_has_a_row_for_every_image(spark):
-    """Exact copies without another near copy, and members besides the least, are in the result."""
+    """Exact copies without another near copy, members besides the least, null ids and odd pixels are in the result."""
     rng = np.random.default_rng(13)
     made = [media.box(np.kron(rng.random((14, 14)) * 255, np.ones((8, 8))), 2).astype(np.uint8) for _ in range(2)]
     pixels = {0: made[0], 7: made[0], 9: made[0], 50: made[1], 51: np.ascontiguousarray(made[1][8:104, 12:108]), 53: made[1]}
-    data = [(i, p.tobytes(), p.shape[1]) for i, p in pixels.items()] + [(60, None, 4), (None, None, 4), (None, b"abc", 2)]
-    got = media.by_image(*media.find_copies(spark.createDataFrame(data, "image_id long, pixels binary, width int"))).collect()
-    assert sorted((str(r.image_id), str(r.class_id), r.members) for r in got) == sorted([("0", "0", 3), ("7", "0", 3), ("9", "0", 3), ("50", "50", 2), ("53", "50", 2), ("51", "51", 1), ("60", "60", 2), ("None", "60", 2), ("None", "None", 1)])
-    links = {r.image_id: r.matches and [m.class_id for m in r.matches] for r in got if r.image_id is not None}
-    assert links[50] == [51] and links[0] == [] and links[7] is None and links[53] is None
+    data = [(i, p.tobytes(), p.shape[1], "x", 1) for i, p in pixels.items()] + [(60, None, 4, "x", 1), (None, None, 4, None, None), (None, b"abc", 2, "x", 1)]
+    images = spark.createDataFrame(data, "image_id long, pixels binary, width int, class string, no int")
+    got = media.find_groups(images).collect()
+    assert sorted((str(r.image_id), str(r.class_id), r.members, str(r.copy_id)) for r in got) == sorted(
+        [("0", "0", 3, "0"), ("7", "0", 3, "0"), ("9", "0", 3, "0"), ("50", "50", 2, "50"), ("53", "50", 2, "50"), ("51", "51", 1, "50"), ("60", "60", 2, "60"), ("None", "60", 2, "60"), ("None", "None", 1, "None")]
+    )
+    assert media.find_groups(images.limit(0)).count() == 0
+
+
+def test_media_pictures_of_odd_vectors(spark):
+    rows = [(1, [0.5] * 64), (2, None), (3, []), (4, [float("nan")] * 64), (5, [None, 1.0]), (6, [0.0] * 64), (None, [1.0, 2.0, 3.0])]
+    got = {r.image_id: r.pixels and len(r.pixels) for r in media.picture(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    n = media.SIDE**2
+    assert got == {1: n, 2: None, 3: None, 4: None, 5: None, 6: n, None: n}
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_media_groups_equal_all_pairs(spark, monkeypatch, block):
+    """Groups of the query's own pictures against brute force over all corners of all pairs."""
+    monkeypatch.setattr(media, "BLOCK", block)
+    rng = np.random.default_rng(18)
+    vectors = rng.normal(size=(24, 64))
+    rows = [(10 * i + k, (v + rng.normal(0, 0.05 * k, 64)).tolist()) for i, v in enumerate(vectors) for k in range(4)]
+    images = media.picture(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    own = {r.image_id: media.describe(np.frombuffer(bytes(r.pixels), np.uint8).reshape(-1, r.width)) for r in images.collect()}
+    ids = sorted(own)
+    of = {i: i for i in ids}
+    pairs = set()
+    for i in ids:
+        for j in ids:
+            if i < j:
+                m = [(0, 1, p[0], p[1], q[0], q[1], q[2] - p[2], q[3] / p[3]) for p in own[i] for q in own[j] if sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(p[4:], q[4:])) <= media.DISTANCE]
+                if len(m) < media.VOTES:
+                    continue
+                batch = media.pa.RecordBatch.from_arrays([media.pa.array(v, f.type) for v, f in zip(zip(*m), media.PA_MATCH)], schema=media.PA_MATCH)
+                if any(v * media.SHARE >= min(len(own[i]), len(own[j])) for b in media.vote([batch]) for v in b.column("votes").to_pylist()):
+                    pairs.add((i, j))
+                    x, y = of[i], of[j]
+                    of = {k: min(x, y) if c in (x, y) else c for k, c in of.items()}
+    assert len(pairs) > 24 and all(i // 10 == j // 10 for i, j in pairs)
+    assert {r.image_id: r.copy_id for r in media.find_groups(images).collect()} == of
+    members, found = media.find_copies(images)
+    name = {r["class"]: r.image_id for r in members.collect()}
+    assert {(name[r.query], name[r["class"]]) for r in found.collect()} == pairs | {(j, i) for i, j in pairs}
 
 
 def turned(p, degrees):
@@ -513,8 +571,7 @@ def test_media_compares_all_with_all(spark):
     for i in range(3):
         p = media.box(np.kron(rng.random((14, 14)) * 255, np.ones((8, 8))), 2).astype(np.uint8)
         data += [(10 * i + 1, p.tobytes(), 112), (10 * i + 2, np.ascontiguousarray(p[8:104, 12:108]).tobytes(), 96)]
-    got = media.by_image(*media.find_copies(spark.createDataFrame(data, "image_id long, pixels binary, width int"))).collect()
-    assert {(r.image_id, m.class_id) for r in got for m in r.matches} == {(10 * i + k, 10 * i + 3 - k) for i in range(3) for k in (1, 2)}
+    assert groups_of(media.find_groups(spark.createDataFrame(data, "image_id long, pixels binary, width int"))) == [[10 * i + 1, 10 * i + 2] for i in range(3)]
 
 
 # Defined cases -----------------------------------------------------------------------------------------------
