@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded, release
 
@@ -36,12 +37,15 @@ def _rows(items) -> pa.Table:
 
 
 class Exchange:
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET):
+    """`carry` names columns that come back with the result of `last` (as c0, c1, ... inside)."""
+
+    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, carry: tuple = ()):
         size = bounded(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.chunks = int(size // chunk_bytes) + 1
         self.buckets = max(8, int(size // bucket_bytes) + 1)
         place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(self.chunks))
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("chunk"))
+        self.carried = [(c, docs.schema[c].dataType) for c in carry]
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("chunk"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
 
     def first(self, visit: Callable[[int, list, list], Iterator]) -> DataFrame:
         """visit(chunk, ids, texts) yields (bucket, payload)."""
@@ -66,16 +70,24 @@ class Exchange:
         return self.docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, ROW)
 
     def last(self, replies: DataFrame, visit: Callable, schema: str, pa_schema: pa.Schema) -> DataFrame:
-        """visit(chunk, ids, texts, {key: payload}) returns the columns of the result."""
+        """visit(chunk, ids, texts, {key: payload}) returns the columns of the result, to which the carried ones are added."""
+        names = [f"c{i}" for i in range(len(self.carried))]
+        full = pa_schema
+        for n, (_, kind) in zip(names, self.carried):
+            full = full.append(pa.field(n, to_arrow_type(kind)))
 
         def run(key, docs, got):
             if not docs.num_rows:
-                return pa_schema.empty_table()
+                return full.empty_table()
             columns = visit(key[0].as_py(), *documents(docs), answers(got))
+            more = docs.select(names).take(pa.array(placed(docs), pa.int64()))
             release()
-            return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, pa_schema)], schema=pa_schema)
+            out = [pa.array(c, type=f.type) for c, f in zip(columns, pa_schema)] + [more.column(n).combine_chunks().cast(full.field(n).type) for n in names]
+            return pa.table(out, schema=full)
 
-        return self.docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+        more = "".join(f", {n} {kind.simpleString()}" for n, (_, kind) in zip(names, self.carried))
+        out = self.docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema + more)
+        return out.withColumnsRenamed({n: c for n, (c, _) in zip(names, self.carried)})
 
 
 def meet(sent: DataFrame, join: Callable[[int, list, list], Iterator]) -> DataFrame:
@@ -94,10 +106,15 @@ def meet(sent: DataFrame, join: Callable[[int, list, list], Iterator]) -> DataFr
     return sent.groupBy("key").applyInArrow(run, ROW)
 
 
-def documents(t: pa.Table) -> tuple[list, list]:
-    """Ids and texts in a fixed order, so that every visit sees a chunk alike."""
+def placed(t: pa.Table) -> list[int]:
+    """A fixed order of a chunk's rows, by id and text (null ids last), so that every visit sees a chunk alike."""
     ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+
+
+def documents(t: pa.Table) -> tuple[list, list]:
+    """Ids and texts in the order of `placed`."""
+    ids, texts, order = t.column("doc_id").to_pylist(), t.column("text").to_pylist(), placed(t)
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
@@ -105,10 +122,28 @@ def answers(t: pa.Table) -> dict[int, bytes]:
     return dict(zip(t.column("key").to_pylist(), t.column("payload").to_pylist()))
 
 
-def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of the hash space begins in an ascending array; buckets + 1 places."""
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)]])
+def numbers(ids: list) -> np.ndarray:
+    """Ids as numbers; null ones come last."""
+    return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
+
+
+def parts(sorted_hashes: np.ndarray, buckets: int):
+    """(bucket, first, end) of each bucket of the hash space that has some of an ascending array's values.
+
+    The work follows the array, not the number of buckets, which grows with the input."""
+    at, n = 0, len(sorted_hashes)
+    if n * 4 < buckets:  # few values: walk from one occupied bucket to the next
+        while at < n:
+            b = int(sorted_hashes[at]) * buckets >> 64
+            end = at + int(np.searchsorted(sorted_hashes[at:], np.uint64(min(-(-((b + 1) << 64) // buckets), (1 << 64) - 1)), side="left")) if b + 1 < buckets else n
+            yield b, at, end
+            at = end
+    elif n:
+        edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+        c = [0, *np.searchsorted(sorted_hashes, edges).tolist(), n]
+        for b in range(buckets):
+            if c[b] < c[b + 1]:
+                yield b, c[b], c[b + 1]
 
 
 def groups(sorted_values: np.ndarray) -> np.ndarray:

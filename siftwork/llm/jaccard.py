@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Exchange, cuts, groups, meet
+from .chunks import Exchange, groups, meet, parts
 from .common import table
 from .components import components
 from .hashing import U, Words, grams, prefix, spans
@@ -105,8 +105,8 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         for i in np.unique(s.model).tolist():
             if s.n[i] and ids[i] is not None:
                 out.setdefault(int.from_bytes(s.key[i][:8], "little") * buckets >> 64, []).append(s.key[i] + ids[i].to_bytes(8, "little", signed=True))
-        for b, parts in out.items():
-            yield b, b"".join(parts)
+        for b, some in out.items():
+            yield b, b"".join(some)
 
     def own_sets(key, chunks, payloads):
         least: dict[bytes, int] = {}
@@ -117,8 +117,8 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         for c, k, d in each:
             if least[k] != d:
                 back.setdefault(c, []).append(k + least[k].to_bytes(8, "little", signed=True))
-        for c, parts in back.items():
-            yield c, b"".join(parts)
+        for c, some in back.items():
+            yield c, b"".join(some)
 
     def tokens(s, stands):
         """Sent shingles of the standing documents; each distinct one's hash, number of sets, and places."""
@@ -134,14 +134,11 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         yield -1 - chunk, reply  # comes back with the counts
         h, n, _, _ = tokens(s, standing(s, ids, owners(s, ids, reply)))
         packed = (h & U(REST)).astype(np.uint32) | np.where(n > 1, SEVERAL, 0).astype(np.uint32)
-        c = cuts(h, buckets)
-        for b in range(buckets):
-            i, j = c[b], c[b + 1]
-            if i < j:
-                yield b, packed[i:j].tobytes() + n[i:j][n[i:j] > 1].astype(np.uint32).tobytes()
+        for b, i, j in parts(h, buckets):
+            yield b, packed[i:j].tobytes() + n[i:j][n[i:j] > 1].astype(np.uint32).tobytes()
 
     def count(key, chunks, payloads):
-        parts, numbers = [], []
+        hashes, numbers = [], []
         for p in payloads:
             v = np.frombuffer(p, np.uint32)
             m = len(v)
@@ -156,15 +153,15 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
             e = v[:lo]
             n = np.ones(lo, np.int64)
             n[e >> np.uint32(31) > 0] = v[lo:]
-            parts.append(e & np.uint32(REST))
+            hashes.append(e & np.uint32(REST))
             numbers.append(n)
-        e, n = np.concatenate(parts), np.concatenate(numbers)
+        e, n = np.concatenate(hashes), np.concatenate(numbers)
         order = np.argsort(e, kind="stable")
         g = groups(e[order])
         back = np.empty(len(e), np.int64)
         back[order] = np.repeat(np.add.reduceat(n[order], g), np.diff(np.append(g, len(e))))
         i = 0
-        for c, p in zip(chunks, parts):
+        for c, p in zip(chunks, hashes):
             mine = back[i : i + len(p)]
             if (mine > 1).any():
                 yield c, np.packbits(mine > 1).tobytes() + np.minimum(mine[mine > 1], (1 << 32) - 1).astype(np.uint32).tobytes()
@@ -182,9 +179,9 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         yield note(COPIES), np.array(copy, np.int64).tobytes()
         h, n, order, g = tokens(s, stands)
         df = np.ones(len(h), np.int64)
-        c = cuts(h, buckets)
-        for b, reply in got.items():
-            i, j = c[b], c[b + 1]
+        for b, i, j in parts(h, buckets):
+            if (reply := got.get(b)) is None:
+                continue
             m = -(-(j - i) // 8)
             bits = np.unpackbits(np.frombuffer(reply, np.uint8, m), count=j - i).astype(bool)
             df[i:j][bits] = np.frombuffer(reply, np.uint32, -1, m)
@@ -207,11 +204,8 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         yield note(STARS), star.tobytes()
         yield note(SETS), b"".join(int(who[i]).to_bytes(8, "little", signed=True) + int(s.n[i]).to_bytes(8, "little") + s.values[s.first[i] : s.first[i + 1]].tobytes() for i in np.unique(doc).tolist())
         v = value[g] if len(g) else value
-        c = cuts(v, buckets)
-        for b in range(buckets):
-            i, j = c[b], c[b + 1]
-            if i < j:
-                yield b, v[i:j].tobytes() + least[i:j].tobytes()
+        for b, i, j in parts(v, buckets):
+            yield b, v[i:j].tobytes() + least[i:j].tobytes()
 
     def connect(key, chunks, payloads):
         v = np.concatenate([np.frombuffer(p, U, len(p) // 16) for p in payloads])

@@ -1,6 +1,7 @@
 """Removal of repeated byte strings through a logarithmic family of suffix arrays.
 
-A byte is removed if a string of LENGTH bytes that covers it starts anywhere else too.
+A byte is removed if a string of LENGTH bytes that covers it starts anywhere else too; with `first`, only if that
+string also starts earlier (in a document of smaller id, or earlier in the same one), so that one place keeps it.
 
 1. Every window of LENGTH bytes is represented by an anchor, the leftmost of its GRAM-byte substrings
    with the least hash: equal windows have equal anchors at equal offsets. An anchor stands for a run
@@ -18,7 +19,9 @@ A byte is removed if a string of LENGTH bytes that covers it starts anywhere els
 
 Defined cases: null text is empty, and an empty or short text (below LENGTH bytes) loses nothing unless
 repeated itself at LENGTH bytes or more; matches never cross documents; overlaps with itself count.
-Rows with equal or null doc_id are separate documents. Columns other than doc_id and text are ignored.
+Rows with equal or null doc_id are separate documents; with `first`, null ids come last, and of equal ids the
+one in the lower chunk, then of the lesser text, is the earlier. A cut may end inside a character: as text, its
+bytes go. Columns other than doc_id, text and those carried along are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import Exchange, cuts, groups, meet
+from .chunks import Exchange, groups, meet, numbers, parts
 from .common import table
 from .hashing import BYTE, U, prefix, spans
 
 LENGTH, GRAM, HOT, BATCH = 400, 100, 2_000, 2_048
 SEGMENT, PLACE = 1 << 19, U((1 << 20) - 1)
 NONE, EDGE, WHOLE, HOTLY, MODEL, HOTMODEL = range(6)
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64())), ("sha256", pa.string())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string())])
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -85,6 +88,10 @@ class Anchors:
         self.gram = np.array([gram_hash(buf[x : x + gram]) for x in self.x.tolist()], U)
         self.near = np.array([near_hash(buf[a : z + length], x - a) for a, z, x in zip(self.a.tolist(), self.z.tolist(), self.x.tolist())], U) & ~U(1)
 
+    def owner(self, ids: list) -> np.ndarray:
+        """The number of each anchor's document; null ids come last."""
+        return numbers(ids)[np.searchsorted(self.begin, self.x, side="right") - 1] if len(self.x) else np.zeros(0, np.int64)
+
     def distinct(self):
         """Each distinct (gram, neighbourhood) once, in order: first anchor that has it; whether it comes again."""
         order = np.lexsort((self.near, self.gram))
@@ -139,10 +146,12 @@ def common(keys: list, order: np.ndarray) -> np.ndarray:
 
 
 class Family:
-    """Levels of suffix arrays whose sizes double. add() gives, by record name, the offsets found repeated."""
+    """Levels of suffix arrays whose sizes double. add() gives, by record name, the offsets found repeated.
+
+    With `first`, those found in a record of a lesser name."""
 
-    def __init__(self, length: int, batch: int = BATCH):
-        self.length, self.batch, self.levels = length, batch, []
+    def __init__(self, length: int, batch: int = BATCH, first: bool = False):
+        self.length, self.batch, self.levels, self.first = length, batch, [], first
         self.found: dict[int, np.ndarray] = {}
 
     def add(self, new: Level) -> None:
@@ -170,10 +179,11 @@ class Family:
             r = np.cumsum(right < 8 + self.length - o)[rank_r[live]]
             q = np.cumsum(left < 8 + o)[rank_l[live]]
             key = r * (n + 1) + q
-            order = np.argsort(key)
+            order = np.lexsort((both.name[live], key)) if self.first else np.argsort(key)
             s = key[order]
             same = np.concatenate([[False], s[1:] == s[:-1]])
-            same[:-1] |= same[1:]
+            if not self.first:
+                same[:-1] |= same[1:]
             seen[live[order[same]], o - lowest] = True
         for i in np.flatnonzero(seen.any(axis=1)).tolist():
             name = int(both.name[i])
@@ -181,24 +191,25 @@ class Family:
             self.found[name] = seen[i, a:z] | self.found.get(name, False)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (start, end, start, ...) and the sha256 of the whole text."""
-    x = Exchange(docs)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True, first: bool = False, carry: tuple = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (start, end, start, ...), kept_text, and the columns `carry` of docs."""
+    x = Exchange(docs, carry=carry)
     buckets = x.buckets
 
     def send_hashes(chunk, ids, texts):
-        g, e, again, _, _ = Anchors(texts, length, gram).distinct()
-        c = cuts(g, buckets)
-        for b in range(buckets):
-            i, j = c[b], c[b + 1]
-            if i < j:
-                yield b, g[i:j].tobytes() + (e[i:j] | again[i:j].astype(U)).tobytes()
+        t = Anchors(texts, length, gram)
+        g, e, again, at, _ = t.distinct()
+        who = t.owner(ids)[at]
+        for b, i, j in parts(g, buckets):
+            yield b, g[i:j].tobytes() + (e[i:j] | again[i:j].astype(U)).tobytes() + (who[i:j].tobytes() if first else b"")
 
     def sort_out(key, chunks, payloads):
-        parts = [len(p) // 16 for p in payloads]
-        g = np.concatenate([np.frombuffer(p, U, n) for p, n in zip(payloads, parts)])
-        e = np.concatenate([np.frombuffer(p, U, n, 8 * n) for p, n in zip(payloads, parts)])
-        order = np.lexsort((e & ~U(1), g))
+        size = 24 if first else 16
+        sizes = [len(p) // size for p in payloads]
+        g = np.concatenate([np.frombuffer(p, U, n) for p, n in zip(payloads, sizes)])
+        e = np.concatenate([np.frombuffer(p, U, n, 8 * n) for p, n in zip(payloads, sizes)])
+        who = np.concatenate([np.frombuffer(p, np.int64, n, 16 * n) for p, n in zip(payloads, sizes)]) if first else np.zeros(len(g), np.int64)
+        order = np.lexsort((who, e & ~U(1), g))  # the order of chunks decides between equal ids
         gs, es, again = g[order], (e & ~U(1))[order], (e & U(1))[order] > 0
         new_gram = np.concatenate([[True], gs[1:] != gs[:-1]])
         new = new_gram | np.concatenate([[True], es[1:] != es[:-1]])
@@ -208,108 +219,136 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         of = np.cumsum(new_gram[at]) - 1  # gram of each distinct pair
         kinds = np.bincount(of)[of]
         edges = np.bincount(of, ~twice)[of]
-        code = np.where(twice, WHOLE, np.where(kinds > hot, HOTLY, np.where(kinds > 1, EDGE, NONE)))
-        model = np.where(twice & (edges > 0), np.where(kinds > hot, HOTMODEL, MODEL), code)
+        part = np.where(kinds > hot, HOTLY, np.where(kinds > 1, EDGE, NONE))
+        code = np.where(twice, WHOLE, part)
+        if first:  # the earliest place of a neighbourhood keeps what no other neighbourhood has earlier
+            model = part
+        else:  # the first chunk that has a repeated neighbourhood shows it to the others
+            model = np.where(twice & (edges > 0), np.where(kinds > hot, HOTMODEL, MODEL), code)
         each = np.repeat(code, n)
-        each[at] = model  # the first chunk that has a repeated neighbourhood shows it to the others
+        each[at] = model
         back = np.empty(len(order), np.uint8)
         back[order] = each
         i = 0
-        for c, m in zip(chunks, parts):
+        for c, m in zip(chunks, sizes):
             if (mine := back[i : i + m]).any():
                 yield c, mine.tobytes()
             i += m
 
     def codes_of(g, got):
-        c = cuts(g, buckets)
         codes = np.zeros(len(g), np.uint8)
-        for b in range(buckets):
+        for b, i, j in parts(g, buckets):
             if b in got:
-                codes[c[b] : c[b + 1]] = np.frombuffer(got[b], np.uint8)
+                codes[i:j] = np.frombuffer(got[b], np.uint8)
         return codes
 
-    def windows(t, kinds, first):
-        """All windows of the anchors that first[kinds] names: hash and place."""
-        at = np.concatenate([np.arange(t.a[i], t.z[i] + 1) for i in first[kinds]]) if len(kinds) else np.zeros(0, np.int64)
-        return np.array([xxhash.xxh3_64_intdigest(t.buf[p : p + length]) for p in at.tolist()], U), at
+    def windows(t, kinds, at):
+        """All windows of the anchors that at[kinds] names: two hashes and place."""
+        p = np.concatenate([np.arange(t.a[i], t.z[i] + 1) for i in at[kinds]]) if len(kinds) else np.zeros(0, np.int64)
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.buf[i : i + length]) for i in p.tolist()), U).reshape(-1, 2)
+        return h, p
+
+    def hot_windows(t, codes, at, ids):
+        """Of the windows of hot anchors, each distinct one: hashes, whether again, owner of the first place; and all places with their number."""
+        h, p = windows(t, np.flatnonzero((codes == HOTLY) | (codes == HOTMODEL)), at)
+        order = np.lexsort((p, h[:, 1], h[:, 0]))
+        h, p = h[order], p[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (h[1:] != h[:-1]).any(axis=1)
+        g = np.flatnonzero(new)
+        n = np.diff(np.append(g, len(p)))
+        who = numbers(ids)[np.searchsorted(t.begin, p[g], side="right") - 1] if len(g) else np.zeros(0, np.int64)
+        return h[g], n > 1, who, p, np.cumsum(new) - 1, new
 
     def send_edges(chunk, ids, texts, got):
         t = Anchors(texts, length, gram)
-        g, _, _, first, _ = t.distinct()
+        g, _, _, at, _ = t.distinct()
         codes = codes_of(g, got)
+        who = t.owner(ids)
         yield -1 - chunk, codes.tobytes()
         kinds = np.flatnonzero((codes == EDGE) | (codes == MODEL))
-        c = cuts(g[kinds], buckets)
-        for b in range(buckets):
-            if c[b] < c[b + 1]:
-                out = []
-                for k in kinds[c[b] : c[b + 1]].tolist():
-                    i = first[k]
-                    out.append(struct.pack("<QHHH", int(g[k]), t.x[i] - t.a[i], t.z[i] - t.a[i], t.z[i] + length - t.a[i]) + t.buf[t.a[i] : t.z[i] + length])
-                yield b, b"".join(out)
-        h, _ = windows(t, np.flatnonzero((codes == HOTLY) | (codes == HOTMODEL)), first)
-        h, n = np.unique(h, return_counts=True)
-        c = cuts(h, buckets)
-        for b in range(buckets):
-            if c[b] < c[b + 1]:
-                yield buckets + b, h[c[b] : c[b + 1]].tobytes() + (n[c[b] : c[b + 1]] > 1).tobytes()
+        for b, i, j in parts(g[kinds], buckets):
+            out = []
+            for k in kinds[i:j].tolist():
+                i = at[k]
+                out.append(struct.pack("<QqqHHH", int(g[k]), int(who[i]), t.x[i], t.x[i] - t.a[i], t.z[i] - t.a[i], t.z[i] + length - t.a[i]) + t.buf[t.a[i] : t.z[i] + length])
+            yield b, b"".join(out)
+        h, again, own, _, _, _ = hot_windows(t, codes, at, ids)
+        for b, i, j in parts(h[:, 0], buckets):
+            yield buckets + b, h[i:j].tobytes() + own[i:j].tobytes() + again[i:j].tobytes()
 
     def match(key, chunks, payloads):
         if key >= buckets:
-            sizes = [len(p) // 9 for p in payloads]
-            h = np.concatenate([np.frombuffer(p, U, n) for p, n in zip(payloads, sizes)])
-            again = np.concatenate([np.frombuffer(p, bool, n, 8 * n) for p, n in zip(payloads, sizes)])
-            v, back, n = np.unique(h, return_inverse=True, return_counts=True)
-            twice = ((n > 1) | (np.bincount(back, again) > 0))[back]
+            sizes = [len(p) // 25 for p in payloads]
+            h = np.concatenate([np.frombuffer(p, U, 2 * n).reshape(-1, 2) for p, n in zip(payloads, sizes)])
+            own = np.concatenate([np.frombuffer(p, np.int64, n, 16 * n) for p, n in zip(payloads, sizes)])
+            again = np.concatenate([np.frombuffer(p, bool, n, 24 * n) for p, n in zip(payloads, sizes)])
+            order = np.lexsort((own, h[:, 1], h[:, 0]))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order[1:]] != h[order[:-1]]).any(axis=1)
+            g = np.flatnonzero(new)
+            n = np.diff(np.append(g, len(order)))
+            gone = np.empty(len(order), bool)
+            gone[order] = ~new if first else np.repeat((n > 1) | np.logical_or.reduceat(again[order], g), n)
             i = 0
             for c, m in zip(chunks, sizes):
-                yield c, h[i : i + m][twice[i : i + m]].tobytes()
+                yield c, np.packbits(gone[i : i + m]).tobytes()
                 i += m
             return
-        family, batch, sent = Family(length), [], []
-        for p in payloads:
-            at, mine = 0, []
+        records, sent = [], []
+        for k, p in enumerate(payloads):
+            at = 0
+            sent.append(len(records))
             while at < len(p):
-                h, off, more, size = struct.unpack_from("<QHHH", p, at)
-                body = p[at + 14 : at + 14 + size]
-                at += 14 + size
-                top = struct.pack(">Q", h)
-                name = len(mine) + sum(len(s) for s in sent)
-                mine.append((name, more + 1))
-                batch.append((top + body[off:], top + body[:off][::-1], off - more, off, name))
-                if len(batch) >= BATCH:
-                    family.add(level(batch))
-                    batch = []
-            sent.append(mine)
+                h, who, place, off, more, size = struct.unpack_from("<QqqHHH", p, at)
+                records.append((who, k, place, h, off, more, at + 30, size))
+                at += 30 + size
+        sent.append(len(records))
+        # names go by owner, chunk and place, so that of two records the earlier has the lesser one
+        name = np.empty(len(records), np.int64)
+        name[sorted(range(len(records)), key=lambda i: records[i][:3])] = np.arange(len(records))
+        family, batch = Family(length, first=first), []
+        for (who, k, _, h, off, more, at, size), i in zip(records, name.tolist()):
+            body, top = payloads[k][at : at + size], struct.pack(">Q", h)
+            batch.append((top + body[off:], top + body[:off][::-1], off - more, off, i))
+            if len(batch) >= BATCH:
+                family.add(level(batch))
+                batch = []
         if batch:
             family.add(level(batch))
-        for c, mine in zip(chunks, sent):
-            out = [family.found.get(name, np.zeros(n, bool)) for name, n in mine]
-            yield c, np.concatenate(out).tobytes()
+        for c, i, j in zip(chunks, sent, sent[1:]):
+            out = [family.found.get(k, np.zeros(records[m][5] + 1, bool)) for m, k in zip(range(i, j), name[i:j].tolist())]
+            if out:
+                yield c, np.concatenate(out).tobytes()
 
     def finish(chunk, ids, texts, got):
         t = Anchors(texts, length, gram)
-        g, _, _, first, kind = t.distinct()
+        g, _, _, at, kind = t.distinct()
         codes = np.frombuffer(got.get(-1 - chunk, bytes(len(g))), np.uint8)
         cover = np.zeros(len(t.buf) + 1, np.int32)
-        whole = np.flatnonzero(np.isin(codes, (WHOLE, MODEL, HOTMODEL))[kind]) if len(kind) else kind
+        whole = np.isin(codes, (WHOLE, MODEL, HOTMODEL))[kind] if len(kind) else np.zeros(0, bool)
+        if first and len(kind):  # later places of a neighbourhood in this chunk
+            whole |= np.arange(len(kind)) != at[kind]
+        whole = np.flatnonzero(whole)
         np.add.at(cover, t.a[whole], 1)
         np.add.at(cover, t.z[whole] + length, -1)
         dup = []
         kinds = np.flatnonzero((codes == EDGE) | (codes == MODEL))
-        c = cuts(g[kinds], buckets)
-        for b in range(buckets):
+        for b, i, j in parts(g[kinds], buckets):
             if b in got:
-                marks, i = np.frombuffer(got[b], bool), 0
-                for k in kinds[c[b] : c[b + 1]].tolist():
-                    a, z = t.a[first[k]], t.z[first[k]]
+                marks, m = np.frombuffer(got[b], bool), 0
+                for k in kinds[i:j].tolist():
+                    a, z = t.a[at[k]], t.z[at[k]]
                     n = z - a + 1
-                    dup.append(z - np.flatnonzero(marks[i : i + n]))  # marks go by offset of the anchor: low first
-                    i += n
-        repeated = np.frombuffer(b"".join(v for k, v in got.items() if k >= buckets), U)
-        if len(repeated):
-            h, at = windows(t, np.flatnonzero((codes == HOTLY) | (codes == HOTMODEL)), first)
-            dup.append(at[np.isin(h, repeated)])
+                    dup.append(z - np.flatnonzero(marks[m : m + n]))  # marks go by offset of the anchor: low first
+                    m += n
+        h, _, _, p, of, new = hot_windows(t, codes, at, ids)
+        if len(h):
+            gone = np.zeros(len(h), bool)
+            for b, i, j in parts(h[:, 0], buckets):
+                if buckets + b in got:
+                    gone[i:j] = np.unpackbits(np.frombuffer(got[buckets + b], np.uint8), count=j - i).astype(bool)
+            dup.append(p[gone[of] | (~new if first else False)])
         for p in dup:
             cover[p] += 1
             np.add.at(cover, p + length, -1)
@@ -320,11 +359,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             edge = np.flatnonzero(np.diff(gone[a:z].view(np.int8), prepend=0, append=0))
             raw = t.buf[a:z]
             body = b"".join(raw[p:q] for p, q in zip([0, *edge[1::2].tolist()], [*edge[::2].tolist(), len(raw)])) if len(edge) else raw
-            rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None, hashlib.sha256(raw).hexdigest() if keep else None))
+            text = None if texts[i] is None or not keep else body.decode("utf-8", "ignore")
+            rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None, text))
         return list(zip(*rows))
 
     edges = meet(x.again(meet(x.first(send_hashes), sort_out), send_edges), match)
-    return x.last(edges, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>, sha256 string", SCHEMA)
+    return x.last(edges, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>, kept_text string", SCHEMA)
 
 
 def level(batch: list) -> Level:
@@ -333,7 +373,7 @@ def level(batch: list) -> Level:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "spans", "sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "spans", "kept_text")
 
 
 QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup}

@@ -106,7 +106,7 @@ def test_substrings_match_brute_force(docs):
 
 
 def test_substrings_over_many_chunks(spark, docs, monkeypatch):
-    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (700, 2000))
+    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (700, 2000, ()))
     got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
     assert got == {i: r[1] for i, r in enumerate(brute_windows(corpus()))}
 
@@ -140,7 +140,7 @@ def test_suffixes_match_brute_force(docs, length, gram, hot):
 
 
 def test_suffixes_over_many_chunks(docs, monkeypatch):
-    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (900, 4000))
+    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (900, 4000, ()))
     monkeypatch.setattr(suffixes, "BATCH", 8)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, 60, 20).collect()}
     assert got == dict(enumerate(brute_bytes(corpus(), 60)))
@@ -192,7 +192,7 @@ def test_jaccard_matches_brute_force(spark, docs, block):
 
 
 def test_jaccard_over_many_chunks(docs, monkeypatch):
-    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (500, 2000))
+    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (500, 2000, ()))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
     assert got == dict(enumerate(brute_components(corpus())))
 
@@ -598,3 +598,38 @@ def test_very_long_text(spark):
     d = frame(spark, [t, "x y z", t[:5000]])
     assert {r.doc_id: r.n_removed > 0 for r in suffixes.remove_repeats(d, keep=False).collect()} == {0: True, 1: False, 2: True}
     assert packing.pieces(d).where("doc_id = 0").count() > 500
+
+
+def brute_first(texts, length):
+    """Texts without the bytes of strings that start earlier too."""
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            k = b[p : p + length]
+            if k in seen:
+                gone[p : p + length] = True
+            seen.add(k)
+        out.append((int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+@pytest.mark.parametrize("length,gram,hot,sizes", [(400, 100, 2000, None), (60, 20, 2000, None), (60, 20, 1, None), (40, 10, 3, (900, 4000)), (60, 20, 2000, (700, 2000))])
+def test_suffixes_keep_the_first_place(docs, monkeypatch, length, gram, hot, sizes):
+    if sizes:
+        monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (*sizes, ()))
+        monkeypatch.setattr(suffixes, "BATCH", 8)
+    rows = suffixes.remove_repeats(docs, length, gram, hot, first=True, carry=("lang", "source", "key")).collect()
+    texts = corpus()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in rows} == dict(enumerate(brute_first(texts, length)))
+    assert {r.doc_id: (r.lang, r.source, r.key) for r in rows} == {r.doc_id: (r.lang, r.source, r.key) for r in docs.collect()}
+    assert all(r.kept_text == (None if texts[r.doc_id] is None else bytes(r.kept).decode("utf-8", "ignore")) for r in rows)
+
+
+def test_parts_of_the_hash_space():
+    rng = np.random.default_rng(19)
+    for n, buckets in ((0, 8), (5, 8), (5, 1000), (1000, 8), (1000, 999), (3, 7)):
+        h = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        got = list(chunks.parts(h, buckets))
+        assert [x for b, i, j in got for x in [b] * (j - i)] == [int(x) * buckets >> 64 for x in h] and all(i < j for _, i, j in got)
