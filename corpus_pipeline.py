@@ -1,10 +1,10 @@
 """A corpus pipeline of five stages over `documents`; each works on what the one before it kept.
 
 Defined cases, for every stage: empty tables give empty results; columns besides those of documents are left
-behind; null lang, source and n_chars do no harm. Null and empty texts are not toxic and are nobody's copy;
-the third stage, which rewrites texts, lets texts go of which nothing is left, those that were empty before
-included. Rows with a null doc_id stay in the first two stages; rows of equal doc_id are told apart by their
-texts. Equal rows share their fate.
+behind; null lang, source and n_chars do no harm. Null and empty texts are not toxic, nobody's copy and without
+repeats, and stay. Rows with a null doc_id stay in the second stage, and rows of equal doc_id share their fate
+there; in the third, which cuts texts, one place keeps a repeated string, so that of equal rows one stays whole
+and the others go.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from siftwork.llm import jaccard, mixing, packing, storage, suffixes, toxicity
 from siftwork.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a repeated string that the third stage removes: about fifty short words.
+PASSAGE = 250
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,23 +49,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere; texts of which nothing is left go."""
-    docs = docs.select(*COLUMNS)
-    cut = suffixes.remove_repeats(docs).where("n_removed > 0")
-    changed = cut.select(F.col("doc_id").alias("id"), F.col("sha256").alias("was"), "kept").dropDuplicates(["id", "was"])
-    kept = docs.join(changed, docs["doc_id"].eqNullSafe(changed["id"]) & (F.sha2("text", 256) == changed["was"]), "left")
-    # a cut may end inside a character: its bytes go
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(whole(F.col("kept")))
-    out = kept.withColumn("text", text).where(F.col("text").isNotNull() & (F.length("text") > 0))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
+    """Texts without the strings of PASSAGE bytes that occur before, in a document of smaller id or in the same one.
 
-def whole(kept):
-    @F.pandas_udf("string")
-    def decode(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    return decode(kept)
+    A text of which nothing is left goes; one that was null or empty before stays."""
+    docs = docs.select(*COLUMNS)
+    cut = suffixes.remove_repeats(docs, length=PASSAGE, first=True, carry=("lang", "source", "n_chars"))
+    left = cut.where((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
