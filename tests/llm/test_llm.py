@@ -347,10 +347,90 @@ def test_toxicity_on_held_out_texts(spark):
 
 
 def test_clause_not_word():
-    g = toxicity.Grammar(["fool"], {("fool", ""): 0.9, ("fool", "r"): 0.2, ("fool", "*"): 0.8}, 0.05)
-    assert g.score("a fool, he said nothing") == (0.9, 1) and g.score("it said fool")[0] == 0.2
-    assert g.score(None) == (0.05, 0) and g.score("unfool")[1] == 0 and g.score("foolish. fool")[1] == 2
-    assert toxicity.Grammar([], {("!", "*"): 0.75}, 0.05).score("I will kill you")[0] == 0.75
+    g = toxicity.Grammar({"fool": (3.0, 0.0)}, (-2.9, 1.5, 1.0, 0.75))
+    marks = lambda t: [m for c in g.clauses(t) for m in c]
+    assert marks("a fool, he said nothing") == [("fool", "")] and marks("it said fool") == [("fool", "r")]
+    assert marks("you fool") == [("fool", "t")] and marks("you are not a fool") == [("fool", "nt")]
+    assert marks("a fool, not that it matters") == [("fool", "")] and marks("not late but a fool") == [("fool", "")]
+    # a negation reaches SCOPE words
+    assert marks("not one of you who read this long clause before was a fool") == [("fool", "t")]
+    assert g.score("a fool")[0] > 0.7 > g.score("it said fool")[0] > g.score("you are not a fool")[0] > g.score(None)[0]
+    assert g.score(None) == g.score("") == (g.score("unfool")[0], 0) and g.score("foolish. fool")[1] == 2 and g.score("a fool " * 3)[1] == 1
+
+
+def test_threats_need_their_target():
+    g = toxicity.Grammar({})
+    assert g.score("I will kill you")[0] == g.score("ich werde dich töten")[0] == g.score("te voy a matar")[0] == 0.75
+    for t in ("he will not kill you", "I want to kill time before you arrive", "he said he will kill you", "kill", "you kill time", "they never hurt you", "il a dit que je vais te tuer"):
+        assert g.score(t)[0] < toxicity.THRESHOLD, t
+
+
+def brute_marks(classes):
+    """Without machines: what the grammar says of each word of a clause."""
+    out, last = [], lambda k, xs: max((j for j in range(k) if classes[j] in xs), default=-1)
+    taken = set()
+    marks = {}
+    for k, x in enumerate(classes):
+        if x in "IT":
+            edge = last(k, "B")
+            negated = last(k, "N") > edge and k - last(k, "N") <= toxicity.SCOPE
+            marks[k] = ("n" if negated else "") + ("r" if last(k, "R") > edge else "")
+    finished = {}
+    open_, objects = None, -99
+    for k, x in enumerate(classes):
+        if x == "T":
+            if k - objects <= toxicity.BEFORE:
+                finished[k], open_, objects = marks[k], None, -99
+            else:
+                open_, objects = k, -99
+        elif x in "YP":
+            if open_ is not None and k - open_ <= toxicity.AFTER:
+                finished[k], open_ = marks[open_], None
+            if x == "P":
+                objects = k
+    for k, x in enumerate(classes):
+        if k in finished:
+            out.append("X" + finished[k])
+        elif x == "I":
+            targeted = any(classes[j] in "YP" or j in finished for j in range(k))
+            out.append("I" + marks[k] + ("t" if targeted else ""))
+        else:
+            out.append("O" if x == "T" else x)
+    return out
+
+
+def test_composed_machine_equals_the_cascade_and_brute_force():
+    steps = ((0, toxicity.negation_step), (False, toxicity.reported_step), ((None, 0, 0), toxicity.threat_step), (False, toxicity.target_step))
+    rng = random.Random(20)
+    for _ in range(3000):
+        classes = [rng.choice("ITYPNRBOOO") for _ in range(rng.randint(0, 14))]
+        cascade = classes
+        for state, step in steps:
+            out = []
+            for x in cascade:
+                state, y = step(state, x)
+                out.append(y)
+            cascade = out
+        assert toxicity.MACHINE(classes) == cascade == brute_marks(classes), classes
+
+
+def test_toxicity_learns_marks_and_chance():
+    assert toxicity.weigh_marks({}) == toxicity.DAMPED
+    many = toxicity.weigh_marks({("", 1): 1000, ("n", 1): 500, ("r", 0): 500})
+    assert many["n"] > 0.95 and many["r"] == toxicity.DAMPED["r"]
+    assert toxicity.beyond_chance(1, 2000, 0.001) == 0 < toxicity.beyond_chance(1, 20, 0.001) < toxicity.beyond_chance(3, 20, 0.001)
+
+
+def test_toxicity_of_odd_rows(spark):
+    long = "word " * 300_000 + "you fool"
+    rows = [(1, "a fool", "x", 3), (1, "a fool", "x", 3), (None, "fool", "x", 3), (2, None, None, None), (3, "", "x", 3), (4, long, "x", 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic int")
+    g = toxicity.Grammar({"fool": (3.0, 0.0)}, (-2.9, 1.5, 1.0, 0.75))
+    got = sorted(((r.doc_id, round(r.score, 3), r.clauses) for r in toxicity.score(d, g).collect()), key=str)
+    assert [(i, n) for i, _, n in got] == [(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (None, 1)] and got[0][1] == got[1][1]
+    labels = spark.createDataFrame([(1, None), (None, 1), (1, 7), (9, 1)], "doc_id long, toxic int")
+    learned = toxicity.learn(d.drop("toxic"), labels)
+    assert learned.insults == {} and 0 <= learned.score(None)[0] < 0.5
 
 
 def test_licenses(spark):
