@@ -65,24 +65,24 @@ class Anchors:
         self.begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         b, w = np.frombuffer(self.buf, np.uint8), length - gram + 1
         n = len(b) - length + 1
-        least = np.zeros(max(n, 0), np.int64)
+        least = np.zeros(max(n, 0), np.int32 if n < 1 << 31 else np.int64)
         for i in range(0, n, SEGMENT):
             j = min(i + SEGMENT, n)
             part = b[i : j + length - 1]
             at = np.arange(len(part) - gram + 1)
             h = spans(prefix(BYTE[part]), at, at + gram)
-            least[i:j] = i + (sliding_least((h & ~PLACE) | at.astype(U), w) & PLACE).astype(np.int64)
+            least[i:j] = (sliding_least((h & ~PLACE) | at.astype(U), w) & PLACE).astype(least.dtype) + least.dtype.type(i)
         end = np.zeros(max(n, 0), bool)  # windows that run over their document's end
         for e in self.begin[1:-1].tolist():
             end[max(0, e - length + 1) : e] = True
-        mark = np.where(end, -1, least)
-        first = groups(mark) if n > 0 else np.zeros(0, np.int64)
+        least[end] = -1
+        first = groups(least) if n > 0 else np.zeros(0, np.int64)
         # a run also ends where a document begins
         first = np.union1d(first, self.begin[:-1][self.begin[:-1] < max(n, 0)]) if n > 0 else first
         last = np.append(first[1:], max(n, 0)) - 1
-        ok = mark[first] >= 0 if n > 0 else np.zeros(0, bool)
+        ok = least[first] >= 0 if n > 0 else np.zeros(0, bool)
         self.a, self.z = first[ok], last[ok]
-        self.x = least[self.a]
+        self.x = least[self.a].astype(np.int64)
         buf = self.buf
         gram_hash, near_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
         self.gram = np.array([gram_hash(buf[x : x + gram]) for x in self.x.tolist()], U)
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         for p in dup:
             cover[p] += 1
             np.add.at(cover, p + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
         rows = []
         for i, doc in enumerate(ids):
             a, z = t.begin[i], t.begin[i + 1]
