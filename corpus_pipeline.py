@@ -9,7 +9,6 @@ and the others go.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar, learned from the labels, does not reject."""
     docs = docs.select(*COLUMNS)
     grammar = toxicity.learn(docs, toxicity.training(table(spark, sf_dir, "labels")))
-    return docs.where(~rejected(F.col("text"), grammar)).select(*COLUMNS)
-
-
-def rejected(text, grammar):
-    insults, weights, base = sorted(grammar.insults), grammar.weights, grammar.base
-    made: list = []
-
-    @F.pandas_udf("boolean")
-    def reject(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(toxicity.Grammar(insults, weights, base))
-        return texts.map(lambda t: made[0].score(t)[0] >= toxicity.THRESHOLD).astype(bool)
-
-    return reject(text)
+    return toxicity.clean(docs, grammar)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
