@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac as _hmac
 import json
 
 import numpy as np
@@ -60,6 +59,11 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
+def text_of(content: Column) -> Column:
+    """Text of bytes as UTF-8; each ill-formed sequence becomes a replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def decode_utf8(content: Column) -> Column:
     """Text of bytes that are valid UTF-8; others null (kept apart for a quarantine)."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
@@ -150,11 +154,11 @@ def canonical_hash(record: Column) -> Column:
 
 
 def hmac_sha256(key: str, message: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(m: pd.Series) -> pd.Series:
-        return m.map(lambda x: None if x is None else _hmac.new(key.encode(), x.encode(), hashlib.sha256).hexdigest())
-
-    return run(message)
+    """Hexadecimal HMAC of a text, from two hashes over padded keys."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(c ^ pad for c in k)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
 
 def signature(key: str, agent: Column, ts: Column, payload: Column) -> Column:

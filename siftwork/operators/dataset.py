@@ -72,7 +72,7 @@ def feature_vector(tokens: Column) -> Column:
 
 def shuffled(records: DataFrame, key: str, seed: int) -> DataFrame:
     """A fixed order that depends on the key and the seed only."""
-    return records.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return records.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key)
 
 
 def class_stats(samples: DataFrame, label: str, risk: str) -> DataFrame:

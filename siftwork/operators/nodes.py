@@ -54,6 +54,11 @@ def kept_properties(props: Column, allowed: list[str]) -> Column:
     return F.map_filter(props, lambda k, v: k.isin(*allowed))
 
 
+def with_depth(props: Column, depth: Column) -> Column:
+    """Properties with the node's depth among them."""
+    return F.map_concat(F.map_filter(props, lambda k, _: k != "depth"), F.create_map(F.lit("depth"), depth.cast("string")))
+
+
 def edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """One edge from each node's parent, labelled by the node's type."""
     has = nodes.where(F.col("parent_idx").isNotNull())
@@ -134,6 +139,14 @@ def hit_features(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.count("*").cast("double").alias("pattern_hit_count"), (F.sum("risk_boost") / F.lit(100.0)).alias("pattern_total_boost"), F.max((p == "EXFIL_CHAIN").cast("double")).alias("has_exfil_pattern"), F.max(p.isin(*strong).cast("double")).alias("has_exec_pattern"))
 
 
+def vector(nodes: DataFrame, files: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a file with the features of its nodes, of the file and of its pattern hits; what a file lacks is 0."""
+    own = file_features(files)
+    own = own.select(*keys, *[c for c in own.columns if c.startswith("f_")])
+    out = features(nodes, keys).join(own, keys, "left").join(hit_features(hits, keys), keys, "left")
+    return out.fillna(0.0, [c for c in out.columns if c not in keys])
+
+
 def number(nodes: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Pre-order numbers from paths of child positions (arrays): idx from 0 within each file."""
     return nodes.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy(path)) - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .scoring import bodies, generated_files
 
-VERSION, TOKEN_LIFE, REVIEW_LIFE = "1.0.0", 7200, 3600
+VERSION, TOKEN_LIFE, REVIEW_LIFE, MOST_PAYLOAD = "1.0.0", 7200, 3600, 50 << 20
 
 
 def envelope(kind: str, sender: str, recipient: str, task: Column, now: Column | None = None) -> Column:
@@ -23,9 +23,26 @@ def token(key: str, agent: Column, machine: Column, issued: Column, life: int =
     return F.concat_ws("|", body, F.substring(S.hmac_sha256(key, body), 1, 16))
 
 
-def token_valid(given: Column, now: Column) -> Column:
-    """Whether a token's expiry lies ahead; malformed ones are not valid."""
-    return F.coalesce(F.get(F.split(given, "\\|"), F.lit(2)).try_cast("long") > now, F.lit(False))
+def token_valid(given: Column, now: Column, key: str | None = None) -> Column:
+    """Whether a token's expiry lies ahead and, with a key, its mac is right; malformed ones are not valid."""
+    part = lambda i: F.get(F.split(given, "\\|"), F.lit(i))
+    valid = part(2).try_cast("long") > now
+    if key is not None:
+        valid = valid & (part(3) == F.substring(S.hmac_sha256(key, F.concat_ws("|", part(0), part(1), part(2))), 1, 16))
+    return F.coalesce(valid, F.lit(False))
+
+
+def gateway(senders: list[str], key: str, now: Column, age: int = 60, skew: int = 5, most: int = MOST_PAYLOAD) -> Column:
+    """The first thing wrong with a message (columns sender, ts, payload, signature, token_expires), null if nothing is.
+
+    In order: an unknown sender, an expired token (a malformed expiry is let pass), a time that is no number, too old
+    or ahead of now, a signature that does not fit, an empty payload, one that is too large."""
+    c, sent, expiry = F.col, F.col("ts").try_cast("long"), F.col("token_expires").try_cast("double")
+    signed = S.signature(key, c("sender"), c("ts"), c("payload"))
+    return (
+        F.when(~F.coalesce(c("sender").isin(*senders), F.lit(False)), "UnknownSender").when(expiry < now, "TokenExpired").when(sent.isNull(), "SignatureMismatch")
+        .when(~S.fresh(sent, now, age, skew), "SignatureExpired").when(~c("signature").eqNullSafe(signed), "SignatureMismatch").when(F.octet_length("payload") == 0, "EmptyPayload").when(F.octet_length("payload") > most, "PayloadTooLarge")
+    )
 
 
 def machine_rows(states: DataFrame) -> DataFrame:

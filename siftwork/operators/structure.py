@@ -49,7 +49,7 @@ def parse_text(files: DataFrame, language: str = "language", text: str = "text",
     for name in L.GRAMMARS:
         s = _language(clean_source(F.col(text), name), name, ascii_only)
         got = F.when(F.col(language) == name, s) if got is None else got.when(F.col(language) == name, s)
-    out = files.withColumn("_s", got).select("*", "_s.*").drop("_s")
+    out = files.select("*", F.inline(F.array(got)))  # a generator: the struct is made once a row, not once a column
     nodes = F.lit(1) + F.col("function_count") + F.col("class_count") + F.col("import_count") + F.col("control_count")
     return out.withColumns({"node_count": nodes, "parse_error": F.when(F.col("function_count").isNull(), F.lit("unsupported_extension"))})
 
@@ -363,3 +363,21 @@ def python_nodes(files: DataFrame, key: str, text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i].as_py()] * len(idx), keys.type), pa.array(idx, pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(types, pa.string()), pa.array([list(p.items()) for p in props], pa.map_(pa.string(), pa.string()))], names=[key, "idx", "parent_idx", "depth", "node_type", "props"])
 
     return files.select(key, text).mapInArrow(run, f"{key} {kind}, idx int, parent_idx int, depth int, node_type string, props map<string,string>")
+
+
+def python_stripped(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, stripped and error of each Python source; what does not parse has no text but the name of its error."""
+    kind = dict(files.dtypes)[key]
+
+    def one(source):
+        try:
+            return stripped(source or ""), None
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            return None, type(e).__name__
+
+    def run(it):
+        for b in it:
+            got = [one(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=[key, "stripped", "error"])
+
+    return files.select(key, text).mapInArrow(run, f"{key} {kind}, stripped string, error string")

@@ -85,10 +85,10 @@ def resource_anti_join(spark, sf_dir):
 
 
 def hint_coverage(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 == 0).select("doc_id", F.concat_ws(" ", F.lit("azurerm_redis_cache"), "text").alias("text"))
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", F.lit("azurerm_redis_cache"), "text").alias("text"))
     names = [*L.HINTS, "Unknown"]
     numbered = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    h = numbered.where((F.col("i") + F.col("doc_id") / 10) % 3 != 0).withColumn("hint", F.get(F.array(*map(F.lit, names)), F.col("i")))
+    h = numbered.where((F.col("i") + F.col("doc_id")) % 3 != 0).withColumn("hint", F.get(F.array(*map(F.lit, names)), F.col("i")))
     return V.hint_coverage(h, ["doc_id"]).select("doc_id", "hints", "addressed", "covered", "passed")
 
 
@@ -173,7 +173,7 @@ ORACLE_SQL = {
     "malice_alerts": MAL + " SELECT user_id, array_to_string(reasons[1:3], '+') AS reason, 'pending' AS status, 'critical' AS severity FROM mg WHERE malicious",
     "intelligence_summary": SCORES + ", f AS (SELECT *, ([" + ", ".join(f"'{v}'" for v in sorted(L.LANGUAGES.values())) + f"])[user_id % {len(L.LANGUAGES)} + 1] AS language, total_nodes % 9 AS cc FROM sc), o AS (SELECT task_id, x, min(user_id * 10 + i) AS p FROM (SELECT task_id, user_id, unnest(fl) AS x, generate_subscripts(fl, 1) AS i FROM f) GROUP BY ALL), ol AS (SELECT task_id, array_to_string(list(x ORDER BY p)[1:20], ',') AS security_flags FROM o GROUP BY 1) SELECT f.task_id, count(*) AS total_files, sum(total_nodes) AS total_ast_nodes, sum(call_count) AS total_functions, count(*) AS total_classes, coalesce(avg(cc) FILTER (cc > 0), 0.0::DOUBLE) AS avg_cyclomatic, coalesce(max(cc), 0) AS max_cyclomatic, sum(total_nodes) AS total_ir_nodes, max(max_depth) AS control_flow_depth, CAST(sum(privilege_sensitive_count) AS DOUBLE) / greatest(sum(total_nodes), 1) AS loop_density, CAST(sum(call_count) AS DOUBLE) / greatest(sum(total_nodes), 1) AS branch_density, array_to_string(list_sort(list(DISTINCT language)), ',') AS detected_languages, coalesce(max(security_flags), '') AS security_flags, array_to_string(list_sort(list(DISTINCT 'file_' || user_id))[1:50], ',') AS unique_imports, coalesce(array_to_string(list_sort(list(DISTINCT 'file_' || user_id || ':privileged_api') FILTER (dynamic_eval_count > 0))[1:20], ','), '') AS privileged_imports FROM f LEFT JOIN ol ON f.task_id = ol.task_id GROUP BY f.task_id",
     "resource_anti_join": "SELECT DISTINCT p_partkey % 20 AS task_id, lower(trim(p_type)) AS resource FROM part e WHERE NOT EXISTS (SELECT 1 FROM part a WHERE a.p_size > 45 AND a.p_partkey % 20 = e.p_partkey % 20 AND lower(trim(a.p_type)) = lower(trim(e.p_type)))",
-    "hint_coverage": f"WITH h AS (SELECT doc_id, lower('azurerm_redis_cache ' || text) AS t, i FROM documents, range({len(NAMES)}) r(i) WHERE doc_id % 10 = 0 AND (i + doc_id // 10) % 3 <> 0), g AS (SELECT doc_id, count(*) AS hints, count(*) FILTER ({ADDRESSED}) AS addressed FROM h GROUP BY 1) SELECT doc_id, hints, addressed, CAST(addressed AS DOUBLE) / hints AS covered, CAST(addressed AS DOUBLE) / hints >= 0.5 AS passed FROM g",
+    "hint_coverage": f"WITH h AS (SELECT doc_id, lower('azurerm_redis_cache ' || text) AS t, i FROM documents, range({len(NAMES)}) r(i) WHERE (i + doc_id) % 3 <> 0), g AS (SELECT doc_id, count(*) AS hints, count(*) FILTER ({ADDRESSED}) AS addressed FROM h GROUP BY 1) SELECT doc_id, hints, addressed, CAST(addressed AS DOUBLE) / hints AS covered, CAST(addressed AS DOUBLE) / hints >= 0.5 AS passed FROM g",
     "first_failure": CHECKS + f", ff AS (SELECT l_orderkey, min(ord) FILTER (NOT passed) AS ord, arg_min(category, ord) FILTER (NOT passed) AS category, arg_min(detail, ord) FILTER (NOT passed) AS detail FROM ch GROUP BY 1) SELECT l_orderkey, ord IS NULL AS passed, ord, category, {RESTART} AS restart_from, {HINT} || ' ' || substr(detail, 1, 300) AS hint FROM ff",
     "attempts": CHECKS + f" SELECT l_orderkey, max(ord) AS attempts, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND {RESTART} = 'strategy') AS strategy_restarts FROM ch WHERE ord <= 3 GROUP BY 1",
     "planned_resources": PLANNED.format("IN (2, 3)"), "applied_resources": PLANNED.format("= 1"),
@@ -214,11 +214,31 @@ def review_requests(spark, sf_dir):
     return C.review_requests(d, F.lit(0)).select("task_id", "recommendation", F.array_join("shown", ",").alias("flags"), "expires_at", "status")
 
 
-QUERIES |= {"rendered_files": rendered_files, "declared_by_task": declared_by_task, "unplanned_resources": unplanned_resources, "review_requests": review_requests}
+def result_rows(spark, sf_dir):
+    """The final row of each task with its risk summary."""
+    from ..operators import records as C
+
+    d = C.risk_summary(decisions(spark, sf_dir))
+    s = scores(spark, sf_dir).groupBy("task_id").agg(F.sum("network_call_count").alias("network_calls"), F.max("max_depth").alias("deepest"))
+    return C.results(d, s).join(d.select("task_id", "risk_summary"), "task_id").withColumn("constraints", F.array_join("constraints", ","))
+
+
+def task_activity(spark, sf_dir):
+    from ..operators import records as C
+
+    t = F.col("task_id")
+    d = D.decide(assessments(spark, sf_dir), review_below=0.9)
+    return C.activity(d.withColumn("status", F.when(t % 5 == 0, "running").when(t % 7 == 1, "failed").otherwise("complete")))
+
+
+QUERIES |= {"result_rows": result_rows, "task_activity": task_activity, "rendered_files": rendered_files, "declared_by_task": declared_by_task, "unplanned_resources": unplanned_resources, "review_requests": review_requests}
 _TF = "CASE WHEN method = 'none' THEN 0 ELSE 4 + list_contains(cons, 'sandboxed_execution')::INT + list_contains(cons, 'monitoring_required')::INT + list_contains(cons, 'network_isolation')::INT + 2 * list_contains(cons, 'privilege_restriction')::INT END"
 _ALL = f"({_TF} + CASE method WHEN 'none' THEN 0 WHEN 'imperative' THEN 1 ELSE 3 END)"
 ORACLE_SQL |= {
     "rendered_files": STRATEGY + f" SELECT task_id, {_ALL} AS files, {_ALL} AS written, {_TF} AS declarative FROM t1 WHERE method <> 'none'",
     "unplanned_resources": "SELECT 0 AS missing",
+    "result_rows": DECIDE + ", sm AS (SELECT task_id, sum(network_call_count) AS network_calls, max(max_depth) AS deepest FROM sc GROUP BY 1) SELECT d1.task_id, 'complete' AS status, decision, confidence, aggregate_risk, high_risk_file_count AS high_risk_files, len(rules) AS rules_triggered, array_to_string(cons, ',') AS constraints, decision <> 'REJECT' AND confidence < 0.6::DOUBLE AND len(rules) > 0 AS hitl_required, network_calls, deepest, 'Decision: ' || decision || chr(10) || 'Aggregate Risk: ' || printf('%.2f', aggregate_risk * 100) || '%' || chr(10) || 'Files Analyzed: ' || total_files || chr(10) || 'High-Risk Files: ' || high_risk_file_count || chr(10) || 'Rules Triggered: ' || len(rules) || '/6' || CASE WHEN len(rules) > 0 THEN chr(10) || 'Triggered Rules:' || array_to_string(list_transform(rules, lambda r: chr(10) || '  [' || CASE r " + " ".join(f"WHEN '{r[0]}' THEN '{r[2].upper()}'" for r in L.RULES) + " END || '] ' || r), '') ELSE '' END AS risk_summary FROM d1 JOIN sm ON sm.task_id = d1.task_id",
+    "task_activity": DECIDE + " SELECT count(*) AS tasks, count(*) FILTER (task_id % 5 = 0) AS running, count(*) FILTER (task_id % 5 <> 0 AND task_id % 7 = 1) AS failed, count(*) FILTER (decision = 'REJECT') AS rejected, count(*) FILTER (decision <> 'REJECT' AND confidence < 0.9::DOUBLE AND len(rules) > 0) AS pending_reviews FROM d1",
+    "declared_by_task": STRATEGY + ", ty AS (SELECT task_id, unnest(list_concat(['resource_group', 'virtual_network', 'subnet', 'network_security_group'], CASE WHEN list_contains(cons, 'sandboxed_execution') THEN ['container_group'] ELSE [] END, CASE WHEN list_contains(cons, 'monitoring_required') THEN ['log_analytics_workspace', 'monitor_activity_log_alert'] ELSE [] END, CASE WHEN list_contains(cons, 'network_isolation') THEN ['private_endpoint', 'private_dns_zone'] ELSE [] END, CASE WHEN list_contains(cons, 'privilege_restriction') THEN ['role_assignment', 'key_vault_access_policy'] ELSE [] END)) AS r FROM t1 WHERE method <> 'none') SELECT task_id, 'azurerm_' || r AS resource FROM ty",
     "review_requests": DECIDE + " SELECT d1.task_id, CASE WHEN aggregate_risk > 0.7::DOUBLE THEN 'REJECT' ELSE 'APPROVE_WITH_CONSTRAINTS' END AS recommendation, coalesce((SELECT array_to_string(list_sort(list(DISTINCT x))[1:10], ',') FROM (SELECT unnest(fl) AS x, task_id FROM sc) u WHERE u.task_id = d1.task_id), '') AS flags, 3600 AS expires_at, 'pending' AS status FROM d1 WHERE decision <> 'REJECT' AND confidence < 0.99::DOUBLE AND len(rules) > 0",
 }

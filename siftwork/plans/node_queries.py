@@ -79,6 +79,35 @@ def pattern_features(spark, sf_dir):
     return N.hit_features(P.hits(T.mixed(spark, sf_dir), KEY), KEY)
 
 
+NUMBERS = ["import_count", "function_count", "class_count", "cyclomatic_complexity", "depth", "cognitive_complexity", "halstead_distinct_operators", "halstead_distinct_operands", "halstead_total_operators", "halstead_total_operands", "max_nested_function_depth", "except_count", "try_count", "decorator_total", "count_tainted_exec", "count_io_write", "count_hook_dunders", "count_format_calls"]
+MARKS = ["has_concat_exec", "has_weakref_hooks", "has_pickle_gadgets", "has_native_lib_load", "has_sys_modules_poison"]
+
+
+def measured(spark, sf_dir):
+    """Customers as files with metrics: number i is key * (i + 3) % (20 + i), flag i comes with every (i + 2)nd key."""
+    k = F.col("c_custkey")
+    own = [((k * (i + 3)) % (20 + i)).alias(c) for i, c in enumerate(NUMBERS)] + [(k % (i + 2) == 0).alias(c) for i, c in enumerate(MARKS)]
+    return T.table(spark, sf_dir, "customer").select("c_custkey", *own, ((k % 8) / F.lit(8.0)).alias("blank_ratio"), ((k % 64) / F.lit(8.0)).alias("source_entropy"))
+
+
+def file_features(spark, sf_dir):
+    f = N.file_features(measured(spark, sf_dir))
+    return f.select("c_custkey", *[F.round(c, 9).alias(c) for c in f.columns if c.startswith("f_")])
+
+
+def whole_vector(spark, sf_dir):
+    """All features of a file in one row: of its nodes, of the file itself and of its pattern hits."""
+    files = measured(spark, sf_dir).withColumnRenamed("c_custkey", "user_id")
+    v = N.vector(classified(spark, sf_dir), files, P.hits(T.mixed(spark, sf_dir), KEY), KEY)
+    return v.select("user_id", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in v.columns if c != "user_id"])
+
+
+def kept_attributes(spark, sf_dir):
+    """Properties that an allow-list keeps, with the depth added."""
+    n = T.mixed(spark, sf_dir).select("user_id", "idx", N.with_depth(N.kept_properties(F.col("props"), ["arg_count", "has_exec_calls", "has_network_calls"]), F.col("depth")).alias("p"))
+    return n.select("user_id", "idx", F.array_join(F.transform(F.array_sort(F.map_keys("p")), lambda k: F.concat(k, F.lit("="), F.element_at(F.col("p"), k))), ",").alias("props"))
+
+
 def one_pattern(name):
     def query(spark, sf_dir):
         return pattern_hits(spark, sf_dir).where(F.col("pattern_id") == name).select("user_id", "positions")
@@ -105,7 +134,7 @@ def file_metrics(spark, sf_dir):
 
 
 QUERIES = {
-    "risk_levels": risk_levels, "node_edges": node_edges, "sibling_edges": sibling_edges, "type_histogram": type_histogram, "category_risk": category_risk, "feature_vector": feature_vector, "risk_shares": risk_shares, "first_positions": first_positions, "token_sequence": token_sequence, "added_rows": added_rows,
+    "file_features": file_features, "whole_vector": whole_vector, "kept_attributes": kept_attributes, "risk_levels": risk_levels, "node_edges": node_edges, "sibling_edges": sibling_edges, "type_histogram": type_histogram, "category_risk": category_risk, "feature_vector": feature_vector, "risk_shares": risk_shares, "first_positions": first_positions, "token_sequence": token_sequence, "added_rows": added_rows,
     "pattern_hits": pattern_hits, "pattern_totals": pattern_totals, "pattern_features": pattern_features, "global_write": one_pattern("GLOBAL_WRITE"), "async_dynamic": one_pattern("ASYNC_DYNAMIC"), "exec_chain": one_pattern("EXEC_CHAIN"), "silent_except": one_pattern("SILENT_EXCEPT"), "truncated_nodes": truncated_nodes, "file_metrics": file_metrics,
 }
 
@@ -149,7 +178,19 @@ me AS (SELECT user_id, count(*) AS total_nodes, max(depth) AS max_depth, count(*
   count(*) FILTER (ir_type = 'NETWORK') + count(*) FILTER (contains(raises, 'net')) AS network_call_count, count(*) FILTER (ir_type = 'IO') + count(*) FILTER (contains(raises, 'io')) AS io_call_count,
   count(*) FILTER (ir_type = 'DYNAMIC') + count(*) FILTER (contains(raises, 'dyn')) AS dynamic_eval_count, count(*) FILTER (risk_level >= 7) AS high_risk_node_count, count(*) FILTER (ir_type = 'OBFUSC') AS obfuscation_count,
   count(*) FILTER (ir_type = 'LOOP') AS loop_count, count(*) FILTER (ir_type = 'BRANCH') AS branch_count, count(*) FILTER (ir_type = 'CALL') AS call_count FROM al GROUP BY user_id)"""
+MEASURED = "ms AS (SELECT c_custkey, " + ", ".join(f"(c_custkey * {i + 3}) % {20 + i} AS {c}" for i, c in enumerate(NUMBERS)) + ", " + ", ".join(f"c_custkey % {i + 2} = 0 AS {c}" for i, c in enumerate(MARKS)) + ", (c_custkey % 8) / 8.0::DOUBLE AS blank_ratio, (c_custkey % 64) / 8.0::DOUBLE AS source_entropy FROM customer)"
+_VOCAB = "greatest(halstead_distinct_operators + halstead_distinct_operands, 1)::DOUBLE"
+FILE = {
+    "f_import_count": "import_count", "f_function_count": "function_count", "f_class_count": "class_count", "f_cyclomatic": "cyclomatic_complexity", "f_depth": "depth", "f_cognitive": "cognitive_complexity", "f_halstead_volume": f"least((halstead_total_operators + halstead_total_operands) * log2({_VOCAB}), 10000.0::DOUBLE) / 10000.0::DOUBLE", "f_halstead_vocab": _VOCAB,
+    "f_blank_ratio": "blank_ratio", "f_max_nested_depth": "max_nested_function_depth", "f_try_except_ratio": "except_count / greatest(try_count, 1)::DOUBLE", "f_decorator_density": "decorator_total / greatest(function_count, 1)::DOUBLE", "f_source_entropy": "source_entropy / 8.0::DOUBLE", "f_tainted_exec_count": "count_tainted_exec", "f_io_write_count": "count_io_write", "f_hook_dunder_count": "count_hook_dunders", "f_format_call_count": "count_format_calls",
+    "f_has_concat_exec": "has_concat_exec::INT", "f_has_weakref_hooks": "has_weakref_hooks::INT", "f_has_pickle_gadgets": "has_pickle_gadgets::INT", "f_has_native_load": "has_native_lib_load::INT", "f_has_sys_poison": "has_sys_modules_poison::INT",
+}
+FILE = {k: f"round(({v})::DOUBLE, 9)" for k, v in FILE.items()}
+HIT_ROW = "SELECT user_id, CAST(count(*) AS DOUBLE) AS pattern_hit_count, round(sum(risk_boost) / 100.0::DOUBLE, 9) AS pattern_total_boost, CAST(max(CASE WHEN pattern_id = 'EXFIL_CHAIN' THEN 1 ELSE 0 END) AS DOUBLE) AS has_exfil_pattern, CAST(max(CASE WHEN pattern_id IN ('EXEC_CHAIN', 'OBFUSC_EXEC', 'DESER_EXEC', 'ENTROPY_EXEC', 'TAINTED_EXEC') THEN 1 ELSE 0 END) AS DOUBLE) AS has_exec_pattern FROM hits GROUP BY user_id"
 ORACLE_SQL = {
+    "file_features": f"WITH {MEASURED} SELECT c_custkey, " + ", ".join(f"{v} AS {k}" for k, v in FILE.items()) + " FROM ms",
+    "whole_vector": HITS.rstrip() + f", {MEASURED}, hr AS ({HIT_ROW}), w AS (SELECT user_id, " + ", ".join(f"round({v}, 9) AS {k}" for k, v in FEATURES.items()) + " FROM n1 GROUP BY user_id), fr AS (SELECT c_custkey, " + ", ".join(f"{v} AS {k}" for k, v in FILE.items()) + " FROM ms) SELECT w.*, " + ", ".join(f"coalesce({k}, 0.0::DOUBLE) AS {k}" for k in [*FILE, "pattern_hit_count", "pattern_total_boost", "has_exfil_pattern", "has_exec_pattern"]) + " FROM w LEFT JOIN fr ON fr.c_custkey = w.user_id LEFT JOIN hr ON hr.user_id = w.user_id",
+    "kept_attributes": "WITH " + T.MIXED_SQL + " SELECT user_id, idx, 'arg_count=' || args || ',depth=' || depth || CASE WHEN f IN ('has_exec_calls', 'has_network_calls') THEN ',' || f || '=true' ELSE '' END AS props FROM m1",
     "risk_levels": N1 + " SELECT event_id, ir_type, category, risk_level FROM n1",
     "node_edges": N1 + f" SELECT user_id, parent_idx AS source_index, idx AS target_index, {LABEL.format(t='ir_type')} AS edge_type, risk_level / 10.0::DOUBLE AS weight FROM n1 WHERE parent_idx IS NOT NULL",
     "sibling_edges": "SELECT l_orderkey, 0 AS source_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS target_index, CASE l_returnflag WHEN 'R' THEN 'scopes' WHEN 'A' THEN 'imports' ELSE 'calls' END AS edge_type, (l_linenumber % 11) / 10.0::DOUBLE AS weight FROM lineitem",

@@ -144,7 +144,14 @@ CHAIN = f"WITH c0 AS (SELECT user_id, event_id, sha256(concat_ws('|', event_id,
 EV = [*L.EVENTS, "UNKNOWN"]
 PRED = "WITH d AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN 1.0::DOUBLE WHEN length(text) % 3 = 1 THEN 0.4::DOUBLE ELSE 0.75::DOUBLE END AS p FROM documents JOIN labels USING (doc_id)), pr AS (SELECT 'quality' AS label, p AS predicted, quality::DOUBLE AS actual FROM d UNION ALL SELECT 'toxic', 1.0::DOUBLE - p, toxic::DOUBLE FROM d)"
 TOKENS = L.TRAINING_VOCABULARY
+_N = "greatest(len(tk), 1)"
+_CNT = lambda k: f"len(list_filter(tk, lambda x: x = '{k}'))"
+_RISK = "CASE x " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in L.TOKEN_RISKS.items()) + " ELSE 0.0::DOUBLE END"
+_RS = f"list_transform(tk, lambda x: {_RISK})"
+_D45 = [f"{_CNT(k)} / {_N}::DOUBLE" for k in TOKENS] + [f"{_N} / 200.0::DOUBLE", f"least({_N} / 50.0::DOUBLE, 1.0::DOUBLE)", "0.5::DOUBLE", f"list_sum({_RS}) / {_N}", f"coalesce(list_max({_RS}), 0.0::DOUBLE)", f"len(list_filter({_RS}, lambda r: r >= 0.6::DOUBLE)) / {_N}::DOUBLE"] + [f"{_CNT(k)} / {_N}::DOUBLE" for k in ("BRANCH", "IO", "NETWORK")] + [f"{_CNT('PRIVILEGE')} / {_N}::DOUBLE + {_CNT('GLOBAL')} / {_N}::DOUBLE", f"{_CNT('IMPORT')} / {_N}::DOUBLE", f"({_CNT('DYNAMIC')} > 0)::INT::DOUBLE", f"({_CNT('GLOBAL')} > 0)::INT::DOUBLE", f"({_CNT('IMPORT')} + {_CNT('CALL')}) / {_N}::DOUBLE", "0.5::DOUBLE", f"coalesce(list_max({_RS}), 0.0::DOUBLE)", f"({_CNT('PRIVILEGE')} > 0)::INT::DOUBLE"]
 ORACLE_SQL = {
+    "training_features": "WITH " + T.NODES_SQL + ", tk AS (SELECT user_id, list(ir_type ORDER BY idx) AS tk FROM n1 GROUP BY 1), v AS (SELECT user_id, [" + ", ".join(_D45) + "] AS v FROM tk) SELECT user_id, i AS dimension, round(v[i + 1], 9) AS amount FROM v, range(45) r(i)",
+    "shuffled_sample": "SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 50",
     "event_counts": "SELECT event_type, n, row_number() OVER (ORDER BY n DESC, first) AS place FROM (SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1)",
     "recent_events": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'click' ORDER BY event_id DESC LIMIT 200",
     "bounded_history": "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events) WHERE place <= 20",

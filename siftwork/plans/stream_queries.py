@@ -28,11 +28,15 @@ def latest_values(spark, sf_dir):
     return X.collected(s, "complete")
 
 
+def machine_rows(spark, sf_dir):
+    e = X.events(spark, sf_dir)
+    return X.machines(e.withColumn("s", F.unix_micros("ts") / F.lit(1e6)), "user_id", "event_type", "s", "view", "purchase", 7200.0)
+
+
 def machine_states(spark, sf_dir):
     """A user's machine begins with a view and ends with a purchase, or by timeout."""
-    e = X.events(spark, sf_dir)
-    e = e.withColumn("s", F.unix_micros("ts") / F.lit(1e6))
-    return X.collected(X.machines(e, "user_id", "event_type", "s", "view", "purchase", 7200.0), "update").select(F.col("key").alias("user_id"), "state", "reason", F.round("created", 3).alias("created"), F.round("ended", 3).alias("ended"))
+    m = X.collected(machine_rows(spark, sf_dir), "update", ["key"])
+    return m.select(F.col("key").alias("user_id"), "state", "reason", F.round("created", 3).alias("created"), F.round("ended", 3).alias("ended"))
 
 
 def machine_counts(spark, sf_dir):
@@ -55,7 +59,29 @@ def late_events(spark, sf_dir):
     return on.agg(F.count("*").alias("n")).withColumn("kept", F.lit(True)).union(off.agg(F.count("*").alias("n")).withColumn("kept", F.lit(False)))
 
 
-QUERIES = {"tumbling_counts": tumbling_counts, "session_activity": session_activity, "stage_latest": stage_latest, "latest_values": latest_values, "machine_states": machine_states, "machine_counts": machine_counts, "review_answers": review_answers, "late_events": late_events}
+def machine_events(spark, sf_dir):
+    """Rows that machines' lives give to a log."""
+    from ..operators import records as C
+
+    m = X.collected(machine_rows(spark, sf_dir), "update", ["key"])
+    return C.machine_rows(m).select(F.col("key").alias("user_id"), "type", F.round("ts", 3).alias("ts"), "severity", "reason")
+
+
+def terminated_machines(spark, sf_dir):
+    """How many machines the end of task 3 terminates."""
+    from ..operators import records as C
+
+    m = machine_states(spark, sf_dir).withColumn("task_id", (F.col("user_id") % 5).cast("string"))
+    return C.task_terminations(m, "3")
+
+
+def running_machines(spark, sf_dir):
+    """Machines that run, with their age at a fixed time."""
+    m = X.running(machine_states(spark, sf_dir), F.lit(2e9))
+    return m.select("user_id", "created", F.col("age").alias("age"))
+
+
+QUERIES = {"machine_events": machine_events, "terminated_machines": terminated_machines, "running_machines": running_machines, "tumbling_counts": tumbling_counts, "session_activity": session_activity, "stage_latest": stage_latest, "latest_values": latest_values, "machine_states": machine_states, "machine_counts": machine_counts, "review_answers": review_answers, "late_events": late_events}
 MACHINES = """WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) / 1e6::DOUBLE AS s FROM events), c AS (SELECT user_id, min(s) FILTER (event_type = 'view') AS v, min(s) FILTER (event_type = 'purchase') AS p FROM e GROUP BY 1),
 x AS (SELECT c.user_id, CASE WHEN p IS NOT NULL AND (v IS NULL OR p < v) THEN NULL ELSE v END AS created, p FROM c),
 y AS (SELECT x.user_id, created, min(p) AS p, min(s) FILTER (s - created > 7200) AS over FROM x JOIN e ON e.user_id = x.user_id GROUP BY ALL),
@@ -66,6 +92,9 @@ ORACLE_SQL = {
     "session_activity": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "stage_latest": "SELECT user_id, event_type, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL",
     "latest_values": "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, count(*) AS n FROM events GROUP BY ALL",
+    "machine_events": MACHINES + " SELECT user_id, 'vm_created' AS type, round(created, 3) AS ts, 'info' AS severity, CAST(NULL AS VARCHAR) AS reason FROM ms WHERE created IS NOT NULL UNION ALL SELECT user_id, 'vm_terminated', round(ended, 3), 'info', reason FROM ms WHERE ended IS NOT NULL",
+    "terminated_machines": MACHINES + " SELECT count(*) AS terminated FROM ms WHERE user_id % 5 = 3",
+    "running_machines": MACHINES + " SELECT user_id, created, round(2000000000.0::DOUBLE - created, 1) AS age FROM ms WHERE state = 'running'",
     "machine_states": MACHINES + " SELECT * FROM ms",
     "machine_counts": MACHINES + " SELECT count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'terminated') AS terminated, count(*) FILTER (reason = 'timeout') AS timed_out FROM ms",
     "review_answers": "WITH a AS (SELECT event_id FROM events WHERE event_type = 'error' AND event_id % 4 = 0) SELECT event_id AS request_id, CASE WHEN event_id % 8 = 0 AND event_id % 100 <= 60 THEN 'APPROVE' END AS decision, NOT (event_id % 8 = 0 AND event_id % 100 <= 60) AS expired FROM a",

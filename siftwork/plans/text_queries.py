@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import scalars as S
+from ..operators import records as C
 from ..operators import structure as R
 from ..sources import files as X
 from . import stand_ins as T
 
+KEY = "key"
 KEYWORDS = ["the", "die", "que", "de", "el"]
-SNIPPETS = [
-    (0, "import os\n\ndef f(a):\n    if a:\n        return os.system(a)\n"), (1, "class A(metaclass=M):\n    async def g(self):\n        await h()\n"), (2, "try:\n    eval(x + y)\nexcept:\n    pass\n"), (3, "def broken(:\n"), (4, ""), (5, "from .m import *\nfor i in range(10):\n    while i and j or k:\n        match i:\n            case 1: pass\n            case _: pass\n"),
-]
 
 
 def identifier_hash(spark, sf_dir):
@@ -75,20 +74,6 @@ def regex_structure(spark, sf_dir):
     return out.select("page_id", "language", "function_count", "class_count", "import_count", "cyclomatic_complexity", "node_count", "depth", "has_exec_calls", "has_eval_calls", "has_dynamic_imports", "has_network_calls", "has_file_io")
 
 
-def python_structure(spark, sf_dir):
-    f = spark.createDataFrame(SNIPPETS, "file_index int, text string")
-    p = R.python_files(f, "file_index")
-    n = lambda k: F.element_at("numbers", k).alias(k)
-    return p.select("file_index", n("node_count"), n("cyclomatic_complexity"), n("function_count"), n("class_count"), n("import_count"), F.array_join(F.array_sort(F.map_keys(F.map_filter("flags", lambda k, v: v))), ",").alias("flags"), F.array_join("parse_errors", ",").alias("errors"))
-
-
-def python_tree(spark, sf_dir):
-    from ..operators.nodes import classify
-
-    f = spark.createDataFrame(SNIPPETS, "file_index int, text string")
-    return classify(R.python_nodes(f, "file_index")).select("file_index", "idx", "parent_idx", "depth", "node_type", "ir_type", "category", "risk_level")
-
-
 def repo_address(spark, sf_dir):
     p = T.table(spark, sf_dir, "pages")
     return p.select("page_id", S.repo_of(F.col("url")).alias("r")).select("page_id", "r.owner", "r.repo")
@@ -114,7 +99,7 @@ def sealed_files(spark, sf_dir):
 
 def signed_messages(spark, sf_dir):
     c = T.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", S.signature("key", F.col("role"), F.col("turn"), F.col("text")).alias("signature"))
+    return c.select("conv_id", "turn", S.signature(KEY, F.col("role"), F.col("turn"), F.col("text")).alias("signature"))
 
 
 def replay_window(spark, sf_dir):
@@ -124,11 +109,36 @@ def replay_window(spark, sf_dir):
     return e.select("event_id", S.fresh(at, now, 600, 300).alias("fresh"), (now - at > 600).alias("stale"))
 
 
+def messages(spark, sf_dir):
+    """Conversation turns as signed messages to a gateway at second 10000; some are late, early, forged or badly dated."""
+    c, i = T.table(spark, sf_dir, "conversations"), F.col("conv_id")
+    text = F.when(F.col("turn") % 9 == 8, "").otherwise(F.col("text"))
+    at = F.when(i % 13 == 5, "soon").otherwise((F.lit(10000) - (i % 75) + 8).cast("string"))
+    expiry = F.when(F.col("turn") % 4 == 3, "9999.5").when(F.col("turn") % 7 == 5, "never").when(F.col("turn") % 2 == 0, "10000")
+    m = c.select("conv_id", "turn", F.col("role").alias("sender"), text.alias("payload"), at.alias("ts"), expiry.alias("token_expires"))
+    return m.withColumn("signature", S.signature(KEY, F.when(i % 11 == 3, "other").otherwise(F.col("sender")), F.col("ts"), F.col("payload")))
+
+
 def gateway_verdict(spark, sf_dir):
     """The first thing wrong with a message, in a fixed order, counted."""
-    c = T.table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") % 7 + F.col("turn"))
-    v = F.when(~F.col("role").isin("user", "assistant"), "unknown_sender").when(F.col("k") % 5 == 0, "token_expired").when(F.col("k") % 3 == 0, "bad_signature").when(F.length("text") == 0, "empty_payload").when(F.octet_length("text") > 2000, "payload_too_large").otherwise("ok")
-    return c.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    verdict = C.gateway(["user", "assistant"], KEY, F.lit(10000), most=300)
+    return messages(spark, sf_dir).groupBy(F.coalesce(verdict, F.lit("ok")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def agent_tokens(spark, sf_dir):
+    """Tokens that are right, tampered with, expired or malformed, checked with their mac."""
+    c = T.table(spark, sf_dir, "customer")
+    k, name = F.col("c_custkey"), F.concat(F.lit("agent"), F.col("c_nationkey").cast("string"))
+    made = C.token(KEY, name, F.col("c_name"), k % 100, 50)
+    given = F.when(k % 7 == 1, F.concat(made, F.lit("0"))).when(k % 7 == 2, "junk").when(k % 7 == 3, F.replace(made, F.lit("agent"), F.lit("agenT"))).otherwise(made)
+    return c.select("c_custkey", given.alias("token"), C.token_valid(given, F.lit(100), KEY).alias("valid"))
+
+
+def decoded_text(spark, sf_dir):
+    """Texts of bytes with a stray byte before them and a cut character behind."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    broken = F.concat(F.lit(b"\xff"), "b", F.lit(b"\xc3"))
+    return d.select("doc_id", F.sha2(S.text_of(broken), 256).alias("repaired"), (S.text_of(F.col("b")).cast("binary") == F.col("b")).alias("kept"), S.decode_utf8(broken).isNull().alias("refused"))
 
 
 def routed_messages(spark, sf_dir):
@@ -145,11 +155,16 @@ def json_property(spark, sf_dir):
 
 QUERIES = {
     "identifier_hash": identifier_hash, "byte_entropy": byte_entropy, "line_stats": line_stats, "strip_markup": strip_markup, "keyword_complexity": keyword_complexity, "magnitude_class": magnitude_class, "parser_dispatch": parser_dispatch, "quarantine": quarantine, "language_summary": language_summary, "supported_extensions": supported_extensions,
-    "regex_structure": regex_structure, "python_structure": python_structure, "python_tree": python_tree, "repo_address": repo_address, "file_listing": file_listing, "fetch_counters": fetch_counters, "sealed_files": sealed_files, "signed_messages": signed_messages, "replay_window": replay_window, "gateway_verdict": gateway_verdict,
+    "regex_structure": regex_structure, "repo_address": repo_address, "file_listing": file_listing, "fetch_counters": fetch_counters, "sealed_files": sealed_files, "signed_messages": signed_messages, "agent_tokens": agent_tokens, "decoded_text": decoded_text, "replay_window": replay_window, "gateway_verdict": gateway_verdict,
     "routed_messages": routed_messages, "json_property": json_property,
 }
 
 
+def _hmac(text: str, key: str) -> str:
+    pads = ["".join(f"{c ^ pad:02x}" for c in key.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+    return f"sha256(unhex('{pads[1]}') || unhex(sha256(unhex('{pads[0]}') || encode({text}))))"
+
+
 def _case(column: str, table: dict) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
@@ -195,7 +210,10 @@ ORACLE_SQL = {
     "fetch_counters": "SELECT count(*) AS files_fetched, count(*) FILTER (doc_id % 11 <> 0) AS files_encrypted, sum(octet_length(encode(text))) AS bytes_fetched, count(*) FILTER (doc_id % 11 = 0) AS errors FROM documents",
     "sealed_files": "SELECT doc_id, true AS opens, 28 AS overhead, true AS hashed, true AS base64_round_trip FROM documents",
     "replay_window": "WITH e AS (SELECT event_id, 1704070800 - CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS age FROM events) SELECT event_id, age <= 600 AND age >= -300 AS fresh, age > 600 AS stale FROM e",
-    "gateway_verdict": "WITH c AS (SELECT *, conv_id % 7 + turn AS k FROM conversations) SELECT CASE WHEN role NOT IN ('user', 'assistant') THEN 'unknown_sender' WHEN k % 5 = 0 THEN 'token_expired' WHEN k % 3 = 0 THEN 'bad_signature' WHEN length(text) = 0 THEN 'empty_payload' WHEN octet_length(encode(text)) > 2000 THEN 'payload_too_large' ELSE 'ok' END AS verdict, count(*) AS n FROM c GROUP BY 1",
+    "signed_messages": "SELECT conv_id, turn, " + _hmac("role || ':' || turn || ':' || sha256(text)", "key") + " AS signature FROM conversations",
+    "gateway_verdict": "WITH c AS (SELECT *, CASE WHEN turn % 9 = 8 THEN '' ELSE text END AS p, conv_id % 75 - 8 AS age FROM conversations) SELECT CASE WHEN role NOT IN ('user', 'assistant') THEN 'UnknownSender' WHEN turn % 4 = 3 THEN 'TokenExpired' WHEN conv_id % 13 = 5 THEN 'SignatureMismatch' WHEN age > 60 OR age < -5 THEN 'SignatureExpired' WHEN conv_id % 11 = 3 THEN 'SignatureMismatch' WHEN p = '' THEN 'EmptyPayload' WHEN octet_length(encode(p)) > 300 THEN 'PayloadTooLarge' ELSE 'ok' END AS verdict, count(*) AS n FROM c GROUP BY 1",
+    "agent_tokens": "WITH b AS (SELECT c_custkey, 'agent' || c_nationkey || '|' || c_name || '|' || (c_custkey % 100 + 50) AS body FROM customer), t AS (SELECT c_custkey, body, body || '|' || substr(" + _hmac("body", "key") + ", 1, 16) AS made FROM b) SELECT c_custkey, CASE c_custkey % 7 WHEN 1 THEN made || '0' WHEN 2 THEN 'junk' WHEN 3 THEN replace(made, 'agent', 'agenT') ELSE made END AS token, c_custkey % 7 NOT IN (1, 2, 3) AND c_custkey % 100 + 50 > 100 AS valid FROM t",
+    "decoded_text": "SELECT doc_id, sha256(chr(65533) || text || chr(65533)) AS repaired, true AS kept, true AS refused FROM documents",
     "routed_messages": "SELECT CASE WHEN turn % 4 <> 3 THEN role END AS message_type, turn % 4 <> 3 AS accepted, count(*) AS n FROM conversations GROUP BY ALL",
     "json_property": "WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT k % 10 AS digit, count(*) AS n, sum(k) AS total FROM e GROUP BY 1",
 }

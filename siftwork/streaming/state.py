@@ -6,6 +6,7 @@ DataFrame; `collected` runs one to the end of what there is and returns the resu
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pandas as pd
@@ -23,13 +24,36 @@ def events(spark: SparkSession, folder: str, name: str = "events.parquet", files
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all there is and returns what it gave."""
+def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs the stream over all there is and returns what it gave, from files; nothing gathers on the driver.
+
+    In mode `complete` that is the last batch; else all rows, or with `keys` the last row of each."""
     spark = stream.sparkSession
-    name = "t" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/b{number}")
+        written.append(number)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.parquet(*[f"{at}/b{n}" for n in (written[-1:] if mode == "complete" else sorted(set(written)))])
+    if keys and len(set(written)) > 1:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("r")).select(*keys, "r.*")
+    return rows.select(*stream.columns)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one is set where none is, which only a local session may do."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="siftwork-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def tumbling(stream: DataFrame, key: str, width: str, late: str = "10 minutes") -> DataFrame:
