@@ -6,6 +6,7 @@ DataFrame; `collected` runs one to the end of what there is and returns the resu
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one is set where none is, which only a local session may do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="siftwork-")
         spark.conf.set("spark.checkpoint.dir", at)
