@@ -23,7 +23,9 @@ ROWS_TOGETHER = 500
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """`docs`, with the session's Arrow batches kept to ROWS_TOGETHER rows."""
+    """`docs`, with the session's Arrow batches kept to ROWS_TOGETHER rows.
+
+    Plans read this setting when they run, so it stays for the session; a smaller one of the caller's is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(docs.sparkSession.conf.get(key)) <= ROWS_TOGETHER:
         docs.sparkSession.conf.set(key, str(ROWS_TOGETHER))

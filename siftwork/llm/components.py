@@ -9,7 +9,7 @@ from .storage import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). Returns node, label: one label for each component, of every node that has an edge.
+    """edges: a, b (long). Returns node, label: one label for each component, of every node that has an edge, as a written table.
 
     Each round maps every node to the least of itself and its neighbours in a random order and keeps the
     edges between the images; a fixed share of the nodes disappears each round, so the number of rounds
@@ -28,10 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
         discard(current)
         steps.append(step)
         current = after
-    if not steps:
+    if not steps:  # no edges: an empty table, which is read from its own files
         return current.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = steps[-1]
     for step in reversed(steps[:-1]):
         later = out.select(F.col("node").alias("label"), F.col("label").alias("end"))
         out = step.join(later, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+    if len(steps) > 1:
+        out = saved(out)
+        discard(*steps)
+    discard(current)
     return out

@@ -358,7 +358,7 @@ def find_groups(images: DataFrame) -> DataFrame:
         close = star_matches(index, labels, seed) if seed < ROUNDS else matches(index, labels)
         found = saved(agreed(close, numbers).select(F.col("q").alias("a"), F.col("no").alias("b")))
         links = found if links is None else links.union(found)
-        labels = saved(components(links))
+        labels = components(links)
     least = named.groupBy("class").agg(F.min("image_id").alias("class_id"), F.count("*").alias("members"))
     of = labels.select(F.col("node").alias("no"), "label")
     known = saved(least.join(numbers, "class", "left").join(of, "no", "left"))

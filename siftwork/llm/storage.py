@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is (single machine, tests)."""
+    """The session's shared folder. Where none is set, a local session gets a temporary one; a cluster has to set its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="siftwork-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
