@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, fold, record, sampled, table
 
-#: Bounds of what is learned: sampled rows of a language, characters of each, bytes of a dictionary.
+#: Bounds of what is learned: sampled rows of a language, characters of an excerpt of each, bytes of a dictionary.
 SAMPLE_ROWS, EXCERPT, DICTIONARY = 400, 600, 96_000
 BLOCK = 65_536
 LETTER = re.compile(r"[^\W\d_]")
@@ -31,7 +31,9 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score"
 def learn(docs: DataFrame, label: str = "lang", size: int = DICTIONARY) -> dict[str, bytes]:
     """One raw dictionary a language, from a bounded sample of labelled rows (see SAMPLE_ROWS)."""
     some = sampled(docs.where(F.length("text") > 0), label, SAMPLE_ROWS)
-    rows = some.select("doc_id", F.substring("text", 1, EXCERPT), label).collect()
+    # an excerpt begins anywhere in its text, by a hash, and not always at its beginning
+    start = 1 + F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - EXCERPT + 1, F.lit(1)))
+    rows = some.select("doc_id", F.substr("text", start.cast("int"), F.lit(EXCERPT)), label).collect()
     texts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (str(r[2]), hash_key(r[1]))):
         if LETTER.search(r[1]):
