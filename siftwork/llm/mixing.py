@@ -12,7 +12,8 @@ documents of that digit are looked at again.
 
 Defined cases: null domain, lang and source count as 'unknown'; null texts have no tokens and are taken
 when their place in the order comes before the budget's end; empty tables give empty results; rows of equal doc_id stand in the
-order at one place and are told apart by a hash of their text. Other columns are carried along untouched.
+order at one place and are told apart by a hash of their text. Other columns are carried along untouched,
+whatever their names; only columns called like the three added ones give way to them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .storage import saved
 
-LEVELS = ("domain", "lang", "source")
+LEVELS, ADDED = ("domain", "lang", "source"), ("mix_domain", "mix_tokens", "mix_epoch")
 #: More leaves than this are refused, as a row for each goes to the driver.
 MOST_LEAVES = 200_000
 DIGIT = 12
@@ -87,19 +88,34 @@ def budgets(leaves: dict[tuple, int], total: int, epochs: int, weights: dict[tup
     return out
 
 
+def weights_of(targets: DataFrame) -> dict[tuple, float]:
+    """Weights by path prefix from a table (domain, lang, source, weight); a null ends the prefix. Negative and null weights are refused."""
+    rows = targets.select(*LEVELS, "weight").limit(2 * MOST_LEAVES + 1).collect()  # as many as there may be nodes
+    if len(rows) > 2 * MOST_LEAVES:
+        raise ValueError(f"more than {2 * MOST_LEAVES} weights")
+    out: dict[tuple, float] = {}
+    for *path, weight in rows:
+        while path and path[-1] is None:
+            path.pop()
+        if None in path or weight is None or not weight >= 0:
+            raise ValueError(f"no weight: {path}, {weight}")
+        out[tuple(path)] = float(weight)
+    return out
+
+
 def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tuple, float] | None = None, seed: int = 17, domain: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """The rows of `docs` taken, with domain, tokens and epoch (0, 1, ...) added as mix_domain, mix_tokens, mix_epoch.
 
     The budget is `share` of all tokens; a row comes once for each epoch that takes it. Only `columns` of `docs`
     are returned (default: all), and only they are written to the table from which the budgets are counted."""
-    columns = columns or docs.columns
-    known = F.coalesce
-    keyed = docs.withColumn("mix_domain", known(domain if domain is not None else domain_of(F.col("source")), F.lit("unknown"))).withColumn("mix_tokens", tokens(F.col("text")))
-    keyed = keyed.withColumn("mix_lang", known("lang", F.lit("unknown"))).withColumn("mix_source", known("source", F.lit("unknown")))
+    columns = [c for c in columns or docs.columns if c not in ADDED]
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
     leaf = ["mix_domain", "mix_lang", "mix_source"]
-    keyed = keyed.withColumns({"mix_id": F.col("doc_id"), "mix_tie": F.xxhash64("text")})
-    # texts are counted once; what follows reads the counts only, and at the end the columns of the rows taken
-    keyed = saved(keyed.select(*columns, *leaf, "mix_tokens", "mix_id", "mix_tie"))
+    path = [known(domain if domain is not None else domain_of(F.col("source"))), known(F.col("lang")), known(F.col("source"))]
+    # texts are counted once; what follows reads the counts only, and at the end the columns of the rows taken,
+    # which travel in one struct so that their names meet no others
+    row = F.struct(*columns) if columns else F.lit(True)
+    keyed = saved(docs.select(row.alias("mix_row"), *(p.alias(k) for k, p in zip(leaf, path)), tokens(F.col("text")).alias("mix_tokens"), F.col("doc_id").alias("mix_id"), F.xxhash64("text").alias("mix_tie")))
     found = keyed.groupBy(*leaf).agg(F.sum("mix_tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(found) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
@@ -119,21 +135,25 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 2, weights: dict[tupl
         totals = part.groupBy(*leaf, "mix_rest", digit.alias("d")).agg(F.sum("mix_tokens").alias("n"))
         totals = totals.withColumn("upto", F.sum("n").over(Window.partitionBy(*leaf).orderBy("d")))
         # the digit at which the running total passes the budget, and the total before it
-        ends = totals.where("upto > mix_rest").groupBy(*leaf).agg(F.min(F.struct("d", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-        part = part.join(F.broadcast(ends), leaf, "left").withColumn("mix_d", digit)
-        out.append(part.where("e IS NULL OR mix_d < e.d").drop("e", "mix_d"))
-        part = part.where("mix_d = e.d").withColumn("mix_rest", F.col("mix_rest") - F.col("e.before")).drop("e", "mix_d")
+        ends = totals.where("upto > mix_rest").groupBy(*leaf).agg(F.min(F.struct("d", (F.col("upto") - F.col("n")).alias("before"))).alias("mix_end"))
+        part = part.join(F.broadcast(ends), leaf, "left").withColumn("mix_d", digit)  # at most a row a leaf
+        out.append(part.where("mix_end IS NULL OR mix_d < mix_end.d").drop("mix_end", "mix_d"))
+        part = part.where("mix_d = mix_end.d").withColumn("mix_rest", F.col("mix_rest") - F.col("mix_end.before")).drop("mix_end", "mix_d")
     running = F.sum("mix_tokens").over(Window.partitionBy(*leaf).orderBy("mix_order", "mix_id", "mix_tie").rowsBetween(Window.unboundedPreceding, 0))
-    out.append(part.withColumn("upto", running).where("upto <= mix_rest").drop("upto"))
-    cols = [*columns, "mix_domain", "mix_tokens", "mix_epoch"]
-    result = out[0].select(*cols)
+    out.append(part.withColumn("mix_upto", running).where("mix_upto <= mix_rest").drop("mix_upto"))
+    result = out[0].select("mix_row", *ADDED)
     for o in out[1:]:
-        result = result.union(o.select(*cols))
-    return result
+        result = result.union(o.select("mix_row", *ADDED))
+    return result.select(*(F.col("mix_row").getField(c).alias(c) for c in columns), *ADDED)
+
+
+#: Targets of the query: domains, and English against the other languages of each; a leaf not named weighs 1.
+TARGETS = [(f"domain{i}", None, None, w) for i, w in enumerate((4.0, 3.0, 2.0, 1.0))] + [(f"domain{i}", "en", None, 2.0) for i in range(4)]
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mix(table(spark, sf_dir, "documents"), columns=["doc_id", "lang", "source"])
+    targets = weights_of(spark.createDataFrame(TARGETS, "domain string, lang string, source string, weight double"))
+    taken = mix(table(spark, sf_dir, "documents"), weights=targets, columns=["doc_id", "lang", "source"])
     return taken.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
 
 

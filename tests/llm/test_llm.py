@@ -510,6 +510,26 @@ def test_mixing_takes_the_prefix(spark):
     assert {(r.doc_id, r.mix_epoch) for r in rows} == want
 
 
+def test_mixing_meets_target_weights(spark):
+    """Leaf totals near their weights where no leaf is short, and names that clash with inner ones."""
+    rng = random.Random(21)
+    rows = [(i, "w " * rng.randint(1, 20), ["en", "fr"][i % 2], f"s{i % 5}", "x", 1, "y", 2, 3, 4) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, e string, upto int, mix_domain string, mix_row int, n int, d int")
+    targets = spark.createDataFrame([("domain0", None, None, 3.0), ("domain0", "en", None, 2.0), ("domain0", "fr", None, 1.0)], "domain string, lang string, source string, weight double")
+    weights = mixing.weights_of(targets)
+    assert weights == {("domain0",): 3.0, ("domain0", "en"): 2.0, ("domain0", "fr"): 1.0}
+    where = F.when(F.col("source").isin("s0", "s1"), "domain0").otherwise("domain1")
+    got = mixing.mix(d, 0.3, 1, weights, domain=where)
+    assert got.columns == ["doc_id", "text", "lang", "source", "e", "upto", "mix_row", "n", "d", "mix_domain", "mix_tokens", "mix_epoch"]
+    assert {(r.e, r.upto, r.mix_row, r.n, r.d) for r in got.select("e", "upto", "mix_row", "n", "d").distinct().collect()} == {("x", 1, 2, 3, 4)}
+    total = sum(len(r[1].split()) for r in rows) * 0.3
+    sums = {(r.mix_domain, r.lang): r.t for r in got.groupBy("mix_domain", "lang").agg(F.sum("mix_tokens").alias("t")).collect()}
+    want = {("domain0", "en"): total * 3 / 4 * 2 / 3, ("domain0", "fr"): total * 3 / 4 / 3, ("domain1", "en"): total / 8, ("domain1", "fr"): total / 8}
+    assert all(abs(sums[k] - v) < 60 for k, v in want.items()), (sums, want)
+    with pytest.raises(ValueError):
+        mixing.weights_of(spark.createDataFrame([("a", None, "b", 1.0)], "domain string, lang string, source string, weight double"))
+
+
 def test_media_finds_edited_copies(spark):
     rng = np.random.default_rng(9)
     pictures, rows = [], []
