@@ -9,8 +9,11 @@
 4. Trees. Each block gets a signature tree: leaves of sets in size order, nodes with OR-combined token
    bitmaps and size ranges. A dual traversal drops node pairs whose greatest possible overlap is too
    small for the similarity, and the remaining pairs are compared exactly; pairs connected already
-   are passed over. A block with more than BLOCK sets is dealt to several trees in size order, and each
-   pair of trees that their size ranges allow is traversed in a task of its own.
+   are passed over. A block with more than BLOCK sets or BYTES bytes of them is dealt to several trees in
+   size order (sets of one size by hash), and each pair of trees that their size ranges allow is traversed
+   in a task of its own.
+5. Components. Only sets that stand for others are linked; their copies follow their owner, so a
+   group of thousands of copies is one node.
 
 Every link between different sets that is not implied by links
 already found is kept, so components are exact.
@@ -25,19 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import Exchange, groups, meet, parts
 from .common import table
 from .components import components
 from .hashing import U, Words, grams, prefix, spans
-from .storage import discard, saved
+from .storage import saved
 
 WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM / DEN
-BLOCK, LEAF, FAN, BITS = 2_048, 8, 8, 4_096
+BLOCK, BYTES, LEAF, FAN, BITS = 2_048, 8 << 20, 8, 8, 4_096
 REST, SEVERAL = (1 << 31) - 1, 1 << 31
-SETS, STARS, COPIES, ALL = range(4)
+SETS, STARS, ALL = range(3)
 
 
 class Sets:
@@ -87,6 +90,13 @@ def shared(n):
 
 def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (a, b): links that connect exactly the linked documents."""
+    every, links = owned_sets(docs, words, block)
+    copies = every.where("owner <> doc_id").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
+    return every.drop("owner"), links.union(copies)
+
+
+def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners."""
     x = Exchange(docs)
     buckets = x.buckets
 
@@ -171,12 +181,11 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
         s = Sets(texts, words)
         who = np.array([-1 if i is None else i for i in ids], np.int64)
         none = np.array([i is None for i in ids], bool)
-        note = lambda kind: -1 - (chunk * 4 + kind)
-        yield note(ALL), np.column_stack([who, s.n, none]).astype(np.int64).tobytes()
+        note = lambda kind: -1 - (chunk * 3 + kind)
         own = owners(s, ids, got.pop(-1 - chunk, b""))
         stands = standing(s, ids, own)
-        copy = [(d, o) for d, o, n in zip(ids, own, s.n.tolist()) if n and d is not None and o is not None and d != o]
-        yield note(COPIES), np.array(copy, np.int64).tobytes()
+        owner = np.array([d if not n or o is None else o for d, o, n in zip(who.tolist(), own, s.n.tolist())], np.int64)
+        yield note(ALL), np.column_stack([who, s.n, none, owner]).astype(np.int64).tobytes()
         h, n, order, g = tokens(s, stands)
         df = np.ones(len(h), np.int64)
         for b, i, j in parts(h, buckets):
@@ -219,14 +228,13 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
 
     owned = meet(x.first(send_sets), own_sets)
     notes = saved(x.again(meet(x.again(owned, send_tokens), count), send_blocks))
-    kind = F.pmod(-1 - F.col("key"), F.lit(4))
+    kind = F.pmod(-1 - F.col("key"), F.lit(3))
     of = lambda k: notes.where((F.col("key") < 0) & (kind == k)).select("payload")
     sets = of(SETS).mapInArrow(_sets, "doc_id long, n int, hashes binary")
     # only the shingles of the stars move again; the sets wait where they were written
     stars = of(STARS).union(meet(notes.where("key >= 0"), connect).select("payload"))
-    blocks = saved(components(stars.mapInArrow(_pairs, "a long, b long").distinct()))
-    links = _trees(sets, blocks, words, block).union(of(COPIES).mapInArrow(_pairs, "a long, b long"))
-    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long"), links
+    blocks = components(stars.mapInArrow(_pairs, "a long, b long").distinct())
+    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block)
 
 
 def _pairs(it):
@@ -239,8 +247,8 @@ def _pairs(it):
 def _all(it):
     for b in it:
         for p in b.column(0).to_pylist():
-            m = np.frombuffer(p, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0], mask=m[:, 2] > 0), pa.array(m[:, 1])], names=["doc_id", "n_shingles"])
+            m = np.frombuffer(p, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0], mask=m[:, 2] > 0), pa.array(m[:, 1]), pa.array(m[:, 3], mask=m[:, 2] > 0)], names=["doc_id", "n_shingles", "owner"])
 
 
 def _sets(it):
@@ -256,27 +264,31 @@ def _sets(it):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], names=["doc_id", "n", "hashes"])
 
 
-def _trees(sets: DataFrame, blocks: DataFrame, words: int, block: int) -> DataFrame:
+def _trees(sets: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
     """Links found by the trees of all blocks."""
     # the labels grow with the input: never broadcast, so that the plan is the same at every size
     placed = sets.join(blocks.select(F.col("node").alias("doc_id"), F.col("label").alias("block")).hint("merge"), "doc_id")
-    # size classes: blocks over `block` sets are cut between set sizes, by counts of sizes (not of rows)
-    sizes = saved(placed.groupBy("block", "n").agg(F.count("*").alias("m"), F.sum(F.length("hashes")).alias("bytes")))
+    # a row for each size of set in a block, with what comes before it in size order, in units of one tree
+    share = F.greatest(F.sum(F.lit(1.0 / block)), F.sum(F.length("hashes") / F.lit(float(BYTES))))
+    sizes = saved(placed.groupBy("block", "n").agg(share.alias("share"), F.sum(F.length("hashes")).alias("bytes")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    bins = int(total // (8 << 20)) + 1
-    large = sizes.groupBy("block").agg(F.sum("m").alias("m")).where(F.col("m") > block)
-    small = placed.join(large.select("block"), "block", "left_anti")
-    alone = small.select(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("task"), "block", F.lit(0).alias("side"), "doc_id", "hashes")
-    wide = placed.join(large, "block")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = wide.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    # part i meets part j in the task of (i, j), i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    grid = own.withColumn("j", other).select(
-        F.xxhash64("block", F.least("part", "j"), F.greatest("part", "j")).alias("task"), F.xxhash64("block", F.least("part", "j"), F.greatest("part", "j")).alias("block"),
-        (F.col("part") > F.col("j")).cast("int").alias("side"), F.when(F.col("part") == F.col("j"), True).otherwise(False).alias("same"), "doc_id", "hashes",
-    )
-    alone = alone.select("task", "block", "side", F.lit(True).alias("same"), "doc_id", "hashes")
+    bins = int(total // BYTES) + 1
+    large = sizes.groupBy("block").agg(F.sum("share").alias("s")).where(F.col("s") > 1).select("block")
+    small = placed.join(large, "block", "left_anti")
+    alone = small.select(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("task"), "block", F.lit(0).alias("side"), F.lit(True).alias("same"), "doc_id", "hashes")
+    before = F.sum("share").over(Window.partitionBy("block").orderBy("n")) - F.col("share")
+    # sizes that share a tree have its number; one that fills several gets them to itself, by hash
+    cut = sizes.join(large, "block").withColumn("first", F.floor(before).cast("int"))
+    cut = cut.withColumn("trees", F.greatest(F.floor(before + F.col("share")).cast("int") - F.col("first"), F.lit(1))).select("block", "n", "first", "trees")
+    dealt = placed.join(cut, ["block", "n"]).withColumn("part", F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int"))
+    # trees with their size ranges, and the pairs of them that may hold linked sets; a row a tree, not a set
+    trees = cut.select("block", "n", F.explode(F.sequence("first", F.col("first") + F.col("trees") - 1)).alias("part")).groupBy("block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = trees.select("block", F.col("part").alias("j"), F.col("low").alias("j_low"), F.col("high").alias("j_high"))
+    near = trees.join(other, "block").where((F.col("part") <= F.col("j")) & (F.col("high") * DEN >= F.col("j_low") * NUM) & (F.col("j_high") * DEN >= F.col("low") * NUM))
+    met = near.select("block", "part", "j")
+    met = met.select("block", "part", F.col("part").alias("i"), "j", F.lit(0).alias("side")).union(met.where("part < j").select("block", F.col("j").alias("part"), F.col("part").alias("i"), "j", F.lit(1).alias("side")))
+    pair = F.xxhash64("block", "i", "j")
+    grid = dealt.join(met, ["block", "part"]).select(pair.alias("task"), pair.alias("block"), "side", (F.col("i") == F.col("j")).alias("same"), "doc_id", "hashes")
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(k).to_pylist() for k in ("block", "side", "doc_id", "hashes", "same"))), key=lambda r: r[:3])
@@ -370,11 +382,12 @@ def dual_join(one: list, two: list):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
-    every, links = join_sets(docs, words)
-    labels = saved(components(saved(links)))
+    every, links = owned_sets(docs, words)
+    labels = components(links)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    of = labels.join(least, "label").select(F.col("node").alias("doc_id"), "component_id")
-    return every.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = labels.join(least, "label").select(F.col("node").alias("owner"), "component_id")
+    # an owner is the least of its copies, so the least owner is the least of all
+    return every.join(of, "owner", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "owner").alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,29 @@ def test_jaccard_matches_brute_force(spark, docs, block):
     assert len({c for _, c in want}) < len(want) - 8 and got == dict(enumerate(want))
 
 
+def test_jaccard_dense_blocks(spark, monkeypatch):
+    """Large groups of near copies of one and of several sizes, dealt to trees by number and by bytes."""
+    rng = random.Random(22)
+    texts = []
+    for size in (30, 60, 61, 200):
+        base = [f"w{size}x{k}" for k in range(size)]
+        for _ in range(12):
+            w = list(base)
+            w[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: size - rng.randrange(3)]))
+        texts.append(" ".join(base))
+    want = brute_components(texts)
+    for block, size in ((3, 8 << 20), (2048, 3000), (5, 900)):
+        monkeypatch.setattr(jaccard, "BYTES", size)
+        every, links = jaccard.join_sets(frame(spark, texts), block=block)
+        least: dict = {}
+        rows = components.components(links).collect()
+        for r in rows:
+            least[r.label] = min(r.node, least.get(r.label, r.node))
+        label = {r.node: least[r.label] for r in rows}
+        assert {r.doc_id: (r.n_shingles, label.get(r.doc_id, r.doc_id)) for r in every.collect()} == dict(enumerate(want))
+
+
 def test_jaccard_over_many_chunks(docs, monkeypatch):
     monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (500, 2000, ()))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
