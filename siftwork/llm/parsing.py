@@ -5,8 +5,9 @@ name by deterministic coin tossing (twice the lowest bit in which it differs fro
 that bit's value; three times over, which leaves six labels of which neighbours differ), begins a phrase at
 each local maximum of the labels, and names the phrases by their content. A phrase depends on a few names
 around it only, so equal substrings get equal names away from their ends, at every round and wherever they
-stand. The fingerprint is the SKETCH least of the names of all rounds from the second on (for short texts:
-from an earlier one); likeness is the share of equal names in the least of both.
+stand. The fingerprint is the SKETCH least of the names of the rounds from LONG on, to which short texts add
+those of the earlier rounds, marked as such; likeness is the share of equal names in the least of both, and
+leaves the marked ones out unless both texts are short.
 
 Defined cases: null text is empty; the fingerprint of an empty text is empty, like only other empty ones
 (1.0). The document after the last is the first; with one row it is that row itself. Rows of equal doc_id
@@ -21,62 +22,77 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import groups
 from .common import table
-from .hashing import U, mix, prefix, spans
+from .hashing import BASE, U, mix, prefix, spans
 
 SKETCH, ROUNDS, PART = 64, 7, 8 << 20
+LONG, SHORT, EARLY = 2, 48, 1 << 31
+#: Bounds of what the driver holds: ids of parts, and ranges from which they are found.
+MOST_PARTS, COARSE = 1 << 20, 512
 TOGETHER = 1 << 19  # code points parsed together
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+def firsts(doc: np.ndarray) -> np.ndarray:
+    """Whether a name is the first of its text."""
+    out = np.ones(len(doc), bool)
+    np.not_equal(doc[1:], doc[:-1], out=out[1:])
+    return out
+
+
 def toss(v: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """One round of coin tossing; head marks the first name of each text."""
-    before = np.concatenate([v[:1], v[:-1]])
-    before = np.where(head, ~v, before)
-    differ = v ^ before
-    low = differ & (~differ + U(1))
-    return (np.bitwise_count(low - U(1)).astype(U) << U(1)) | (v & low != 0).astype(U)
+    """One round of coin tossing: labels of one byte; head marks the first name of each text."""
+    differ = np.empty_like(v)
+    differ[1:] = v[1:] ^ v[:-1]
+    differ[head] = ~v.dtype.type(0)
+    low = differ & np.negative(differ)
+    return (np.bitwise_count(low - v.dtype.type(1)) << np.uint8(1)) | ((v & low) != 0)
 
 
 def phrases(v: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The next round's names and their texts."""
-    head = np.concatenate([[True], doc[1:] != doc[:-1]])
-    at = np.flatnonzero(head | np.concatenate([[True], v[1:] != v[:-1]]))
+    new = firsts(doc)
+    new[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(v)))
-    v, doc = np.where(n > 1, mix(v[at] + n.astype(U)), v[at]), doc[at]
-    head = np.concatenate([[True], doc[1:] != doc[:-1]])
-    label = toss(toss(toss(v, head), head), head).astype(np.int8)
-    left = np.where(head, -1, np.concatenate([[-1], label[:-1]]))
-    tail = np.concatenate([head[1:], [True]])
-    right = np.where(tail, 127, np.concatenate([label[1:], [127]]))
-    begin = np.flatnonzero(head | ((label > left) & (label > right)))
+    v, doc = v[at], doc[at]
+    runs = np.flatnonzero(n > 1)
+    v[runs] = mix(v[runs] + n[runs].astype(U))
+    head = firsts(doc)
+    # the upper half of a name is enough to tell it from its neighbour; where it is not, the labels still follow the text
+    label = toss(toss(toss((v >> U(32)).astype(np.uint32), head), head), head).astype(np.int8)
+    begin = head.copy()
+    peak = begin[1:-1]
+    peak |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~head[2:]
+    begin = np.flatnonzero(begin)
     return spans(prefix(v), begin, np.append(begin[1:], len(v))), doc[begin]
 
 
 def sketches(codes: list[np.ndarray]) -> list[np.ndarray]:
-    """For each sequence of code points its SKETCH least phrase names, ascending."""
+    """For each sequence of code points its SKETCH least phrase names, ascending.
+
+    Names of the rounds from LONG on have a clear top bit. Texts below SHORT code points have the names of the earlier
+    rounds too, with the bit set."""
     size = np.array([len(c) for c in codes], np.int64)
-    doc = np.repeat(np.arange(len(codes)), size)
+    doc = np.repeat(np.arange(len(codes), dtype=np.int32), size)
     if not len(doc):
         return [np.zeros(0, np.uint32)] * len(codes)
-    v = mix(np.concatenate(codes).astype(U) + U(1))
-    since = np.where(size >= 48, 2, np.where(size >= 6, 1, 0))
+    v = (np.concatenate(codes).astype(U) + U(1)) * U(BASE)
+    short = size < SHORT
     names, owners = [], []
     for k in range(ROUNDS):
-        use = since[doc] <= k
-        names.append((mix(v[use] ^ U(k)) >> U(32)).astype(np.uint32))
-        owners.append(doc[use])
+        w, d = (v, doc) if k >= LONG else (v[short[doc]], doc[short[doc]]) if short.any() else (v[:0], doc[:0])
+        names.append((mix(w ^ U(k)) >> U(33)).astype(np.uint32) | np.uint32(0 if k >= LONG else EARLY))
+        owners.append(d)
         if k + 1 < ROUNDS:
             v, doc = phrases(v, doc)
     v, doc = np.concatenate(names), np.concatenate(owners)
-    order = np.lexsort((v, doc))
-    v, doc = v[order], doc[order]
-    new = np.concatenate([[True], (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])])
-    v, doc = v[new], doc[new]
+    both = np.unique((doc.astype(U) << U(32)) | v)
+    v, doc = (both & U((1 << 32) - 1)).astype(np.uint32), (both >> U(32)).astype(np.int64)
     at = groups(doc)
     out = [np.zeros(0, np.uint32)] * len(codes)
     for i, a, z in zip(doc[at].tolist(), at.tolist(), [*at[1:].tolist(), len(doc)]):
@@ -85,9 +101,11 @@ def sketches(codes: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common phrases, 0 to 1."""
+    """Estimated share of common phrases, 0 to 1. The early rounds' names count only if both have them."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if (a[-1] < EARLY) != (b[-1] < EARLY):
+        a, b = a[a < EARLY], b[b < EARLY]
     both = np.union1d(a, b)[:SKETCH]
     return float(np.isin(both, np.intersect1d(a, b)).mean())
 
@@ -96,23 +114,43 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def part_edges(keyed: DataFrame) -> list[int]:
+    """The least id of each part, ascending: parts hold about PART bytes of texts next to each other in the order of ids.
+
+    At most MOST_PARTS ids; with more text than they hold at PART bytes, parts are larger."""
+    size = keyed.agg(F.sum(F.octet_length("text")), F.min("at"), F.count("*")).first()
+    if not size[2]:
+        return []
+    part = max(PART, (size[0] or 0) // MOST_PARTS + 1)
+    if (size[0] or 0) <= part:
+        return [size[1]]
+    # running totals: first of coarse ranges, which are few, then within each
+    coarse = min(COARSE, size[0] // part + 1)
+    quantiles = sorted(set(keyed.approxQuantile("at", [i / coarse for i in range(1, coarse)], 0.1 / coarse)))
+    # approxQuantile gives doubles: any ascending numbers will do as bounds of ranges
+    bounds = F.array(*(F.lit(float(q)) for q in quantiles)) if quantiles else F.array().cast("array<double>")
+    sized = keyed.select("at", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).withColumn("range", F.size(F.filter(bounds, lambda q: q < F.col("at").cast("double"))))
+    totals = sized.groupBy("range").agg(F.sum("b").alias("n")).withColumn("offset", F.sum("n").over(Window.orderBy("range")) - F.col("n"))  # at most COARSE rows
+    running = sized.join(F.broadcast(totals.select("range", "offset")), "range")
+    before = F.sum("b").over(Window.partitionBy("range").orderBy("at")) - F.col("b") + F.col("offset")
+    firsts = running.withColumn("part", F.floor(before / F.lit(part))).groupBy("part").agg(F.min("at").alias("at"))
+    return sorted({size[1], *(r[0] for r in firsts.select("at").collect())})
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The columns of SCHEMA for every row: its fingerprint and that of the text with its last quarter exchanged
     for the beginning of the next document, in the order of doc_id."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(size // PART) + 1
-    edges = np.unique(keyed.approxQuantile("at", [i / parts for i in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
+    heads = part_edges(keyed)
+    edges = np.array(heads[1:], np.int64)
 
     @F.pandas_udf("long")
     def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left"))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right"))
 
     dealt = keyed.withColumn("part", part_of("at"))
-    # the least id of each part, a row a part: its document also goes to the part before
-    heads = sorted((r[0], r[1]) for r in keyed.select("at").withColumn("part", part_of("at")).groupBy("part").agg(F.min("at")).collect())
-    before = {h: heads[i - 1][0] for i, (_, h) in enumerate(heads)}
-    extra = keyed.sparkSession.createDataFrame([(h, p) for h, p in before.items()], "at long, to long")
+    # the document of each part's least id also goes to the part before; at most MOST_PARTS rows
+    extra = keyed.sparkSession.createDataFrame([(h, (i or len(heads)) - 1) for i, h in enumerate(heads)], "at long, to long")
     again = keyed.join(F.broadcast(extra), "at").select("doc_id", "text", "at", F.col("to").alias("part"), F.lit(True).alias("next"))
 
     def run(t: pa.Table) -> pa.Table:

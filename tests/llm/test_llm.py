@@ -331,6 +331,67 @@ def test_fingerprints_over_parts(docs, monkeypatch):
     assert {r.doc_id: tuple(r) for r in parsing.fingerprints(docs).collect()} == whole
 
 
+def brute_phrases(names):
+    """One round on one sequence, name by name."""
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    one = lambda x: int(hashing.mix(np.array([x], np.uint64))[0])
+    v = [one((x + n) % (1 << 64)) if n > 1 else x for x, n in runs]
+    labels, bits = [x >> 32 for x in v], 32
+    for _ in range(3):
+        out = []
+        for i, x in enumerate(labels):
+            differ = x ^ labels[i - 1] if i else (1 << bits) - 1
+            low = next((j for j in range(bits) if differ >> j & 1), None)
+            out.append((2 * low + (x >> low & 1)) if low is not None else 2 * bits)
+        labels, bits = out, 8
+    begin = [i for i in range(len(v)) if i == 0 or i < len(v) - 1 and labels[i] > labels[i - 1] and labels[i] > labels[i + 1]]
+    return [int(hashing.spans(hashing.prefix(np.array(v[a:z], np.uint64)), np.array([0]), np.array([z - a]))[0]) for a, z in zip(begin, [*begin[1:], len(v)])]
+
+
+def test_sketches_equal_brute_force():
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("aab cdé\n🙂") for _ in range(n)) for n in [0, 1, 2, 3, 5, 6, 7, 30, 47, 48, 49, 100, 400, 3000] for _ in range(3)]
+    got = parsing.sketches([parsing.code_points(t) for t in texts])
+    for t, mine in zip(texts, got):
+        v = [(ord(c) + 1) * hashing.BASE % (1 << 64) for c in t]
+        names = set()
+        for k in range(parsing.ROUNDS):
+            if v and (k >= parsing.LONG or len(t) < parsing.SHORT):
+                names |= {int(hashing.mix(np.array([x ^ k], np.uint64))[0]) >> 33 | (0 if k >= parsing.LONG else parsing.EARLY) for x in v}
+            v = brute_phrases(v) if v else v
+        assert mine.tolist() == sorted(names)[: parsing.SKETCH]
+
+
+def test_likeness_of_short_texts():
+    """No step where texts begin to count as long."""
+    rng = random.Random(24)
+    for _ in range(20):
+        t = "".join(rng.choice("abcdefgh ") for _ in range(60))
+        a, b, c = parsing.sketches([parsing.code_points(x) for x in (t[:47], t[:48], t[:49])])
+        assert abs(parsing.likeness(a, b) - parsing.likeness(b, c)) < 0.75 and parsing.likeness(a, b) > 0
+        assert parsing.likeness(a, a) == parsing.likeness(b, b) == 1
+
+
+def test_parts_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(parsing, "PART", 1000)
+    rows = [(i, "x" * (900 if i % 50 == 0 else 20)) for i in range(500)] + [(None, "y" * 50), (None, None), (7, "z" * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    edges = parsing.part_edges(d)
+    sums = [0] * len(edges)
+    for i, t in rows:
+        at = -(1 << 63) if i is None else i
+        sums[int(np.searchsorted(np.array(edges[1:]), at, side="right"))] += len(t or "")
+    assert edges[0] == -(1 << 63) and len(edges) > 15 and max(sums) <= 2000
+    monkeypatch.setattr(parsing, "MOST_PARTS", 4)
+    assert len(parsing.part_edges(d)) <= 5
+    assert parsing.part_edges(d.limit(0)) == []
+
+
 def test_phrases_do_not_depend_on_offset():
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefghij klm") for _ in range(3000))
