@@ -565,6 +565,46 @@ def test_licenses_are_told_apart(spark):
     assert got == list(enumerate(known.values())) + [(i + len(known) + len(unknown), k) for i, k in enumerate(t)]
 
 
+def test_licenses_recall_in_long_lines(spark):
+    """Every template, whole and slightly changed, somewhere in lines of 10,000 words; and none where there is none."""
+    rng = random.Random(25)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)] + "the of under mit licensed license general software any version public".split()
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts, want = [], []
+    for k, v in licenses.TEMPLATES.items():
+        words = v.split()
+        changed = [w for w in words if rng.random() > 0.06 or licenses.names(licenses.plain(licenses.WORD.findall(w.lower() + "x")[0][:-1] or "x"), words) or len(words) < 12]
+        for t in (v, " ".join(changed)):
+            texts.append(f"{prose(rng.randint(1, 5000))} {t} {prose(rng.randint(1, 5000))}")
+            want.append(k)
+    texts += [prose(10_000) for _ in range(5)]
+    got = [(r.doc_id, r.license) for r in licenses.scan(frame(spark, texts)).collect()]
+    hit = sum((i, k) in set(got) for i, k in enumerate(want))
+    assert hit >= 0.9 * len(want), (hit, len(want))
+    assert sum(i >= len(want) for i, _ in got) == 0
+
+
+def test_seeds_are_in_every_block():
+    """Whatever words a confirmed block lacks, it has a seed of its template."""
+    rng = random.Random(26)
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for k, own in s.words.items():
+        mine = licenses.seeds(own)
+        for _ in range(30):
+            block = [w for w in own if rng.random() > rng.choice((0.1, 0.3, 0.5))]
+            alike, missing, added = s.difference(" ".join(block), k)
+            if alike >= licenses.MIN_ALIKE and not s.other(k, missing, added):
+                assert mine & set(block), (k, block)
+
+
+def test_licenses_of_odd_rows(spark):
+    t = licenses.TEMPLATES["MIT"]
+    rows = [(1, t, "x", 1), (1, t, "x", 1), (None, f"{t} {t}", "x", 1), (2, None, None, None), (3, "", "x", 1), (4, "x" * 1_000_000 + " " + t, "x", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, license string, start int")
+    got = sorted((str(r.doc_id), r.license) for r in licenses.scan(d).collect())
+    assert got == [("1", "MIT"), ("1", "MIT"), ("4", "MIT"), ("None", "MIT"), ("None", "MIT")]
+
+
 def test_shortages_go_to_siblings_first():
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("b", "y", "3"): 1000}
     got = mixing.budgets(leaves, 600, 1)
