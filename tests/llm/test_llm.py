@@ -857,3 +857,35 @@ def test_parts_of_the_hash_space():
         h = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
         got = list(chunks.parts(h, buckets))
         assert [x for b, i, j in got for x in [b] * (j - i)] == [int(x) * buckets >> 64 for x in h] and all(i < j for _, i, j in got)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Ties, repeated and null ids, null columns, clashing names and a very long text."""
+    t = " ".join(f"w{i % 977}" for i in range(120_000))
+    rows = [(1, t), (1, t), (2, t[:4000]), (3, ""), (4, None), (None, t[:4000]), (None, None), (5, " \n"), (6, "one two three"), (6, "four five")]
+    extra = "chunk string, key string, kept string, score string, n string, part string, block string, owner string, c0 string, at string, cell string, range string"
+    return spark.createDataFrame([(i, x, None, None, None, *["z"] * 12) for i, x in rows], SCHEMA + ", " + extra), rows
+
+
+def test_odd_rows_of_every_operator(odd):
+    d, rows = odd
+    ids = sorted(str(i) for i, _ in rows)
+    same = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect()) == ids
+    for df in (langid.identify(d, langid.learn(d)), parsing.fingerprints(d), suffixes.remove_repeats(d), jaccard.near_duplicates(d), substrings.remove_repeats(d), mixing.mix(d, 1.0, 1), toxicity.score(d, toxicity.Grammar({}))):
+        assert same(df)
+    assert {str(r.doc_id) for r in packing.pieces(d).select("doc_id").collect()} == set(ids)
+    parts = {(str(r.doc_id), r.n_shingles): r.component_id for r in jaccard.near_duplicates(d).collect()}
+    assert parts[("1", 977)] == 1 and parts[("3", 0)] == 3 and parts[("6", 1)] == 6 and parts[("None", 0)] is None
+    kept = sorted((str(r.doc_id), r.n_removed > 0) for r in substrings.remove_repeats(d).collect())
+    assert ("1", True) not in kept and ("2", True) in kept and ("None", True) in kept  # rows of one id do not remove from each other
+    prints = [r for r in parsing.fingerprints(d).collect() if r.doc_id == 1]
+    assert prints[0].fingerprint == prints[1].fingerprint and prints[0].n_chars > 500_000
+
+
+def test_language_ties_and_long_texts(spark):
+    dictionaries = {"b": b"xyz " * 50, "a": b"xyz " * 50}
+    d = spark.createDataFrame([(1, "xyz xyz xyz"), (1, "xyz xyz xyz"), (2, "abcdefgh " * 60_000)], "doc_id long, text string")
+    got = langid.identify(d, dict(sorted(dictionaries.items()))).collect()
+    assert [r.lang_pred for r in got if r.doc_id == 1] == ["a", "a"] and not any(r.accepted for r in got if r.doc_id == 1)
+    assert all(0 <= r.score <= 1 for r in got)
