@@ -2,6 +2,7 @@
 
 A byte is removed if a string of LENGTH bytes that covers it starts anywhere else too; with `first`, only if that
 string also starts earlier (in a document of smaller id, or earlier in the same one), so that one place keeps it.
+Repeats of other lengths can be measured by the way (`also`).
 
 1. Every window of LENGTH bytes is represented by an anchor, the leftmost of its GRAM-byte substrings
    with the least hash: equal windows have equal anchors at equal offsets. An anchor stands for a run
@@ -33,15 +34,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chunks import Exchange, groups, meet, numbers, parts
 from .common import table
 from .hashing import BYTE, U, prefix, spans
 
-LENGTH, GRAM, HOT, BATCH = 400, 100, 2_000, 2_048
+LENGTH, PASSAGE, GRAM, HOT, BATCH = 400, 250, 100, 2_000, 2_048
 SEGMENT, PLACE = 1 << 19, U((1 << 20) - 1)
 NONE, EDGE, WHOLE, HOTLY, MODEL, HOTMODEL = range(6)
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string()), ("n_repeated", pa.list_(pa.int64()))])
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -59,34 +61,41 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 class Anchors:
     """Of a chunk's documents: place x of each anchor, its first and last window a and z, and its hashes."""
 
-    def __init__(self, texts: list, length: int, gram: int):
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        self.buf, self.length = b"".join(raw), length
-        self.begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        b, w = np.frombuffer(self.buf, np.uint8), length - gram + 1
-        n = len(b) - length + 1
-        least = np.zeros(max(n, 0), np.int32 if n < 1 << 31 else np.int64)
-        for i in range(0, n, SEGMENT):
-            j = min(i + SEGMENT, n)
-            part = b[i : j + length - 1]
-            at = np.arange(len(part) - gram + 1)
-            h = spans(prefix(BYTE[part]), at, at + gram)
-            least[i:j] = (sliding_least((h & ~PLACE) | at.astype(U), w) & PLACE).astype(least.dtype) + least.dtype.type(i)
-        end = np.zeros(max(n, 0), bool)  # windows that run over their document's end
-        for e in self.begin[1:-1].tolist():
+    def __init__(self, buf: bytes, begin: np.ndarray, length: int, gram: int, least: np.ndarray):
+        self.buf, self.begin, self.length = buf, begin, length
+        n = len(least)
+        end = np.zeros(n, bool)  # windows that run over their document's end
+        for e in begin[1:-1].tolist():
             end[max(0, e - length + 1) : e] = True
         least[end] = -1
-        first = groups(least) if n > 0 else np.zeros(0, np.int64)
         # a run also ends where a document begins
-        first = np.union1d(first, self.begin[:-1][self.begin[:-1] < max(n, 0)]) if n > 0 else first
-        last = np.append(first[1:], max(n, 0)) - 1
-        ok = least[first] >= 0 if n > 0 else np.zeros(0, bool)
+        first = np.union1d(groups(least), begin[:-1][begin[:-1] < n]) if n else np.zeros(0, np.int64)
+        last = np.append(first[1:], n) - 1
+        ok = least[first] >= 0
         self.a, self.z = first[ok], last[ok]
         self.x = least[self.a].astype(np.int64)
-        buf = self.buf
-        gram_hash, near_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
-        self.gram = np.array([gram_hash(buf[x : x + gram]) for x in self.x.tolist()], U)
-        self.near = np.array([near_hash(buf[a : z + length], x - a) for a, z, x in zip(self.a.tolist(), self.z.tolist(), self.x.tolist())], U) & ~U(1)
+        digest = xxhash.xxh3_64_intdigest
+        self.gram = np.array([digest(buf[x : x + gram]) for x in self.x.tolist()], U)
+        self.near = np.array([digest(buf[a : z + length], x - a) for a, z, x in zip(self.a.tolist(), self.z.tolist(), self.x.tolist())], U) & ~U(1)
+
+    @staticmethod
+    def of(texts: list, lengths: list[int], gram: int) -> list["Anchors"]:
+        """The anchors for each length; the grams' hashes are made once."""
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        buf = b"".join(raw)
+        begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        b, widest = np.frombuffer(buf, np.uint8), max(lengths)
+        least = [np.zeros(max(len(b) - k + 1, 0), np.int32 if len(b) < 1 << 31 else np.int64) for k in lengths]
+        for i in range(0, max(map(len, least)), SEGMENT):
+            part = b[i : i + SEGMENT + widest - 1]
+            at = np.arange(len(part) - gram + 1)
+            h = (spans(prefix(BYTE[part]), at, at + gram) & ~PLACE) | at.astype(U)
+            for k, out in zip(lengths, least):
+                m = min(SEGMENT, len(out) - i)
+                if m > 0:
+                    w = k - gram + 1
+                    out[i : i + m] = (sliding_least(h[: m + w - 1], w) & PLACE).astype(out.dtype) + out.dtype.type(i)
+        return [Anchors(buf, begin, k, gram, out) for k, out in zip(lengths, least)]
 
     def owner(self, ids: list) -> np.ndarray:
         """The number of each anchor's document; null ids come last."""
@@ -191,19 +200,20 @@ class Family:
             self.found[name] = seen[i, a:z] | self.found.get(name, False)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True, first: bool = False, carry: tuple = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (start, end, start, ...), kept_text, and the columns `carry` of docs."""
-    x = Exchange(docs, carry=carry)
-    buckets = x.buckets
+class Search:
+    """The steps that find the repeated strings of one length; keys of buckets run from 0 to 2 * buckets."""
 
-    def send_hashes(chunk, ids, texts):
-        t = Anchors(texts, length, gram)
+    def __init__(self, length: int, hot: int, first: bool, buckets: int):
+        self.length, self.hot, self.first, self.buckets = length, hot, first, buckets
+
+    def send_hashes(self, t, ids):
         g, e, again, at, _ = t.distinct()
         who = t.owner(ids)[at]
-        for b, i, j in parts(g, buckets):
-            yield b, g[i:j].tobytes() + (e[i:j] | again[i:j].astype(U)).tobytes() + (who[i:j].tobytes() if first else b"")
+        for b, i, j in parts(g, self.buckets):
+            yield b, g[i:j].tobytes() + (e[i:j] | again[i:j].astype(U)).tobytes() + (who[i:j].tobytes() if self.first else b"")
 
-    def sort_out(key, chunks, payloads):
+    def sort_out(self, chunks, payloads):
+        hot, first = self.hot, self.first
         size = 24 if first else 16
         sizes = [len(p) // size for p in payloads]
         g = np.concatenate([np.frombuffer(p, U, n) for p, n in zip(payloads, sizes)])
@@ -235,22 +245,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield c, mine.tobytes()
             i += m
 
-    def codes_of(g, got):
+    def codes_of(self, g, got):
         codes = np.zeros(len(g), np.uint8)
-        for b, i, j in parts(g, buckets):
+        for b, i, j in parts(g, self.buckets):
             if b in got:
                 codes[i:j] = np.frombuffer(got[b], np.uint8)
         return codes
 
-    def windows(t, kinds, at):
+    def windows(self, t, kinds, at):
         """All windows of the anchors that at[kinds] names: two hashes and place."""
         p = np.concatenate([np.arange(t.a[i], t.z[i] + 1) for i in at[kinds]]) if len(kinds) else np.zeros(0, np.int64)
-        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.buf[i : i + length]) for i in p.tolist()), U).reshape(-1, 2)
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.buf[i : i + self.length]) for i in p.tolist()), U).reshape(-1, 2)
         return h, p
 
-    def hot_windows(t, codes, at, ids):
+    def hot_windows(self, t, codes, at, ids):
         """Of the windows of hot anchors, each distinct one: hashes, whether again, owner of the first place; and all places with their number."""
-        h, p = windows(t, np.flatnonzero((codes == HOTLY) | (codes == HOTMODEL)), at)
+        h, p = self.windows(t, np.flatnonzero((codes == HOTLY) | (codes == HOTMODEL)), at)
         order = np.lexsort((p, h[:, 1], h[:, 0]))
         h, p = h[order], p[order]
         new = np.ones(len(p), bool)
@@ -260,25 +270,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         who = numbers(ids)[np.searchsorted(t.begin, p[g], side="right") - 1] if len(g) else np.zeros(0, np.int64)
         return h[g], n > 1, who, p, np.cumsum(new) - 1, new
 
-    def send_edges(chunk, ids, texts, got):
-        t = Anchors(texts, length, gram)
+    def send_edges(self, t, ids, got):
+        length = self.length
         g, _, _, at, _ = t.distinct()
-        codes = codes_of(g, got)
+        codes = self.codes_of(g, got)
         who = t.owner(ids)
-        yield -1 - chunk, codes.tobytes()
+        yield -1, codes.tobytes()  # a note to the chunk itself
         kinds = np.flatnonzero((codes == EDGE) | (codes == MODEL))
-        for b, i, j in parts(g[kinds], buckets):
+        for b, i, j in parts(g[kinds], self.buckets):
             out = []
             for k in kinds[i:j].tolist():
                 i = at[k]
                 out.append(struct.pack("<QqqHHH", int(g[k]), int(who[i]), t.x[i], t.x[i] - t.a[i], t.z[i] - t.a[i], t.z[i] + length - t.a[i]) + t.buf[t.a[i] : t.z[i] + length])
             yield b, b"".join(out)
-        h, again, own, _, _, _ = hot_windows(t, codes, at, ids)
-        for b, i, j in parts(h[:, 0], buckets):
-            yield buckets + b, h[i:j].tobytes() + own[i:j].tobytes() + again[i:j].tobytes()
+        h, again, own, _, _, _ = self.hot_windows(t, codes, at, ids)
+        for b, i, j in parts(h[:, 0], self.buckets):
+            yield self.buckets + b, h[i:j].tobytes() + own[i:j].tobytes() + again[i:j].tobytes()
 
-    def match(key, chunks, payloads):
-        if key >= buckets:
+    def match(self, key, chunks, payloads):
+        first = self.first
+        if key >= self.buckets:
             sizes = [len(p) // 25 for p in payloads]
             h = np.concatenate([np.frombuffer(p, U, 2 * n).reshape(-1, 2) for p, n in zip(payloads, sizes)])
             own = np.concatenate([np.frombuffer(p, np.int64, n, 16 * n) for p, n in zip(payloads, sizes)])
@@ -307,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         # names go by owner, chunk and place, so that of two records the earlier has the lesser one
         name = np.empty(len(records), np.int64)
         name[sorted(range(len(records)), key=lambda i: records[i][:3])] = np.arange(len(records))
-        family, batch = Family(length, first=first), []
+        family, batch = Family(self.length, first=first), []
         for (who, k, _, h, off, more, at, size), i in zip(records, name.tolist()):
             body, top = payloads[k][at : at + size], struct.pack(">Q", h)
             batch.append((top + body[off:], top + body[:off][::-1], off - more, off, i))
@@ -321,10 +332,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             if out:
                 yield c, np.concatenate(out).tobytes()
 
-    def finish(chunk, ids, texts, got):
-        t = Anchors(texts, length, gram)
+    def gone(self, t, ids, got) -> np.ndarray:
+        """Whether each byte of the chunk goes."""
+        length, first = self.length, self.first
         g, _, _, at, kind = t.distinct()
-        codes = np.frombuffer(got.get(-1 - chunk, bytes(len(g))), np.uint8)
+        codes = np.frombuffer(got.get(-1, bytes(len(g))), np.uint8)
         cover = np.zeros(len(t.buf) + 1, np.int32)
         whole = np.isin(codes, (WHOLE, MODEL, HOTMODEL))[kind] if len(kind) else np.zeros(0, bool)
         if first and len(kind):  # later places of a neighbourhood in this chunk
@@ -334,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         np.add.at(cover, t.z[whole] + length, -1)
         dup = []
         kinds = np.flatnonzero((codes == EDGE) | (codes == MODEL))
-        for b, i, j in parts(g[kinds], buckets):
+        for b, i, j in parts(g[kinds], self.buckets):
             if b in got:
                 marks, m = np.frombuffer(got[b], bool), 0
                 for k in kinds[i:j].tolist():
@@ -342,29 +354,70 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     n = z - a + 1
                     dup.append(z - np.flatnonzero(marks[m : m + n]))  # marks go by offset of the anchor: low first
                     m += n
-        h, _, _, p, of, new = hot_windows(t, codes, at, ids)
+        h, _, _, p, of, new = self.hot_windows(t, codes, at, ids)
         if len(h):
             gone = np.zeros(len(h), bool)
-            for b, i, j in parts(h[:, 0], buckets):
-                if buckets + b in got:
-                    gone[i:j] = np.unpackbits(np.frombuffer(got[buckets + b], np.uint8), count=j - i).astype(bool)
+            for b, i, j in parts(h[:, 0], self.buckets):
+                if self.buckets + b in got:
+                    gone[i:j] = np.unpackbits(np.frombuffer(got[self.buckets + b], np.uint8), count=j - i).astype(bool)
             dup.append(p[gone[of] | (~new if first else False)])
         for p in dup:
             cover[p] += 1
             np.add.at(cover, p + length, -1)
-        gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
+        return np.cumsum(cover[:-1], out=cover[:-1]) > 0
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True, first: bool = False, carry: tuple = (), also: tuple = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (start, end, start, ...), kept_text, and the columns `carry` of docs.
+
+    also: lengths whose repeated strings are only measured: n_repeated has, for each, the bytes that they cover."""
+    x = Exchange(docs, carry=carry)
+    lengths = [length, *also]
+    searches = [Search(k, hot, first, x.buckets) for k in lengths]
+    span = 2 * x.buckets
+
+    def each(ids, texts, got=None):
+        """Number, search, anchors and the answers to it."""
+        own: list[dict] = [{} for _ in searches]
+        for k, p in (got or {}).items():
+            if k < 0:
+                own[(-1 - k) % len(searches)][-1] = p
+            else:
+                own[k // span][k % span] = p
+        return zip(range(len(searches)), searches, Anchors.of(texts, lengths, gram), own)
+
+    def send_hashes(chunk, ids, texts):
+        for n, s, t, _ in each(ids, texts):
+            for b, p in s.send_hashes(t, ids):
+                yield n * span + b, p
+
+    def sort_out(key, chunks, payloads):
+        return searches[key // span].sort_out(chunks, payloads)
+
+    def send_edges(chunk, ids, texts, got):
+        for n, s, t, own in each(ids, texts, got):
+            for b, p in s.send_edges(t, ids, own):
+                yield n * span + b if b >= 0 else -1 - (chunk * len(searches) + n), p
+
+    def match(key, chunks, payloads):
+        return searches[key // span].match(key % span, chunks, payloads)
+
+    def finish(chunk, ids, texts, got):
         rows = []
+        found = [(t, s.gone(t, ids, own)) for _, s, t, own in each(ids, texts, got)]
+        t, gone = found[0]
+        more = [np.concatenate([[0], np.cumsum(g)]) for _, g in found[1:]]
         for i, doc in enumerate(ids):
             a, z = t.begin[i], t.begin[i + 1]
             edge = np.flatnonzero(np.diff(gone[a:z].view(np.int8), prepend=0, append=0))
             raw = t.buf[a:z]
             body = b"".join(raw[p:q] for p, q in zip([0, *edge[1::2].tolist()], [*edge[::2].tolist(), len(raw)])) if len(edge) else raw
             text = None if texts[i] is None or not keep else body.decode("utf-8", "ignore")
-            rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None, text))
+            rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None, text, [int(m[z] - m[a]) for m in more]))
         return list(zip(*rows))
 
     edges = meet(x.again(meet(x.first(send_hashes), sort_out), send_edges), match)
-    return x.last(edges, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>, kept_text string", SCHEMA)
+    return x.last(edges, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>, kept_text string, n_repeated array<long>", SCHEMA)
 
 
 def level(batch: list) -> Level:
@@ -373,7 +426,9 @@ def level(batch: list) -> Level:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept", "spans", "kept_text")
+    """What strings of LENGTH bytes remove, and how many bytes those of PASSAGE bytes, about fifty short words, would cover."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), keep=False, also=(PASSAGE,))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.get("n_repeated", F.lit(0)).alias("n_passage"))
 
 
 QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup}
@@ -387,6 +442,11 @@ b AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p
 i AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
 r AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY doc_id, k),
 q AS (SELECT doc_id, k, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS y FROM r),
-g AS (SELECT q.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(x[y + 1:a]), '' ORDER BY k) AS head FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
-SELECT d.doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN g.doc_id IS NULL THEN hex(x) ELSE head || hex(x[last + 1:]) END)) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+g AS (SELECT q.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(x[y + 1:a]), '' ORDER BY k) AS head FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id),
+s2 AS (SELECT doc_id, x, unnest(range(0, octet_length(x) - 249)) AS p FROM d WHERE octet_length(x) >= 250),
+w2 AS (SELECT doc_id, p, hash(x[p + 1:p + 250]) AS h FROM s2),
+m2 AS (SELECT h FROM w2 GROUP BY h HAVING count(*) > 1),
+c2 AS (SELECT doc_id, least(250, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 250)) AS c FROM w2 SEMI JOIN m2 USING (h)),
+v AS (SELECT doc_id, sum(c) AS n FROM c2 GROUP BY doc_id)
+SELECT d.doc_id, octet_length(x) AS n_bytes, coalesce(v.n, 0) AS n_passage, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN g.doc_id IS NULL THEN hex(x) ELSE head || hex(x[last + 1:]) END)) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id""",
 }

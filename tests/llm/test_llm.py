@@ -851,6 +851,14 @@ def test_suffixes_keep_the_first_place(docs, monkeypatch, length, gram, hot, siz
     assert all(r.kept_text == (None if texts[r.doc_id] is None else bytes(r.kept).decode("utf-8", "ignore")) for r in rows)
 
 
+def test_suffixes_measure_other_lengths(docs, monkeypatch):
+    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (900, 4000, ()))
+    rows = suffixes.remove_repeats(docs, 60, 20, also=(30, 90)).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {i: r[1] for i, r in enumerate(brute_bytes(corpus(), 60))}
+    want = [[r[1] for r in brute_bytes(corpus(), k)] for k in (30, 90)]
+    assert {r.doc_id: r.n_repeated for r in rows} == {i: [a, b] for i, (a, b) in enumerate(zip(*want))}
+
+
 def test_parts_of_the_hash_space():
     rng = np.random.default_rng(19)
     for n, buckets in ((0, 8), (5, 8), (5, 1000), (1000, 8), (1000, 999), (3, 7)):
