@@ -30,8 +30,8 @@ def clean_source(text: Column, language: str) -> Column:
     return S.strip_strings(S.strip_comments(text, language in L.HASH_COMMENTS))
 
 
-def _language(text: Column, language: str, ascii_only: bool) -> Column:
-    func, cls, imp, control, *flags = L.GRAMMARS[language]
+def _language(text: Column, grammar: tuple, ascii_only: bool) -> Column:
+    func, cls, imp, control, *flags = grammar
     count = lambda p: F.regexp_count(text, compiled(p, ascii_only)) if p else F.lit(0)
     each = [count(rf"\b{w}\b") for w in control.split()]
     functions, control_hits = count(func), sum(each[1:], each[0])
@@ -43,11 +43,15 @@ def _language(text: Column, language: str, ascii_only: bool) -> Column:
     )
 
 
-def parse_text(files: DataFrame, language: str = "language", text: str = "text", ascii_only: bool = False) -> DataFrame:
-    """Adds the counters and flags of the file's language; unsupported ones get the error unsupported_extension."""
+def parse_text(files: DataFrame, language: str = "language", text: str = "text", ascii_only: bool = False, grammars: dict[str, tuple] | None = None) -> DataFrame:
+    """Adds the counters and flags of the file's language; unsupported ones get the error unsupported_extension.
+
+    grammars: own languages, or other expressions for known ones, in the form of lookups.GRAMMARS; a grammar may be a
+    callable from the cleaned text to a struct of the same fields."""
     got = None
-    for name in L.GRAMMARS:
-        s = _language(clean_source(F.col(text), name), name, ascii_only)
+    for name, grammar in {**L.GRAMMARS, **(grammars or {})}.items():
+        clean = clean_source(F.col(text), name)
+        s = grammar(clean) if callable(grammar) else _language(clean, grammar, ascii_only)
         got = F.when(F.col(language) == name, s) if got is None else got.when(F.col(language) == name, s)
     out = files.select("*", F.inline(F.array(got)))  # a generator: the struct is made once a row, not once a column
     nodes = F.lit(1) + F.col("function_count") + F.col("class_count") + F.col("import_count") + F.col("control_count")

@@ -122,6 +122,20 @@ def training_features(spark, sf_dir):
     return v.select("user_id", F.posexplode("v").alias("dimension", "amount")).withColumn("amount", F.round("amount", 9))
 
 
+#: A fixed model for the query: weights that grow with the feature's number and alternate in sign by label.
+WEIGHTS = [[0.1 * k - 0.2] + [(-1) ** (i + k) * (i + 1) / 20.0 for i in range(45)] for k in range(G.LABELS)]
+
+
+def linear_scores(spark, sf_dir):
+    """Label scores of users' tokens by a fixed model, and by none."""
+    from . import node_queries as Q
+
+    n = Q.classified(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("idx", "ir_type"))).alias("s"))
+    v = n.select("user_id", G.feature_vector(F.transform("s", lambda x: x["ir_type"])).alias("v"))
+    p = v.select("user_id", G.predict(F.col("v"), WEIGHTS).alias("p"), G.predict(F.col("v"), None).alias("none"))
+    return p.select("user_id", *[F.round(F.get("p", F.lit(k)), 9).alias(f"label{k}") for k in range(G.LABELS)], F.array_max("none").alias("without"))
+
+
 def shuffled_sample(spark, sf_dir):
     return G.shuffled(T.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7).limit(50)
 
@@ -137,7 +151,7 @@ def hierarchy_depth(spark, sf_dir):
 
 QUERIES = {
     "event_counts": event_counts, "recent_events": recent_events, "bounded_history": bounded_history, "ordered_distinct": ordered_distinct, "set_operations": set_operations, "sorted_caps": sorted_caps, "audit_chain_verify": audit_chain_verify, "last_hash": last_hash, "written_chain": written_chain, "event_rows": event_rows, "alert_decisions": alert_decisions,
-    "dataset_split": dataset_split, "class_distribution": class_distribution, "macro_f1": macro_f1, "prediction_error": prediction_error, "training_samples": training_samples, "training_features": training_features, "shuffled_sample": shuffled_sample, "hierarchy_depth": hierarchy_depth,
+    "dataset_split": dataset_split, "class_distribution": class_distribution, "macro_f1": macro_f1, "prediction_error": prediction_error, "training_samples": training_samples, "training_features": training_features, "shuffled_sample": shuffled_sample, "linear_scores": linear_scores, "hierarchy_depth": hierarchy_depth,
 }
 
 CHAIN = f"WITH c0 AS (SELECT user_id, event_id, sha256(concat_ws('|', event_id, event_type, user_id)) AS chain_hash FROM events), c1 AS (SELECT *, lag(chain_hash, 1, '{H.GENESIS}') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM c0), c2 AS (SELECT *, CASE WHEN event_id % 997 = 3 THEN 'x' ELSE before END AS prev_hash FROM c1)"
@@ -151,6 +165,7 @@ _RS = f"list_transform(tk, lambda x: {_RISK})"
 _D45 = [f"{_CNT(k)} / {_N}::DOUBLE" for k in TOKENS] + [f"{_N} / 200.0::DOUBLE", f"least({_N} / 50.0::DOUBLE, 1.0::DOUBLE)", "0.5::DOUBLE", f"list_sum({_RS}) / {_N}", f"coalesce(list_max({_RS}), 0.0::DOUBLE)", f"len(list_filter({_RS}, lambda r: r >= 0.6::DOUBLE)) / {_N}::DOUBLE"] + [f"{_CNT(k)} / {_N}::DOUBLE" for k in ("BRANCH", "IO", "NETWORK")] + [f"{_CNT('PRIVILEGE')} / {_N}::DOUBLE + {_CNT('GLOBAL')} / {_N}::DOUBLE", f"{_CNT('IMPORT')} / {_N}::DOUBLE", f"({_CNT('DYNAMIC')} > 0)::INT::DOUBLE", f"({_CNT('GLOBAL')} > 0)::INT::DOUBLE", f"({_CNT('IMPORT')} + {_CNT('CALL')}) / {_N}::DOUBLE", "0.5::DOUBLE", f"coalesce(list_max({_RS}), 0.0::DOUBLE)", f"({_CNT('PRIVILEGE')} > 0)::INT::DOUBLE"]
 ORACLE_SQL = {
     "training_features": "WITH " + T.NODES_SQL + ", tk AS (SELECT user_id, list(ir_type ORDER BY idx) AS tk FROM n1 GROUP BY 1), v AS (SELECT user_id, [" + ", ".join(_D45) + "] AS v FROM tk) SELECT user_id, i AS dimension, round(v[i + 1], 9) AS amount FROM v, range(45) r(i)",
+    "linear_scores": "WITH " + T.NODES_SQL + ", tk AS (SELECT user_id, list(ir_type ORDER BY idx) AS tk FROM n1 GROUP BY 1), v AS (SELECT user_id, [" + ", ".join(_D45) + "] AS v FROM tk) SELECT user_id, " + ", ".join(f"round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({w[0]!r}::DOUBLE + list_sum(list_transform(range(1, 46), lambda i: v[i] * ([{', '.join(f'{x!r}::DOUBLE' for x in w[1:])}])[i]))))), 9) AS label{k}" for k, w in enumerate(WEIGHTS)) + ", 0.0::DOUBLE AS without FROM v",
     "shuffled_sample": "SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 50",
     "event_counts": "SELECT event_type, n, row_number() OVER (ORDER BY n DESC, first) AS place FROM (SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1)",
     "recent_events": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'click' ORDER BY event_id DESC LIMIT 200",

@@ -176,3 +176,26 @@ def test_streamed_chain_and_upsert(spark, tmp_path):
     stream = spark.readStream.schema("k int, v string, o int").parquet(str(tmp_path / "in"))
     state.upsert(stream, str(tmp_path / "out"), "k", "o").option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {1: "b", 2: "c"}
+
+
+def test_own_grammars(spark):
+    from siftwork.operators import structure
+
+    files = spark.createDataFrame([(1, "lua", "function f(a)\nlocal x = require(1)\nif x then end"), (2, "go", "func f() {}"), (3, "odd", "x")], "k int, language string, text string")
+    lua = (r"\bfunction\s+(\w+)", None, r"\brequire\b", "if for while", r"\bload\b", r"\bload\b", r"\brequire\b", r"\bsocket\b", r"\bio\b")
+    got = {r.k: (r.function_count, r.import_count, r.control_count, r.parse_error) for r in structure.parse_text(files, grammars={"lua": lua}).collect()}
+    assert got[1] == (1, 1, 1, None) and got[2][0] == 1 and got[3] == (None, None, None, "unsupported_extension")
+    assert {r.k: r.parse_error for r in structure.parse_text(files).collect()}[1] == "unsupported_extension"
+
+
+def test_fitted_model_beats_the_mean(spark):
+    from pyspark.sql import functions as F
+
+    from siftwork.operators import dataset
+
+    d = dataset.generate(spark, 1200).withColumn("v", dataset.feature_vector(F.col("tokens")))
+    weights = dataset.fit(d.where("sample_id < 900"), "v", "labels")
+    held = d.where("sample_id >= 900").select("labels", dataset.predict(F.col("v"), weights).alias("p")).collect()
+    mean = [sum(r.labels[k] for r in held) / len(held) for k in range(6)]
+    off = lambda of: sum(abs(of(r)[k] - r.labels[k]) for r in held for k in range(6))
+    assert off(lambda r: r.p) < 0.6 * off(lambda r: mean)
