@@ -7,6 +7,7 @@ what cannot be read becomes an error row.
 from __future__ import annotations
 
 import ast
+import re
 from collections import Counter
 
 import numpy as np
@@ -20,9 +21,26 @@ from ..functions import scalars as S
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def compiled(pattern: str, ascii_only: bool) -> Column:
-    """The expression with word characters of all scripts, or of ASCII only."""
-    return F.lit(pattern.replace(r"\b", BOUNDARY)) if ascii_only else F.lit("(?U)" + pattern)
+def compiled(pattern: str, ascii_only: bool) -> str:
+    """The expression with word characters of all scripts, or of ASCII only.
+
+    A word at its beginning is matched first and its boundary looked up after it: the search then skips what
+    does not begin with its letter, instead of looking around at every place."""
+    lead = re.match(r"\\b([A-Za-z]+)(?![A-Za-z*+?{])", pattern)
+    word = "[A-Za-z0-9_]" if ascii_only else r"\w"
+    head, rest = (f"{lead[1]}(?<!{word}{lead[1]})", pattern[lead.end() :]) if lead and "|" not in unnested(pattern) else ("", pattern)
+    if re.search(r"[A-Za-z]\\b$", rest):
+        rest = rest[:-2] + f"(?!{word})"
+    return head + rest.replace(r"\b", BOUNDARY) if ascii_only else "(?U)" + head + rest
+
+
+def unnested(pattern: str) -> str:
+    """The parts of an expression outside its groups."""
+    out, depth = "", 0
+    for c in re.sub(r"\\.|\[[^\]]*\]", "", pattern):
+        depth += (c == "(") - (c == ")")
+        out += c if not depth else ""
+    return out
 
 
 def clean_source(text: Column, language: str) -> Column:
@@ -32,14 +50,14 @@ def clean_source(text: Column, language: str) -> Column:
 
 def _language(text: Column, grammar: tuple, ascii_only: bool) -> Column:
     func, cls, imp, control, *flags = grammar
-    count = lambda p: F.regexp_count(text, compiled(p, ascii_only)) if p else F.lit(0)
+    count = lambda p: F.regexp_count(text, F.lit(compiled(p, ascii_only))) if p else F.lit(0)
     each = [count(rf"\b{w}\b") for w in control.split()]
     functions, control_hits = count(func), sum(each[1:], each[0])
     found = [F.when(n > 0, F.struct(F.lit(w.upper()).alias("node_type"), n.alias("count"))) for w, n in zip(control.split(), each)]
     return F.struct(
         functions.alias("function_count"), count(cls).alias("class_count"), count(imp).alias("import_count"), control_hits.alias("control_count"), (control_hits + 1).alias("cyclomatic_complexity"),
         F.least(F.lit(3) + F.floor(functions / 5).cast("int"), F.lit(20)).alias("depth"), F.array_compact(F.array(*found)).alias("control"),
-        *[text.rlike(p.replace(r"\b", BOUNDARY) if ascii_only else "(?U)" + p).alias(k) for p, k in zip(flags, ("has_exec_calls", "has_eval_calls", "has_dynamic_imports", "has_network_calls", "has_file_io"))],
+        *[text.rlike(compiled(p, ascii_only)).alias(k) for p, k in zip(flags, ("has_exec_calls", "has_eval_calls", "has_dynamic_imports", "has_network_calls", "has_file_io"))],
     )
 
 
@@ -48,12 +66,14 @@ def parse_text(files: DataFrame, language: str = "language", text: str = "text",
 
     grammars: own languages, or other expressions for known ones, in the form of lookups.GRAMMARS; a grammar may be a
     callable from the cleaned text to a struct of the same fields."""
-    got = None
+    got, clean = None, F.col("_clean")
+    hashed = F.col(language).isin(*L.HASH_COMMENTS)
+    # cleaned once a row, below the generator, and not once a count
+    files = files.withColumn("_clean", F.when(hashed, clean_source(F.col(text), L.HASH_COMMENTS[0])).otherwise(clean_source(F.col(text), "base")))
     for name, grammar in {**L.GRAMMARS, **(grammars or {})}.items():
-        clean = clean_source(F.col(text), name)
         s = grammar(clean) if callable(grammar) else _language(clean, grammar, ascii_only)
         got = F.when(F.col(language) == name, s) if got is None else got.when(F.col(language) == name, s)
-    out = files.select("*", F.inline(F.array(got)))  # a generator: the struct is made once a row, not once a column
+    out = files.select("*", F.inline(F.array(got))).drop("_clean")  # a generator: the struct is made once a row, not once a column
     nodes = F.lit(1) + F.col("function_count") + F.col("class_count") + F.col("import_count") + F.col("control_count")
     return out.withColumns({"node_count": nodes, "parse_error": F.when(F.col("function_count").isNull(), F.lit("unsupported_extension"))})
 

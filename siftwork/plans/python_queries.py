@@ -34,7 +34,8 @@ def sources(spark, sf_dir):
     m = (k * 37) % 256
     parts = [F.when(m.bitwiseAND(1 << i) != 0, F.lit(s[0])).otherwise("") for i, s in enumerate(SNIPPETS)]
     tail = F.when(k == 1, F.repeat(F.lit("#"), HUGE)).when(k % 50 == 7, F.lit(BROKEN)).otherwise("")
-    return T.table(spark, sf_dir, "part").select("p_partkey", F.concat(*parts, tail).alias("source"))
+    # short keys make long sources: more tasks than the table's few bytes would get
+    return T.table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism).select("p_partkey", F.concat(*parts, tail).alias("source"))
 
 
 def python_structure(spark, sf_dir):

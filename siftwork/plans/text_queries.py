@@ -69,7 +69,8 @@ def supported_extensions(spark, sf_dir):
 def regex_structure(spark, sf_dir):
     """Every page read in the nine languages in turn, by page_id."""
     names = list(L.GRAMMARS)
-    p = T.table(spark, sf_dir, "pages").withColumn("language", F.get(F.array(*map(F.lit, names)), (F.col("page_id") % len(names)).cast("int")))
+    # pages are long and the parsers' work is by character: more tasks than the table's bytes would get
+    p = T.table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism).withColumn("language", F.get(F.array(*map(F.lit, names)), (F.col("page_id") % len(names)).cast("int")))
     out = R.parse_text(p, text="html", ascii_only=True)
     return out.select("page_id", "language", "function_count", "class_count", "import_count", "cyclomatic_complexity", "node_count", "depth", "has_exec_calls", "has_eval_calls", "has_dynamic_imports", "has_network_calls", "has_file_io")
 
