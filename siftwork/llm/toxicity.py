@@ -236,17 +236,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     counted = rows.mapInArrow(count, "stem string, clean long, bad long, clean2 long, bad2 long, hits long, words long").groupBy("stem")
     counted = counted.agg(*(F.sum(k).alias(k) for k in ("clean", "bad", "clean2", "bad2", "hits", "words")))
     # at most what TWICE_DOCS or more of the sample's toxic documents share
-    kept = {r["stem"]: r for r in counted.where(candidate()).collect()}
+    fields = ("bad", "clean", "bad2", "clean2", "hits", "words")
+    kept = distinct({r[0]: dict(zip(fields, r[1:])) for r in counted.where(candidate()).select("stem", *fields).collect()})
+    names = sorted(kept)
     n = {"bad": sum(some.values()), "clean": len(some) - sum(some.values())}
+    number = {s: (i, precise(kept[s])) for i, s in enumerate(names)}
 
     def holders(it):
-        for ids, texts in batches(it, "doc_id", "text"):
-            got = [held(t, kept_names) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "once": pa.array([g[0] for g in got], pa.list_(pa.string())), "twice": pa.array([g[1] for g in got], pa.list_(pa.string()))})
+        for (texts,) in batches(it, "text"):
+            yield pa.RecordBatch.from_pydict({"stems": pa.array([held(t, number) for t in texts], pa.list_(pa.int32()))})
 
-    kept_names = frozenset(kept)
-    has = rows.where("toxic = 1").mapInArrow(holders, "doc_id long, once array<string>, twice array<string>").collect() if kept else []
-    insults = weigh(cover([(set(r["once"]), set(r["twice"])) for r in has], kept, n["bad"] / len(some)), kept, n)
+    has = [r[0] for r in rows.where("toxic = 1").mapInArrow(holders, "stems array<int>").collect()] if kept else []
+    insults = weigh([names[i] for i in cover(has, [kept[s] for s in names], names, n["bad"] / len(some))], kept, n)
 
     def marked(it):
         g, of = Grammar(insults), Counter()
@@ -301,13 +302,21 @@ def precise(r) -> bool:
     return r["bad"] >= MIN_DOCS and r["bad"] >= MIN_SHARE * (r["bad"] + r["clean"])
 
 
-def held(text: str | None, names: frozenset) -> tuple[list, list]:
+def distinct(kept: dict) -> dict:
+    """Without the beginnings that only continue to one of the same counts: the same documents have both."""
+    counts = lambda s: [kept[s][k] for k in ("bad", "clean", "bad2", "clean2")]
+    gone = {s[:-1] for s in kept if s[:-1] in kept and counts(s) == counts(s[:-1])}
+    return {s: r for s, r in kept.items() if s not in gone}
+
+
+def held(text: str | None, number: dict[str, tuple[int, bool]]) -> list[int]:
+    """Numbers of the stems that a text has: once, of those for which that says enough, and twice, of the others."""
     of: Counter = Counter()
     for w in WORD.findall((text or "").lower()):
         for s in stems(w):
-            if s in names:
+            if s in number:
                 of[s] += 1
-    return sorted(of), sorted(s for s, k in of.items() if k > 1)
+    return [number[s][0] for s, k in of.items() if k > 1 or number[s][1]]
 
 
 def sure(bad: int, clean: int, base: float) -> bool:
@@ -316,24 +325,20 @@ def sure(bad: int, clean: int, base: float) -> bool:
     return p > base and (bad + clean) * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)) >= SURE
 
 
-def cover(docs: list[tuple[set, set]], kept: dict, base: float = 0.1) -> list[str]:
-    """Greedily, the stems that explain the most toxic documents not explained yet.
+def cover(docs: list[list[int]], kept: list[dict], names: list[str], base: float = 0.1) -> list[int]:
+    """Greedily, the stems that explain the most toxic documents not explained yet; docs has the stems of each.
 
     Those that are beyond chance need to explain one; the others MIN_DOCS or TWICE_DOCS."""
     of = defaultdict(set)
-    for d, (once, twice) in enumerate(docs):
-        for s in once:
-            if s in twice or precise(kept[s]):
-                of[s].add(d)
-    clean = {s: r["clean"] if precise(r) else r["clean2"] for s, r in kept.items()}
-    least = {s: MIN_DOCS if precise(r) else TWICE_DOCS for s, r in kept.items()}
-    for s, r in kept.items():
-        if sure(r["bad"] if precise(r) else r["bad2"], clean[s], base):
-            least[s] = 1
-    chosen: list[str] = []
+    for d, some in enumerate(docs):
+        for s in some:
+            of[s].add(d)
+    clean = [r["clean"] if precise(r) else r["clean2"] for r in kept]
+    least = [1 if sure(r["bad"] if precise(r) else r["bad2"], c, base) else MIN_DOCS if precise(r) else TWICE_DOCS for r, c in zip(kept, clean)]
+    chosen: list[int] = []
     while of:
         # of equals, the longer beginning, which fewer other words have
-        s = max(of, key=lambda s: (len(of[s]) - 3 * clean[s], len(s.rstrip("$")), s))
+        s = max(of, key=lambda s: (len(of[s]) - 3 * clean[s], len(names[s].rstrip("$")), names[s]))
         if len(of[s]) < least[s]:
             del of[s]
             continue
