@@ -249,7 +249,9 @@ def test_tree_join_is_complete():
     assert of == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW, 12, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     groups: dict = {}
