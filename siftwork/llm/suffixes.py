@@ -28,6 +28,7 @@ bytes go. Columns other than doc_id, text and those carried along are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 
 import numpy as np
@@ -272,20 +273,28 @@ class Search:
 
     def send_edges(self, t, ids, got):
         length = self.length
-        g, _, _, at, _ = t.distinct()
+        g, _, _, at, kind = t.distinct()
         codes = self.codes_of(g, got)
         who = t.owner(ids)
-        yield -1, codes.tobytes()  # a note to the chunk itself
+        whole = np.isin(codes, (WHOLE, MODEL, HOTMODEL))[kind] if len(kind) else np.zeros(0, bool)
+        if self.first and len(kind):  # later places of a neighbourhood in this chunk
+            whole |= np.arange(len(kind)) != at[kind]
         kinds = np.flatnonzero((codes == EDGE) | (codes == MODEL))
+        edges = []
         for b, i, j in parts(g[kinds], self.buckets):
             out = []
             for k in kinds[i:j].tolist():
                 i = at[k]
                 out.append(struct.pack("<QqqHHH", int(g[k]), int(who[i]), t.x[i], t.x[i] - t.a[i], t.z[i] - t.a[i], t.z[i] + length - t.a[i]) + t.buf[t.a[i] : t.z[i] + length])
+                edges.append((b, t.a[i], t.z[i]))
             yield b, b"".join(out)
-        h, again, own, _, _, _ = self.hot_windows(t, codes, at, ids)
+        h, again, own, p, of, new = self.hot_windows(t, codes, at, ids)
+        hot = []
         for b, i, j in parts(h[:, 0], self.buckets):
             yield self.buckets + b, h[i:j].tobytes() + own[i:j].tobytes() + again[i:j].tobytes()
+            hot.append((b, i, j))
+        # a note to the chunk itself: all that the last visit has to know of the anchors
+        yield -1, pickle.dumps((union(t.a[whole], t.z[whole] + length), np.array(edges, np.int64).reshape(-1, 3), hot, p, of, new))
 
     def match(self, key, chunks, payloads):
         first = self.first
@@ -332,41 +341,40 @@ class Search:
             if out:
                 yield c, np.concatenate(out).tobytes()
 
-    def gone(self, t, ids, got) -> np.ndarray:
-        """Whether each byte of the chunk goes."""
-        length, first = self.length, self.first
-        g, _, _, at, kind = t.distinct()
-        codes = np.frombuffer(got.get(-1, bytes(len(g))), np.uint8)
-        cover = np.zeros(len(t.buf) + 1, np.int32)
-        whole = np.isin(codes, (WHOLE, MODEL, HOTMODEL))[kind] if len(kind) else np.zeros(0, bool)
-        if first and len(kind):  # later places of a neighbourhood in this chunk
-            whole |= np.arange(len(kind)) != at[kind]
-        whole = np.flatnonzero(whole)
-        np.add.at(cover, t.a[whole], 1)
-        np.add.at(cover, t.z[whole] + length, -1)
+    def gone(self, size: int, got) -> np.ndarray:
+        """Whether each byte of a chunk of so many goes."""
+        cover = np.zeros(size + 1, np.int32)
+        (begin, end), edges, hot, p, of, new = pickle.loads(got[-1])
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, end, -1)
         dup = []
-        kinds = np.flatnonzero((codes == EDGE) | (codes == MODEL))
-        for b, i, j in parts(g[kinds], self.buckets):
+        for b in np.unique(edges[:, 0]).tolist():
             if b in got:
                 marks, m = np.frombuffer(got[b], bool), 0
-                for k in kinds[i:j].tolist():
-                    a, z = t.a[at[k]], t.z[at[k]]
-                    n = z - a + 1
-                    dup.append(z - np.flatnonzero(marks[m : m + n]))  # marks go by offset of the anchor: low first
-                    m += n
-        h, _, _, p, of, new = self.hot_windows(t, codes, at, ids)
-        if len(h):
-            gone = np.zeros(len(h), bool)
-            for b, i, j in parts(h[:, 0], self.buckets):
+                for _, a, z in edges[edges[:, 0] == b].tolist():
+                    dup.append(z - np.flatnonzero(marks[m : m + z - a + 1]))  # marks go by offset of the anchor: low first
+                    m += z - a + 1
+        if hot:
+            gone = np.zeros(hot[-1][2], bool)
+            for b, i, j in hot:
                 if self.buckets + b in got:
                     gone[i:j] = np.unpackbits(np.frombuffer(got[self.buckets + b], np.uint8), count=j - i).astype(bool)
-            dup.append(p[gone[of] | (~new if first else False)])
-        for p in dup:
-            cover[p] += 1
-            np.add.at(cover, p + length, -1)
+            dup.append(p[gone[of] | (~new if self.first else False)])
+        for q in dup:
+            np.add.at(cover, q, 1)
+            np.add.at(cover, q + self.length, -1)
         return np.cumsum(cover[:-1], out=cover[:-1]) > 0
 
 
+def union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs that intervals with ascending begins cover."""
+    if not len(begin):
+        return begin, end
+    far = np.maximum.accumulate(end)
+    new = np.concatenate([[True], begin[1:] > far[:-1]])
+    return begin[new], np.append(far[:-1][new[1:]], far[-1])
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True, first: bool = False, carry: tuple = (), also: tuple = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (start, end, start, ...), kept_text, and the columns `carry` of docs.
 
@@ -376,18 +384,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     searches = [Search(k, hot, first, x.buckets) for k in lengths]
     span = 2 * x.buckets
 
-    def each(ids, texts, got=None):
-        """Number, search, anchors and the answers to it."""
+    def answers(got) -> list[dict]:
+        """The answers to each search."""
         own: list[dict] = [{} for _ in searches]
-        for k, p in (got or {}).items():
+        for k, p in got.items():
             if k < 0:
                 own[(-1 - k) % len(searches)][-1] = p
             else:
                 own[k // span][k % span] = p
-        return zip(range(len(searches)), searches, Anchors.of(texts, lengths, gram), own)
+        return own
 
     def send_hashes(chunk, ids, texts):
-        for n, s, t, _ in each(ids, texts):
+        for n, (s, t) in enumerate(zip(searches, Anchors.of(texts, lengths, gram))):
             for b, p in s.send_hashes(t, ids):
                 yield n * span + b, p
 
@@ -395,7 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return searches[key // span].sort_out(chunks, payloads)
 
     def send_edges(chunk, ids, texts, got):
-        for n, s, t, own in each(ids, texts, got):
+        for n, (s, t, own) in enumerate(zip(searches, Anchors.of(texts, lengths, gram), answers(got))):
             for b, p in s.send_edges(t, ids, own):
                 yield n * span + b if b >= 0 else -1 - (chunk * len(searches) + n), p
 
@@ -403,14 +411,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return searches[key // span].match(key % span, chunks, payloads)
 
     def finish(chunk, ids, texts, got):
-        rows = []
-        found = [(t, s.gone(t, ids, own)) for _, s, t, own in each(ids, texts, got)]
-        t, gone = found[0]
-        more = [np.concatenate([[0], np.cumsum(g)]) for _, g in found[1:]]
-        for i, doc in enumerate(ids):
-            a, z = t.begin[i], t.begin[i + 1]
+        rows, z = [], 0
+        every = [(x or "").encode("utf-8", "replace") for x in texts]
+        gone, *more = [s.gone(sum(map(len, every)), own) for s, own in zip(searches, answers(got))]
+        more = [np.concatenate([[0], np.cumsum(g)]) for g in more]
+        for i, (doc, raw) in enumerate(zip(ids, every)):
+            a, z = z, z + len(raw)
             edge = np.flatnonzero(np.diff(gone[a:z].view(np.int8), prepend=0, append=0))
-            raw = t.buf[a:z]
             body = b"".join(raw[p:q] for p, q in zip([0, *edge[1::2].tolist()], [*edge[::2].tolist(), len(raw)])) if len(edge) else raw
             text = None if texts[i] is None or not keep else body.decode("utf-8", "ignore")
             rows.append((doc, z - a, len(raw) - len(body), len(edge) // 2, hashlib.sha256(body).hexdigest(), body if keep else None, edge.tolist() if keep else None, text, [int(m[z] - m[a]) for m in more]))
