@@ -1,6 +1,6 @@
 """Chunk and bucket exchange: how these operators compare every document with all others.
 
-Documents are dealt to chunks of a few MB by a hash of their id. A `visit` function sees one chunk's
+Documents are dealt to chunks of about CHUNK bytes by a hash of their id. A `visit` function sees one chunk's
 documents and sends packed arrays of hashes, each distinct value once, to buckets of the hash space; a
 `meet` function sees one bucket of all chunks and replies to each chunk. As a chunk sends a value once
 however often it has it, a hot value costs its bucket one entry a chunk, not one a row. The next visit
@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded, release
 
-CHUNK, BUCKET = 4 << 20, 16 << 20
+CHUNK, BUCKET = 2 << 20, 16 << 20
 ROW = "key long, chunk long, payload binary"
 PA_ROW = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
 
