@@ -38,7 +38,7 @@ from .hashing import U, Words, grams, prefix, spans
 from .storage import saved
 
 WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM / DEN
-BLOCK, BYTES, LEAF, FAN, BITS = 2_048, 8 << 20, 8, 8, 4_096
+BLOCK, BYTES, LEAF, FAN, BITS = 2_048, 4 << 20, 8, 8, 4_096
 REST, SEVERAL = (1 << 31) - 1, 1 << 31
 SETS, STARS, ALL = range(3)
 
