@@ -13,8 +13,9 @@ NOISE = 1 << 20
 
 
 def unit(*of: Column) -> Column:
-    """A number in [0, 1) that depends on its arguments only."""
-    return F.pmod(F.xxhash64(*of), F.lit(NOISE)) / F.lit(float(NOISE))
+    """A number in [0, 1) that depends on its arguments only: the first digits of their SHA-256, so that any engine gives it."""
+    digits = F.substring(F.sha2(F.concat_ws(":", *(x.cast("string") if isinstance(x, Column) else F.col(x).cast("string") for x in of)), 256), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(NOISE)) / F.lit(float(NOISE))
 
 
 def normal(*of: Column) -> Column:
