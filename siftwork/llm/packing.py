@@ -67,7 +67,8 @@ class Encoder:
 
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.piece = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # texts come as pre-tokens already, so nothing is left to split
+        self.piece = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.path, self.slow = public.path(f"{name}.json"), None
         self.known: dict[int, int] = {}
         self.ids, self.at = np.zeros(1 << 18, np.uint32), np.zeros(1, np.int64)
@@ -116,18 +117,16 @@ class Encoder:
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.at) > CACHED:
             self.known, self.at = {}, np.zeros(1, np.int64)
-        known, found, used = self.known, [], int(self.at[-1])
-        fresh, places = [], []
-        for k, v in enumerate(distinct.tolist()):
-            j = known.get(v)
-            if j is None:
-                known[v] = j = len(self.at) - 1 + len(fresh)
-                i = first[k]
-                ids = self.piece(text[a[i] : z[i]])
-                fresh.append(ids)
-                used += len(ids)
-                places.append(used)
-            found.append(j)
+        known, used, keys = self.known, int(self.at[-1]), distinct.tolist()
+        found = list(map(known.get, keys))
+        new = [k for k, j in enumerate(found) if j is None]
+        fresh, places, at = [], [], first[new]
+        for k, i, j in zip(new, a[at].tolist(), z[at].tolist()):
+            known[keys[k]] = found[k] = len(self.at) - 1 + len(fresh)
+            ids = self.piece(text[i:j].encode("utf-8", "replace"))
+            fresh.append(ids)
+            used += len(ids)
+            places.append(used)
         if fresh:
             while used > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
