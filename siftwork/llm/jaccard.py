@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .chunks import Exchange, groups, meet, parts
 from .common import table
 from .components import components
-from .hashing import U, Words, grams, prefix, spans
+from .hashing import U, Words, grams
 from .storage import saved
 
 WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM / DEN
@@ -51,9 +51,9 @@ class Sets:
         h, ok = grams(w.hash, words), w.inside(words)
         at = np.flatnonzero(ok)
         short = np.flatnonzero((w.count > 0) & (w.count < words))
-        p = prefix(w.hash)
-        h = np.concatenate([h[at], spans(p, w.first[short], w.first[short] + w.count[short])])
-        doc = np.concatenate([w.doc[at], short])
+        by = [short[w.count[short] == n] for n in range(1, words)]  # all words of the short ones
+        h = np.concatenate([h[at], *(grams(w.hash, n)[w.first[some]] for n, some in enumerate(by, 1) if len(some))])
+        doc = np.concatenate([w.doc[at], *by])
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, bounded, table
-from .hashing import INVERSE, U, mix, powers  # noqa: F401  (hash arithmetic of pre-tokens)
+from .hashing import equal, strings
 from .storage import saved
 
 CAPACITY, END, VOCABULARY, SPECIAL = 2_048, 0, "byte_bpe_50k", "<|endoftext|>"
@@ -70,7 +70,7 @@ class Encoder:
         # texts come as pre-tokens already, so nothing is left to split
         self.piece = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.path, self.slow = public.path(f"{name}.json"), None
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.ids, self.at = np.zeros(1 << 18, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
@@ -110,20 +110,28 @@ class Encoder:
         z = np.append(a[1:], len(code))
         # a token ends at the next start or at its text's end
         z = np.minimum(z, ends[np.searchsorted(ends, a)])
-        p = np.zeros(len(code) + 1, U)
-        forth, back = powers(len(code))
-        np.cumsum(mix(code.astype(U) + U(1)) * forth[: len(code)], out=p[1:])
-        h = mix((p[z] - p[a]) * back[a] + (z - a).astype(U))
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        top = int(code.max())
+        width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+        raw = code.astype(f"<u{width}").tobytes()
+        _, first, which = np.unique(strings(raw, width * a, width * z), return_index=True, return_inverse=True)
+        model, size = first[which], width * (z - a)
+        same = size == size[model]
+        same &= equal(raw, np.where(same, size, 0), width * a, width * a[model])
+        if not same.all():
+            # a pre-token that only has the hash of another one stands for itself
+            odd = np.flatnonzero(~same)
+            which[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
         if len(self.at) > CACHED:
             self.known, self.at = {}, np.zeros(1, np.int64)
-        known, used, keys = self.known, int(self.at[-1]), distinct.tolist()
+        known, used, keys = self.known, int(self.at[-1]), [text[i:j] for i, j in zip(a[first].tolist(), z[first].tolist())]
         found = list(map(known.get, keys))
-        new = [k for k, j in enumerate(found) if j is None]
-        fresh, places, at = [], [], first[new]
-        for k, i, j in zip(new, a[at].tolist(), z[at].tolist()):
-            known[keys[k]] = found[k] = len(self.at) - 1 + len(fresh)
-            ids = self.piece(text[i:j].encode("utf-8", "replace"))
+        fresh, places = [], []
+        for k, key in enumerate(keys):
+            if found[k] is not None:
+                continue
+            known[key] = found[k] = len(self.at) - 1 + len(fresh)
+            ids = self.piece(key.encode("utf-8", "replace"))
             fresh.append(ids)
             used += len(ids)
             places.append(used)

@@ -7,8 +7,9 @@ extended a word at a time: each window of WINDOW words around a hit goes to wher
 same windows of all documents, and stays if one of a smaller id has it. Adjoining windows that stay make
 the maximal repeats, whose words are removed.
 
-Probes travel as 30 bits each (false hits only cost a confirmation). Windows are compared by 96 bits, so
-that among the 1.6e13 windows of 100 TB less than one false equality is expected.
+Probes travel as 30 bits each (false hits only cost a confirmation). Windows are compared by 96 bits of two
+independent hashes of their words' bytes, so that among the 1.6e13 windows of 100 TB less than one false
+equality is expected.
 
 Defined cases: null text has no words; the sha256 of no words is that of empty bytes. A null doc_id is
 larger than any other, and rows with equal doc_id are one document's copies: neither removes from the
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import Exchange, groups, meet, numbers, parts
 from .common import table
-from .hashing import U, Words, grams, mix
+from .hashing import U, Words, grams
 
 WINDOW, BLOCK = 13, 7
 REST, ALIGNED, SEVERAL = (1 << 30) - 1, 1 << 30, 1 << 31
@@ -96,7 +97,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, ke
         if not len(g):
             return
         least = np.minimum.reduceat(who[w.doc[order]], g)
-        more = (grams(mix(w.hash), window)[order[g]] >> U(32)).astype(np.uint32)
+        more = (grams(w.hashed(seed=1), window)[order[g]] >> U(32)).astype(np.uint32)
         s = s[g]
         for b, i, j in parts(s, buckets):
             yield b, s[i:j].tobytes() + least[i:j].tobytes() + more[i:j].tobytes()

@@ -80,6 +80,55 @@ def test_segments_do_not_matter(monkeypatch):
     assert (hashing.Words(texts).hash == a).all()
 
 
+def thue_morse(n=1024):
+    """Two different words of n letters that collide in every polynomial modulo 2**64 with an odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hash_of_strings():
+    one, other = thue_morse()
+    words = [one, other, "a" * 64, "a" * 65, "a\0", "a", "ab" * 40, "ba" * 40, *(x[:n] for x in thue_morse() for n in (4, 8, 16, 32, 64))]
+    w = hashing.Words([" ".join(words), *words])
+    assert len(set(w.hash[: len(words)].tolist())) == len(words) and w.hash[: len(words)].tolist() == w.hash[len(words) :].tolist()
+    assert not set(w.hash.tolist()) & set(w.hashed(seed=1).tolist())
+    rng = random.Random(5)
+    raw = bytes(rng.choice(b"ab") for _ in range(5000))
+    a, n = np.array([rng.randrange(4000) for _ in range(3000)]), np.array([rng.choice([0, 1, 2, 3, 7, 8, 9, 16, 70]) for _ in range(3000)])
+    b = np.array([raw.find(raw[i : i + k]) if rng.random() < 0.5 else rng.randrange(4000) for i, k in zip(a.tolist(), n.tolist())])
+    want = [raw[i : i + k] == raw[j : j + k] for i, j, k in zip(a.tolist(), b.tolist(), n.tolist())]
+    assert hashing.equal(raw, n, a, b).tolist() == want and 1000 < sum(want) < 3000
+    same = hashing.strings(raw, a, a + n) == hashing.strings(raw, b, b + n)
+    assert same.tolist() == want
+
+
+@pytest.mark.parametrize("k", range(1, 18))
+def test_grams_follow_their_words(k):
+    one, other = thue_morse(16)
+    names = {"a": "x", "b": "y"}
+    words = [names[c] for c in one + other + one + "b" * 20]
+    w = hashing.Words([" ".join(words)])
+    g = hashing.grams(w.hash, k)
+    content = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+    assert len(g) == len(content) and len(set(g.tolist())) == len(set(content)) == len(set(zip(g.tolist(), content)))
+
+
+def test_complementary_words_are_told_apart(spark):
+    one, other = thue_morse()
+    docs = frame(spark, [f"p q r s {one}", f"p q r s {other}"])
+    assert [r.component_id for r in jaccard.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1]
+    twelve = " ".join(f"w{i}" for i in range(12))
+    assert [r.n_removed for r in substrings.remove_repeats(frame(spark, [f"{twelve} {one}", f"{twelve} {other}"])).orderBy("doc_id").collect()] == [0, 0]
+    encode = packing.Encoder()
+    assert all((a == encode.whole(t)).all() for a, t in zip(encode([one, other]), [one, other]))
+
+
+def test_encoder_survives_equal_hashes(monkeypatch):
+    monkeypatch.setattr(packing, "strings", lambda raw, a, z: (z - a).astype(np.uint64) % np.uint64(5))
+    encode, texts = packing.Encoder(), [t for t in corpus() if t]
+    assert all((a == encode.whole(t)).all() for a, t in zip(encode(texts), texts))
+
+
 # Substrings ----------------------------------------------------------------------------------------------
 
 
