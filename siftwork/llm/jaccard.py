@@ -88,6 +88,25 @@ def shared(n):
     return np.minimum(n, spare(needed(n)))
 
 
+class Rarest:
+    """Keys by which similar sets meet: the first shingles in hash order, of which the rarest connect sets to blocks.
+
+    Other rules have the same three methods (see hyperminhash)."""
+
+    def keys(self, s: Sets, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values that are sent for the standing documents, and whose they are."""
+        lead = np.flatnonzero((s.rank() < sent(s.n)[s.doc]) & stands[s.doc])
+        return s.values[lead], s.doc[lead]
+
+    def shared(self, n):
+        """How many of its values a set has in common with others, if it has a partner."""
+        return shared(n)
+
+    def leading(self, n):
+        """How many of its shared values, the rarest first, include one that any partner has too."""
+        return sent(n) - shared(n) + 1
+
+
 def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (a, b): links that connect exactly the linked documents."""
     every, links = owned_sets(docs, words, block)
@@ -95,8 +114,10 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
     return every.drop("owner"), links.union(copies)
 
 
-def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners."""
+def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rarest(), join=None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners.
+
+    `rule` says by which keys sets come to one block, `join` finds the links between two lists of sets there."""
     x = Exchange(docs)
     buckets = x.buckets
 
@@ -131,18 +152,18 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple
             yield c, b"".join(some)
 
     def tokens(s, stands):
-        """Sent shingles of the standing documents; each distinct one's hash, number of sets, and places."""
-        lead = np.flatnonzero((s.rank() < sent(s.n)[s.doc]) & stands[s.doc])
-        order = lead[np.argsort(s.values[lead], kind="stable")]
-        v = s.values[order]
+        """Sent keys of the standing documents: each distinct one, its number of sets, all of them in order with their documents, and where each begins."""
+        v, doc = rule.keys(s, stands)
+        order = np.argsort(v, kind="stable")
+        v = v[order]
         g = groups(v)
-        return v[g], np.diff(np.append(g, len(v))), order, g
+        return v[g], np.diff(np.append(g, len(v))), v, doc[order], g
 
     def send_tokens(chunk, ids, texts, got):
         s = Sets(texts, words)
         reply = b"".join(got.values())
         yield -1 - chunk, reply  # comes back with the counts
-        h, n, _, _ = tokens(s, standing(s, ids, owners(s, ids, reply)))
+        h, n, *_ = tokens(s, standing(s, ids, owners(s, ids, reply)))
         packed = (h & U(REST)).astype(np.uint32) | np.where(n > 1, SEVERAL, 0).astype(np.uint32)
         for b, i, j in parts(h, buckets):
             yield b, packed[i:j].tobytes() + n[i:j][n[i:j] > 1].astype(np.uint32).tobytes()
@@ -186,7 +207,7 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple
         stands = standing(s, ids, own)
         owner = np.array([d if not n or o is None else o for d, o, n in zip(who.tolist(), own, s.n.tolist())], np.int64)
         yield note(ALL), np.column_stack([who, s.n, none, owner]).astype(np.int64).tobytes()
-        h, n, order, g = tokens(s, stands)
+        h, n, value, doc, g = tokens(s, stands)
         df = np.ones(len(h), np.int64)
         for b, i, j in parts(h, buckets):
             if (reply := got.get(b)) is None:
@@ -194,15 +215,14 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple
             m = -(-(j - i) // 8)
             bits = np.unpackbits(np.frombuffer(reply, np.uint8, m), count=j - i).astype(bool)
             df[i:j][bits] = np.frombuffer(reply, np.uint32, -1, m)
-        each = np.repeat(df, np.diff(np.append(g, len(order)))) if len(g) else df[:0]
-        value, doc = s.values[order], s.doc[order]
-        enough = np.bincount(doc, each > 1, minlength=len(ids)) >= shared(s.n)
+        each = np.repeat(df, np.diff(np.append(g, len(value)))) if len(g) else df[:0]
+        enough = np.bincount(doc, each > 1, minlength=len(ids)) >= rule.shared(s.n)
         stay = enough & stands
         # the rarest come first; linked sets have one of the first sent - shared + 1 in common
         by = np.lexsort((value, each, doc))
         doc, each, value = doc[by], each[by], value[by]
         start = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))])
-        lead = (np.arange(len(doc)) - start[doc] <= (sent(s.n) - shared(s.n))[doc]) & (each > 1) & stay[doc]
+        lead = (np.arange(len(doc)) - start[doc] < rule.leading(s.n)[doc]) & (each > 1) & stay[doc]
         doc, value = doc[lead], value[lead]
         by = np.lexsort((who[doc], value))
         doc, value = doc[by], value[by]
@@ -234,7 +254,7 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple
     # only the shingles of the stars move again; the sets wait where they were written
     stars = of(STARS).union(meet(notes.where("key >= 0"), connect).select("payload"))
     blocks = components(stars.mapInArrow(_pairs, "a long, b long").distinct())
-    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block)
+    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block, join or dual_join)
 
 
 def _pairs(it):
@@ -264,8 +284,8 @@ def _sets(it):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], names=["doc_id", "n", "hashes"])
 
 
-def _trees(sets: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
-    """Links found by the trees of all blocks."""
+def _trees(sets: DataFrame, blocks: DataFrame, block: int, join) -> DataFrame:
+    """Links found in all blocks."""
     # the labels grow with the input: never broadcast, so that the plan is the same at every size
     placed = sets.join(blocks.select(F.col("node").alias("doc_id"), F.col("label").alias("block")).hint("merge"), "doc_id")
     # a row for each size of set in a block, with what comes before it in size order, in units of one tree
@@ -301,7 +321,7 @@ def _trees(sets: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
             part = rows[i:j]
             one = [(d, np.frombuffer(h, U)) for _, side, d, h, _ in part if not side]
             two = [(d, np.frombuffer(h, U)) for _, side, d, h, _ in part if side]
-            for p, q in dual_join(one, one if part[0][4] else two):
+            for p, q in join(one, one if part[0][4] else two):
                 a.append(p)
                 b.append(q)
             i = j
@@ -380,9 +400,9 @@ def dual_join(one: list, two: list):
                     yield a.name[u], b.name[v]
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rarest(), join=None) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
-    every, links = owned_sets(docs, words)
+    every, links = owned_sets(docs, words, block, rule, join)
     labels = components(links)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of = labels.join(least, "label").select(F.col("node").alias("owner"), "component_id")

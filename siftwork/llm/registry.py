@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "parsing", "packing", "media", "licenses", "suffixes", "jaccard", "substrings", "mixing", "toxicity")
+MODULES = ("langid", "parsing", "packing", "media", "licenses", "suffixes", "jaccard", "substrings", "mixing", "toxicity", "hyperminhash", "manifest", "clusters")
 
 
 def _gather(name: str) -> dict:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.llm import chunks, components, hashing, jaccard, langid, licenses, media, mixing, packing, parsing, substrings, suffixes, toxicity
+from siftwork.llm import chunks, components, hashing, hyperminhash, jaccard, langid, licenses, media, mixing, packing, parsing, substrings, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -948,3 +948,117 @@ def test_language_ties_and_long_texts(spark):
     got = langid.identify(d, dict(sorted(dictionaries.items()))).collect()
     assert [r.lang_pred for r in got if r.doc_id == 1] == ["a", "a"] and not any(r.accepted for r in got if r.doc_id == 1)
     assert all(0 <= r.score <= 1 for r in got)
+
+
+# HyperMinHash --------------------------------------------------------------------------------------------
+
+
+def brute_near(texts, words):
+    """(number of shingles, least reachable index) of each text."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    of = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = of[i], of[j]
+                of = [min(x, y) if v in (x, y) else v for v in of]
+    return [(len(s), c) for s, c in zip(sets, of)]
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_hyperminhash_matches_brute_force(docs, block):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in hyperminhash.deduplicated(docs, block=block).collect()}
+    want = brute_near(corpus(), 4)
+    assert len({c for _, c in want}) < len(want) - 8 and got == {i: (n, c, c == i) for i, (n, c) in enumerate(want)}
+
+
+def test_hyperminhash_over_many_chunks(docs, monkeypatch):
+    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (500, 2000, ()))
+    monkeypatch.setattr(hyperminhash, "TOGETHER", 4)
+    got = {r.doc_id: r.component_id for r in hyperminhash.deduplicated(docs).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_near(corpus(), 4))}
+
+
+def near_sets(rng, n, similarity, size):
+    """Pairs of sets of about this similarity, as hashes."""
+    for _ in range(n):
+        both = round(size * 2 * similarity / (1 + similarity))
+        h = rng.integers(0, 1 << 63, 2 * size - both).astype(np.uint64)
+        yield np.sort(h[:size]), np.sort(h[size - both :])
+
+
+@pytest.mark.parametrize("size", [1, 5, 9, 40, 400, 5000])
+def test_hyperminhash_estimates_and_recall(size):
+    """All pairs of at least 0.8 are found in spite of bands and estimates; estimates are right on average."""
+    rng = np.random.default_rng(size)
+    for similarity in (0.8, 0.95, 0.3, 0.0):
+        seen = []
+        for a, b in near_sets(rng, 40, similarity, size):
+            true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+            one = [(1, a), (2, b)]
+            assert bool(list(hyperminhash.sketch_join(one, one))) == (true >= 0.8)
+            assert bool(list(hyperminhash.sketch_join([(1, a)], [(2, b)]))) == (true >= 0.8)
+            r = hyperminhash.registers(np.concatenate([a, b]), np.repeat([0, 1], size), 2)
+            j, n = hyperminhash.estimates(r[0], size, r[1:], np.array([size]))
+            seen.append(j[0] - true)
+        assert abs(np.mean(seen)) < 0.05
+
+
+def test_hyperminhash_registers_equal_brute_force():
+    rng = np.random.default_rng(1)
+    values, owner = rng.integers(0, 1 << 63, 900).astype(np.uint64), np.sort(rng.integers(0, 3, 900))
+    got = hyperminhash.registers(values, owner, 4)
+    assert (got[3] == hyperminhash.EMPTY).all()
+    want = np.full((4, hyperminhash.REGISTERS), hyperminhash.EMPTY)
+    least: dict = {}
+    for v, o in zip(values, owner.tolist()):
+        place = int(hashing.mix(np.array([v]))[0]) // 2**32 * hyperminhash.REGISTERS // 2**32
+        rest = int(hashing.mix(np.array([v ^ np.uint64(0xD6E8FEB86659FD93)]))[0]) >> 24
+        least[o, place] = min(rest, least.get((o, place), rest))
+    for (o, place), rest in least.items():
+        digits = f"{rest:040b}"
+        zeros = len(digits) - len(digits.lstrip("0"))
+        want[o, place] = zeros << 10 | int((digits[zeros + 1 :] + "0" * 10)[:10], 2)
+    assert (got == want).all()
+
+
+def test_hyperminhash_join_is_complete():
+    """Dense groups around a base, of which not all are linked with each other, in one list and between two."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for g in range(6):
+        base = rng.integers(0, 1 << 63, 80).astype(np.uint64)
+        for _ in range(30):
+            b = base.copy()
+            b[rng.integers(0, 80, 8)] = rng.integers(0, 1 << 63, 8).astype(np.uint64)
+            sets.append((len(sets), np.unique(b)))
+        sets.append((len(sets), np.unique(base)))
+    both = [set(h.tolist()) for _, h in sets]
+
+    def closed(links):
+        of = list(range(len(sets)))
+        for a, b in links:
+            x, y = of[a], of[b]
+            of = [min(x, y) if v in (x, y) else v for v in of]
+        return of
+
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(both[i] & both[j]) >= 4 * len(both[i] | both[j])]
+    links = list(hyperminhash.sketch_join(sets, sets))
+    assert closed(links) == closed(similar) and len(links) == len(sets) - len(set(closed(similar))) > 150 and set(links) <= {*similar, *((j, i) for i, j in similar)}
+    one, two = sets[::2], sets[1::2]
+    across = list(hyperminhash.sketch_join(one, two))
+    assert closed(across) == closed([(i, j) for i, j in similar if i % 2 != j % 2])
+
+
+def test_hyperminhash_defined_cases(spark, empty):
+    t = "a b c d e f g h"
+    got = hyperminhash.deduplicated(frame(spark, [t, t, "x", t, None, "", "x y", "X"], [5, 5, 6, None, None, 8, 9, 4], extra=True)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id) == [(4, 1, 4, True), (5, 5, 5, True), (5, 5, 5, True), (6, 1, 4, False), (8, 0, 8, True), (9, 1, 9, True)]
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None) == [(0, None, None), (5, None, None)]
+    assert hyperminhash.deduplicated(empty).count() == 0
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = hyperminhash.deduplicated(frame(spark, [long, long.replace("w7 ", "W7x "), "short"])).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in rows] == [(59_997, 0), (59_997, 0), (1, 2)]
