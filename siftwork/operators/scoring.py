@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import scalars as S
+from ..sources import tables
 
+#: What `score` flags.
+FLAGS = ["HIGH_PRIVILEGE", "NETWORK_ACCESS", "DYNAMIC_EXECUTION", "OBFUSCATION", "BACKDOOR_PATTERN"]
 HIGH_RISK, CONFIDENCE, REVIEW_BELOW = 0.65, 0.75, 0.60
 
 
@@ -24,26 +28,64 @@ def score(files: DataFrame, digits: int | None = 3) -> DataFrame:
         "dependency_risk": F.least(F.col("network_call_count") / F.lit(10.0) + F.lit(0.5) * F.col("obfuscation_risk"), F.lit(1.0)),
     })
     overall = F.lit(0.1) * F.col("structural_risk") + F.lit(0.25) * p + F.lit(0.2) * n + F.lit(0.25) * F.col("dynamic_risk") + F.lit(0.1) * F.col("obfuscation_risk") + F.lit(0.1) * F.col("backdoor_risk")
-    flags = [("HIGH_PRIVILEGE", p > 0.5), ("NETWORK_ACCESS", n > 0), ("DYNAMIC_EXECUTION", F.col("dynamic_risk") > 0.3), ("OBFUSCATION", F.col("obfuscation_risk") > 0.3), ("BACKDOOR_PATTERN", F.col("backdoor_risk") > 0.5)]
+    flags = list(zip(FLAGS, [p > 0.5, n > 0, F.col("dynamic_risk") > 0.3, F.col("obfuscation_risk") > 0.3, F.col("backdoor_risk") > 0.5]))
     d = d.withColumns({"overall_risk": F.least(overall, F.lit(1.0)), "confidence": F.lit(CONFIDENCE), "flagged_patterns": F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags]))})
     if digits is None:
         return d
     return d.withColumns({k: F.round(k, digits) for k in ("structural_risk", "privilege_risk", "network_risk", "dynamic_risk", "obfuscation_risk", "backdoor_risk", "dependency_risk", "overall_risk")})
 
 
-def aggregate_risk(values: Column) -> Column:
-    """The mean of fewer than five values; else the one at place int(0.9 n) of the ascending values."""
-    v = F.sort_array(F.collect_list(values))
-    return F.when(F.size(v) < 5, F.avg(values)).otherwise(F.get(v, (F.lit(0.9) * F.size(v)).cast("int")))
+def order_statistic(rows: DataFrame, keys: list[str], value: str, place: Callable[[Column], Column], cells: int = 1024, levels: int = 2) -> DataFrame:
+    """keys and `value`: of each key's ascending values the one at place(how many there are), counted from 0; nulls do not count.
+
+    Exact, and no key's values come together: counts in cells of the value range tell which cell has the place, counts in
+    cells of that cell's own range which of those, and of what is left each distinct value is counted once. `rows` is read
+    once for each, so it should be a table."""
+    rows = rows.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL")
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
+    low, high = rows.agg(F.min("_v"), F.max("_v")).first()
+    current = rows.withColumns({"_low": F.lit(low), "_high": F.lit(high), "_place": F.lit(None).cast("long")})
+    settled = []
+    for level in range(levels):
+        cell = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))).otherwise(0).cast("int")
+        dealt = current.withColumn("_cell", cell)
+        counts = dealt.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first("_place").alias("_place"))
+        of = Window.partitionBy(*keys)
+        before = F.sum("_n").over(of.orderBy("_cell")) - F.col("_n")  # at most `cells` rows a key
+        counts = counts.withColumns({"_before": before, "_total": F.sum("_n").over(of)})
+        counts = counts.withColumn("_place", F.coalesce("_place", place(F.col("_total")).cast("long")))
+        hit = counts.where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n"))).withColumn("_place", F.col("_place") - F.col("_before"))
+        hit = tables.written(hit.select(*keys, "_cell", "_low", "_high", "_place"))
+        settled.append(hit.where("_low = _high").select(*keys, F.col("_low").alias(value)))
+        open_ = hit.where("_low < _high")
+        left = dealt.select(*keys, "_v", "_cell")
+        current = left.join(open_, same(left, open_) & (left["_cell"] == open_["_cell"])).select(*[left[k] for k in keys], "_v", "_low", "_high", "_place")
+    each = current.groupBy(*keys, "_v").agg(F.count("*").alias("_n"), F.first("_place").alias("_place"))
+    up_to = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v"))
+    last = each.withColumn("_up", up_to).where((F.col("_up") > F.col("_place")) & (F.col("_up") - F.col("_n") <= F.col("_place"))).select(*keys, F.col("_v").alias(value))
+    return reduce(DataFrame.unionByName, settled, last)
+
+
+def aggregate_risk(scores: DataFrame, keys: list[str], value: str = "overall_risk") -> DataFrame:
+    """keys and aggregate_risk: the mean of fewer than five values; else the one at place int(0.9 n) of the ascending values."""
+    at = order_statistic(scores, keys, value, lambda n: F.floor(F.lit(0.9) * n)).withColumnRenamed(value, "_at")
+    few = scores.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"))
+    on = reduce(lambda a, b: a & b, [few[k].eqNullSafe(at[k]) for k in keys], F.lit(True))
+    return few.join(at, on, "left").select(*[few[k] for k in keys], F.when(F.col("_n") < 5, F.col("_mean")).otherwise(F.col("_at")).alias("aggregate_risk"))
 
 
 def assess(scores: DataFrame, keys: list[str]) -> DataFrame:
     """One row a batch of scored files. External dependencies repeat the privileged count; cycles are not sought."""
-    priv = F.sum("privilege_sensitive_count")
-    return scores.groupBy(*keys).agg(
-        aggregate_risk(F.col("overall_risk")).alias("aggregate_risk"), F.count_if(F.col("overall_risk") >= HIGH_RISK).alias("high_risk_file_count"), F.count("*").alias("total_files"), F.lit(0).alias("circular_dependency_count"), priv.alias("external_dependency_count"), priv.alias("privileged_api_count"),
-        F.sum("total_nodes").alias("total_ir_nodes"), F.sum(F.size("flagged_patterns")).alias("anomalous_pattern_count"), F.avg("confidence").alias("mean_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("flagged_patterns")))).alias("flags"),
+    scores = tables.written(scores.select(*keys, "overall_risk", "privilege_sensitive_count", "total_nodes", "flagged_patterns", "confidence"))
+    priv, c = F.sum("privilege_sensitive_count"), F.col
+    flags = F.array_compact(F.array(*[F.when(F.bool_or(F.array_contains("flagged_patterns", k)), F.lit(k)) for k in sorted(FLAGS)]))
+    every = scores.groupBy(*keys).agg(
+        F.count_if(c("overall_risk") >= HIGH_RISK).alias("high_risk_file_count"), F.count("*").alias("total_files"), F.lit(0).alias("circular_dependency_count"), priv.alias("external_dependency_count"), priv.alias("privileged_api_count"),
+        F.sum("total_nodes").alias("total_ir_nodes"), F.sum(F.size("flagged_patterns")).alias("anomalous_pattern_count"), F.avg("confidence").alias("mean_confidence"), flags.alias("flags"),
     )
+    risk = aggregate_risk(scores, keys)
+    on = reduce(lambda a, b: a & b, [every[k].eqNullSafe(risk[k]) for k in keys], F.lit(True))
+    return every.join(risk, on).select(*[every[k] for k in keys], "aggregate_risk", *[k for k in every.columns if k not in keys])
 
 
 def decide(assessments: DataFrame, rules: list[tuple] | None = None, network_dynamic: bool = False, review_below: float = REVIEW_BELOW) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
@@ -38,6 +38,42 @@ def first_failure(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(F.min(failed).alias("f")).select(*keys, F.col("f").isNull().alias("passed"), "f.ord", "f.name", "f.category", "f.detail")
 
 
+MOST_ATTEMPTS, MOST_RESTARTS = 3, 1
+
+
+def retries(checks: DataFrame, keys: list[str], attempt: str = "attempt", most: int = MOST_ATTEMPTS, restarts: int = MOST_RESTARTS) -> DataFrame:
+    """One row a task (`keys`) with the end of its retry loop, from the checks of its attempts in order.
+
+    state: passed; aborted, after `most` attempts; open, if no attempt follows one that failed. attempts: how many ran; what comes
+    after a pass or the last allowed one does not count. restarts: how often the category of the failure before sent an attempt
+    back to the strategy, at most `restarts` times; ran: what each attempt ran. category and feedback are those of
+    the last failure, category null once passed. Of a task's attempts the first `most` are folded, and no others are gathered."""
+    outcome = first_failure(checks, [*keys, attempt])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(attempt))
+    few = outcome.withColumn("place", place).where(F.col("place") <= most)
+    rows = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "passed", "category", retry_hint(F.col("category"), F.col("detail")).alias("hint")))).alias("s"))
+    text = lambda v: F.lit(v).cast("string")
+    start = F.struct(text("open").alias("state"), F.lit(0).alias("attempts"), F.lit(0).alias("restarts"), text("").alias("ran"), text(None).alias("category"), text(None).alias("feedback"))
+
+    def step(acc: Column, x: Column) -> Column:
+        again = (acc["attempts"] > 0) & (restart(acc["category"]) == "strategy") & (acc["restarts"] < restarts)
+        again = F.coalesce(again, F.lit(False))
+        ran = F.when((acc["attempts"] == 0) | again, F.lit("strategy>iac>validate")).otherwise(F.lit("iac>validate"))
+        after = F.struct(
+            F.when(x["passed"], text("passed")).when(acc["attempts"] + 1 >= most, text("aborted")).otherwise(text("open")).alias("state"), (acc["attempts"] + 1).alias("attempts"), (acc["restarts"] + again.cast("int")).alias("restarts"),
+            F.concat(acc["ran"], F.when(acc["attempts"] == 0, F.lit("")).otherwise(F.lit(" ")), ran).alias("ran"), F.when(x["passed"], text(None)).otherwise(x["category"]).alias("category"), F.when(x["passed"], acc["feedback"]).otherwise(x["hint"]).alias("feedback"),
+        )
+        return F.when(acc["state"] == "open", after).otherwise(acc)
+
+    return rows.withColumn("r", F.aggregate("s", start, step)).select(*keys, "r.*")
+
+
+def retry_rows(ended: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, attempt, ran, outcome: a row for each attempt that `retries` counts; outcome is passed, retry or aborted, open for the last one of an open loop."""
+    steps = ended.select(*keys, "state", "attempts", F.posexplode(F.split("ran", " ")).alias("at", "ran"))
+    return steps.select(*keys, (F.col("at") + 1).alias("attempt"), "ran", F.when(F.col("at") + 1 < F.col("attempts"), "retry").otherwise(F.col("state")).alias("outcome"))
+
+
 def restart(category: Column) -> Column:
     return S.choose(category, L.RESTART)
 

@@ -109,6 +109,23 @@ def attempts(spark, sf_dir):
     return c.groupBy("l_orderkey").agg(F.max("ord").alias("attempts"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed") & (V.restart(F.col("error_category")) == "strategy")).alias("strategy_restarts"))
 
 
+def attempt_checks(spark, sf_dir):
+    """Lines of an order as checks: two an attempt."""
+    o = T.table(spark, sf_dir, "lineitem")
+    cats = ["SYNTAX_ERROR", "LINT_ERROR", "PLAN_ERROR", "RESOURCE_MISMATCH", "HINT_MISMATCH"]
+    n = F.col("l_linenumber")
+    return o.select("l_orderkey", F.floor((n + 1) / 2).cast("int").alias("attempt"), (n * 10000000 + F.col("l_partkey")).alias("ord"), F.col("l_returnflag").alias("name"), (F.col("l_quantity") > 9).alias("passed"), F.get(F.array(*map(F.lit, cats)), (F.col("l_partkey") % 5).cast("int")).alias("error_category"), F.col("l_partkey").cast("string").alias("detail"))
+
+
+def retry_loop(spark, sf_dir):
+    """The end of each order's retry loop."""
+    return V.retries(attempt_checks(spark, sf_dir), ["l_orderkey"])
+
+
+def retry_attempts(spark, sf_dir):
+    return V.retry_rows(retry_loop(spark, sf_dir), ["l_orderkey"])
+
+
 def plan_lines(spark, sf_dir):
     p = T.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("task_id"), F.col("p_partkey").alias("seq"), "p_type", "p_size", "p_name")
     ok = F.to_json(F.struct(F.when(F.col("p_size") % 4 == 0, "diagnostic").when(F.col("p_size") % 4 == 1, "apply_complete").otherwise("planned_change").alias("type"), F.struct(F.struct(F.col("p_type").alias("resource_type")).alias("resource")).alias("change"), F.struct(F.struct(F.col("p_type").alias("resource_type")).alias("resource")).alias("hook"), F.struct(F.col("p_name").alias("summary"), F.col("p_type").alias("detail")).alias("diagnostic")))
@@ -140,7 +157,7 @@ def machine_sizes(spark, sf_dir):
 
 QUERIES = {
     "policy_decision": policy_decision, "file_scores": file_scores, "batch_assessment": batch_assessment, "deployment_strategy": deployment_strategy, "generated_files": generated_files, "decision_counts": decision_counts, "decision_view": decision_view, "malice_gate": malice_gate, "malice_alerts": malice_alerts, "intelligence_summary": intelligence_summary,
-    "resource_anti_join": resource_anti_join, "hint_coverage": hint_coverage, "first_failure": first_failure, "attempts": attempts, "planned_resources": planned_resources, "applied_resources": applied_resources, "plan_errors": plan_errors, "declared_resources": declared_resources, "machine_sizes": machine_sizes,
+    "resource_anti_join": resource_anti_join, "hint_coverage": hint_coverage, "first_failure": first_failure, "attempts": attempts, "retry_loop": retry_loop, "retry_attempts": retry_attempts, "planned_resources": planned_resources, "applied_resources": applied_resources, "plan_errors": plan_errors, "declared_resources": declared_resources, "machine_sizes": machine_sizes,
 }
 
 SCORES = Q.METRICS + """, s0 AS (SELECT *, 0.3::DOUBLE * least(total_nodes / 500.0::DOUBLE, 1.0::DOUBLE) AS structural_risk, least(privilege_sensitive_count / 5.0::DOUBLE, 1.0::DOUBLE) AS privilege_risk, least(network_call_count / 5.0::DOUBLE, 1.0::DOUBLE) AS network_risk, least(dynamic_eval_count / 3.0::DOUBLE, 1.0::DOUBLE) AS dynamic_risk, least(obfuscation_count / 3.0::DOUBLE, 1.0::DOUBLE) AS obfuscation_risk FROM me),
@@ -158,6 +175,14 @@ MAL = "WITH " + T.FLAGS_SQL + ", gr AS (SELECT *, list_filter([" + ", ".join(f"C
 CHECKS = "WITH ch AS (SELECT l_orderkey, l_linenumber AS ord, min(l_quantity > 12) AS passed, min((['SYNTAX_ERROR','LINT_ERROR','PLAN_ERROR','RESOURCE_MISMATCH','HINT_MISMATCH'])[l_linenumber % 5 + 1]) AS category, min(strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')) AS detail FROM lineitem GROUP BY 1, 2)"
 RESTART = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.RESTART.items()) + " END"
 HINT = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in L.RETRY_HINTS.items()) + " END"
+LOOP = f"""WITH RECURSIVE c AS (SELECT l_orderkey, CAST(floor((l_linenumber + 1) / 2) AS INT) AS attempt, l_linenumber * 10000000 + l_partkey AS ord, l_quantity > 9 AS passed, (['SYNTAX_ERROR','LINT_ERROR','PLAN_ERROR','RESOURCE_MISMATCH','HINT_MISMATCH'])[l_partkey % 5 + 1] AS category, l_partkey::VARCHAR AS detail FROM lineitem),
+a0 AS (SELECT l_orderkey, attempt, bool_and(passed) AS passed, arg_min(category, ord) FILTER (NOT passed) AS category, arg_min(detail, ord) FILTER (NOT passed) AS detail FROM c GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY attempt)::INT AS i, {HINT} || ' ' || substr(detail, 1, 300) AS hint FROM a0),
+f(l_orderkey, i, state, restarts, ran, category, feedback) AS (
+  SELECT l_orderkey, 1, CASE WHEN passed THEN 'passed' ELSE 'open' END, 0, 'strategy>iac>validate', category, hint FROM a WHERE i = 1
+  UNION ALL SELECT a.l_orderkey, a.i, CASE WHEN a.passed THEN 'passed' WHEN a.i = 3 THEN 'aborted' ELSE 'open' END, f.restarts + (f.category IN ('RESOURCE_MISMATCH', 'HINT_MISMATCH') AND f.restarts < 1)::INT, f.ran || CASE WHEN f.category IN ('RESOURCE_MISMATCH', 'HINT_MISMATCH') AND f.restarts < 1 THEN ' strategy>iac>validate' ELSE ' iac>validate' END, a.category, coalesce(a.hint, f.feedback)
+  FROM f JOIN a ON a.l_orderkey = f.l_orderkey AND a.i = f.i + 1 WHERE f.state = 'open' AND a.i <= 3),
+z AS (SELECT l_orderkey, arg_max(state, i) AS state, max(i) AS attempts, max(restarts) AS restarts, arg_max(ran, i) AS ran, max(struct_pack(i := i, c := category)).c AS category, max(struct_pack(i := i, c := feedback)).c AS feedback FROM f GROUP BY 1)"""
 PLANNED = "SELECT p_partkey % 50 AS task_id, p_type AS resource, min(p_partkey) AS first FROM part WHERE p_size NOT IN (7, 8) AND p_size % 4 {} GROUP BY ALL"
 NAMES = [*L.HINTS, "Unknown"]
 ADDRESSED = "CASE " + " ".join(f"WHEN i = {i} THEN " + (" OR ".join(f"contains(t, '{w}')" for w in L.HINTS[n].split()) if n in L.HINTS else "true") for i, n in enumerate(NAMES)) + " END"
@@ -176,6 +201,8 @@ ORACLE_SQL = {
     "hint_coverage": f"WITH h AS (SELECT doc_id, lower('azurerm_redis_cache ' || text) AS t, i FROM documents, range({len(NAMES)}) r(i) WHERE (i + doc_id) % 3 <> 0), g AS (SELECT doc_id, count(*) AS hints, count(*) FILTER ({ADDRESSED}) AS addressed FROM h GROUP BY 1) SELECT doc_id, hints, addressed, CAST(addressed AS DOUBLE) / hints AS covered, CAST(addressed AS DOUBLE) / hints >= 0.5 AS passed FROM g",
     "first_failure": CHECKS + f", ff AS (SELECT l_orderkey, min(ord) FILTER (NOT passed) AS ord, arg_min(category, ord) FILTER (NOT passed) AS category, arg_min(detail, ord) FILTER (NOT passed) AS detail FROM ch GROUP BY 1) SELECT l_orderkey, ord IS NULL AS passed, ord, category, {RESTART} AS restart_from, {HINT} || ' ' || substr(detail, 1, 300) AS hint FROM ff",
     "attempts": CHECKS + f" SELECT l_orderkey, max(ord) AS attempts, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND {RESTART} = 'strategy') AS strategy_restarts FROM ch WHERE ord <= 3 GROUP BY 1",
+    "retry_loop": LOOP + " SELECT * FROM z",
+    "retry_attempts": LOOP + " SELECT l_orderkey, j AS attempt, (string_split(ran, ' '))[j] AS ran, CASE WHEN j < attempts THEN 'retry' ELSE state END AS outcome FROM (SELECT *, unnest(range(1, attempts + 1))::INT AS j FROM z)",
     "planned_resources": PLANNED.format("IN (2, 3)"), "applied_resources": PLANNED.format("= 1"),
     "plan_errors": "WITH e AS (SELECT p_partkey % 50 AS task_id, p_partkey, '• ' || p_name || ': ' || p_type AS t FROM part WHERE p_size NOT IN (7, 8) AND p_size % 4 = 0) SELECT task_id, array_to_string(list(t ORDER BY p_partkey)[1:10], chr(10)) AS errors FROM e GROUP BY 1",
     "declared_resources": "SELECT p_partkey % 50 AS task_id, 'azurerm_' || p_brand AS resource, min(p_partkey) AS first FROM part GROUP BY ALL",

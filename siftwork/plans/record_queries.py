@@ -9,6 +9,7 @@ from ..functions import lookups as L
 from ..functions import scalars as S
 from ..operators import dataset as G
 from ..operators import history as H
+from ..sources import tables
 from ..streaming import state as X
 from . import stand_ins as T
 
@@ -68,6 +69,36 @@ def written_chain(spark, sf_dir):
     return H.verify(c, "event_id", S.canonical_hash(record), ["user_id"])
 
 
+def whole_chain_rows(spark, sf_dir):
+    """All events as one chain; each record's hash covers its own fields, so that it can be built without order."""
+    e = T.table(spark, sf_dir, "events")
+    own = F.sha2(F.concat_ws("|", "event_id", "event_type", "user_id"), 256)
+    before = e.select((F.col("event_id") + 1).alias("event_id"), own.alias("prev_hash"))
+    rows = e.join(before, "event_id", "left").select("event_id", F.coalesce("prev_hash", F.lit(H.GENESIS)).alias("prev_hash"), own.alias("chain_hash"), own.alias("again"))
+    odd, cut = F.col("event_id") % 8191 == 4711, F.col("event_id") % 7919 == 7918
+    return rows.withColumns({"prev_hash": F.when(odd, F.lit("x")).otherwise(F.col("prev_hash")), "again": F.when(cut, F.lit("y")).otherwise(F.col("again"))})
+
+
+def whole_chain_verify(spark, sf_dir):
+    """One chain over the whole table, verified by ranges: as it is, and without one of its records."""
+    rows = whole_chain_rows(spark, sf_dir)
+    every = H.verify(rows, "event_id", F.col("again")).withColumn("chain", F.lit("broken"))
+    whole = H.verify(rows.where(F.col("event_id") % 8191 < 4711), "event_id", F.col("chain_hash")).withColumn("chain", F.lit("cut"))
+    return every.unionByName(whole)
+
+
+def appended_chain(spark, sf_dir):
+    """Events written to a log in three batches, the last hash of each user's chain, and whether the chain is whole."""
+    e = T.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    at = tables.new_folder(spark, "log")
+    for part in range(3):  # in the order of time, as batches come
+        H.append(e.where((F.col("event_id") >= part * 300) & (F.col("event_id") < (part + 1) * 300 if part < 2 else F.lit(True))), at, "user_id", "event_id", ["seq", "event_id", "event_type"])
+    log = H.chained(spark, at)
+    record = F.to_json(F.struct("event_id", "event_type", "prev_hash", "seq"))
+    ok = H.verify(log, "seq", S.canonical_hash(record), ["user_id"])
+    return ok.join(log.groupBy("user_id").agg(F.max_by("chain_hash", "seq").alias("last_hash")), "user_id")
+
+
 def event_rows(spark, sf_dir):
     names = [*L.EVENTS, "UNKNOWN"]
     e = T.table(spark, sf_dir, "events")
@@ -151,7 +182,7 @@ def hierarchy_depth(spark, sf_dir):
 
 
 QUERIES = {
-    "event_counts": event_counts, "recent_events": recent_events, "bounded_history": bounded_history, "ordered_distinct": ordered_distinct, "set_operations": set_operations, "sorted_caps": sorted_caps, "audit_chain_verify": audit_chain_verify, "last_hash": last_hash, "written_chain": written_chain, "event_rows": event_rows, "alert_decisions": alert_decisions,
+    "event_counts": event_counts, "recent_events": recent_events, "bounded_history": bounded_history, "ordered_distinct": ordered_distinct, "set_operations": set_operations, "sorted_caps": sorted_caps, "audit_chain_verify": audit_chain_verify, "last_hash": last_hash, "written_chain": written_chain, "whole_chain_verify": whole_chain_verify, "appended_chain": appended_chain, "event_rows": event_rows, "alert_decisions": alert_decisions,
     "dataset_split": dataset_split, "class_distribution": class_distribution, "macro_f1": macro_f1, "prediction_error": prediction_error, "training_samples": training_samples, "training_features": training_features, "shuffled_sample": shuffled_sample, "linear_scores": linear_scores, "hierarchy_depth": hierarchy_depth,
 }
 
@@ -182,6 +213,8 @@ ORACLE_SQL = {
     "audit_chain_verify": CHAIN + " SELECT user_id, min(event_id) FILTER (before <> prev_hash) IS NULL AS ok, min(event_id) FILTER (before <> prev_hash) AS first_broken, count(*) AS total FROM c2 GROUP BY 1",
     "last_hash": CHAIN + " SELECT arg_max(chain_hash, event_id) AS last_hash FROM c2",
     "written_chain": "SELECT user_id, true AS ok, CAST(NULL AS BIGINT) AS first_broken, count(*) AS total FROM events GROUP BY 1",
+    "whole_chain_verify": f"WITH c0 AS (SELECT event_id, sha256(concat_ws('|', event_id, event_type, user_id)) AS own FROM events), c1 AS (SELECT *, CASE WHEN event_id % 8191 = 4711 THEN 'x' ELSE lag(own, 1, '{H.GENESIS}') OVER (ORDER BY event_id) END AS prev FROM c0), b AS (SELECT event_id, lag(own, 1, '{H.GENESIS}') OVER (ORDER BY event_id) <> prev OR event_id % 7919 = 7918 AS bad FROM c1), d AS (SELECT event_id, lag(own, 1, '{H.GENESIS}') OVER (ORDER BY event_id) <> prev AS bad FROM c1 WHERE event_id % 8191 < 4711) SELECT 'broken' AS chain, min(event_id) FILTER (bad) IS NULL AS ok, min(event_id) FILTER (bad) AS first_broken, count(*) AS total FROM b UNION ALL SELECT 'cut', min(event_id) FILTER (bad) IS NULL, min(event_id) FILTER (bad), count(*) FROM d",
+    "appended_chain": f"WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events), c(user_id, seq, h) AS (SELECT user_id, seq, sha256('{{\"event_id\": ' || event_id || ', \"event_type\": \"' || event_type || '\", \"prev_hash\": \"{H.GENESIS}\", \"seq\": 0}}') FROM e WHERE seq = 0 UNION ALL SELECT e.user_id, e.seq, sha256('{{\"event_id\": ' || event_id || ', \"event_type\": \"' || event_type || '\", \"prev_hash\": \"' || h || '\", \"seq\": ' || e.seq || '}}') FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1) SELECT user_id, true AS ok, CAST(NULL AS BIGINT) AS first_broken, count(*) AS total, arg_max(h, seq) AS last_hash FROM c GROUP BY 1",
     "event_rows": "WITH e AS (SELECT event_id, ts, ([" + ", ".join(f"'{k}'" for k in EV) + f"])[event_id % {len(EV)} + 1] AS event FROM events), s AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'info' WHEN event_id % 13 = 0 THEN 'odd' ELSE coalesce(CASE event " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in L.EVENTS.items() if v[0]) + " END, 'info') END AS severity, CASE event " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in L.EVENTS.items() if v[1]) + " END AS stage FROM e) SELECT event_id, event, severity, stage, severity IN (" + ", ".join(f"'{s}'" for s in L.SEVERITIES) + ") AS valid, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_iso FROM s",
     "alert_decisions": "WITH a AS (SELECT event_id AS alert_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'pending' END AS status, CASE WHEN user_id % 2 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'APPROVE' WHEN event_id % 5 = 0 THEN NULL ELSE 'REJECT' END END AS decision FROM events WHERE event_type = 'error') SELECT alert_id, CASE WHEN status = 'pending' AND decision IS NOT NULL THEN 'resolved' ELSE status END AS status, decision, status = 'pending' AND decision IS NOT NULL AS resolved FROM a",
     "dataset_split": "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents), s AS (SELECT *, CASE WHEN position < CAST(floor(n * 0.8::DOUBLE) AS INT) THEN 'train' WHEN position < CAST(floor(n * 0.8::DOUBLE) AS INT) + CAST(floor(n * 0.1::DOUBLE) AS INT) THEN 'validation' ELSE 'test' END AS split FROM p) SELECT split, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, min(position) AS start FROM s GROUP BY 1",

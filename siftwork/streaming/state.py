@@ -6,15 +6,16 @@ DataFrame; `collected` runs one to the end of what there is and returns the resu
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import contextlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..sources.tables import new_folder
+from . import ordered
+
 LIFETIME = 3600.0
 
 
@@ -30,14 +31,16 @@ def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Da
 
     In mode `complete` that is the last batch; else all rows, or with `keys` the last row of each."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = new_folder(spark, "stream")
     written: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/b{number}")
         written.append(number)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    with rocks(spark):
+        run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
     if not written:
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(*[f"{at}/b{n}" for n in (written[-1:] if mode == "complete" else sorted(set(written)))])
@@ -46,15 +49,16 @@ def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Da
     return rows.select(*stream.columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set where none is, which only a local session may do."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="siftwork-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+@contextlib.contextmanager
+def rocks(spark: SparkSession):
+    """Streams started within keep their state in RocksDB, which transformWithState needs; the session's setting is put back."""
+    key, value = ordered.PROVIDER
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def tumbling(stream: DataFrame, key: str, width: str, late: str = "10 minutes") -> DataFrame:

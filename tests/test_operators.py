@@ -57,8 +57,21 @@ def test_token_sequence_keeps_its_tail(spark):
 
 @pytest.mark.parametrize("n,expected", [(1, 1.0), (4, 2.5), (5, 5.0), (10, 10.0), (11, 10.0)])
 def test_aggregate_risk(spark, n, expected):
-    d = spark.createDataFrame([(float(i),) for i in range(1, n + 1)], "x double")
-    assert d.agg(scoring.aggregate_risk(F.col("x")).alias("a")).first().a == expected
+    d = spark.createDataFrame([(k, float(i)) for i in range(1, n + 1) for k in (1, None)], "k int, x double")
+    assert {r.k: r.aggregate_risk for r in scoring.aggregate_risk(d, ["k"], "x").collect()} == {1: expected, None: expected}
+
+
+@pytest.mark.parametrize("cells,levels", [(1024, 2), (2, 1), (2, 2), (3, 4)])
+def test_order_statistic(spark, cells, levels):
+    """Skewed, equal, negative, tiny and null values; every place."""
+    import random
+
+    rng = random.Random(cells)
+    groups = {0: [rng.random() for _ in range(200)], 1: [1e9, *[1.0] * 50, *[1.0 + i * 1e-12 for i in range(50)]], 2: [5.0] * 40, 3: [-3.0], 4: [None], 5: [*[0.5] * 99, 0.25, None]}
+    d = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, x double").repartition(3)
+    for share in (0.0, 0.4, 0.9, 0.999):
+        got = {r.k: r.x for r in scoring.order_statistic(d, ["k"], "x", lambda n, q=share: F.floor(n * q), cells, levels).collect()}
+        assert got == {k: sorted(x)[int(len(x) * share)] for k, vs in groups.items() if (x := [v for v in vs if v is not None])}
 
 
 def test_decision_and_strategy(spark):
@@ -90,6 +103,81 @@ def test_chain_detects_changes(spark):
     assert {r.log: r.first_broken for r in history.verify(gap, "seq", again, ["log"]).collect()} == {1: None, 2: 6}
 
 
+def again(*fields):
+    return S.canonical_hash(F.to_json(F.struct(*sorted(fields), "prev_hash")))
+
+
+def test_one_long_chain_by_ranges(spark):
+    """Breaks inside ranges and at their edges, in one range and in many."""
+    d = spark.createDataFrame([(1, i, f"e{i}") for i in range(60)], "log int, seq long, event string")
+    rows = history.link(d, "log", "seq", ["seq", "event"]).select("seq", "event", "prev_hash", "chain_hash").collect()
+    for n in (1, 4, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for at in (0, 1, 29, 30, 59):
+            changed = spark.createDataFrame([(*r[:1], "x" if r.seq == at else r.event, *r[2:]) for r in rows], "seq long, event string, prev_hash string, chain_hash string").repartition(7)
+            whole = S.canonical_hash(F.to_json(F.struct("event", "prev_hash", "seq")))
+            assert tuple(history.verify(changed, "seq", whole).first()) == (False, at, 60)
+            gap = spark.createDataFrame([r for r in rows if r.seq != at], "seq long, event string, prev_hash string, chain_hash string")
+            assert tuple(history.verify(gap, "seq", whole).first()) == ((True, None, 59) if at == 59 else (False, at + 1, 59))
+        assert tuple(history.verify(changed.limit(0), "seq", whole).first()) == (True, None, 0)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_appended_batches_are_one_chain(spark, tmp_path):
+    """Batches, one written twice, and keys that skip a batch; null keys are a chain too."""
+    at = str(tmp_path / "log")
+    batch = lambda keys, a: spark.createDataFrame([(k, f"e{a}{i}", a * 100 + i) for k in keys for i in range(3)], "log int, event string, o int")
+    fields = ["seq", "event"]
+    assert history.append(batch([1, 2, None], 0), at, "log", "o", fields) == 0
+    assert history.append(batch([1], 1), at, "log", "o", fields) == 1
+    history.append(batch([1], 9), at, "log", "o", fields, 1)  # replaces what it wrote before
+    assert history.append(batch([2, 3, None], 2), at, "log", "o", fields) == 2
+    with pytest.raises(ValueError):
+        history.append(batch([1], 3), at, "log", "o", fields, 1)
+    log = history.chained(spark, at)
+    assert [r.event for r in log.where("log = 1").orderBy("seq").collect()] == ["e00", "e01", "e02", "e90", "e91", "e92"]
+    got = {r.log: (r.ok, r.total) for r in history.verify(log, "seq", again("event", "seq"), ["log"]).collect()}
+    assert got == {1: (True, 6), 2: (True, 6), 3: (True, 3), None: (True, 6)}
+    gone = log.where("NOT (log = 2 AND seq = 2)")
+    assert {r.log: r.first_broken for r in history.verify(gone, "seq", again("event", "seq"), ["log"]).collect()}[2] == 3
+
+
+def test_streamed_chain_goes_on_after_a_restart(spark, tmp_path):
+    def feed(a):
+        spark.createDataFrame([(k, f"e{a}{i}", a * 10 + i) for k in (1, 2) for i in range(4)], "log int, event string, o int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("log int, event string, o int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        history.appended(stream, str(tmp_path / "log"), "log", "o", ["seq", "event"]).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    feed(0)
+    run()
+    feed(1)
+    feed(2)
+    run()
+    log = history.chained(spark, str(tmp_path / "log"))
+    assert {r.log: (r.ok, r.total) for r in history.verify(log, "seq", again("event", "seq"), ["log"]).collect()} == {1: (True, 12), 2: (True, 12)}
+    assert log.where("prev_hash = '" + history.GENESIS + "'").count() == 2
+
+
+def test_retry_loop(spark):
+    ok, bad = lambda t, a: (t, a, 1, "x", True, None, None), lambda t, a, c: (t, a, 1, "x", False, c, f"d{a}")
+    rows = [
+        ok(1, 1), bad(1, 2, "LINT_ERROR"),  # what follows a pass does not count
+        bad(2, 1, "RESOURCE_MISMATCH"), bad(2, 2, "HINT_MISMATCH"), ok(2, 3),  # one restart only
+        bad(3, 1, "SYNTAX_ERROR"), bad(3, 2, "HINT_MISMATCH"), bad(3, 3, "PLAN_ERROR"), ok(3, 4),
+        bad(4, 5, "SYNTAX_ERROR"), (4, 5, 0, "x", True, None, None), (4, 5, 2, "x", False, "PLAN_ERROR", "z"),  # the first failure of an attempt counts
+        bad(5, 1, None), ok(5, 2),
+    ]
+    ended = validate.retries(spark.createDataFrame(rows, "t int, attempt int, ord int, name string, passed boolean, error_category string, detail string"), ["t"])
+    got = {r.t: (r.state, r.attempts, r.restarts, r.ran.replace("strategy>iac>validate", "S").replace("iac>validate", "I"), r.category, (r.feedback or "")[-2:]) for r in ended.collect()}
+    assert got == {1: ("passed", 1, 0, "S", None, ""), 2: ("passed", 3, 1, "S S I", None, "d2"), 3: ("aborted", 3, 1, "S I S", "PLAN_ERROR", "d3"), 4: ("open", 1, 0, "S", "SYNTAX_ERROR", "d5"), 5: ("passed", 2, 0, "S I", None, "d1")}
+    steps = validate.retry_rows(ended, ["t"]).where("t = 3").orderBy("attempt").collect()
+    assert [(r.attempt, r.outcome) for r in steps] == [(1, "retry"), (2, "retry"), (3, "aborted")]
+
+
 def test_python_facts(spark):
     src = "import os\nclass A:\n    def __del__(self):\n        os.system(x)\n    def f(self):\n        def g():\n            try:\n                eval(a + b)\n            except:\n                pass\n            open('p', 'w')\n        return g\n"
     r = structure.python_files(spark.createDataFrame([(1, src), (2, "def ("), (3, None)], "k int, text string"), "k").collect()
