@@ -171,8 +171,9 @@ def fresh(ts: Column, now: Column, age: int = 60, skew: int = 5) -> Column:
 
 def seal(content: Column, dek: Column, kek: Column) -> Column:
     """struct(ciphertext, wrapped key, ciphertext_sha256): AES-256-GCM with the key wrapped by another."""
-    c = F.aes_encrypt(content, dek, F.lit("GCM"))
-    return F.struct(c.alias("ciphertext"), F.aes_encrypt(dek, kek, F.lit("GCM")).alias("wrapped"), F.sha2(c, 256).alias("ciphertext_sha256"))
+    # encryption draws a nonce, so it must be evaluated once for the ciphertext and its hash: as a lambda's argument
+    once = F.transform(F.array(F.aes_encrypt(content, dek, F.lit("GCM"))), lambda c: F.struct(c.alias("ciphertext"), F.aes_encrypt(dek, kek, F.lit("GCM")).alias("wrapped"), F.sha2(c, 256).alias("ciphertext_sha256")))
+    return F.get(once, F.lit(0))
 
 
 def unseal(sealed: Column, kek: Column) -> Column:

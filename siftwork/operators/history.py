@@ -8,6 +8,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import lookups as L
 from ..sources import tables
@@ -28,7 +29,7 @@ def link(records: DataFrame, key: str, order: str, fields: list[str], after: Dat
         heads = after.select(F.col(key).alias("_key"), F.col("chain_hash").alias("_hash"), *([F.col(number).cast("long").alias("_number")] if number else []))
         ready = ready.join(heads, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     ready = ready.repartition(key).sortWithinPartitions(key, order)
-    schema = records.schema
+    schema = StructType(list(records.schema))  # add() changes what it is called on
     if number:
         schema = schema.add(number, "long")
     schema = schema.add("prev_hash", "string").add("chain_hash", "string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("node_queries", "text_queries", "python_queries", "decision_queries", "record_queries", "stream_queries")
+MODULES = ("node_queries", "text_queries", "python_queries", "decision_queries", "record_queries", "stream_queries", "file_queries")
 
 
 def _gather(name: str) -> dict:

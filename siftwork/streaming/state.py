@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..sources.tables import new_folder
+from ..sources.tables import is_folder, new_folder
 from . import ordered
 
 LIFETIME = 3600.0
@@ -26,6 +26,15 @@ def events(spark: SparkSession, folder: str, name: str = "events.parquet", files
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, a file or a folder of files, as a stream."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return stream.option("pathGlobFilter", name).parquet(folder)
+
+
 def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs the stream over all there is and returns what it gave, from files; nothing gathers on the driver.
 
