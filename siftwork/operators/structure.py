@@ -373,20 +373,36 @@ def python_files(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     return files.select(key, text).mapInArrow(run, f"{key} {kind}, flags map<string,boolean>, numbers map<string,long>, source_entropy double, blank_ratio double, modules array<string>, parse_errors array<string>")
 
 
-def python_nodes(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, idx, parent_idx, depth, node_type, props: the syntax tree of each Python source, a row a node, in pre-order."""
+def places(parents: tuple) -> list[list[int]]:
+    """For each node, given its parent's number, its child positions from the root down."""
+    out, children = [], Counter()
+    for p in parents:
+        if p is None:
+            out.append([])
+        else:
+            out.append([*out[p], children[p]])
+            children[p] += 1
+    return out
+
+
+def python_nodes(files: DataFrame, key: str, text: str = "text", paths: bool = False) -> DataFrame:
+    """key, idx, parent_idx, depth, node_type, props: the syntax tree of each Python source, a row a node, in pre-order.
+
+    With `paths` each node's path too: its child positions from the root down. A source that gives no tree is a module alone."""
     kind = dict(files.dtypes)[key]
+    more = ["path"] if paths else []
 
     def run(it):
         for b in it:
             keys = b.column(b.schema.get_field_index(key))
             for i, t in enumerate(b.column(b.schema.get_field_index(text)).to_pylist()):
-                nodes = FileFacts(t or "").nodes
+                nodes = FileFacts(t or "").nodes or ([(0, None, 0, "Module", {})] if paths else [])
                 if nodes:
                     idx, parent, depth, types, props = zip(*nodes)
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i].as_py()] * len(idx), keys.type), pa.array(idx, pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(types, pa.string()), pa.array([list(p.items()) for p in props], pa.map_(pa.string(), pa.string()))], names=[key, "idx", "parent_idx", "depth", "node_type", "props"])
+                    path = [pa.array(places(parent), pa.list_(pa.int32()))] if paths else []
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i].as_py()] * len(idx), keys.type), pa.array(idx, pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(types, pa.string()), pa.array([list(p.items()) for p in props], pa.map_(pa.string(), pa.string())), *path], names=[key, "idx", "parent_idx", "depth", "node_type", "props", *more])
 
-    return files.select(key, text).mapInArrow(run, f"{key} {kind}, idx int, parent_idx int, depth int, node_type string, props map<string,string>")
+    return files.select(key, text).mapInArrow(run, f"{key} {kind}, idx int, parent_idx int, depth int, node_type string, props map<string,string>" + ", path array<int>" * paths)
 
 
 def python_stripped(files: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lookups as L
+from ..operators import intermediate as I
 from ..operators import structure as R
+from . import node_queries as V
 from . import stand_ins as T
 
 #: Source; numbers that add up; numbers of which the largest counts; flags; operators and operands with their counts; modules.
@@ -67,7 +70,34 @@ def python_stripped(spark, sf_dir):
     return R.python_stripped(T.table(spark, sf_dir, "customer").select("c_custkey", broken.alias("source")), "c_custkey", "source")
 
 
-QUERIES = {"python_structure": python_structure, "python_facts": python_facts, "python_tree": python_tree, "python_stripped": python_stripped}
+def supplier_sources(spark, sf_dir):
+    """s_suppkey and source: none, one or both of two snippets."""
+    k = F.col("s_suppkey")
+    return T.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.when(k % 2 == 1, SNIPPETS[1][0]).otherwise(""), F.when(k % 4 >= 2, SNIPPETS[7][0]).otherwise("")).alias("source"))
+
+
+def source_rows(spark, sf_dir):
+    s = supplier_sources(spark, sf_dir)
+    about = I.files(s, "s_suppkey", "source")
+    return I.nodes(s, about, "s_suppkey", "source"), about
+
+
+def source_pipeline(spark, sf_dir):
+    """From sources to counters, edges, patterns and tokens, a row a file."""
+    rows, _ = source_rows(spark, sf_dir)
+    s = I.summaries(rows, "s_suppkey")
+    return s.withColumns({"weight": F.round("weight", 9), "n_tokens": F.size("tokens"), "digest": F.md5(F.array_join("tokens", " ").cast("binary"))}).drop("tokens")
+
+
+def source_vector(spark, sf_dir):
+    """From sources to feature vectors: those of nodes and patterns, and of the file a few that the snippets decide."""
+    rows, about = source_rows(spark, sf_dir)
+    v = I.vectors(rows, about, "s_suppkey")
+    names = [*V.FEATURES, "pattern_hit_count", "pattern_total_boost", "has_exfil_pattern", "has_exec_pattern", "f_import_count", "f_function_count", "f_cyclomatic", "f_cognitive", "f_format_call_count"]
+    return v.select("s_suppkey", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c).cast("double"), 9).alias("amount")) for c in names])))
+
+
+QUERIES = {"source_pipeline": source_pipeline, "source_vector": source_vector, "python_structure": python_structure, "python_facts": python_facts, "python_tree": python_tree, "python_stripped": python_stripped}
 
 SOURCES = "src AS (SELECT p_partkey, CASE WHEN p_partkey = 1 OR p_partkey % 50 = 7 THEN 0 ELSE (p_partkey * 37) % 256 END AS m, (p_partkey * 37) % 256 AS lines_of, p_partkey = 1 AS huge, p_partkey % 50 = 7 AS broken FROM part)"
 
@@ -156,3 +186,29 @@ ORACLE_SQL = {
     "python_tree": f"WITH {_nodes()}, s AS (SELECT s_suppkey, s_suppkey % 2 = 1 AS one, s_suppkey % 4 >= 2 AS seven FROM supplier) SELECT s_suppkey, i + CASE WHEN snippet = 7 AND one THEN 27 ELSE 0 END AS idx, CASE WHEN p = 0 THEN 0 ELSE p + CASE WHEN snippet = 7 AND one THEN 27 ELSE 0 END END AS parent_idx, depth, node_type, {_hash('name')} AS name, others FROM s JOIN tn ON (snippet = 1 AND one) OR (snippet = 7 AND seven) UNION ALL SELECT s_suppkey, 0, NULL, 0, 'Module', NULL, '' FROM s",
     "python_stripped": "WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS k FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 100 <> 3 THEN 'def ' || " + _hash("'f' || k") + " || '(' || " + _hash("'a' || k") + " || '):' || chr(10) || '    ' || " + _hash("'b'") + " || ': ' || " + _hash("'int'") + " || ' = 0' || chr(10) || '    return ' || " + _hash("'a' || k") + " || ' + '''' * ' || " + _hash("'b' || k") + " || '.' || " + _hash("'c' || k") + " || '(' || " + _hash("'k' || k") + " || '=b'''')' END AS stripped, CASE WHEN c_custkey % 100 = 3 THEN 'SyntaxError' END AS error FROM c",
 }
+_TYPES = ", ".join(f"('{k}', '{a}', '{b}', {c})" for k, (a, b, c) in L.NODE_TYPES.items())
+_TIMES = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in L.MULTIPLIERS.items())
+#: What the flags of snippet 7 add, in order.
+_ADDED = "(1, 'NETWORK', 'network', 6, 'net'), (2, 'OBFUSC', 'dynamic', 8, 'dyn'), (3, 'DYNAMIC', 'execution', 9, 'dyn'), (4, 'DYNAMIC', 'execution', 5, '')"
+IR = "WITH " + ORACLE_SQL["python_tree"].removeprefix("WITH ").replace(" SELECT s_suppkey, i +", f""", nt(node_type, ir_type, category, base) AS (VALUES {_TYPES}), mu(category, m) AS (VALUES {_TIMES}), ad(j, ir_type, category, risk_level, raises) AS (VALUES {_ADDED}),
+n0 AS (SELECT s_suppkey, i +""", 1) + """), n1 AS (SELECT s_suppkey, idx, parent_idx, depth, coalesce(nt.ir_type, 'EXPR') AS ir_type, coalesce(nt.category, 'data_flow') AS category, coalesce(base, 0) AS base FROM n0 LEFT JOIN nt ON nt.node_type = n0.node_type),
+al AS (SELECT s_suppkey, idx, parent_idx, depth, ir_type, n1.category, CAST(floor(base * m) AS INT) AS risk_level, '' AS raises FROM n1 JOIN mu ON mu.category = n1.category
+  UNION ALL SELECT l.s_suppkey, last + j, 0, 1, ad.ir_type, ad.category, ad.risk_level, ad.raises FROM (SELECT s_suppkey, max(idx) AS last FROM n1 GROUP BY 1) l JOIN s ON s.s_suppkey = l.s_suppkey AND seven, ad)"""
+#: By hand: the root has the flags for network calls and obfuscation, the two imports are rows 1 and 3 of snippet 7 and its call row 6, and the added rows follow its last, 10.
+_HITS = "CASE WHEN seven THEN 'EXEC_CHAIN:' || (1 + o) || ',' || (6 + o) || ',' || (13 + o) || ';EXFIL_CHAIN:' || (13 + o) || ',0;OBFUSC_EXEC:0,' || (13 + o) ELSE '' END"
+_BOOST = sum(L.BOOSTS[k] for k in ("EXEC_CHAIN", "EXFIL_CHAIN", "OBFUSC_EXEC"))
+_STRONG = "(" + ", ".join(f"'{k}'" for k in L.AMPLIFIED) + ")"
+_KNOWN = "(" + ", ".join(f"'{k}'" for k in L.VOCABULARY) + ")"
+_TYPED = V.FEATURES | {
+    "priv_ratio": V.SHARE.format("ir_type IN ('PRIVILEGE', 'GLOBAL')"), "ctrl_flow_ratio": V.SHARE.format("ir_type IN ('BRANCH', 'LOOP', 'MATCH')"), "io_ratio": V.SHARE.format("category = 'io' OR ir_type = 'IO'"), "net_ratio": V.SHARE.format("category = 'network' OR ir_type = 'NETWORK'"),
+    "dyn_ratio": V.SHARE.format("ir_type = 'DYNAMIC'"), "hook_ratio": V.SHARE.format("ir_type = 'HOOK' OR category = 'hook'"), "taint_ratio": V.SHARE.format("ir_type = 'TAINTED_EXEC' OR category = 'taint'"), "concur_ratio": V.SHARE.format("ir_type = 'CONCUR'"), "deser_ratio": V.SHARE.format("ir_type = 'DESER'"),
+}
+_FILE = {"pattern_hit_count": "3 * seven::INT", "pattern_total_boost": f"seven::INT * {_BOOST} / 100.0::DOUBLE", "has_exfil_pattern": "seven::INT", "has_exec_pattern": "seven::INT", "f_import_count": "2 * seven::INT", "f_function_count": "one::INT", "f_cyclomatic": "1 + 4 * one::INT", "f_cognitive": "7 * one::INT", "f_format_call_count": "seven::INT"}
+ORACLE_SQL |= {
+    "source_pipeline": IR + f""", me AS (SELECT s_suppkey, count(*) AS total_nodes, max(depth) AS max_depth, count(*) FILTER (ir_type IN ('GLOBAL', 'PRIVILEGE')) + count(*) FILTER (raises = 'priv') AS privilege_sensitive_count, count(*) FILTER (ir_type = 'NETWORK') + count(*) FILTER (raises = 'net') AS network_call_count,
+  count(*) FILTER (ir_type = 'IO') AS io_call_count, count(*) FILTER (ir_type = 'DYNAMIC') + count(*) FILTER (raises = 'dyn') AS dynamic_eval_count, count(*) FILTER (risk_level >= 7) AS high_risk_node_count, count(*) FILTER (ir_type = 'OBFUSC') AS obfuscation_count, count(*) FILTER (ir_type = 'LOOP') AS loop_count, count(*) FILTER (ir_type = 'BRANCH') AS branch_count, count(*) FILTER (ir_type = 'CALL') AS call_count,
+  count(*) FILTER (parent_idx IS NOT NULL) AS edges, round(coalesce(sum(risk_level / 10.0::DOUBLE) FILTER (parent_idx IS NOT NULL), 0.0), 9) AS weight, list(CASE WHEN ir_type IN {_KNOWN} THEN ir_type ELSE 'EXPR' END ORDER BY idx) AS t FROM al GROUP BY 1),
+tk AS (SELECT *, list_concat(t, list_filter(t, lambda x: x IN {_STRONG})) AS k FROM me), o AS (SELECT *, CASE WHEN one THEN 27 ELSE 0 END AS o FROM s)
+SELECT tk.* EXCLUDE (t, k), len(k) AS n_tokens, md5(array_to_string(k, ' ')) AS digest, {_HITS} AS patterns, seven::INT * {_BOOST} AS extra_risk FROM tk JOIN o ON o.s_suppkey = tk.s_suppkey""",
+    "source_vector": IR + ", w AS (SELECT s_suppkey, " + ", ".join(f"{v} AS {k}" for k, v in _TYPED.items()) + " FROM al GROUP BY 1) SELECT s_suppkey, x.f AS feature, round(x.v, 9) AS amount FROM (SELECT w.s_suppkey, unnest([" + ", ".join(f"{{'f': '{k}', 'v': ({v})::DOUBLE}}" for k, v in ({k: k for k in _TYPED} | _FILE).items()) + "]) AS x FROM w JOIN s ON s.s_suppkey = w.s_suppkey)",
+}
