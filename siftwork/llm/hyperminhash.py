@@ -4,17 +4,20 @@
 2. Sketches. The shingles of a set are dealt to REGISTERS buckets by their hash. A register keeps of the least
    hash of its bucket the number of leading zeros and the MANTISSA bits after the first one: 16 bits instead
    of 64, which follow sets of any size.
-3. Bands. Each ROWS registers are a band, whose hash goes to the bucket of all bands like it; those that
-   are alone send nothing more. A band that a third of all sets have costs its bucket one entry a chunk.
-   Shared bands connect sets to blocks by a star around the least doc_id: no pairs are written.
-4. Estimates. Within a block, sets with a common band are compared by their registers. Registers of unequal least
+3. Bands. Each ROWS registers are a band, whose hash goes to a bucket of the hash space and comes back with the number of
+   sets that have it. Shared ones go there again, with BRIEF of the set's registers cut to a byte.
+4. Blocks. Sets with a common band are connected if the estimate from those bytes is within SIGMAS standard deviations of the
+   similarity; what is connected is written as a star, never as pairs, and makes blocks. Without estimates,
+   chains of passages that documents share would join most of a corpus to one block. A band of more than PART
+   sets is dealt to parts, and each two of them meet in a task of their own.
+5. Estimates. Within a block, sets with a common band are compared by all their registers. Registers of unequal least
    hashes agree by chance; that number follows from the sets' sizes and is taken off. A pair whose
    estimate is more than SIGMAS standard deviations below the similarity is dropped.
-5. Verification. What is left is compared on the full sets. In a dense group the set that agrees most with all
+6. Verification. What is left is compared on the full sets. In a dense group the set that agrees most with all
    registers comes first, and sets connected already are not compared again.
 
 A pair of similarity 0.8 lacks a common band with a probability of (1 - 0.8**ROWS)**BANDS = 4e-9 (2e-17 at 0.85); sets
-of few shingles leave registers empty, and at five of them the probability is 6e-8. The estimate drops such a
+of few shingles leave registers empty, and at five of them the probability is 6e-8. An estimate drops such a
 pair with a probability of 1e-9. Links are never wrong.
 
 Defined cases: null text and text without words have no shingles, n_shingles 0 and their own component;
@@ -30,13 +33,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import groups
+from .chunks import groups, meet, parts
 from .common import table
+from .components import components
 from .hashing import U, after, mix
-from .jaccard import BLOCK, DEN, NUM, near_duplicates
+from .jaccard import BLOCK, DEN, NUM, Sets, _all, _pairs, _sets, _trees, counted, everyone, labelled, whole_sets
+from .storage import saved
 
 WORDS, BANDS, ROWS, MANTISSA, SIGMAS = 4, 64, 6, 10, 6.0
-REGISTERS = BANDS * ROWS
+REGISTERS, BRIEF, PART = BANDS * ROWS, 192, 2_048
 PRECISION = 40  # bits of a hash that registers are made from
 EMPTY = (1 << 16) - 1
 TOGETHER = 1 << 14  # sets sketched together
@@ -66,28 +71,139 @@ def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, (r != EMPTY).any(axis=2)
 
 
+#: What a set sends to a shared band: the band, its id and size, and its first registers, 0 where empty.
+ENTRY = np.dtype([("band", "<u8"), ("id", "<i8"), ("n", "<u4"), ("brief", "u1", (BRIEF,))])
+COUNTED = 255
+
+
+def brief(regs: np.ndarray) -> np.ndarray:
+    r = regs[:, :BRIEF]
+    return np.where(r == EMPTY, 0, 1 + r % COUNTED).astype(np.uint8)
+
+
+def sketched(s, which: np.ndarray):
+    """Batches of a chunk's documents (their numbers) with their registers."""
+    for i in range(0, len(which), TOGETHER):
+        some = which[i : i + TOGETHER]
+        local = np.full(len(s.n), -1, np.int64)
+        local[some] = np.arange(len(some))
+        own = local[s.doc]
+        of = np.flatnonzero(own >= 0)
+        yield some, registers(s.values[of], own[of], len(some))
+
+
 class Banded:
-    """Rule by which sets come to one block (see jaccard.Rarest): any common band."""
+    """Rule by which sets meet (see jaccard.Rarest): any common band."""
 
     def keys(self, s, stands):
         values, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        who = np.flatnonzero(stands)
-        for i in range(0, len(who), TOGETHER):
-            some = who[i : i + TOGETHER]
-            local = np.full(len(stands), -1, np.int64)
-            local[some] = np.arange(len(some))
-            own = local[s.doc]
-            of = np.flatnonzero(own >= 0)
-            h, filled = bands(registers(s.values[of], own[of], len(some)))
+        for some, regs in sketched(s, np.flatnonzero(stands)):
+            h, filled = bands(regs)
             values.append(h[filled])
             docs.append(np.repeat(some, filled.sum(axis=1)))
         return np.concatenate(values), np.concatenate(docs)
 
-    def shared(self, n):
-        return np.ones_like(n)
 
-    def leading(self, n):
-        return np.full_like(n, BANDS)
+def near(n: np.ndarray, one: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and brief registers may be similar enough."""
+    used = (one > 0) | (other > 0)
+    k = used.sum(axis=-1)
+    agree = ((one == other) & used).sum(axis=-1) / np.maximum(k, 1)
+    j = (agree - 1 / COUNTED) / (1 - 1 / COUNTED)
+    n, m = np.asarray(n, np.int64), np.asarray(m, np.int64)
+    # sets without any of the brief registers tell nothing
+    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & ((k == 0) | (j + SIGMAS * np.sqrt(NUM * (DEN - NUM) / DEN**2 / np.maximum(k, 1)) >= NUM / DEN))
+
+
+def stars(e: np.ndarray) -> np.ndarray:
+    """Of entries in the order of their bands, for each the number of the entry that its connected ones meet at; -1 if it is connected with none."""
+    out = np.full(len(e), -1, np.int64)
+    g = groups(e["band"])
+    size = np.diff(np.append(g, len(e)))
+    two = g[size == 2]
+    step = 1 << 14
+    for i in range(0, len(two), step):
+        a = two[i : i + step]
+        ok = a[near(e["n"][a], e["brief"][a], e["n"][a + 1], e["brief"][a + 1])]
+        out[ok] = out[ok + 1] = ok
+    for a, n in zip(g[size > 2].tolist(), size[size > 2].tolist()):
+        left = np.arange(a, a + n)
+        while len(left) > 1:
+            head, left = int(left[0]), left[1:]
+            todo = [head]
+            while todo and len(left):
+                u = todo.pop()
+                ok = near(e["n"][left], e["brief"][left], e["n"][u], e["brief"][u])
+                some = left[ok]
+                if len(some):
+                    out[head] = out[some] = head
+                    todo += some.tolist()
+                    left = left[~ok]
+    return out
+
+
+def link(key, chunks, payloads):
+    """A meeting of entries: to each chunk (id, id of the star's centre) of its connected sets."""
+    e = np.concatenate([np.frombuffer(p, ENTRY) for p in payloads])
+    chunk = np.repeat(np.array(chunks, np.int64), [len(p) // ENTRY.itemsize for p in payloads])
+    order = np.lexsort((e["id"], e["band"]))
+    e, chunk = e[order], chunk[order]
+    to = stars(e)
+    found = np.flatnonzero(to >= 0)
+    pairs, chunk = np.column_stack([e["id"][found], e["id"][to[found]]]), chunk[found]
+    by = np.argsort(chunk, kind="stable")
+    g = groups(chunk[by])
+    for a, z in zip(g.tolist(), [*g[1:].tolist(), len(by)]):
+        yield int(chunk[by[a]]), np.unique(pairs[by[a:z]], axis=0).astype("<i8").tobytes()
+
+
+def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners."""
+    x, counts, look = counted(docs, words, Banded())
+    buckets = x.buckets
+
+    def send_bands(chunk, ids, texts, got):
+        s = Sets(texts, words)
+        own, stands, value, doc, each = look(s, chunk, ids, got)
+        yield -1 - chunk, everyone(s, ids, own)
+        keep = each > 1
+        value, doc, each = value[keep], doc[keep], each[keep]
+        short = np.zeros((len(ids), BRIEF), np.uint8)
+        for some, regs in sketched(s, np.unique(doc)):
+            short[some] = brief(regs)
+        e = np.zeros(len(value), ENTRY)
+        e["band"], e["id"], e["n"], e["brief"] = value, [ids[i] for i in doc.tolist()], s.n[doc], short[doc]
+        small = each <= 2 * PART
+        rest = e[small]  # values ascend
+        for b, i, j in parts(rest["band"], buckets):
+            yield b, rest[i:j].tobytes()
+        hot: dict[int, list] = {}
+        for i in np.flatnonzero(~small).tolist():  # each two parts of a hot band meet
+            n = int(-(-each[i] // PART))
+            own_part = int(mix(e["id"][i : i + 1].astype(U))[0] % U(n))
+            for other in range(n):
+                if other != own_part:
+                    pair = min(own_part, other) * n + max(own_part, other)
+                    hot.setdefault(buckets + int(mix(value[i : i + 1] + U(pair))[0] >> U(16)), []).append(i)
+        for k, some in hot.items():
+            yield k, e[some].tobytes()
+
+    def send_found(chunk, ids, texts, got):
+        yield -1 - 2 * chunk, got.pop(-1 - chunk)
+        if not got:
+            return
+        star = np.unique(np.concatenate([np.frombuffer(p, "<i8").reshape(-1, 2) for p in got.values()]), axis=0)
+        s = Sets(texts, words)
+        found = set(star[:, 0].tolist())
+        which = [i for i in np.unique(s.model).tolist() if ids[i] in found and s.n[i]]
+        yield -2 - 2 * chunk, star[star[:, 0] != star[:, 1]].tobytes()
+        yield 0, whole_sets(s, ids, which)
+
+    notes = saved(x.again(meet(x.again(counts, send_bands), link), send_found))
+    of = lambda where: notes.where(where).select("payload")
+    blocks = components(of("key < 0 AND key % 2 = 0").mapInArrow(_pairs, "a long, b long").distinct())
+    sets = of("key >= 0").mapInArrow(_sets, "doc_id long, n int, hashes binary")
+    return of("key < 0 AND key % 2 <> 0").mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block, sketch_join)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -169,7 +285,7 @@ def sketch_join(one: list, two: list):
 
 def deduplicated(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and kept of every row."""
-    return near_duplicates(docs, words, block, Banded(), sketch_join).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return labelled(*owned_sets(docs, words, block)).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op11_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,9 +89,7 @@ def shared(n):
 
 
 class Rarest:
-    """Keys by which similar sets meet: the first shingles in hash order, of which the rarest connect sets to blocks.
-
-    Other rules have the same three methods (see hyperminhash)."""
+    """Keys by which similar sets meet: the first shingles in hash order, of which the rarest connect sets to blocks."""
 
     def keys(self, s: Sets, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values that are sent for the standing documents, and whose they are."""
@@ -114,10 +112,12 @@ def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[
     return every.drop("owner"), links.union(copies)
 
 
-def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rarest(), join=None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners.
+def counted(docs: DataFrame, words: int, rule):
+    """The first two visits: equal sets find their owner, and keys by which similar sets meet (see Rarest) come back counted.
 
-    `rule` says by which keys sets come to one block, `join` finds the links between two lists of sets there."""
+    Returns the exchange, the replies for a third visit, and look(s, chunk, ids, got), which tells that visit owner (the doc_id that
+    stands for each document's set), stands (whether a document does), and of the keys of those that do value, document and number of sets that have it;
+    and takes the second visit's note out of `got`."""
     x = Exchange(docs)
     buckets = x.buckets
 
@@ -198,16 +198,10 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rar
                 yield c, np.packbits(mine > 1).tobytes() + np.minimum(mine[mine > 1], (1 << 32) - 1).astype(np.uint32).tobytes()
             i += len(p)
 
-    def send_blocks(chunk, ids, texts, got):
-        s = Sets(texts, words)
-        who = np.array([-1 if i is None else i for i in ids], np.int64)
-        none = np.array([i is None for i in ids], bool)
-        note = lambda kind: -1 - (chunk * 3 + kind)
+    def look(s, chunk, ids, got):
         own = owners(s, ids, got.pop(-1 - chunk, b""))
         stands = standing(s, ids, own)
-        owner = np.array([d if not n or o is None else o for d, o, n in zip(who.tolist(), own, s.n.tolist())], np.int64)
-        yield note(ALL), np.column_stack([who, s.n, none, owner]).astype(np.int64).tobytes()
-        h, n, value, doc, g = tokens(s, stands)
+        h, _, value, doc, g = tokens(s, stands)
         df = np.ones(len(h), np.int64)
         for b, i, j in parts(h, buckets):
             if (reply := got.get(b)) is None:
@@ -216,6 +210,37 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rar
             bits = np.unpackbits(np.frombuffer(reply, np.uint8, m), count=j - i).astype(bool)
             df[i:j][bits] = np.frombuffer(reply, np.uint32, -1, m)
         each = np.repeat(df, np.diff(np.append(g, len(value)))) if len(g) else df[:0]
+        return own, stands, value, doc, each
+
+    owned = meet(x.first(send_sets), own_sets)
+    return x, meet(x.again(owned, send_tokens), count), look
+
+
+def everyone(s, ids, own) -> bytes:
+    """A note of all documents of a chunk, which `_all` reads."""
+    who = np.array([-1 if i is None else i for i in ids], np.int64)
+    none = np.array([i is None for i in ids], bool)
+    owner = np.array([d if not n or o is None else o for d, o, n in zip(who.tolist(), own, s.n.tolist())], np.int64)
+    return np.column_stack([who, s.n, none, owner]).astype(np.int64).tobytes()
+
+
+def whole_sets(s, ids, which) -> bytes:
+    """The sets of some of a chunk's documents, which `_sets` reads."""
+    return b"".join(int(ids[i]).to_bytes(8, "little", signed=True) + int(s.n[i]).to_bytes(8, "little") + s.values[s.first[i] : s.first[i + 1]].tobytes() for i in which)
+
+
+def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners."""
+    rule = Rarest()
+    x, counts, look = counted(docs, words, rule)
+    buckets = x.buckets
+
+    def send_blocks(chunk, ids, texts, got):
+        s = Sets(texts, words)
+        note = lambda kind: -1 - (chunk * 3 + kind)
+        who = np.array([-1 if i is None else i for i in ids], np.int64)
+        own, stands, value, doc, each = look(s, chunk, ids, got)
+        yield note(ALL), everyone(s, ids, own)
         enough = np.bincount(doc, each > 1, minlength=len(ids)) >= rule.shared(s.n)
         stay = enough & stands
         # the rarest come first; linked sets have one of the first sent - shared + 1 in common
@@ -231,7 +256,7 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rar
         star = np.column_stack([who[doc], np.repeat(least, np.diff(np.append(g, len(doc)))) if len(g) else least])
         star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
         yield note(STARS), star.tobytes()
-        yield note(SETS), b"".join(int(who[i]).to_bytes(8, "little", signed=True) + int(s.n[i]).to_bytes(8, "little") + s.values[s.first[i] : s.first[i + 1]].tobytes() for i in np.unique(doc).tolist())
+        yield note(SETS), whole_sets(s, ids, np.unique(doc).tolist())
         v = value[g] if len(g) else value
         for b, i, j in parts(v, buckets):
             yield b, v[i:j].tobytes() + least[i:j].tobytes()
@@ -246,15 +271,14 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rar
         star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
         yield chunks[0], star.tobytes()
 
-    owned = meet(x.first(send_sets), own_sets)
-    notes = saved(x.again(meet(x.again(owned, send_tokens), count), send_blocks))
+    notes = saved(x.again(counts, send_blocks))
     kind = F.pmod(-1 - F.col("key"), F.lit(3))
     of = lambda k: notes.where((F.col("key") < 0) & (kind == k)).select("payload")
     sets = of(SETS).mapInArrow(_sets, "doc_id long, n int, hashes binary")
     # only the shingles of the stars move again; the sets wait where they were written
     stars = of(STARS).union(meet(notes.where("key >= 0"), connect).select("payload"))
     blocks = components(stars.mapInArrow(_pairs, "a long, b long").distinct())
-    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block, join or dual_join)
+    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block, dual_join)
 
 
 def _pairs(it):
@@ -400,9 +424,8 @@ def dual_join(one: list, two: list):
                     yield a.name[u], b.name[v]
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rule=Rarest(), join=None) -> DataFrame:
+def labelled(every: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
-    every, links = owned_sets(docs, words, block, rule, join)
     labels = components(links)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of = labels.join(least, "label").select(F.col("node").alias("owner"), "component_id")
@@ -410,6 +433,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, block: int = BLOCK, rul
     return every.join(of, "owner", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "owner").alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
+    return labelled(*owned_sets(docs, words))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

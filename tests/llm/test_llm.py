@@ -1062,3 +1062,44 @@ def test_hyperminhash_defined_cases(spark, empty):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = hyperminhash.deduplicated(frame(spark, [long, long.replace("w7 ", "W7x "), "short"])).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in rows] == [(59_997, 0), (59_997, 0), (1, 2)]
+
+
+def test_hyperminhash_hot_bands(spark, monkeypatch):
+    """Bands of more sets than fit one meeting, and chunks of few documents."""
+    monkeypatch.setattr(hyperminhash, "PART", 3)
+    monkeypatch.setattr(chunks.Exchange.__init__, "__defaults__", (900, 2000, ()))
+    rng = random.Random(8)
+    texts = []
+    for size in (40, 41, 90):
+        base = [f"w{size}x{k}" for k in range(size)]
+        for _ in range(30):
+            w = list(base)
+            w[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: size - rng.randrange(3)]))
+        texts.append(" ".join(base))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in hyperminhash.deduplicated(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_near(texts, 4)))
+
+
+def test_hyperminhash_stars_connect_what_is_near():
+    """Groups of two, of more and of equal sets; what is far apart stays apart, and shared passages make no chain."""
+    rng = np.random.default_rng(9)
+    rows, group = [], []
+    passage = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    for g in range(40):
+        own = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        for k in range(1 + g % 4):
+            h = np.concatenate([own, passage])
+            h[rng.integers(0, 200, k)] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+            rows.append(np.unique(h))
+            group.append(g)
+    n = len(rows)
+    regs = hyperminhash.registers(np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows]), n)
+    e = np.zeros(n, hyperminhash.ENTRY)
+    e["band"], e["id"], e["n"], e["brief"] = 5, np.arange(n), [len(r) for r in rows], hyperminhash.brief(regs)
+    to = hyperminhash.stars(e)
+    assert all((to[i] < 0) == (group.count(group[i]) == 1) for i in range(n))
+    assert all((to[i] == to[j]) == (group[i] == group[j]) for i in range(n) for j in range(n) if to[i] >= 0 and to[j] >= 0)
+    pair = e[[group.index(3), group.index(3) + 1, group.index(2), group.index(5)]].copy()
+    pair["band"] = [1, 1, 2, 2]
+    assert hyperminhash.stars(pair).tolist() == [0, 0, -1, -1]
