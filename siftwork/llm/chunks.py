@@ -1,6 +1,6 @@
 """Chunk and bucket exchange: how these operators compare every document with all others.
 
-Documents are dealt to chunks of about CHUNK bytes by a hash of their id. A `visit` function sees one chunk's
+Documents are dealt to chunks of about CHUNK bytes by a hash of their id and text. A `visit` function sees one chunk's
 documents and sends packed arrays of hashes, each distinct value once, to buckets of the hash space; a
 `meet` function sees one bucket of all chunks and replies to each chunk. As a chunk sends a value once
 however often it has it, a hot value costs its bucket one entry a chunk, not one a row. The next visit
@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import bounded, release
 
 CHUNK, BUCKET = 2 << 20, 16 << 20
+#: A row counts as so many bytes besides its text, so that chunks of short or no texts stay small too.
+ROW_BYTES = 64
 ROW = "key long, chunk long, payload binary"
 PA_ROW = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
 
@@ -40,10 +42,10 @@ class Exchange:
     """`carry` names columns that come back with the result of `last` (as c0, c1, ... inside)."""
 
     def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, carry: tuple = ()):
-        size = bounded(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = bounded(docs).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
         self.chunks = int(size // chunk_bytes) + 1
         self.buckets = max(8, int(size // bucket_bytes) + 1)
-        place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(self.chunks))
+        place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.chunks))  # by the text too: ids may be null or repeated
         self.carried = [(c, docs.schema[c].dataType) for c in carry]
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("chunk"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
 

@@ -157,8 +157,9 @@ def link(key, chunks, payloads):
         yield int(chunk[by[a]]), np.unique(pairs[by[a:z]], axis=0).astype("<i8").tobytes()
 
 
-def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners."""
+def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, the links (a, b) between owners,
+    and the written tables that the links are read from."""
     x, counts, look = counted(docs, words, Banded())
     buckets = x.buckets
 
@@ -203,7 +204,9 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple
     of = lambda where: notes.where(where).select("payload")
     blocks = components(of("key < 0 AND key % 2 = 0").mapInArrow(_pairs, "a long, b long").distinct())
     sets = of("key >= 0").mapInArrow(_sets, "doc_id long, n int, hashes binary")
-    return of("key < 0 AND key % 2 <> 0").mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block, sketch_join)
+    every = saved(of("key < 0 AND key % 2 <> 0").mapInArrow(_all, "doc_id long, n_shingles long, owner long"))
+    links, read = _trees(sets, blocks, block, sketch_join)
+    return every, links, [notes, blocks, *read]
 
 
 @functools.lru_cache(maxsize=4096)
@@ -261,7 +264,7 @@ def sketch_join(one: list, two: list):
             if (label[m] == label[m[0]]).all() or one is not two and (side[m] == side[m[0]]).all():
                 continue
             if len(m) > 2:  # what agrees most with all comes first
-                usual = np.array([np.bincount(c).argmax() for c in regs[m].T])
+                usual = np.sort(regs[m], axis=0)[len(m) // 2]  # what more than half of them have, if any value is so frequent
                 m = m[np.argsort(-(regs[m] == usual).sum(axis=1), kind="stable")]
             for i, u in enumerate(m[:-1].tolist()):
                 v = m[i + 1 :]

@@ -35,7 +35,7 @@ from .chunks import Exchange, groups, meet, parts
 from .common import table
 from .components import components
 from .hashing import U, Words, grams
-from .storage import saved
+from .storage import discard, saved
 
 WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM / DEN
 BLOCK, BYTES, LEAF, FAN, BITS = 2_048, 4 << 20, 8, 8, 4_096
@@ -107,7 +107,7 @@ class Rarest:
 
 def join_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (a, b): links that connect exactly the linked documents."""
-    every, links = owned_sets(docs, words, block)
+    every, links, _ = owned_sets(docs, words, block)
     copies = every.where("owner <> doc_id").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
     return every.drop("owner"), links.union(copies)
 
@@ -229,8 +229,9 @@ def whole_sets(s, ids, which) -> bytes:
     return b"".join(int(ids[i]).to_bytes(8, "little", signed=True) + int(s.n[i]).to_bytes(8, "little") + s.values[s.first[i] : s.first[i + 1]].tobytes() for i in which)
 
 
-def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, and the links (a, b) between owners."""
+def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(doc_id, n_shingles, owner) of every row, owner being the least doc_id with the same set, the links (a, b) between owners,
+    and the written tables that the links are read from."""
     rule = Rarest()
     x, counts, look = counted(docs, words, rule)
     buckets = x.buckets
@@ -278,7 +279,9 @@ def owned_sets(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> tuple
     # only the shingles of the stars move again; the sets wait where they were written
     stars = of(STARS).union(meet(notes.where("key >= 0"), connect).select("payload"))
     blocks = components(stars.mapInArrow(_pairs, "a long, b long").distinct())
-    return of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"), _trees(sets, blocks, block, dual_join)
+    every = saved(of(ALL).mapInArrow(_all, "doc_id long, n_shingles long, owner long"))
+    links, read = _trees(sets, blocks, block, dual_join)
+    return every, links, [notes, blocks, *read]
 
 
 def _pairs(it):
@@ -308,8 +311,8 @@ def _sets(it):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], names=["doc_id", "n", "hashes"])
 
 
-def _trees(sets: DataFrame, blocks: DataFrame, block: int, join) -> DataFrame:
-    """Links found in all blocks."""
+def _trees(sets: DataFrame, blocks: DataFrame, block: int, join) -> tuple[DataFrame, list[DataFrame]]:
+    """Links found in all blocks, and the tables written for them."""
     # the labels grow with the input: never broadcast, so that the plan is the same at every size
     placed = sets.join(blocks.select(F.col("node").alias("doc_id"), F.col("label").alias("block")).hint("merge"), "doc_id")
     # a row for each size of set in a block, with what comes before it in size order, in units of one tree
@@ -351,7 +354,7 @@ def _trees(sets: DataFrame, blocks: DataFrame, block: int, join) -> DataFrame:
             i = j
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return alone.union(grid).groupBy("task").applyInArrow(run, "a long, b long")
+    return alone.union(grid).groupBy("task").applyInArrow(run, "a long, b long"), [sizes]
 
 
 class Tree:
@@ -424,9 +427,10 @@ def dual_join(one: list, two: list):
                     yield a.name[u], b.name[v]
 
 
-def labelled(every: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
+def labelled(every: DataFrame, links: DataFrame, read: list[DataFrame]) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row; what the links are read from goes."""
     labels = components(links)
+    discard(*read)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of = labels.join(least, "label").select(F.col("node").alias("owner"), "component_id")
     # an owner is the least of its copies, so the least owner is the least of all

@@ -96,7 +96,8 @@ def built(nodes: DataFrame, group: str, most: int) -> list[DataFrame]:
 
 def proven(tables: list[DataFrame], group: str, roots: DataFrame) -> DataFrame:
     """The nodes of the lowest table, with root and proof: the siblings from their own level up, before what `roots`
-    (group, root, proof) has for the group."""
+    (group, root, proof) has for the group. Tables above the lowest are read for the last time."""
+    above: list[DataFrame] = []
     inherited = tables[-1].join(roots, tables[-1][group].eqNullSafe(roots[group])).select(tables[-1]["*"], "root", "proof")
     for k in range(len(tables) - 1, -1, -1):
         children = inherited.select(group, "root", "proof", "depth", *[f"l{i}" for i in range(LEVELS)], F.explode("l0").alias("child"))
@@ -109,9 +110,10 @@ def proven(tables: list[DataFrame], group: str, roots: DataFrame) -> DataFrame:
         proof = F.concat(F.array_compact(F.array(*steps)), F.col("proof")).cast(STEPS)
         inherited = children.select(group, "root", proof.alias("proof"), "child.*")
         if k:
-            inherited = saved(inherited.select(group, "place", "root", "proof"))
-            t = tables[k - 1]
-            inherited = t.join(inherited, t[group].eqNullSafe(inherited[group]) & (t["place"] == inherited["place"])).select(t["*"], "root", "proof")
+            given, t = saved(inherited.select(group, "place", "root", "proof")), tables[k - 1]
+            discard(*above, tables[k])
+            above = [given]
+            inherited = t.join(given, t[group].eqNullSafe(given[group]) & (t["place"] == given["place"])).select(t["*"], "root", "proof")
     return inherited
 
 
@@ -130,14 +132,16 @@ def manifest(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
 
     Groups are ordered by their names in UTF-8, null first."""
     rows = placed(leaves, group, [*order, "digest"])
-    most = rows.agg(F.max("size"), F.approx_count_distinct(group)).first()
-    if most[0] is None:
+    most = rows.agg(F.max("size")).first()[0]
+    if most is None:
         nothing = F.lit(None).cast("string")
         return rows.drop("place", "size").withColumns({"subroot": nothing, "root": nothing, "proof": F.lit(None).cast(STEPS)})
-    tables = built(rows, group, most[0])
+    tables = built(rows, group, most)
+    discard(rows)  # the lowest table has them
     top = tables[-1].select(F.lit(0).alias("_all"), F.col(group).alias("name"), "digest")
     heads = placed(top, "_all", ["name"])
     higher = built(heads, "_all", heads.agg(F.max("size")).first()[0])
+    discard(heads)
     roots = higher[-1].select("_all", F.col("digest").alias("root"), F.array().cast(STEPS).alias("proof"))
     sub = saved(proven(higher, "_all", roots).select(F.col("name").alias(group), "root", "proof", F.col("digest").alias("subroot")))
     every = proven(tables, group, sub.select(group, "proof", F.struct("root", "subroot").alias("root")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import groups
+from .chunks import ROW_BYTES, groups
 from .common import table
 from .hashing import BASE, U, mix, prefix, spans
 
@@ -118,7 +118,8 @@ def part_edges(keyed: DataFrame) -> list[int]:
     """The least id of each part, ascending: parts hold about PART bytes of texts next to each other in the order of ids.
 
     At most MOST_PARTS ids; with more text than they hold at PART bytes, parts are larger."""
-    size = keyed.agg(F.sum(F.octet_length("text")), F.min("at"), F.count("*")).first()
+    own = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES  # rows without text have a weight too
+    size = keyed.agg(F.sum(own), F.min("at"), F.count("*")).first()
     if not size[2]:
         return []
     part = max(PART, (size[0] or 0) // MOST_PARTS + 1)
@@ -129,7 +130,7 @@ def part_edges(keyed: DataFrame) -> list[int]:
     quantiles = sorted(set(keyed.approxQuantile("at", [i / coarse for i in range(1, coarse)], 0.1 / coarse)))
     # approxQuantile gives doubles: any ascending numbers will do as bounds of ranges
     bounds = F.array(*(F.lit(float(q)) for q in quantiles)) if quantiles else F.array().cast("array<double>")
-    sized = keyed.select("at", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).withColumn("range", F.size(F.filter(bounds, lambda q: q < F.col("at").cast("double"))))
+    sized = keyed.select("at", own.alias("b")).withColumn("range", F.size(F.filter(bounds, lambda q: q < F.col("at").cast("double"))))
     totals = sized.groupBy("range").agg(F.sum("b").alias("n")).withColumn("offset", F.sum("n").over(Window.orderBy("range")) - F.col("n"))  # at most COARSE rows
     running = sized.join(F.broadcast(totals.select("range", "offset")), "range")
     before = F.sum("b").over(Window.partitionBy("range").orderBy("at")) - F.col("b") + F.col("offset")
