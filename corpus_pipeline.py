@@ -46,9 +46,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the budgets of their domain, language and source; at most two epochs of a document."""
+    """Documents by the budgets that target weights give their domain, language and source; at most two epochs of a document."""
     docs = docs.select(*COLUMNS)
-    return mixing.mix(docs, share=1.0, epochs=2).select(*COLUMNS)
+    targets = mixing.weights_of(spark.createDataFrame(mixing.TARGETS, "domain string, lang string, source string, weight double"))
+    return mixing.mix(docs, share=1.0, epochs=2, weights=targets).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = storage.saved(stage(spark, docs, sf_dir))
+        before, docs = docs, storage.saved(stage(spark, docs, sf_dir))
+        storage.discard(before)  # the table of the stage before; nothing was written for the first
     return docs
