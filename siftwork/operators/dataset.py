@@ -31,8 +31,13 @@ def threats(spark: SparkSession) -> DataFrame:
 
 def generate(spark: SparkSession, n: int, seed: int = 42, shortest: int = 20, longest: int = 200) -> DataFrame:
     """n samples, classes in turn: sample_id, threat_class, tokens, labels, risk_level."""
-    d = spark.range(n).withColumnRenamed("id", "sample_id").withColumn("class_no", (F.col("sample_id") % len(L.THREATS)).cast("int"))
-    d = d.join(F.broadcast(threats(spark)), "class_no")
+    return samples(spark.range(n).withColumnRenamed("id", "sample_id"), seed, shortest, longest)
+
+
+def samples(rows: DataFrame, seed: int = 42, shortest: int = 20, longest: int = 200) -> DataFrame:
+    """The sample of each row's number (column sample_id, not negative); equal numbers have equal samples."""
+    d = rows.select(F.col("sample_id").cast("long").alias("sample_id")).withColumn("class_no", (F.col("sample_id") % len(L.THREATS)).cast("int"))
+    d = d.join(F.broadcast(threats(rows.sparkSession)), "class_no")
     size = (F.lit(shortest) + unit(F.lit(seed), "sample_id") * (longest - shortest)).cast("int")
     vocabulary = F.array(*map(F.lit, L.TRAINING_VOCABULARY))
     pick = lambda a, *of: F.get(a, (unit(*of) * F.size(a)).cast("int"))

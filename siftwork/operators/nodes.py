@@ -79,11 +79,17 @@ def added_rows(files: DataFrame, keys: list[str], last: str = "last_idx") -> Dat
 
 
 def token_sequence(nodes: DataFrame, keys: list[str], size: int = L.SEQUENCE, tail: int = L.TAIL) -> DataFrame:
-    """keys, tokens: the first types of a file, its last places given to the first amplified ones."""
+    """keys, tokens: the first types of a file, its last places given to the first amplified ones.
+
+    Of a file the first `size` nodes and the first `tail` amplified ones are gathered, whatever its length."""
     token = F.when(F.col("ir_type").isin(*L.VOCABULARY), F.col("ir_type")).otherwise("EXPR")
-    got = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", token.alias("t")))).alias("s"))
-    tokens = F.transform("s", lambda x: x["t"])
-    strong = F.filter(tokens, lambda t: t.isin(*L.AMPLIFIED))
+    order = Window.partitionBy(*keys).orderBy("idx")
+    marked = nodes.select(*keys, "idx", token.alias("t")).withColumns({"_place": F.row_number().over(order), "_strong": F.col("t").isin(*L.AMPLIFIED)})
+    marked = marked.withColumn("_rank", F.sum(F.col("_strong").cast("int")).over(order))
+    few = marked.where((F.col("_place") <= size) | F.col("_strong") & (F.col("_rank") <= tail))
+    got = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "t", "_place", "_strong"))).alias("s"))
+    tokens = F.transform(F.filter("s", lambda x: x["_place"] <= size), lambda x: x["t"])
+    strong = F.transform(F.filter("s", lambda x: x["_strong"]), lambda x: x["t"])
     n = F.least(F.size(strong), F.lit(tail))
     return got.select(*keys, F.when(n > 0, F.concat(F.slice(tokens, F.lit(1), F.lit(size) - n), F.slice(strong, F.lit(1), n))).otherwise(F.slice(tokens, 1, size)).alias("tokens"))
 
@@ -96,10 +102,13 @@ def category_risk(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys, "category").agg(F.sum("risk_level").alias("risk"), F.count("*").alias("n"))
 
 
-def at_share(values: Column, q: float) -> Column:
-    """The value at place int(q * n), from 0, of the ascending values: not an interpolated percentile."""
-    v = F.sort_array(F.collect_list(values))
-    return F.get(v, (F.lit(float(q)) * F.size(v)).cast("int"))
+def at_share(values: Column, q: float, most: int = 10) -> Column:
+    """The value at place int(q * n), from 0, of ascending whole numbers from 0 to `most`: not an interpolated percentile.
+
+    It is how many of the numbers 0, 1, ... have no more than that place of values up to them, so that only counts are kept."""
+    place = (F.lit(float(q)) * F.count(values)).cast("int")
+    up_to = [(F.count_if(values <= v) <= place).cast("int") for v in range(most)]
+    return F.when(F.count(values) > 0, reduce(lambda a, b: a + b, up_to))
 
 
 def features(nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,17 +75,43 @@ def results(decisions: DataFrame, summaries: DataFrame) -> DataFrame:
     return decisions.join(summaries, "task_id", "left").select("task_id", F.lit("complete").alias("status"), "decision", "confidence", "aggregate_risk", F.col("high_risk_file_count").alias("high_risk_files"), "rules_triggered", "constraints", "hitl_required", *[c for c in summaries.columns if c != "task_id" and c not in decisions.columns])
 
 
+def final(strategies: DataFrame, files: DataFrame, counted: DataFrame, pending: DataFrame, intelligence: DataFrame, key: str = "task_id") -> DataFrame:
+    """The final row of each task with all its keys.
+
+    strategies: decisions with their strategy. files: key, file, body. counted: key, clean_files, killed_files, seconds.
+    pending: key, hitl_pending. intelligence: a row a task, which becomes a struct. Tasks that a table lacks have no
+    files, counts of 0 and no intelligence. A task of which files were killed needs review whatever its decision."""
+    ansible = F.col("file").endswith(".yml")
+    entries = lambda of: F.map_from_entries(F.array_sort(F.collect_list(F.when(of, F.struct("file", "body")))))  # noqa: E731  a task's files are few
+    made = files.groupBy(key).agg(entries(~ansible).alias("terraform_contents"), entries(ansible).alias("ansible_contents"))
+    told = intelligence.select(key, F.struct(*[c for c in intelligence.columns if c != key]).alias("intelligence"))
+    every = strategies.join(made, key, "left").join(counted, key, "left").join(pending, key, "left").join(told, key, "left")
+    none, zero = F.create_map().cast("map<string,string>"), F.lit(0)
+    contents = {k: F.coalesce(F.col(k), none) for k in ("terraform_contents", "ansible_contents")}
+    killed = F.coalesce("killed_files", zero)
+    return every.select(
+        key, F.lit("complete").alias("status"), "decision", "confidence", "aggregate_risk", "total_files", F.coalesce("clean_files", zero).alias("clean_files"), killed.alias("killed_files"), F.col("high_risk_file_count").alias("high_risk_files"), F.col("anomalous_pattern_count").alias("anomalous_patterns"),
+        (F.col("hitl_required") | (killed > 0)).alias("hitl_required"), F.coalesce("hitl_pending", zero).alias("hitl_pending"), "constraints", F.col("method").alias("deployment_method"), (F.col("method") != "none").alias("deployment_success"),
+        F.array_sort(F.map_keys(contents["terraform_contents"])).alias("terraform_files"), F.array_sort(F.map_keys(contents["ansible_contents"])).alias("ansible_files"), *[v.alias(k) for k, v in contents.items()], "intelligence", F.round("seconds", 2).alias("duration_seconds"),
+    )
+
+
 def activity(tasks: DataFrame) -> DataFrame:
     """Counters over tasks."""
     d, s = F.col("decision"), F.col("status")
     return tasks.agg(F.count("*").alias("tasks"), F.count_if(s == "running").alias("running"), F.count_if(s == "failed").alias("failed"), F.count_if(d == "REJECT").alias("rejected"), F.count_if(F.col("hitl_required")).alias("pending_reviews"))
 
 
+# Names of the variables that every bundle declares, and of those that a constraint adds.
+VARIABLES = "subscription_id location app_name environment allowed_cidr state_resource_group state_storage_account".split()
+VARIABLES_IF = {"monitoring_required": "action_group_id", "network_isolation": "key_vault_id", "sandboxed_execution": "app_image", "privilege_restriction": "keyvault_name"}
+#: Lines of feedback that a second attempt carries.
+MOST_FEEDBACK = 20
 #: Our own short renderings; {places} are columns.
 TEMPLATES = {
-    "main.tf": '# task {task_id}, attempt {attempt}\nterraform {\n  required_version = ">= 1.5"\n}\n\nresource "azurerm_resource_group" "main" {\n  name     = "rg-{task_id}"\n  location = var.location\n  tags     = { isolated = "{isolated}", sandboxed = "{sandboxed}" }\n}\n\nresource "azurerm_virtual_network" "main" {\n  name          = "vnet-{task_id}"\n  address_space = ["10.0.0.0/16"]\n}\n\nresource "azurerm_subnet" "main" {\n  name             = "subnet-{task_id}"\n  address_prefixes = ["10.0.1.0/24"]\n}\n',
+    "main.tf": '# task {task_id}, attempt {attempt}\n{feedback}terraform {\n  required_version = ">= 1.5"\n}\n\nresource "azurerm_resource_group" "main" {\n  name     = "rg-{task_id}"\n  location = var.location\n  tags     = { isolated = "{isolated}", sandboxed = "{sandboxed}" }\n}\n\nresource "azurerm_virtual_network" "main" {\n  name          = "vnet-{task_id}"\n  address_space = ["10.0.0.0/16"]\n}\n\nresource "azurerm_subnet" "main" {\n  name             = "subnet-{task_id}"\n  address_prefixes = ["10.0.1.0/24"]\n}\n',
     "nsg.tf": 'resource "azurerm_network_security_group" "main" {\n  name = "nsg-{task_id}"\n  tags = { isolated = "{isolated}" }\n\n  security_rule {\n    name      = "deny-inbound"\n    priority  = 4096\n    direction = "Inbound"\n    access    = "Deny"\n  }\n\n  security_rule {\n    name      = "deny-outbound"\n    priority  = 4096\n    direction = "Outbound"\n    access    = "Deny"\n  }\n}\n',
-    "variables.tf": 'variable "location" {\n  type = string\n}\n',
+    "variables.tf": "".join(f'variable "{name}" {{\n  type = string\n}}\n\n' for name in VARIABLES) + "{declared}",
     "outputs.tf": 'output "resource_group" {\n  value = azurerm_resource_group.main.name\n}\n',
     "container.tf": 'resource "azurerm_container_group" "main" {\n  name           = "box-{task_id}"\n  os_type        = "Linux"\n  restart_policy = "Never"\n}\n',
     "monitoring.tf": 'resource "azurerm_log_analytics_workspace" "main" {\n  name = "logs-{task_id}"\n}\n\nresource "azurerm_monitor_activity_log_alert" "main" {\n  name = "alert-{task_id}"\n}\n',
@@ -99,8 +125,15 @@ TEMPLATES = {
 }
 
 
-def rendered(strategies: DataFrame, attempt: int = 1) -> DataFrame:
-    """task_id, ord, file, body of every file that a strategy calls for."""
-    flags = strategies.select("task_id", F.array_contains("constraints", "network_isolation").alias("isolated"), F.array_contains("constraints", "sandboxed_execution").alias("sandboxed"), F.lit(attempt).alias("attempt"))
+def rendered(strategies: DataFrame, attempt: int = 1, feedback: str | None = None) -> DataFrame:
+    """task_id, ord, file, body of every file that a strategy calls for.
+
+    A variable is declared for each constraint that needs one. From the second attempt on, main.tf begins with the lines of the column
+    `feedback`, at most MOST_FEEDBACK, as comments."""
+    has = lambda k: F.array_contains("constraints", k)
+    declared = F.concat(*[F.when(has(k), F.lit(f'variable "{v}" {{\n  type = string\n}}\n\n')).otherwise("") for k, v in VARIABLES_IF.items()])
+    lines = F.transform(F.slice(F.split(F.coalesce(F.col(feedback), F.lit("")), "\n"), 1, MOST_FEEDBACK), lambda x: F.concat(F.lit("# "), x)) if feedback else None
+    told = F.when(F.coalesce(F.col(feedback), F.lit("")) != "", F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("") if feedback and attempt > 1 else F.lit("")
+    flags = strategies.select("task_id", has("network_isolation").alias("isolated"), has("sandboxed_execution").alias("sandboxed"), F.lit(attempt).alias("attempt"), declared.alias("declared"), told.alias("feedback"))
     files = generated_files(strategies, ["task_id"]).join(flags, "task_id")
-    return bodies(files, TEMPLATES, task_id="task_id", attempt="attempt", isolated="isolated", sandboxed="sandboxed").select("task_id", "ord", "file", "body")
+    return bodies(files, TEMPLATES, task_id="task_id", attempt="attempt", isolated="isolated", sandboxed="sandboxed", declared="declared", feedback="feedback").select("task_id", "ord", "file", "body")

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import nodes as N
 from ..operators import scoring as D
 from ..operators import validate as V
+from ..sources import tables
 from . import node_queries as Q
 from . import stand_ins as T
 
@@ -105,8 +106,8 @@ def first_failure(spark, sf_dir):
 
 def attempts(spark, sf_dir):
     """Retries: lines of an order are attempts, at most three count."""
-    c = checks(spark, sf_dir).where("ord <= 3")
-    return c.groupBy("l_orderkey").agg(F.max("ord").alias("attempts"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed") & (V.restart(F.col("error_category")) == "strategy")).alias("strategy_restarts"))
+    counts = F.col("ord") <= 3
+    return checks(spark, sf_dir).groupBy("l_orderkey").agg(F.coalesce(F.max(F.when(counts, F.col("ord"))), F.lit(0)).alias("attempts"), F.count_if(counts & F.col("passed")).alias("passed"), F.count_if(counts & ~F.col("passed") & (V.restart(F.col("error_category")) == "strategy")).alias("strategy_restarts"))
 
 
 def attempt_checks(spark, sf_dir):
@@ -200,7 +201,7 @@ ORACLE_SQL = {
     "resource_anti_join": "SELECT DISTINCT p_partkey % 20 AS task_id, lower(trim(p_type)) AS resource FROM part e WHERE NOT EXISTS (SELECT 1 FROM part a WHERE a.p_size > 45 AND a.p_partkey % 20 = e.p_partkey % 20 AND lower(trim(a.p_type)) = lower(trim(e.p_type)))",
     "hint_coverage": f"WITH h AS (SELECT doc_id, lower('azurerm_redis_cache ' || text) AS t, i FROM documents, range({len(NAMES)}) r(i) WHERE (i + doc_id) % 3 <> 0), g AS (SELECT doc_id, count(*) AS hints, count(*) FILTER ({ADDRESSED}) AS addressed FROM h GROUP BY 1) SELECT doc_id, hints, addressed, CAST(addressed AS DOUBLE) / hints AS covered, CAST(addressed AS DOUBLE) / hints >= 0.5 AS passed FROM g",
     "first_failure": CHECKS + f", ff AS (SELECT l_orderkey, min(ord) FILTER (NOT passed) AS ord, arg_min(category, ord) FILTER (NOT passed) AS category, arg_min(detail, ord) FILTER (NOT passed) AS detail FROM ch GROUP BY 1) SELECT l_orderkey, ord IS NULL AS passed, ord, category, {RESTART} AS restart_from, {HINT} || ' ' || substr(detail, 1, 300) AS hint FROM ff",
-    "attempts": CHECKS + f" SELECT l_orderkey, max(ord) AS attempts, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND {RESTART} = 'strategy') AS strategy_restarts FROM ch WHERE ord <= 3 GROUP BY 1",
+    "attempts": CHECKS + f" SELECT l_orderkey, coalesce(max(ord) FILTER (ord <= 3), 0) AS attempts, count(*) FILTER (ord <= 3 AND passed) AS passed, count(*) FILTER (ord <= 3 AND NOT passed AND {RESTART} = 'strategy') AS strategy_restarts FROM ch GROUP BY 1",
     "retry_loop": LOOP + " SELECT * FROM z",
     "retry_attempts": LOOP + " SELECT l_orderkey, j AS attempt, (string_split(ran, ' '))[j] AS ran, CASE WHEN j < attempts THEN 'retry' ELSE state END AS outcome FROM (SELECT *, unnest(range(1, attempts + 1))::INT AS j FROM z)",
     "planned_resources": PLANNED.format("IN (2, 3)"), "applied_resources": PLANNED.format("= 1"),
@@ -250,6 +251,36 @@ def result_rows(spark, sf_dir):
     return C.results(d, s).join(d.select("task_id", "risk_summary"), "task_id").withColumn("constraints", F.array_join("constraints", ","))
 
 
+def final_rows(spark, sf_dir):
+    """All keys of the final row: decision, files, review, strategy, generated files with their bodies, intelligence and duration."""
+    from ..operators import records as C
+
+    d = tables.written(D.strategy(decisions(spark, sf_dir)))
+    files = C.rendered(d)
+    m = Q.file_metrics(spark, sf_dir).select(F.floor(F.col("user_id") / 7).alias("task_id"), "user_id")
+    counted = m.groupBy("task_id").agg(F.count_if(F.col("user_id") % 3 > 0).alias("clean_files"), F.count_if(F.col("user_id") % 3 == 0).alias("killed_files"), (F.max("user_id") / 4.0).alias("seconds"))
+    pending = m.where(F.col("user_id") % 5 == 0).groupBy("task_id").agg(F.count("*").alias("hitl_pending"))
+    r = C.final(d, files, counted, pending, intelligence_summary(spark, sf_dir))
+    text = lambda c: F.array_join(c, ",")
+    return r.select(
+        "task_id", "status", "decision", "confidence", "aggregate_risk", "total_files", "clean_files", "killed_files", "high_risk_files", "anomalous_patterns", "hitl_required", "hitl_pending", text("constraints").alias("constraints"), "deployment_method", "deployment_success",
+        text("terraform_files").alias("terraform_files"), text("ansible_files").alias("ansible_files"), F.size("terraform_contents").alias("terraform_contents"), F.size("ansible_contents").alias("ansible_contents"), F.col("intelligence.total_ast_nodes").alias("intelligence"), "duration_seconds",
+    )
+
+
+def declared_variables(spark, sf_dir):
+    """The variables that the rendered files declare, by constraint, and how many lines of feedback a second attempt carries."""
+    from ..operators import records as C
+
+    s = D.strategy(decisions(spark, sf_dir)).withColumn("feedback", F.array_join(F.transform(F.sequence(F.lit(1), F.col("task_id").cast("int") + 1), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n"))
+    r = C.rendered(s, attempt=2, feedback="feedback")
+    lines = r.select("task_id", "file", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    variables = lines.where((F.col("file") == "variables.tf") & F.col("line").startswith("variable ")).select("task_id", "n", F.get(F.split("line", '"'), F.lit(1)).alias("name"))
+    each = variables.groupBy("task_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), ",").alias("variables"))
+    told = lines.where((F.col("file") == "main.tf") & F.col("line").rlike("^# line [0-9]+$")).groupBy("task_id").agg(F.count("*").alias("feedback_lines"))
+    return each.join(told, "task_id", "left").select("task_id", "variables", F.coalesce("feedback_lines", F.lit(0)).alias("feedback_lines"))
+
+
 def task_activity(spark, sf_dir):
     from ..operators import records as C
 
@@ -258,10 +289,16 @@ def task_activity(spark, sf_dir):
     return C.activity(d.withColumn("status", F.when(t % 5 == 0, "running").when(t % 7 == 1, "failed").otherwise("complete")))
 
 
-QUERIES |= {"result_rows": result_rows, "task_activity": task_activity, "rendered_files": rendered_files, "declared_by_task": declared_by_task, "unplanned_resources": unplanned_resources, "review_requests": review_requests}
+QUERIES |= {"final_rows": final_rows, "declared_variables": declared_variables, "result_rows": result_rows, "task_activity": task_activity, "rendered_files": rendered_files, "declared_by_task": declared_by_task, "unplanned_resources": unplanned_resources, "review_requests": review_requests}
 _TF = "CASE WHEN method = 'none' THEN 0 ELSE 4 + list_contains(cons, 'sandboxed_execution')::INT + list_contains(cons, 'monitoring_required')::INT + list_contains(cons, 'network_isolation')::INT + 2 * list_contains(cons, 'privilege_restriction')::INT END"
 _ALL = f"({_TF} + CASE method WHEN 'none' THEN 0 WHEN 'imperative' THEN 1 ELSE 3 END)"
+_OF = lambda kind: f"array_to_string(list_sort(list_filter(coalesce(fl, []), lambda x: {kind})), ',')"
+_VARS = [("true", "subscription_id,location,app_name,environment,allowed_cidr,state_resource_group,state_storage_account"), *[(f"list_contains(cons, '{k}')", v) for k, v in (("monitoring_required", "action_group_id"), ("network_isolation", "key_vault_id"), ("sandboxed_execution", "app_image"), ("privilege_restriction", "keyvault_name"))]]
 ORACLE_SQL |= {
+    "declared_variables": STRATEGY + " SELECT task_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{v}' END" for c, v in _VARS) + "], lambda x: x IS NOT NULL), ',') AS variables, least(task_id + 1, 20) AS feedback_lines FROM t1 WHERE method <> 'none'",
+    "final_rows": ORACLE_SQL["generated_files"].replace(" SELECT task_id, ord, file FROM f0", f""", g AS (SELECT task_id, list(file) AS fl FROM f0 GROUP BY 1), c AS (SELECT task_id, count(*) FILTER (user_id % 3 > 0) AS clean_files, count(*) FILTER (user_id % 3 = 0) AS killed_files, count(*) FILTER (user_id % 5 = 0) AS hitl_pending, max(user_id) / 4.0::DOUBLE AS seconds FROM sc GROUP BY 1)
+SELECT t1.task_id, 'complete' AS status, decision, confidence, aggregate_risk, total_files, clean_files, killed_files, high_risk_file_count AS high_risk_files, anomalous_pattern_count AS anomalous_patterns, (decision <> 'REJECT' AND confidence < 0.6::DOUBLE AND len(rules) > 0) OR killed_files > 0 AS hitl_required, hitl_pending, array_to_string(cons, ',') AS constraints, method AS deployment_method, method <> 'none' AS deployment_success,
+  {_OF("NOT x LIKE '%.yml'")} AS terraform_files, {_OF("x LIKE '%.yml'")} AS ansible_files, len(list_filter(coalesce(fl, []), lambda x: NOT x LIKE '%.yml')) AS terraform_contents, len(list_filter(coalesce(fl, []), lambda x: x LIKE '%.yml')) AS ansible_contents, total_ir_nodes AS intelligence, round(seconds, 2) AS duration_seconds FROM t1 JOIN c ON c.task_id = t1.task_id LEFT JOIN g ON g.task_id = t1.task_id"""),
     "rendered_files": STRATEGY + f" SELECT task_id, {_ALL} AS files, {_ALL} AS written, {_TF} AS declarative FROM t1 WHERE method <> 'none'",
     "unplanned_resources": "SELECT 0 AS missing",
     "result_rows": DECIDE + ", sm AS (SELECT task_id, sum(network_call_count) AS network_calls, max(max_depth) AS deepest FROM sc GROUP BY 1) SELECT d1.task_id, 'complete' AS status, decision, confidence, aggregate_risk, high_risk_file_count AS high_risk_files, len(rules) AS rules_triggered, array_to_string(cons, ',') AS constraints, decision <> 'REJECT' AND confidence < 0.6::DOUBLE AND len(rules) > 0 AS hitl_required, network_calls, deepest, 'Decision: ' || decision || chr(10) || 'Aggregate Risk: ' || printf('%.2f', aggregate_risk * 100) || '%' || chr(10) || 'Files Analyzed: ' || total_files || chr(10) || 'High-Risk Files: ' || high_risk_file_count || chr(10) || 'Rules Triggered: ' || len(rules) || '/6' || CASE WHEN len(rules) > 0 THEN chr(10) || 'Triggered Rules:' || array_to_string(list_transform(rules, lambda r: chr(10) || '  [' || CASE r " + " ".join(f"WHEN '{r[0]}' THEN '{r[2].upper()}'" for r in L.RULES) + " END || '] ' || r), '') ELSE '' END AS risk_summary FROM d1 JOIN sm ON sm.task_id = d1.task_id",

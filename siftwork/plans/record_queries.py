@@ -109,8 +109,8 @@ def event_rows(spark, sf_dir):
 def alert_decisions(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
     alerts = e.where(F.col("event_type") == "error").select(F.col("event_id").alias("alert_id"), F.when(F.col("event_id") % 3 == 0, "resolved").otherwise("pending").alias("status"))
-    words = F.when(F.col("event_id") % 2 == 0, " approve ").when(F.col("event_id") % 5 == 0, "maybe").otherwise("REJECT")
-    decisions = e.where(F.col("user_id") % 2 == 0).select(F.col("event_id").alias("alert_id"), words.alias("decision"), F.col("ts"))
+    words = F.when(F.col("user_id") % 2 == 1, "later").when(F.col("event_id") % 2 == 0, " approve ").when(F.col("event_id") % 5 == 0, "maybe").otherwise("REJECT")
+    decisions = e.select(F.col("event_id").alias("alert_id"), words.alias("decision"), F.col("ts"))
     return X.resolve(alerts, decisions).select("alert_id", "status", "decision", "resolved")
 
 
@@ -140,9 +140,10 @@ def prediction_error(spark, sf_dir):
 
 
 def training_samples(spark, sf_dir):
-    g = G.generate(spark, 600)
+    """The sample that belongs to each document's number."""
+    g = G.samples(T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id")))
     first = F.get("tokens", F.lit(1))
-    return g.select("sample_id", "threat_class", F.size("tokens").alias("length"), F.round("risk_level", 9).alias("risk_level"), F.size(G.feature_vector(F.col("tokens"))).alias("dimensions"), F.round(F.get("labels", F.lit(0)), 9).alias("label0"), F.when(F.array_contains(F.array(*map(F.lit, L.TRAINING_VOCABULARY)), first), F.get("tokens", F.lit(0))).alias("head"))
+    return g.select("sample_id", "threat_class", F.size("tokens").alias("length"), F.round("risk_level", 9).alias("risk_level"), F.size(G.feature_vector(F.col("tokens"))).alias("dimensions"), F.round(F.get("labels", F.lit(0)), 9).alias("label0"), F.when(F.array_contains(F.array(*map(F.lit, L.TRAINING_VOCABULARY)), first), F.get("tokens", F.lit(0))).alias("head"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
 def training_features(spark, sf_dir):
@@ -197,10 +198,17 @@ _RS = f"list_transform(tk, lambda x: {_RISK})"
 _D45 = [f"{_CNT(k)} / {_N}::DOUBLE" for k in TOKENS] + [f"{_N} / 200.0::DOUBLE", f"least({_N} / 50.0::DOUBLE, 1.0::DOUBLE)", "0.5::DOUBLE", f"list_sum({_RS}) / {_N}", f"coalesce(list_max({_RS}), 0.0::DOUBLE)", f"len(list_filter({_RS}, lambda r: r >= 0.6::DOUBLE)) / {_N}::DOUBLE"] + [f"{_CNT(k)} / {_N}::DOUBLE" for k in ("BRANCH", "IO", "NETWORK")] + [f"{_CNT('PRIVILEGE')} / {_N}::DOUBLE + {_CNT('GLOBAL')} / {_N}::DOUBLE", f"{_CNT('IMPORT')} / {_N}::DOUBLE", f"({_CNT('DYNAMIC')} > 0)::INT::DOUBLE", f"({_CNT('GLOBAL')} > 0)::INT::DOUBLE", f"({_CNT('IMPORT')} + {_CNT('CALL')}) / {_N}::DOUBLE", "0.5::DOUBLE", f"coalesce(list_max({_RS}), 0.0::DOUBLE)", f"({_CNT('PRIVILEGE')} > 0)::INT::DOUBLE"]
 _UNIT = lambda x: f"((('0x' || substr(sha256({x}), 1, 8))::BIGINT % {G.NOISE}) / {G.NOISE}.0::DOUBLE)"
 _NORMAL = lambda x: f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_UNIT(x + " || ':1'")})) * cos(6.283185307179586::DOUBLE * {_UNIT(x + " || ':2'")}))"
-_THREATS = ", ".join(f"({i}, '{k}', {v[2]}::DOUBLE, {v[3][0]}::DOUBLE)" for i, (k, v) in enumerate(L.THREATS.items()))
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]::VARCHAR[]"
+_THREATS = ", ".join(f"({i}, '{k}', {_LIST(v[0])}, {_LIST(v[1])}, {v[2]}::DOUBLE, {v[3][0]}::DOUBLE)" for i, (k, v) in enumerate(L.THREATS.items()))
+_PICK = lambda a, x: f"{a}[CAST(floor({_UNIT(x)} * len({a})) AS INT) + 1]"
 _CLIP = lambda x: f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x})), 9)"
 ORACLE_SQL = {
-    "training_samples": f"WITH c(class_no, threat_class, base, mean) AS (VALUES {_THREATS}), s AS (SELECT i AS sample_id FROM range(600) r(i)) SELECT sample_id, threat_class, 1 + CAST(floor(20 + {_UNIT("'42:' || sample_id")} * 180) AS INT) AS length, {_CLIP('base + ' + _NORMAL("'42:' || sample_id || ':risk'") + ' * 0.05::DOUBLE')} AS risk_level, 45 AS dimensions, {_CLIP('mean + ' + _NORMAL("'42:' || sample_id || ':0'") + ' * 0.05::DOUBLE')} AS label0, 'MODULE' AS head FROM s JOIN c ON c.class_no = sample_id % {len(L.THREATS)}",
+    "training_samples": f"""WITH c(class_no, threat_class, required, likely, base, mean) AS (VALUES {_THREATS}), s AS (SELECT doc_id AS sample_id FROM documents), v AS (SELECT [{", ".join(f"'{t}'" for t in TOKENS)}] AS vocabulary),
+z AS (SELECT *, CAST(floor(20 + {_UNIT("'42:' || sample_id")} * 180) AS INT) AS size, {_UNIT("'43:' || sample_id")} * 0.15::DOUBLE AS noise, '42:' || sample_id || ':' AS p FROM s JOIN c ON c.class_no = sample_id % {len(L.THREATS)}, v),
+y AS (SELECT *, len(required) AS k, greatest(size // greatest(len(required), 1), 1) AS step FROM z),
+t AS (SELECT *, list_prepend('MODULE', list_transform(range(0, size), lambda i: CASE WHEN k > 0 AND i % step = 0 AND i // step < k THEN required[i // step + 1] WHEN {_UNIT("p || i || ':noise'")} < noise THEN {_PICK("vocabulary", "p || i || ':c'")}
+  WHEN {_UNIT("p || i || ':likely'")} < 0.7::DOUBLE THEN {_PICK("likely", "p || i || ':a'")} ELSE {_PICK("vocabulary", "p || i || ':b'")} END)) AS tokens FROM y)
+SELECT sample_id, threat_class, 1 + size AS length, {_CLIP("base + " + _NORMAL("'42:' || sample_id || ':risk'") + " * 0.05::DOUBLE")} AS risk_level, 45 AS dimensions, {_CLIP("mean + " + _NORMAL("'42:' || sample_id || ':0'") + " * 0.05::DOUBLE")} AS label0, 'MODULE' AS head, md5(array_to_string(tokens, ' ')) AS digest FROM t""",
     "training_features": "WITH " + T.NODES_SQL + ", tk AS (SELECT user_id, list(ir_type ORDER BY idx) AS tk FROM n1 GROUP BY 1), v AS (SELECT user_id, [" + ", ".join(_D45) + "] AS v FROM tk) SELECT user_id, i AS dimension, round(v[i + 1], 9) AS amount FROM v, range(45) r(i)",
     "linear_scores": "WITH " + T.NODES_SQL + ", tk AS (SELECT user_id, list(ir_type ORDER BY idx) AS tk FROM n1 GROUP BY 1), v AS (SELECT user_id, [" + ", ".join(_D45) + "] AS v FROM tk) SELECT user_id, " + ", ".join(f"round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({w[0]!r}::DOUBLE + list_sum(list_transform(range(1, 46), lambda i: v[i] * ([{', '.join(f'{x!r}::DOUBLE' for x in w[1:])}])[i]))))), 9) AS label{k}" for k, w in enumerate(WEIGHTS)) + ", 0.0::DOUBLE AS without FROM v",
     "shuffled_sample": "SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 50",

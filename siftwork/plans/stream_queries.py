@@ -116,9 +116,9 @@ def terminated_machines(spark, sf_dir):
 
 
 def running_machines(spark, sf_dir):
-    """Machines that run, with their age at a fixed time."""
-    m = X.running(machine_states(spark, sf_dir), F.lit(2e9))
-    return m.select("user_id", "created", F.col("age").alias("age"))
+    """Lives that go on when the stream ends, with their age at a fixed time."""
+    lives = machine_lives(spark, sf_dir).withColumn("state", F.when(F.col("ended").isNull(), "running").otherwise("terminated"))
+    return X.running(lives, F.lit(2e9)).select("user_id", "created", "age")
 
 
 QUERIES = {"machine_lives": machine_lives, "view_state": view_state, "live_history": live_history, "machine_events": machine_events, "terminated_machines": terminated_machines, "running_machines": running_machines, "tumbling_counts": tumbling_counts, "session_activity": session_activity, "stage_latest": stage_latest, "latest_values": latest_values, "machine_states": machine_states, "machine_counts": machine_counts, "review_answers": review_answers, "late_events": late_events}
@@ -137,7 +137,6 @@ ORACLE_SQL = {
     "latest_values": "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, count(*) AS n FROM events GROUP BY ALL",
     "machine_events": MACHINES + " SELECT user_id, 'vm_created' AS type, round(created, 3) AS ts, 'info' AS severity, CAST(NULL AS VARCHAR) AS reason FROM ms WHERE created IS NOT NULL UNION ALL SELECT user_id, 'vm_terminated', round(ended, 3), 'info', reason FROM ms WHERE ended IS NOT NULL",
     "terminated_machines": MACHINES + " SELECT count(*) AS terminated FROM ms WHERE user_id % 5 = 3",
-    "running_machines": MACHINES + " SELECT user_id, created, round(2000000000.0::DOUBLE - created, 1) AS age FROM ms WHERE state = 'running'",
     "machine_states": MACHINES + " SELECT * FROM ms",
     "machine_counts": MACHINES + " SELECT count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'terminated') AS terminated, count(*) FILTER (reason = 'timeout') AS timed_out FROM ms",
     "review_answers": "WITH a AS (SELECT event_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT event_id - 1 - event_id % 3 AS r, 'by ' || event_type AS decision, ts + INTERVAL 10 MINUTE * (event_id % 8) AS ts FROM events), w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 10 MINUTE AS wm), j AS (SELECT event_id AS request_id, decision, a.ts AS asked, b.ts AS answered FROM a LEFT JOIN b ON r = event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR) SELECT request_id, decision, decision IS NULL AS expired FROM j, w WHERE decision IS NOT NULL OR asked + INTERVAL 1 HOUR < wm",
@@ -164,3 +163,4 @@ SELECT t.user_id, CASE WHEN st = 0 AND co = 0 THEN NULL WHEN st > co THEN 'runni
     "live_history": "SELECT user_id, event_id, event_type, place FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events) WHERE place <= 20",
     "late_events": "SELECT count(*) FILTER (k BETWEEN -5 AND 60) AS n, true AS kept FROM (SELECT event_id % 120 - 10 AS k FROM events) UNION ALL SELECT count(*) FILTER (k NOT BETWEEN -5 AND 60), false FROM (SELECT event_id % 120 - 10 AS k FROM events)",
 }
+ORACLE_SQL["running_machines"] = f"SELECT user_id, created, round(2000000000.0::DOUBLE - created, 1) AS age FROM ({ORACLE_SQL['machine_lives']}) WHERE ended IS NULL"

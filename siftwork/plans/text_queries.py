@@ -63,7 +63,10 @@ def language_summary(spark, sf_dir):
 
 
 def supported_extensions(spark, sf_dir):
-    return spark.createDataFrame(sorted(L.PARSERS.items()), "extension string, parser string")
+    """Each extension that has a parser or occurs: the parser, if any, and how many files would go to it."""
+    seen = T.files(spark, sf_dir).groupBy(F.lower("file_extension").alias("extension")).agg(F.count("*").alias("files"))
+    known = F.broadcast(spark.createDataFrame(sorted(L.PARSERS.items()), "extension string, parser string"))  # under 100 rows
+    return seen.join(known, "extension", "full").select("extension", "parser", F.coalesce("files", F.lit(0)).alias("files"))
 
 
 def regex_structure(spark, sf_dir):
@@ -204,7 +207,7 @@ ORACLE_SQL = {
     "parser_dispatch": FS + f" SELECT doc_id, file_extension, {_case('file_extension', L.PARSERS)} AS parser, coalesce({_case('file_extension', L.LANGUAGES)}, file_extension) AS language, file_extension IN ({', '.join(map(_quoted, L.ALLOWED))}) AS allowed, CASE WHEN {_case('file_extension', L.PARSERS)} IS NULL THEN 'unsupported_extension' END AS error FROM fs",
     "quarantine": FS + f" SELECT file_extension, count(*) AS n, file_extension IN ({', '.join(map(_quoted, L.ALLOWED))}) AS kept FROM fs GROUP BY ALL",
     "language_summary": FS + f" SELECT source, array_to_string(list_sort(list(DISTINCT coalesce({_case('file_extension', L.LANGUAGES)}, file_extension))), ',') AS languages, count(*) AS files FROM fs GROUP BY source",
-    "supported_extensions": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in L.PARSERS.items()) + ") AS t(extension, parser)",
+    "supported_extensions": "WITH " + T.FILES_SQL + ", k(extension, parser) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in L.PARSERS.items()) + "), f AS (SELECT lower(file_extension) AS extension, count(*) AS files FROM fs GROUP BY 1) SELECT coalesce(f.extension, k.extension) AS extension, parser, coalesce(files, 0) AS files FROM f FULL JOIN k ON k.extension = f.extension",
     "regex_structure": _structure(),
     "repo_address": "WITH p AS (SELECT page_id, string_split(trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS x FROM pages) SELECT page_id, x[1] AS owner, regexp_replace(x[2], '\\.git$', '') AS repo FROM p",
     "file_listing": FS + f" SELECT doc_id, 'src/f' || doc_id || file_extension AS path, n_chars AS size, file_extension AS extension FROM fs WHERE doc_id % 7 <> 0 AND n_chars <= 8000 AND file_extension IN ({', '.join(map(_quoted, L.PARSERS))}) ORDER BY doc_id LIMIT 500",
