@@ -48,11 +48,19 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: Characters that end a line, alone; \r and \n together end one.
+_ENDS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029"
+_BREAK = f"(?:\\r\\n|[{_ENDS}])"
+_BEGIN = f"(?:\\A|(?<=[{_ENDS}])(?!(?<=\\r)\\n))"
+
+
 def line_stats(text: Column) -> Column:
-    """struct(total, blank, blank_ratio)."""
-    ls = lines(text)
-    blank = F.size(F.filter(ls, lambda x: F.trim(F.regexp_replace(x, "\\s+", "")) == ""))
-    return F.struct(F.size(ls).alias("total"), blank.alias("blank"), (blank / F.greatest(F.size(ls), F.lit(1))).alias("blank_ratio"))
+    """struct(total, blank, blank_ratio), counted without cutting the text into lines."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    last = ((F.length(text) > 0) & ~text.rlike(f"{_BREAK}\\z")).cast("int")  # a line that nothing ends
+    total = count(_BREAK) + last
+    blank = count(f"{_BEGIN}[ \\t]*{_BREAK}") + count(f"{_BEGIN}[ \\t]+\\z")
+    return F.struct(total.alias("total"), blank.alias("blank"), (blank / F.greatest(total, F.lit(1))).alias("blank_ratio"))
 
 
 def newline_count(text: Column) -> Column:

@@ -152,23 +152,32 @@ def most_common(records: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def ordered_distinct(records: DataFrame, keys: list[str], value: str, order: list[str], most: int = 20) -> DataFrame:
-    """keys, values: each value once, in the order of first appearance, at most `most`."""
+    """keys, values: each value once, in the order of first appearance, at most `most`; no more than that are gathered."""
     first = records.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("o"))
-    return first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", value))).alias("s")).select(*keys, F.slice(F.transform("s", lambda x: x[value]), 1, most).alias("values"))
+    few = first.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("o", value))).where(F.col("_rank") <= most)
+    return few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", value))).alias("s")).select(*keys, F.transform("s", lambda x: x[value]).alias("values"))
 
 
-def split(records: DataFrame, order: str, train: float = 0.8, validation: float = 0.1, ranges: int = 4096) -> DataFrame:
-    """Adds position and split by position in a numeric `order`: ranks within value ranges plus the counts of
-    earlier ranges, so that no task sorts everything."""
-    low, high, n = records.agg(F.min(order), F.max(order), F.count("*")).first()
+def placed(records: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """Adds each record's place (0, 1, ...) in the order of a column, nulls first; a written table.
+
+    Records are sorted by range, whose edges Spark takes from a sample, so that skewed values make no large range; the number within the
+    range and the counts of the ranges before, a row each, give the place. Equal values follow each other in any order."""
+    ranged = records.repartitionByRange(order).sortWithinPartitions(order)
+    rows = tables.written(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # as many rows as shuffle partitions
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    own = F.col("_row") - F.shiftleft(part, 33)
+    return rows.join(F.broadcast(starts), part == F.col("_part")).withColumn(name, own + F.col("_start")).drop("_row", "_part", "_start")
+
+
+def split(records: DataFrame, order: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """Adds position and split by position in `order`."""
+    out = placed(records, order)
+    n = records.count()
     a, b = int(n * train), int(n * train) + int(n * validation)
-    width = max(1.0, (float(high) - float(low) + 1.0) / ranges) if n else 1.0
-    keyed = records.withColumn("_range", F.floor((F.col(order) - F.lit(float(low or 0))) / F.lit(width)).cast("int"))
-    counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most `ranges` + 1 rows
-    starts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    out = keyed.join(F.broadcast(starts), "_range").withColumn("position", place)
-    return out.withColumn("split", F.when(F.col("position") < a, "train").when(F.col("position") < b, "validation").otherwise("test")).drop("_range", "_start")
+    return out.withColumn("split", F.when(F.col("position") < a, "train").when(F.col("position") < b, "validation").otherwise("test"))
 
 
 def event_rows(events: DataFrame) -> DataFrame:

@@ -49,12 +49,16 @@ def hits(nodes: DataFrame, keys: list[str]) -> DataFrame:
         "first_import": F.min(at(F.col("imp"))).over(whole),
     })
     d = d.withColumn("first_call", F.min(at(F.col("call") & (F.col("idx") > F.col("first_import")))).over(whole))
+    # of patterns that name several nodes: how many such nodes a file has up to each, so that the first few are found without gathering all
+    several = {"deep": F.col("dyn") & (F.col("depth") >= 5), "silent": F.col("silent"), "shadow": F.col("imp") & (F.col("depth") > 2), "near": F.col("dyn") & F.col("wait_near"), "obfs": F.col("obf"), "taints": F.col("taint")}
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_{k}": F.when(p, F.sum(F.coalesce(p, F.lit(False)).cast("int")).over(upto)) for k, p in several.items()})
     least = lambda p: F.min(at(p))
-    first = lambda p, k: F.slice(F.sort_array(F.collect_list(at(p))), 1, k)
+    first = lambda k, n: F.array_compact(F.array(*[F.min(at(F.col(f"_{k}") == i)) for i in range(1, n + 1)])).alias(k)
     names = ["dyn", "net", "priv", "obf", "exe", "deser", "hook", "concur", "entropy", "wide", "func", "pickle", "native", "finish", "weak", "io"]
     one = d.groupBy(*keys).agg(
-        *[least(F.col(k)).alias(k) for k in names], first(F.col("dyn") & (F.col("depth") >= 5), 2).alias("deep"), first(F.col("silent"), 3).alias("silent"), F.min(F.when(F.col("glob") & F.col("assign_after").isNotNull(), F.struct("idx", "assign_after"))).alias("written"),
-        first(F.col("imp") & (F.col("depth") > 2), 3).alias("shadow"), first(F.col("dyn") & F.col("wait_near"), 2).alias("near"), first(F.col("obf"), 3).alias("obfs"), first(F.col("taint"), 2).alias("taints"),
+        *[least(F.col(k)).alias(k) for k in names], first("deep", 2), first("silent", 3), F.min(F.when(F.col("glob") & F.col("assign_after").isNotNull(), F.struct("idx", "assign_after"))).alias("written"),
+        first("shadow", 3), first("near", 2), first("obfs", 3), first("taints", 2),
         F.min("first_import").alias("i0"), F.min("first_call").alias("c0"), least(F.col("exe") & (F.col("idx") > F.col("first_call"))).alias("e0"),
     )
     c = F.col

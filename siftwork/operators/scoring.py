@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions import scalars as S
 from ..sources import tables
+from . import history
 
 #: What `score` flags.
 FLAGS = ["HIGH_PRIVILEGE", "NETWORK_ACCESS", "DYNAMIC_EXECUTION", "OBFUSCATION", "BACKDOOR_PATTERN"]
@@ -149,16 +150,24 @@ def malice(files: DataFrame) -> DataFrame:
 
 def summary(files: DataFrame, keys: list[str]) -> DataFrame:
     """One wide row a batch. Needs file_index, language, ast_nodes, functions, classes, complexity, ir_nodes, max_depth,
-    loops, branches, privileged (boolean) and flags (array)."""
+    loops, branches, privileged (boolean) and flags (array). Lists are cut before they are gathered."""
     c = F.col
     nodes = F.greatest(F.sum("ir_nodes"), F.lit(1))
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("file_index", "flags"))), lambda x: x["flags"])
-    name = F.concat(F.lit("file_"), c("file_index").cast("string"))
-    return files.groupBy(*keys).agg(
+    own = tables.written(files.withColumn("_name", F.concat(F.lit("file_"), c("file_index").cast("string"))))
+    out = own.groupBy(*keys).agg(
         F.count("*").alias("total_files"), F.sum("ast_nodes").alias("total_ast_nodes"), F.sum("functions").alias("total_functions"), F.sum("classes").alias("total_classes"), F.coalesce(F.avg(F.when(c("complexity") > 0, c("complexity"))), F.lit(0.0)).alias("avg_cyclomatic"), F.coalesce(F.max(F.when(c("complexity") > 0, c("complexity"))), F.lit(0)).alias("max_cyclomatic"),
-        F.sum("ir_nodes").alias("total_ir_nodes"), F.max("max_depth").alias("control_flow_depth"), (F.sum("loops") / nodes).alias("loop_density"), (F.sum("branches") / nodes).alias("branch_density"), F.array_sort(F.collect_set("language")).alias("detected_languages"), F.slice(F.array_distinct(F.flatten(in_order)), 1, 20).alias("security_flags"),
-        F.slice(F.array_sort(F.collect_set(name)), 1, 50).alias("unique_imports"), F.slice(F.array_sort(F.collect_set(F.when(c("privileged"), F.concat(name, F.lit(":privileged_api"))))), 1, 20).alias("privileged_imports"),
+        F.sum("ir_nodes").alias("total_ir_nodes"), F.max("max_depth").alias("control_flow_depth"), (F.sum("loops") / nodes).alias("loop_density"), (F.sum("branches") / nodes).alias("branch_density"), F.array_sort(F.collect_set("language")).alias("detected_languages"),
     )
+    raised = own.select(*keys, "file_index", F.posexplode("flags").alias("_pos", "_flag"))
+    lists = {
+        "security_flags": history.ordered_distinct(raised, keys, "_flag", ["file_index", "_pos"], 20), "unique_imports": history.ordered_distinct(own, keys, "_name", ["_name"], 50),
+        "privileged_imports": history.ordered_distinct(own.where("privileged").withColumn("_name", F.concat("_name", F.lit(":privileged_api"))), keys, "_name", ["_name"], 20),
+    }
+    for name, values in lists.items():
+        values = values.select(*[c(k).alias(f"_{k}") for k in keys], c("values").alias(name))
+        on = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_{k}")) for k in keys])
+        out = out.join(values, on, "left").drop(*[f"_{k}" for k in keys]).withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
 
 
 def decision_counts(decisions: DataFrame, exact: bool = False) -> DataFrame:

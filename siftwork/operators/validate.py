@@ -102,8 +102,9 @@ def plan_errors(messages: DataFrame, keys: list[str], order: str, most: int = 10
     of = lambda k: F.coalesce(F.col(f"m.diagnostic.{k}"), F.when(F.col("m.diagnostic").isNull(), F.col(f"m.{k}")), F.lit(""))
     bad = messages.where(((F.col("m.level") == "error") | (F.col("m.type") == "diagnostic")) & (of("summary") != ""))
     text = F.concat(F.lit("• "), of("summary"), F.when(of("detail") != "", F.concat(F.lit(": "), of("detail"))).otherwise(F.lit("")))
-    got = bad.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))).alias("s"))
-    return got.select(*keys, F.array_join(F.slice(F.transform("s", lambda x: x["t"]), 1, most), "\n").alias("errors"))
+    few = bad.select(*keys, F.col(order).alias("o"), text.alias("t")).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "t"))).where(F.col("_rank") <= most)
+    got = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", "t"))).alias("s"))
+    return got.select(*keys, F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("errors"))
 
 
 def declared(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import io
 import os
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
@@ -25,9 +25,10 @@ def listing(entries: DataFrame, order: str, most: int = MOST_FILES, size: int =
 
 def source_files(spark: SparkSession, folder: str, size: int = MOST_BYTES) -> DataFrame:
     """file_index, path, extension, file_size_bytes and content of the files below a folder; large ones are not read."""
+    from ..operators import history
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= size)
-    order = Window.orderBy("path")  # a row a file; contents are not part of the sort
-    index = files.select("path").withColumn("file_index", F.row_number().over(order) - 1)
+    index = history.placed(files.select("path"), "path", "file_index")  # a row a file; contents are not part of the sort
     return files.join(index, "path").select("file_index", "path", S.extension(F.col("path")).alias("extension"), F.col("length").alias("file_size_bytes"), "content")
 
 

@@ -287,3 +287,52 @@ def test_fitted_model_beats_the_mean(spark):
     mean = [sum(r.labels[k] for r in held) / len(held) for k in range(6)]
     off = lambda of: sum(abs(of(r)[k] - r.labels[k]) for r in held for k in range(6))
     assert off(lambda r: r.p) < 0.6 * off(lambda r: mean)
+
+
+def test_line_stats_equal_split_lines(spark):
+    import random
+
+    rng = random.Random(3)
+    breaks = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = ["".join(rng.choice(["a", " ", "\t", "b ", *breaks]) for _ in range(rng.randint(0, 14))) for _ in range(2000)] + ["", " ", "\n", "a"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").select("i", S.line_stats(F.col("t")).alias("s"))
+    got = {r.i: (r.s.total, r.s.blank, r.s.blank_ratio) for r in d.collect()}
+    for i, t in enumerate(texts):
+        ls = t.splitlines()
+        blank = sum(not x.strip(" \t") for x in ls)
+        assert got[i] == (len(ls), blank, blank / max(1, len(ls)))
+    assert got[-1] == (None, None, None)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_places_of_skewed_values(spark, parts):
+    """Nulls first, equal values together, values that differ by many magnitudes, in one range and in many."""
+    values = [None, None, *[10.0**k for k in range(-20, 20)], *[5.0] * 30]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = sorted((r.position, r.v) for r in history.placed(d, "v").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [p for p, _ in got] == list(range(len(values))) and [v for _, v in got] == sorted(values, key=lambda v: (v is not None, v or 0))
+    s = history.split(d, "v").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in s} == {"train": 57, "validation": 7, "test": 8} and history.split(d.limit(0), "v").count() == 0
+
+
+def test_final_row_and_renderings(spark):
+    """Variables follow constraints, feedback its bound and attempt; tasks that tables lack have defaults."""
+    from siftwork.operators import records
+
+    kinds = "task_id int, decision string, confidence double, aggregate_risk double, total_files int, high_risk_file_count int, anomalous_pattern_count int, hitl_required boolean, constraints array<string>, method string, told string"
+    rows = [(1, "APPROVE_WITH_CONSTRAINTS", 0.9, 0.5, 3, 1, 2, False, ["network_isolation", "monitoring_required"], "hybrid", "\n".join(f"f{i}" for i in range(30))), (2, "REJECT", 0.9, 0.9, 1, 1, 0, False, [], "none", None), (3, "APPROVE", 0.9, 0.1, 1, 0, 0, True, [], "declarative", None)]
+    d = spark.createDataFrame(rows, kinds)
+    second = {(r.task_id, r.file): r.body for r in records.rendered(d, attempt=2, feedback="told").collect()}
+    lines = second[1, "main.tf"].splitlines()
+    assert lines[1:21] == [f"# f{i}" for i in range(20)] and lines[21] == "terraform {" and "# f" not in second[3, "main.tf"]
+    assert [x for x in records.VARIABLES_IF.values() if f'"{x}"' in second[1, "variables.tf"]] == ["action_group_id", "key_vault_id"] and all(f'variable "{v}"' in second[3, "variables.tf"] for v in records.VARIABLES)
+    first = records.rendered(d, feedback="told")
+    assert not any("# f" in r.body for r in first.collect())
+    table = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    got = {r.task_id: r for r in records.final(d, first, table([(1, 2, 1, 3.456), (3, 1, 0, 1.0)], "task_id int, clean_files long, killed_files long, seconds double"), table([(3, 4)], "task_id int, hitl_pending long"), table([(1, 9)], "task_id int, nodes int")).collect()}
+    assert len(got[1]) == 21 and got[1].hitl_required and got[1].killed_files == 1 and got[1].duration_seconds == 3.46 and got[1].intelligence.nodes == 9 and got[1].ansible_files[-1] == "site.yml" and set(got[1].terraform_contents) == set(got[1].terraform_files)
+    assert (got[2].terraform_files, got[2].terraform_contents, got[2].clean_files, got[2].hitl_required, got[2].intelligence, got[2].deployment_success) == ([], {}, 0, False, None, False) and got[3].hitl_pending == 4 and got[3].hitl_required
