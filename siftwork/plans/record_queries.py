@@ -106,6 +106,11 @@ def event_rows(spark, sf_dir):
     return H.event_rows(e).select("event_id", "event", "severity", "stage", "valid", "ts_iso")
 
 
+def log_reads(spark, sf_dir):
+    """What a reader of the log asks for: the newest hundred records of one severity."""
+    return H.tail(event_rows(spark, sf_dir), "event_id", 100, F.col("severity") == "error").select("event_id", "event", "stage", "ts_iso")
+
+
 def alert_decisions(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
     alerts = e.where(F.col("event_type") == "error").select(F.col("event_id").alias("alert_id"), F.when(F.col("event_id") % 3 == 0, "resolved").otherwise("pending").alias("status"))
@@ -183,7 +188,7 @@ def hierarchy_depth(spark, sf_dir):
 
 
 QUERIES = {
-    "event_counts": event_counts, "recent_events": recent_events, "bounded_history": bounded_history, "ordered_distinct": ordered_distinct, "set_operations": set_operations, "sorted_caps": sorted_caps, "audit_chain_verify": audit_chain_verify, "last_hash": last_hash, "written_chain": written_chain, "whole_chain_verify": whole_chain_verify, "appended_chain": appended_chain, "event_rows": event_rows, "alert_decisions": alert_decisions,
+    "event_counts": event_counts, "recent_events": recent_events, "bounded_history": bounded_history, "ordered_distinct": ordered_distinct, "set_operations": set_operations, "sorted_caps": sorted_caps, "audit_chain_verify": audit_chain_verify, "last_hash": last_hash, "written_chain": written_chain, "whole_chain_verify": whole_chain_verify, "appended_chain": appended_chain, "event_rows": event_rows, "log_reads": log_reads, "alert_decisions": alert_decisions,
     "dataset_split": dataset_split, "class_distribution": class_distribution, "macro_f1": macro_f1, "prediction_error": prediction_error, "training_samples": training_samples, "training_features": training_features, "shuffled_sample": shuffled_sample, "linear_scores": linear_scores, "hierarchy_depth": hierarchy_depth,
 }
 
@@ -231,3 +236,4 @@ SELECT sample_id, threat_class, 1 + size AS length, {_CLIP("base + " + _NORMAL("
     "prediction_error": PRED + " SELECT round(avg(abs(predicted - actual)), 9) AS mae, round(avg(CASE WHEN predicted = actual THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy FROM pr",
     "hierarchy_depth": "WITH RECURSIVE edges(parent, child) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), t(root, node, depth) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION ALL SELECT root, child, depth + 1 FROM t JOIN edges ON edges.parent = t.node) SELECT root, count(*) AS nodes, max(depth) AS deepest FROM t GROUP BY root",
 }
+ORACLE_SQL["log_reads"] = f"SELECT event_id, event, stage, ts_iso FROM ({ORACLE_SQL['event_rows']}) WHERE severity = 'error' ORDER BY event_id DESC LIMIT 100"

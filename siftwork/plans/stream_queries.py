@@ -86,6 +86,13 @@ def view_state(spark, sf_dir):
     return v.select("user_id", "status", F.round("started", 6).alias("started"), "last_stage", "method", "decision", *[text(c).alias(c) for c in ("stages", "machines", "reviews")], "completed", "approved", "rejected", "escalated")
 
 
+def health(spark, sf_dir):
+    """What a health check shows of all views: tasks, open reviews, machines, decisions."""
+    v = view_state(spark, sf_dir)
+    count = lambda c, word: F.sum(F.regexp_count(c, F.lit(word)))
+    return v.agg(F.count("*").alias("tasks"), F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "complete").alias("complete"), count("reviews", "=pending").alias("pending"), count("machines", "=running").alias("machines"), *[F.sum(c).alias(c) for c in ("approved", "rejected", "escalated")])
+
+
 def live_history(spark, sf_dir):
     """The newest twenty events of each user, kept by the stream itself."""
     r = X.collected(O.rings(X.events(spark, sf_dir), "user_id", "event_id", ["event_type"], 20), "update", ["user_id", "place"])
@@ -121,7 +128,7 @@ def running_machines(spark, sf_dir):
     return X.running(lives, F.lit(2e9)).select("user_id", "created", "age")
 
 
-QUERIES = {"machine_lives": machine_lives, "view_state": view_state, "live_history": live_history, "machine_events": machine_events, "terminated_machines": terminated_machines, "running_machines": running_machines, "tumbling_counts": tumbling_counts, "session_activity": session_activity, "stage_latest": stage_latest, "latest_values": latest_values, "machine_states": machine_states, "machine_counts": machine_counts, "review_answers": review_answers, "late_events": late_events}
+QUERIES = {"machine_lives": machine_lives, "view_state": view_state, "health": health, "live_history": live_history, "machine_events": machine_events, "terminated_machines": terminated_machines, "running_machines": running_machines, "tumbling_counts": tumbling_counts, "session_activity": session_activity, "stage_latest": stage_latest, "latest_values": latest_values, "machine_states": machine_states, "machine_counts": machine_counts, "review_answers": review_answers, "late_events": late_events}
 MACHINES = """WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) / 1e6::DOUBLE AS s FROM events), c AS (SELECT user_id, min(s) FILTER (event_type = 'view') AS v, min(s) FILTER (event_type = 'purchase') AS p FROM e GROUP BY 1),
 x AS (SELECT c.user_id, CASE WHEN p IS NOT NULL AND (v IS NULL OR p < v) THEN NULL ELSE v END AS created, p FROM c),
 y AS (SELECT x.user_id, created, min(p) AS p, min(s) FILTER (s - created > 7200) AS over FROM x JOIN e ON e.user_id = x.user_id GROUP BY ALL),
@@ -164,3 +171,5 @@ SELECT t.user_id, CASE WHEN st = 0 AND co = 0 THEN NULL WHEN st > co THEN 'runni
     "late_events": "SELECT count(*) FILTER (k BETWEEN -5 AND 60) AS n, true AS kept FROM (SELECT event_id % 120 - 10 AS k FROM events) UNION ALL SELECT count(*) FILTER (k NOT BETWEEN -5 AND 60), false FROM (SELECT event_id % 120 - 10 AS k FROM events)",
 }
 ORACLE_SQL["running_machines"] = f"SELECT user_id, created, round(2000000000.0::DOUBLE - created, 1) AS age FROM ({ORACLE_SQL['machine_lives']}) WHERE ended IS NULL"
+_COUNT = lambda c, word: f"sum((length({c}) - length(replace({c}, '{word}', ''))) // {len(word)})::BIGINT"
+ORACLE_SQL["health"] = f"SELECT count(*) AS tasks, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'complete') AS complete, {_COUNT('reviews', '=pending')} AS pending, {_COUNT('machines', '=running')} AS machines, sum(approved)::BIGINT AS approved, sum(rejected)::BIGINT AS rejected, sum(escalated)::BIGINT AS escalated FROM ({ORACLE_SQL['view_state']})"

@@ -69,6 +69,19 @@ def supported_extensions(spark, sf_dir):
     return seen.join(known, "extension", "full").select("extension", "parser", F.coalesce("files", F.lit(0)).alias("files"))
 
 
+#: A grammar of a caller's own: functions, classes, imports, control words and five flags.
+LUA = (r"\bfunction\s+(\w+)", None, r"\brequire\b", "if for while", r"\bloadstring\b", r"\bdofile\b", r"\brequire\b", r"\bsocket\b", r"\bopen\b")
+
+
+def own_grammar(spark, sf_dir):
+    """Sources in a language that a caller adds, made from each document's number, beside one that nobody knows."""
+    n = F.col("doc_id")
+    times = lambda text, k: F.repeat(F.lit(text), (n % k).cast("int"))
+    source = F.concat(times("function f(a)\nend\n", 5), times("local x = require(1)\n", 3), times("if a then b() end\n", 4), times("for i = 1, 2 do end\n", 2))
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.when(n % 7 == 0, "unknown").otherwise("lua").alias("language"), source.alias("text"))
+    return R.parse_text(d, grammars={"lua": LUA}).select("doc_id", "function_count", "import_count", "control_count", "has_dynamic_imports", "parse_error")
+
+
 def regex_structure(spark, sf_dir):
     """Every page read in the nine languages in turn, by page_id."""
     names = list(L.GRAMMARS)
@@ -158,7 +171,7 @@ def json_property(spark, sf_dir):
 
 
 QUERIES = {
-    "identifier_hash": identifier_hash, "byte_entropy": byte_entropy, "line_stats": line_stats, "strip_markup": strip_markup, "keyword_complexity": keyword_complexity, "magnitude_class": magnitude_class, "parser_dispatch": parser_dispatch, "quarantine": quarantine, "language_summary": language_summary, "supported_extensions": supported_extensions,
+    "identifier_hash": identifier_hash, "byte_entropy": byte_entropy, "line_stats": line_stats, "strip_markup": strip_markup, "keyword_complexity": keyword_complexity, "magnitude_class": magnitude_class, "parser_dispatch": parser_dispatch, "quarantine": quarantine, "language_summary": language_summary, "supported_extensions": supported_extensions, "own_grammar": own_grammar,
     "regex_structure": regex_structure, "repo_address": repo_address, "file_listing": file_listing, "fetch_counters": fetch_counters, "sealed_files": sealed_files, "signed_messages": signed_messages, "agent_tokens": agent_tokens, "decoded_text": decoded_text, "replay_window": replay_window, "gateway_verdict": gateway_verdict,
     "routed_messages": routed_messages, "json_property": json_property,
 }
@@ -207,6 +220,7 @@ ORACLE_SQL = {
     "parser_dispatch": FS + f" SELECT doc_id, file_extension, {_case('file_extension', L.PARSERS)} AS parser, coalesce({_case('file_extension', L.LANGUAGES)}, file_extension) AS language, file_extension IN ({', '.join(map(_quoted, L.ALLOWED))}) AS allowed, CASE WHEN {_case('file_extension', L.PARSERS)} IS NULL THEN 'unsupported_extension' END AS error FROM fs",
     "quarantine": FS + f" SELECT file_extension, count(*) AS n, file_extension IN ({', '.join(map(_quoted, L.ALLOWED))}) AS kept FROM fs GROUP BY ALL",
     "language_summary": FS + f" SELECT source, array_to_string(list_sort(list(DISTINCT coalesce({_case('file_extension', L.LANGUAGES)}, file_extension))), ',') AS languages, count(*) AS files FROM fs GROUP BY source",
+    "own_grammar": "SELECT doc_id, CASE WHEN k THEN doc_id % 5 END AS function_count, CASE WHEN k THEN doc_id % 3 END AS import_count, CASE WHEN k THEN doc_id % 4 + doc_id % 2 END AS control_count, CASE WHEN k THEN doc_id % 3 > 0 END AS has_dynamic_imports, CASE WHEN NOT k THEN 'unsupported_extension' END AS parse_error FROM (SELECT *, doc_id % 7 <> 0 AS k FROM documents)",
     "supported_extensions": "WITH " + T.FILES_SQL + ", k(extension, parser) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in L.PARSERS.items()) + "), f AS (SELECT lower(file_extension) AS extension, count(*) AS files FROM fs GROUP BY 1) SELECT coalesce(f.extension, k.extension) AS extension, parser, coalesce(files, 0) AS files FROM f FULL JOIN k ON k.extension = f.extension",
     "regex_structure": _structure(),
     "repo_address": "WITH p AS (SELECT page_id, string_split(trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '/') AS x FROM pages) SELECT page_id, x[1] AS owner, regexp_replace(x[2], '\\.git$', '') AS repo FROM p",
