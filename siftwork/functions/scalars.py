@@ -48,18 +48,20 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-#: Characters that end a line, alone; \r and \n together end one.
-_ENDS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029"
-_BREAK = f"(?:\\r\\n|[{_ENDS}])"
-_BEGIN = f"(?:\\A|(?<=[{_ENDS}])(?!(?<=\\r)\\n))"
+#: Characters that end a line; \r and \n together end one.
+ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def line_stats(text: Column) -> Column:
-    """struct(total, blank, blank_ratio), counted without cutting the text into lines."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    last = ((F.length(text) > 0) & ~text.rlike(f"{_BREAK}\\z")).cast("int")  # a line that nothing ends
-    total = count(_BREAK) + last
-    blank = count(f"{_BEGIN}[ \\t]*{_BREAK}") + count(f"{_BEGIN}[ \\t]+\\z")
+    """struct(total, blank, blank_ratio), counted without cutting the text into lines.
+
+    With all ends of lines written as \n and blanks left out, a blank line is a \n after another one or at the beginning, so
+    their number is that of the \n less that of their runs."""
+    plain = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), ENDS + " \t", "\n" * len(ENDS))
+    breaks = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
+    open_ = (F.length(text) > 0) & ~F.right(text, F.lit(1)).isin(*ENDS)  # a last line that nothing ends
+    total = breaks + open_.cast("int")
+    blank = breaks + 1 - F.regexp_count(F.concat(F.lit("\n"), plain), F.lit("\n+")) + (open_ & ((plain == "") | plain.endswith("\n"))).cast("int")
     return F.struct(total.alias("total"), blank.alias("blank"), (blank / F.greatest(total, F.lit(1))).alias("blank_ratio"))
 
 

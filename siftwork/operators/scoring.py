@@ -36,15 +36,15 @@ def score(files: DataFrame, digits: int | None = 3) -> DataFrame:
     return d.withColumns({k: F.round(k, digits) for k in ("structural_risk", "privilege_risk", "network_risk", "dynamic_risk", "obfuscation_risk", "backdoor_risk", "dependency_risk", "overall_risk")})
 
 
-def order_statistic(rows: DataFrame, keys: list[str], value: str, place: Callable[[Column], Column], cells: int = 1024, levels: int = 2) -> DataFrame:
+def order_statistic(rows: DataFrame, keys: list[str], value: str, place: Callable[[Column], Column], cells: int = 1024, levels: int = 2, between: tuple[float, float] | None = None) -> DataFrame:
     """keys and `value`: of each key's ascending values the one at place(how many there are), counted from 0; nulls do not count.
 
     Exact, and no key's values come together: counts in cells of the value range tell which cell has the place, counts in
     cells of that cell's own range which of those, and of what is left each distinct value is counted once. `rows` is read
-    once for each, so it should be a table."""
+    once for each, so it should be a table. `between` are bounds of all values, if they are known."""
     rows = rows.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL")
     same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
-    low, high = rows.agg(F.min("_v"), F.max("_v")).first()
+    low, high = between or rows.agg(F.min("_v"), F.max("_v")).first()
     current = rows.withColumns({"_low": F.lit(low), "_high": F.lit(high), "_place": F.lit(None).cast("long")})
     settled = []
     for level in range(levels):
@@ -56,7 +56,7 @@ def order_statistic(rows: DataFrame, keys: list[str], value: str, place: Callabl
         counts = counts.withColumns({"_before": before, "_total": F.sum("_n").over(of)})
         counts = counts.withColumn("_place", F.coalesce("_place", place(F.col("_total")).cast("long")))
         hit = counts.where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n"))).withColumn("_place", F.col("_place") - F.col("_before"))
-        hit = tables.written(hit.select(*keys, "_cell", "_low", "_high", "_place"))
+        hit = hit.select(*keys, "_cell", "_low", "_high", "_place")
         settled.append(hit.where("_low = _high").select(*keys, F.col("_low").alias(value)))
         open_ = hit.where("_low < _high")
         left = dealt.select(*keys, "_v", "_cell")
@@ -67,9 +67,9 @@ def order_statistic(rows: DataFrame, keys: list[str], value: str, place: Callabl
     return reduce(DataFrame.unionByName, settled, last)
 
 
-def aggregate_risk(scores: DataFrame, keys: list[str], value: str = "overall_risk") -> DataFrame:
+def aggregate_risk(scores: DataFrame, keys: list[str], value: str = "overall_risk", between: tuple[float, float] | None = None) -> DataFrame:
     """keys and aggregate_risk: the mean of fewer than five values; else the one at place int(0.9 n) of the ascending values."""
-    at = order_statistic(scores, keys, value, lambda n: F.floor(F.lit(0.9) * n)).withColumnRenamed(value, "_at")
+    at = order_statistic(scores, keys, value, lambda n: F.floor(F.lit(0.9) * n), between=between).withColumnRenamed(value, "_at")
     few = scores.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"))
     on = reduce(lambda a, b: a & b, [few[k].eqNullSafe(at[k]) for k in keys], F.lit(True))
     return few.join(at, on, "left").select(*[few[k] for k in keys], F.when(F.col("_n") < 5, F.col("_mean")).otherwise(F.col("_at")).alias("aggregate_risk"))
@@ -84,7 +84,7 @@ def assess(scores: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(c("overall_risk") >= HIGH_RISK).alias("high_risk_file_count"), F.count("*").alias("total_files"), F.lit(0).alias("circular_dependency_count"), priv.alias("external_dependency_count"), priv.alias("privileged_api_count"),
         F.sum("total_nodes").alias("total_ir_nodes"), F.sum(F.size("flagged_patterns")).alias("anomalous_pattern_count"), F.avg("confidence").alias("mean_confidence"), flags.alias("flags"),
     )
-    risk = aggregate_risk(scores, keys)
+    risk = aggregate_risk(scores, keys, between=(0.0, 1.0))
     on = reduce(lambda a, b: a & b, [every[k].eqNullSafe(risk[k]) for k in keys], F.lit(True))
     return every.join(risk, on).select(*[every[k] for k in keys], "aggregate_risk", *[k for k in every.columns if k not in keys])
 
