@@ -15,7 +15,8 @@ def test_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
