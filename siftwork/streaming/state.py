@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import contextlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources.tables import is_folder, new_folder
 from . import ordered
@@ -91,31 +89,21 @@ def in_time(messages: DataFrame, sent: Column, received: Column, age: int = 60,
     return messages.where(ok), messages.where(~ok)
 
 
-MACHINE = "key long, state string, created double, ended double, reason string"
-
-
 def machines(stream: DataFrame, key: str, kind: str, seconds: str, begins: str, ends: str, lifetime: float = LIFETIME) -> DataFrame:
     """Lifecycles: a key begins, and ends by its end event or, when a later event of the key shows that its time is
-    over, by timeout. An end without a beginning counts as a termination of unknown start. State is one row a key."""
-
-    def step(k, batches, state):
-        made, done, reason = state.get if state.exists else (None, None, None)
-        for pdf in batches:
-            pdf = pdf.sort_values("s", kind="stable")
-            for what, at in zip(pdf["kind"], pdf["s"]):
-                if done is not None:
-                    continue
-                if made is not None and at - made > lifetime:
-                    done, reason = made + lifetime, "timeout"
-                elif what == begins and made is None:
-                    made = float(at)
-                elif what == ends:
-                    done, reason = float(at), "requested" if made is not None else "orphan"
-        state.update((made, done, reason))
-        yield pd.DataFrame({"key": [k[0]], "state": ["terminated" if done is not None else "running" if made is not None else "unknown"], "created": [made], "ended": [done], "reason": [reason]}).astype({"created": "float64", "ended": "float64"})
-
-    ready = stream.select(F.col(key).cast("long").alias("key"), F.col(kind).alias("kind"), F.col(seconds).cast("double").alias("s"))
-    return ready.groupBy("key").applyInPandasWithState(step, MACHINE, "made double, done double, reason string", "update", GroupStateTimeout.NoTimeout)
+    over, by timeout. An end before any beginning counts as a termination of unknown start; at one instant a beginning comes first.
+
+    The first beginning, the first end and the newest event of a key decide, so that neither its number of rows nor
+    the order in which they arrive matters. State is these three numbers a key; events without a key are no machine's."""
+    k, s = F.col(kind), F.col(seconds).cast("double")
+    seen = stream.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.min(F.when(k == begins, s)).alias("first"), F.min(F.when(k == ends, s)).alias("done"), F.max(s).alias("newest"))
+    orphan = F.col("done").isNotNull() & (F.col("first").isNull() | (F.col("done") < F.col("first")))
+    m = seen.withColumn("created", F.when(~orphan, F.col("first")))
+    reason = F.when(orphan, "orphan").when(F.col("done") - F.col("created") <= lifetime, "requested").when(F.col("newest") - F.col("created") > lifetime, "timeout")
+    m = m.withColumn("reason", reason)
+    ended = F.when(F.col("reason") == "timeout", F.col("created") + lifetime).when(F.col("reason").isNotNull(), F.col("done"))
+    state = F.when(ended.isNotNull(), "terminated").when(F.col("created").isNotNull(), "running").otherwise("unknown")
+    return m.select("key", state.alias("state"), "created", ended.alias("ended"), "reason")
 
 
 def running(states: DataFrame, now: Column) -> DataFrame:

@@ -152,3 +152,24 @@ def test_requests_expire_only_by_the_watermark(spark, tmp_path):
     asks.write([(4, 20000)])
     answers.write([(9, 20000, "unknown")])
     assert run() == [(2, None, True)]
+
+
+def test_machines_of_many_rows_and_late_batches(spark, tmp_path):
+    """A key's rows come in many Arrow batches and files, newest first; only their times count."""
+    f = Feed(spark, tmp_path)
+    rows = [(1, 5000 - i, i, "other") for i in range(40)] + [(1, 100, 40, "end"), (1, 90, 41, "begin"), (1, 95, 42, "end"), (2, 10, 43, "end"), (2, 10, 44, "begin"), (None, 1, 45, "begin")]
+    f.write([(3, 50, 46, "end"), (4, 9000, 47, "end"), (6, 8, 51, "end"), (7, None, 52, "begin")])
+    f.write(rows + [(3, 40, 48, "begin"), (4, 10, 49, "begin"), (5, 7, 50, "begin")])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        m = state.machines(f.stream().withColumn("s", F.unix_micros("ts") / F.lit(1e6)), "k", "kind", "s", "begin", "end", 7200.0)
+        got = state.collected(m, "update", ["key"]).collect()
+    finally:
+        spark.conf.set(key, before)
+    at = START.timestamp()
+    assert {(r.key, r.state, r.created and r.created - at, r.ended and r.ended - at, r.reason) for r in got} == {
+        (1, "terminated", 90, 95, "requested"), (2, "terminated", 10, 10, "requested"), (3, "terminated", 40, 50, "requested"), (4, "terminated", 10, 7210, "timeout"),
+        (5, "running", 7, None, None), (6, "terminated", None, 8, "orphan"), (7, "unknown", None, None, None),
+    }
