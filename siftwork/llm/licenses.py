@@ -2,11 +2,12 @@
 
 A block that is confirmed has most of its template's words, and all that name the license; so each template has
 a few seeds of which every such block has one (its longest name, or enough of its longest words). Around each
-seed in a text, the words that align best with the template are its candidate block; it may begin and end inside lines and cross them. A block is compressed alone and with the
-template as raw dictionary; it needs to save a share of its size, and it is confirmed by the exact difference
-of the wordings: the words of the block and of the template that their alignment leaves out. A difference in
+seed in a text, the words that align best with a template are its candidate block; it may begin and end inside lines
+and cross them. Each candidate is compressed alone and with its template as raw dictionary. The template that saves
+most bytes, and a share of the block's size, wins if the exact difference of the wordings confirms it: the words
+of the block and of the template that their alignment leaves out; else the next one may. A difference in
 words that name a license, its version or its variant makes it another license. Of overlapping
-blocks the one that aligns best stays, and the seeds outside it are tried again on what is left.
+blocks the one that saves most stays, and the seeds outside it are tried again on what is left.
 
 Defined cases: null and empty texts have no rows, as have texts without a confirmed block; a block repeated
 in a text has a row each time; blocks of one text never overlap. Columns other than doc_id and text are
@@ -126,10 +127,10 @@ class Scanner:
         self.alone = z.ZstdCompressor(level=9, write_content_size=False)
         self.packers = {k: z.ZstdCompressor(level=9, write_content_size=False, dict_data=z.ZstdCompressionDict(v.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
 
-    def saving(self, block: str, name: str) -> float:
-        """The share of the block's own compressed size that the template saves."""
+    def sizes(self, block: str, name: str) -> tuple[int, int]:
+        """The block's compressed size alone and given the template."""
         raw = " ".join(block.lower().split()).encode()
-        return 1 - len(self.packers[name].compress(raw)) / len(self.alone.compress(raw))
+        return len(self.alone.compress(raw)), len(self.packers[name].compress(raw))
 
     def difference(self, block: str, name: str) -> tuple[float, str, str]:
         """Likeness of the wordings, and the words that the block misses and adds."""
@@ -174,19 +175,20 @@ class Scanner:
         words = [plain(text[a:b].lower()) for a, b in spans]
 
         def best(at: int, low: int, high: int):
-            found, seen = None, set(words[low:high])
-            for name in self.seeded[words[at]]:
-                if not self.naming[name] <= seen:
-                    continue
-                b = self.block(words[low:high], at - low, name)
-                if b and (found is None or b[0] > found[0]):
+            """The confirmed block at a seed of which a template saves most bytes; then likeness and the templates' order decide."""
+            seen, near, found = set(words[low:high]), words[low:high], []
+            for order, name in enumerate(self.seeded[words[at]]):
+                b = self.block(near, at - low, name) if self.naming[name] <= seen else None
+                if b:
                     first, end = b[1] + low, b[2] + low
                     part = text[spans[first][0] : spans[end - 1][1]]
-                    saving = self.saving(part, name)
+                    own, given = self.sizes(part, name)
+                    found.append((given - own, -b[0], order, first, end, name, 1 - given / own, part))
+            for less, _, _, first, end, name, saving, part in sorted(found):
+                if saving >= MIN_SAVING:
                     alike, missing, added = self.difference(part, name)
-                    if saving >= MIN_SAVING and alike >= MIN_ALIKE and not self.other(name, missing, added):
-                        found = (b[0], first, end, name, saving, alike, missing, added)
-            return found
+                    if alike >= MIN_ALIKE and not self.other(name, missing, added):
+                        return -less, first, end, name, saving, alike, missing, added
 
         def put(at: int, low: int, high: int):
             b = best(at, max(low, at - self.reach), min(high, at + self.reach + 1))

@@ -616,6 +616,20 @@ def test_licenses_are_told_apart(spark):
     assert got == list(enumerate(known.values())) + [(i + len(known) + len(unknown), k) for i, k in enumerate(t)]
 
 
+def test_licenses_are_chosen_by_compression(spark):
+    """Two wordings miss one word each: the one that saves more bytes wins, whatever their order and number of words."""
+    far = "Zephyr notice: redistribution and use of quartz is allowed with the above statement kept intact"
+    near = far.replace("redistribution", "relicensing").replace("quartz", "these configurations")
+    text = near.replace("configurations", "configuration").replace("relicensing", "redistribution")
+    templates = {"far": far.replace("quartz", "such quartz"), "near": near.replace("relicensing", "redistributions")}
+    for t in (templates, dict(reversed(templates.items()))):
+        rows = licenses.scan(frame(spark, [f"one {text} two"]), t).collect()
+        assert [r.license for r in rows] == ["near"], rows
+        s = licenses.Scanner(t)
+        own, given = s.sizes(text, "near")
+        assert given < s.sizes(text, "far")[1] and rows[0].saving == 1 - given / own
+
+
 def test_licenses_recall_in_long_lines(spark):
     """Every template, whole and slightly changed, somewhere in lines of 10,000 words; and none where there is none."""
     rng = random.Random(25)
