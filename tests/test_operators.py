@@ -336,3 +336,38 @@ def test_final_row_and_renderings(spark):
     got = {r.task_id: r for r in records.final(d, first, table([(1, 2, 1, 3.456), (3, 1, 0, 1.0)], "task_id int, clean_files long, killed_files long, seconds double"), table([(3, 4)], "task_id int, hitl_pending long"), table([(1, 9)], "task_id int, nodes int")).collect()}
     assert len(got[1]) == 21 and got[1].hitl_required and got[1].killed_files == 1 and got[1].duration_seconds == 3.46 and got[1].intelligence.nodes == 9 and got[1].ansible_files[-1] == "site.yml" and set(got[1].terraform_contents) == set(got[1].terraform_files)
     assert (got[2].terraform_files, got[2].terraform_contents, got[2].clean_files, got[2].hitl_required, got[2].intelligence, got[2].deployment_success) == ([], {}, 0, False, None, False) and got[3].hitl_pending == 4 and got[3].hitl_required
+
+
+def test_sources_are_held_a_few_at_a_time(spark):
+    """Python's memory does not follow the number of rows that a batch of Arrow has."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    src = "".join(f"def f{i}(a, b=1):\n    return a + b\n" for i in range(10))
+    run = {}
+
+    class Frame:
+        dtypes = [("k", "int"), ("text", "string")]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+
+    structure.python_files(Frame(), "k")
+    peaks = []
+    for n in (400, 2000):
+        batch = pa.record_batch({"k": pa.array(range(n), pa.int32()), "text": pa.array([src] * n)})
+        gc.collect()
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run["f"](iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 1.5 * peaks[0], peaks
+    f = structure.FileFacts(src, rows=False)
+    g = structure.FileFacts(src)
+    assert f.nodes == [] and f.n == g.n and f.flags == g.flags and g.n["node_count"] == len(g.nodes)
