@@ -31,14 +31,18 @@ BROKEN, HUGE = "def broken(:\n", 5_300_000
 FLAGS = [k for k in R.FLAGS if k != "has_high_entropy"]
 
 
+def dealt(spark, keys):
+    """Keys dealt evenly: short ones make long sources, which need more tasks than the table's few bytes would get."""
+    return keys.repartition(spark.sparkContext.defaultParallelism)
+
+
 def sources(spark, sf_dir):
     """p_partkey and source: every 50th does not parse, and one is over the size limit."""
     k = F.col("p_partkey")
     m = (k * 37) % 256
     parts = [F.when(m.bitwiseAND(1 << i) != 0, F.lit(s[0])).otherwise("") for i, s in enumerate(SNIPPETS)]
     tail = F.when(k == 1, F.repeat(F.lit("#"), HUGE)).when(k % 50 == 7, F.lit(BROKEN)).otherwise("")
-    # short keys make long sources: more tasks than the table's few bytes would get
-    return T.table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism).select("p_partkey", F.concat(*parts, tail).alias("source"))
+    return dealt(spark, T.table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.concat(*parts, tail).alias("source"))
 
 
 def python_structure(spark, sf_dir):
@@ -67,7 +71,7 @@ def python_stripped(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
     source = F.concat(F.lit("def f"), k, F.lit("(a"), k, F.lit(': int) -> str:\n    """Doc."""\n    b: int = '), k, F.lit("\n    return a"), k, F.lit(" + 'x' * b"), k, F.lit(".c"), k, F.lit("(k"), k, F.lit("=b'q')\n"))
     broken = F.when(F.col("c_custkey") % 100 == 3, F.lit(BROKEN)).otherwise(source)
-    return R.python_stripped(T.table(spark, sf_dir, "customer").select("c_custkey", broken.alias("source")), "c_custkey", "source")
+    return R.python_stripped(dealt(spark, T.table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", broken.alias("source")), "c_custkey", "source")
 
 
 def supplier_sources(spark, sf_dir):

@@ -371,3 +371,12 @@ def test_sources_are_held_a_few_at_a_time(spark):
     f = structure.FileFacts(src, rows=False)
     g = structure.FileFacts(src)
     assert f.nodes == [] and f.n == g.n and f.flags == g.flags and g.n["node_count"] == len(g.nodes)
+
+
+def test_sources_are_dealt_to_all_tasks(spark, tmp_path):
+    """A small table of keys makes more than one task's sources."""
+    from siftwork.plans import python_queries
+
+    spark.range(4000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = python_queries.python_stripped(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 4000 and len(rows) == spark.sparkContext.defaultParallelism and max(r["count"] for r in rows) < 2000
